@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, token_counts
+from . import packing, sharding, token_counts
 from .common import load
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_counts.tokenizer_path(packing.DEFAULT_TOKENIZER)
+    return packing.pack_documents(load(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_counts.tokenizer_path(token_counts.DEFAULT_TOKENIZER)
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), path, limit=512)
@@ -20,6 +25,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_packing": op6_packing,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
