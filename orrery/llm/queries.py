@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_counts
+from . import packing, quality, sharding, token_counts
 from .common import load
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), folds=5, threshold=0.3)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_counts.tokenizer_path(packing.DEFAULT_TOKENIZER)
     return packing.pack_documents(load(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
@@ -25,6 +29,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
