@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, token_counts
+from . import near_dup, packing, quality, sharding, token_counts
 from .common import load
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), folds=5, threshold=0.3)
 
@@ -29,6 +34,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op9_token_counts": op9_token_counts,
