@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality, sharding, token_counts
+from . import exact_dup, near_dup, packing, quality, sharding, token_counts
 from .common import load
+from .pieces import tokenizer_path
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.remove_repeats(load(spark, sf_dir, "documents"), window=400).drop("kept_bytes")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +25,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_counts.tokenizer_path(packing.DEFAULT_TOKENIZER)
+    path = tokenizer_path(packing.DEFAULT_TOKENIZER)
     return packing.pack_documents(load(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_counts.tokenizer_path(token_counts.DEFAULT_TOKENIZER)
+    path = tokenizer_path(token_counts.DEFAULT_TOKENIZER)
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), path, limit=512)
 
 
@@ -34,6 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
