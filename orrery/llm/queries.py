@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dup, near_dup, packing, quality, sharding, token_counts
+from . import ann, decontaminate, exact_dup, near_dup, packing, quality, sharding, token_counts
 from .common import load
 from .pieces import tokenizer_path
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.remove_repeats(load(spark, sf_dir, "documents"), window=400).drop("kept_bytes")
 
@@ -29,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(load(spark, sf_dir, "embeddings"), k=20, query_modulus=20)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(token_counts.DEFAULT_TOKENIZER)
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), path, limit=512)
@@ -39,10 +47,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
