@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact_dup, near_dup, packing, quality, sharding, token_counts
+from . import ann, decontaminate, exact_dup, hmm_lm, near_dup, packing, quality, sharding, token_counts
 from .common import load
 from .pieces import tokenizer_path
 
@@ -28,6 +28,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), folds=5, threshold=0.3)
 
 
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_texts(load(spark, sf_dir, "documents"), folds=10)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(packing.DEFAULT_TOKENIZER)
     return packing.pack_documents(load(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_quality": op4_quality,
+    "op5_hmm_scores": op5_hmm_scores,
     "op6_packing": op6_packing,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
