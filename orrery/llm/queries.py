@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact_dup, hmm_lm, near_dup, packing, quality, sharding, token_counts
+from . import ann, decontaminate, exact_dup, hmm_lm, licenses, near_dup, packing, quality, sharding, token_counts
 from .common import load
 from .pieces import tokenizer_path
 
@@ -37,6 +37,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(load(spark, sf_dir, "embeddings"), k=20, query_modulus=20)
 
@@ -57,9 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_hmm_scores": op5_hmm_scores,
     "op6_packing": op6_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle()}
