@@ -12,81 +12,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix_code, range_hash, text_batches, text_of
-from .token_counts import load_tokenizer, safe_pieces
+from .common import Scratch, text_batches, text_of
+from .pieces import bare_pieces, piece_memory
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Ids and distinct pieces a worker remembers; when more come, it starts afresh.
-MEMORY_IDS = 4 << 20
-
-
-class PieceIds:
-    """Token ids of distinct pieces, remembered within bounded memory."""
-
-    def __init__(self, model, most: int = MEMORY_IDS):
-        self.model, self.most = model, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        start = np.cumsum(size) - size + len(self.ids)
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys = merged[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.ids = np.concatenate([self.ids, flat])
-
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each piece."""
-        keys, first, back = np.unique(range_hash(prefix_code(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.ids) + len(self.keys) > self.most:
-            self.clear()
-        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
-        if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            self._learn(keys[new], texts)
-        at = np.searchsorted(self.keys, keys)[back]
-        size = self.size[at]
-        total = int(size.sum())
-        take = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(total)
-        return self.ids[take], size
-
 
 def piece_rows(tokenizer: str, capacity: int, end_id: int):
     """A function for mapInArrow: documents to their pieces, ranked among the task's pieces of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_tokenizer(tokenizer)
-        model.no_truncation()
-        model.no_padding()
-        memory = PieceIds(model)
+        memory = piece_memory(tokenizer, True)
+        end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for rows, data, offsets in text_batches(batches):
-            starts, ends, first = safe_pieces(data, offsets)
-            ids, size = memory.encode(data, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-            bounds = np.concatenate([[0], np.cumsum(size)])[first]
+            starts, ends, first = bare_pieces(data, offsets)
+            size, begin = memory.look_up(data, starts, ends)
+            ids = memory.all_ids(size, begin)
+            bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[first]
             out: dict[str, list] = defaultdict(list)
             doc_ids = rows.column("doc_id").to_pylist()
             for doc, lo, hi in zip(doc_ids, bounds[:-1].tolist(), bounds[1:].tolist()):
-                whole = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
-                for k, a in enumerate(range(0, len(whole), capacity)):
-                    cut = whole[a : a + capacity]
+                whole = ids[lo:hi].astype("<u4").tobytes() + end
+                for k, a in enumerate(range(0, len(whole), 4 * capacity)):
+                    cut = whole[a : a + 4 * capacity]
                     out["doc_id"].append(doc)
                     out["piece"].append(k)
-                    out["start"].append(a)
-                    out["length"].append(len(cut))
-                    out["ids_crc32"].append(zlib.crc32(cut.tobytes()))
+                    out["start"].append(a // 4)
+                    out["length"].append(len(cut) // 4)
+                    out["ids_crc32"].append(zlib.crc32(cut))
             length = np.array(out["length"], np.int64)
             order = np.argsort(length, kind="stable")
             runs = length[order]
