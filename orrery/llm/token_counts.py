@@ -9,70 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, prefix_code, range_hash, text_batches, text_of
+from .common import text_batches, text_of
+from .pieces import piece_memory, spaced_pieces
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces whose lengths a worker keeps; beyond it the oldest half goes, and they are encoded anew when met.
-MEMORY_PIECES = 1 << 20
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def load_tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def safe_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of pieces that a byte-level BPE encodes alike alone and in place; each row's first piece.
-
-    A piece begins with the last white-space byte of a run, just before a byte that is none. The pattern of such
-    tokenizers joins at most one space to the word after it and gives the rest of a run to itself, so no token
-    crosses a cut, however long the text is.
-    """
-    space = SPACE[data]
-    cut = np.zeros(len(data), bool)
-    if len(data):
-        cut[:-1] = space[:-1] & ~space[1:]
-        cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
-    starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-class PieceTable:
-    """What the tokenizer makes of each distinct piece, kept sorted by the piece's hash within bounded memory."""
-
-    def __init__(self, encode, most: int = MEMORY_PIECES):
-        self.encode, self.most = encode, most
-        self.keys = np.zeros(0, np.uint64)
-        self.values: np.ndarray = np.zeros(0, np.int64)
-
-    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A value for each piece."""
-        keys, first, back = np.unique(range_hash(prefix_code(data), starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        values = np.empty(len(keys), np.int64)
-        values[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            values[new] = self.encode(texts)
-            if len(self.keys) + len(new) > self.most:
-                self.keys, self.values = self.keys[::2], self.values[::2]
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.values = merged[order], np.concatenate([self.values, values[new]])[order]
-        return values[back]
 
 
 def count_tokens(
@@ -87,15 +27,11 @@ def count_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_tokenizer(tokenizer)
-        model.no_truncation()
-        model.no_padding()
-        table = PieceTable(lambda texts: np.fromiter(map(len, model.encode_batch(texts, add_special_tokens=False)), np.int64, len(texts)))
+        memory = piece_memory(tokenizer, False)
         for rows, data, offsets in text_batches(batches):
-            starts, ends, first = safe_pieces(data, offsets)
-            sums = np.zeros(len(starts) + 1, np.int64)
-            if len(starts):
-                np.cumsum(table.look_up(data, starts, ends), out=sums[1:])
+            starts, ends, first = spaced_pieces(data, offsets)
+            size, _ = memory.look_up(data, starts, ends)
+            sums = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             tokens = sums[first[1:]] - sums[first[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)],
