@@ -95,6 +95,27 @@ def cusum_points(windowed: DataFrame, chart: Chart = Chart(), keys: list[str] =
     return rows.withColumn("alarm", alarm).drop("_p", "_m", "_xpos", "_ipos", "_rpos", "_xneg", "_ineg", "_rneg")
 
 
+def cusum_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], sustained: list[int], by: list[str]) -> DataFrame:
+    """(by, k, h, sustained, alarms) for every setting, without recomputing what settings share.
+
+    Sums depend on the slack alone and lengths of runs on slack and limit; each sustained length only compares them.
+    """
+    keys = [*KEYS, "k"]
+    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = windowed.select(*KEYS, "pos", "z", F.explode(F.array(*[F.lit(k) for k in slacks])).alias("k"))
+    rows = rows.withColumn("_p", F.sum(F.col("z") - F.col("k")).over(upto)).withColumn("_m", F.sum(-F.col("z") - F.col("k")).over(upto))
+    rows = rows.withColumn("_sp", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(upto))).withColumn("_sn", F.col("_m") - F.least(F.lit(0.0), F.min("_m").over(upto)))
+    rows = rows.select(*keys, "pos", "_sp", "_sn", F.explode(F.array(*[F.lit(h) for h in limits])).alias("h"))
+    keys = [*keys, "h"]
+    for side in ("p", "n"):
+        rows = rows.withColumn(f"_x{side}", F.col(f"_s{side}") > F.col("h"))
+        rows = rows.withColumn(f"_i{side}", F.col("pos") - F.row_number().over(Window.partitionBy(*keys, f"_x{side}").orderBy("pos")))
+        rows = rows.withColumn(f"_r{side}", F.when(F.col(f"_x{side}"), F.count(F.lit(1)).over(Window.partitionBy(*keys, f"_x{side}", f"_i{side}"))).otherwise(0))
+    run = F.greatest("_rp", "_rn")
+    out = rows.groupBy(*by, "k", "h").agg(*[F.count_if(run >= s).alias(f"s{s}") for s in sustained])
+    return out.unpivot([*by, "k", "h"], [f"s{s}" for s in sustained], "_s", "alarms").withColumn("sustained", F.substring("_s", 2, 9).cast("int")).drop("_s")
+
+
 def cusum(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
     rows = cusum_points(windowed, chart)
     share = F.count_if("alarm") / F.count(F.lit(1))
