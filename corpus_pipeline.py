@@ -24,8 +24,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored QUALITY_THRESHOLD or more stay; the model learns from all labels of the table."""
     model = quality.fit_quality(docs, load(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, out="_score")
-    return scored.where(F.col("_score") >= QUALITY_THRESHOLD).drop("_score")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    scored = quality.score_quality(rows, model)
+    return scored.where(F.col("score") >= QUALITY_THRESHOLD).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +49,12 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     rows = cut.select(F.struct(*names).alias("_row"), "kept_bytes", "n_removed")
     kind = rows.schema["_row"].dataType.simpleString()
-    texts = rows.mapInArrow(whole, f"_row {kind}, _left string").select("_row.*", "_left")
-    changed = {"text": F.coalesce("_left", "text")}
+    texts = rows.mapInArrow(whole, f"_row {kind}, _left string")
+    row = {c: F.col("_row")[c] for c in names}
+    row["text"] = F.coalesce("_left", row["text"])
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left")).cast(docs.schema["n_chars"].dataType)
-    return texts.select(*[changed.get(c, F.col(c)).alias(c) for c in names])
+        row["n_chars"] = F.when(F.col("_left").isNull(), row["n_chars"]).otherwise(F.length("_left")).cast(docs.schema["n_chars"].dataType)
+    return texts.select(*[row[c].alias(c) for c in names])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,9 +79,11 @@ def shingles_of(words: Column) -> Column:
 
 def bands_of(shingles: Column, bands: int) -> Column:
     """(band, value) structs: in each band the least hash of a shingle."""
-    return F.array(
-        *[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, lambda s, b=b: F.xxhash64(s, F.lit(b)))).alias("value")) for b in range(bands)]
-    )
+
+    def least(band: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band))))
+
+    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("value")) for b in range(bands)])
 
 
 def scan_licenses(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -390,7 +390,7 @@ def keep_one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     copies = found.where("n_shingles > 0").groupBy(F.col("pick").alias("_pick")).agg(F.count(F.lit(1)).alias("_copies"))
     stay = stay.join(copies, "_pick").select("_pick", "_copies")
     bare = found.where("n_shingles = 0").select(F.col("pick").alias("_pick"), F.lit(1).cast("long").alias("_copies")).distinct()
-    keys = docs.withColumn("_pick", F.xxhash64(F.col(id_col).cast("long"), text_of(text_col)))
+    keys = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col(id_col).cast("long"), text_of(text_col)).alias("_pick"))
     kept = keys.join(stay.unionByName(bare), "_pick")
     once, more = kept.where("_copies = 1"), kept.where("_copies > 1").dropDuplicates(["_pick"])
-    return once.unionByName(more).select(*docs.columns)
+    return once.unionByName(more).select("_row.*")
