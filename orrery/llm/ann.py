@@ -14,14 +14,14 @@ from .common import Scratch
 
 #: Vectors with the smallest id hashes that the centroids are fitted on, at most.
 SAMPLE_VECTORS = 20_000
-LIST_VECTORS = 512
+LIST_VECTORS = 4096
 MOST_LISTS = 4096
 #: Copies of a vector at most, and how much farther than the nearest centroid another one may be.
 COPIES = 3
 COPY_RATIO = 1.02
 #: Share of true neighbours of sampled queries whose lists the pruning ratio must let through.
 TARGET = 0.97
-BLOCK_VECTORS = 4096
+BLOCK_VECTORS = 16_384
 BLOCK_QUERIES = 4096
 DEGREE = 16
 FAR_LINKS = 8
