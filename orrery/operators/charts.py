@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .windows import KEYS
@@ -29,9 +29,12 @@ class Chart:
     limit: float = 3.0
 
 
-_WHOLE = Window.partitionBy(*KEYS)
-_ORDERED = _WHOLE.orderBy("pos")
-_UPTO = _ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _whole() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
+
+
+def _ordered() -> WindowSpec:
+    return _whole().orderBy("pos")
 
 
 def _least_n(n: int, value: Column) -> Column:
@@ -41,7 +44,7 @@ def _least_n(n: int, value: Column) -> Column:
 def variability(windowed: DataFrame) -> DataFrame:
     """Nine variability features, null under 4 intervals, and three of the Poincare plot, null under 3."""
     x = F.col("rr_ms")
-    rows = windowed.withColumn("_d", x - F.lag(x).over(_ORDERED)).withColumn("_far", F.abs(x - F.median(x).over(_WHOLE)))
+    rows = windowed.withColumn("_d", x - F.lag(x).over(_ordered())).withColumn("_far", F.abs(x - F.median(x).over(_whole())))
     sd, mean = F.stddev_samp(x), F.avg(x)
     root = F.sqrt(F.avg(F.col("_d") * F.col("_d")))
     sd1 = root / F.sqrt(F.lit(2.0))
@@ -179,8 +182,8 @@ def ewma(windowed: DataFrame, chart: Chart = Chart(), whole_tail: bool = True) -
 
 def moving_range(windowed: DataFrame) -> DataFrame:
     """Absolute differences of neighbours: mean, median, largest, median deviation, points beyond 3.267 means."""
-    rows = windowed.withColumn("_mr", F.abs(F.col("rr_ms") - F.lag("rr_ms").over(_ORDERED)))
-    rows = rows.withColumn("_far", F.abs(F.col("_mr") - F.median("_mr").over(_WHOLE))).withColumn("_out", F.col("_mr") > MOVING_RANGE_FACTOR * F.avg("_mr").over(_WHOLE))
+    rows = windowed.withColumn("_mr", F.abs(F.col("rr_ms") - F.lag("rr_ms").over(_ordered())))
+    rows = rows.withColumn("_far", F.abs(F.col("_mr") - F.median("_mr").over(_whole()))).withColumn("_out", F.col("_mr") > MOVING_RANGE_FACTOR * F.avg("_mr").over(_whole()))
     values = {"mr_mean": F.avg("_mr"), "mr_median": F.median("_mr"), "mr_max": F.max("_mr"), "mr_mad": F.median("_far"), "mr_out_count": F.count_if("_out")}
     return rows.groupBy(*KEYS).agg(*[_least_n(6, v).alias(c) for c, v in values.items()])
 
@@ -194,9 +197,9 @@ def longest(symbols: Column, symbol: str) -> Column:
 def runs(windowed: DataFrame) -> DataFrame:
     """Longest stretches above and below the window's median, longest trends in points, and four run rules."""
     z = F.col("z")
-    rows = windowed.withColumn("_med", F.median(z).over(_WHOLE)).withColumn("_d", z - F.lag(z).over(_ORDERED))
+    rows = windowed.withColumn("_med", F.median(z).over(_whole())).withColumn("_d", z - F.lag(z).over(_ordered()))
     for name, span, beyond, need in (("two", 3, 2.0, 2), ("one", 5, 1.0, 4)):
-        over = _ORDERED.rowsBetween(1 - span, 0)
+        over = _ordered().rowsBetween(1 - span, 0)
         high, low = F.sum((z > beyond).cast("int")).over(over), F.sum((z < -beyond).cast("int")).over(over)
         rows = rows.withColumn(f"_{name}", (F.col("pos") >= span - 1) & ((high >= need) | (low >= need)))
     side = F.when(z > F.col("_med"), "A").when(z < F.col("_med"), "B").otherwise("M")
@@ -217,7 +220,7 @@ def ectopy(windowed: DataFrame) -> DataFrame:
 
     Null under 5 intervals or if the median is not positive.
     """
-    x, median = F.col("rr_ms"), F.median("rr_ms").over(_WHOLE)
+    x, median = F.col("rr_ms"), F.median("rr_ms").over(_whole())
     rows = windowed.withColumn("_med", median)
     rows = rows.withColumn("_s", F.when(x < SHORT * F.col("_med"), "S").when(x > LONG * F.col("_med"), "L").otherwise("N"))
     rows = rows.groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("_med").alias("_med"), F.array_join(_sorted("_s"), "").alias("_s"))
