@@ -81,7 +81,8 @@ def cusum_points(windowed: DataFrame, chart: Chart = Chart(), keys: list[str] =
     """Both cumulative sums and the alarm at every point.
 
     max(0, S + x) over time equals the running total of x less the least of 0 and the total's running minimum. A
-    point is in alarm if it lies in a run of at least ``sustained`` points beyond the limit, on either side.
+    point is in alarm if it lies in a run of at least ``sustained`` points beyond the limit, on either side; a point
+    without a value breaks a run.
     """
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("pos")
@@ -89,7 +90,7 @@ def cusum_points(windowed: DataFrame, chart: Chart = Chart(), keys: list[str] =
     rows = windowed.withColumn("_p", F.sum(F.col("z") - chart.k).over(upto)).withColumn("_m", F.sum(-F.col("z") - chart.k).over(upto))
     rows = rows.withColumn("s_pos", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(upto))).withColumn("s_neg", F.col("_m") - F.least(F.lit(0.0), F.min("_m").over(upto)))
     for side in ("pos", "neg"):
-        rows = rows.withColumn(f"_x{side}", F.coalesce(F.col(f"s_{side}") > chart.h, F.lit(False)))
+        rows = rows.withColumn(f"_x{side}", F.col("z").isNotNull() & F.coalesce(F.col(f"s_{side}") > chart.h, F.lit(False)))
         same = Window.partitionBy(*keys, f"_x{side}").orderBy("pos")
         rows = rows.withColumn(f"_i{side}", F.col("pos") - F.row_number().over(same))
         island = Window.partitionBy(*keys, f"_x{side}", f"_i{side}")
