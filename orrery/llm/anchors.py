@@ -7,6 +7,8 @@ import numpy as np
 from .common import prefix_code, range_hash
 
 GRAM = 32
+#: Bytes beside an anchor that tell its surroundings apart.
+CONTEXT = 16
 _POSITION_BITS = 26
 _POSITION = np.uint64((1 << _POSITION_BITS) - 1)
 
@@ -28,11 +30,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def window_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Runs of consecutive windows of ``window`` bytes with the same anchor, never across rows.
 
-    Arrays ``row``, ``lo`` (first window's place in ``data``), ``n`` (windows), ``anchor`` (hash of the gram) and
-    ``digest`` (hash of all bytes of the run's windows). Equal windows have the same anchor at the same distance.
+    Arrays ``row``, ``lo`` (first window's place in ``data``), ``n`` (windows), ``anchor`` (hash of the gram),
+    ``digest`` (hash of all bytes of the run's windows), ``offset`` (of the gram from ``lo``), and ``left`` and
+    ``right``, short hashes of the CONTEXT bytes before and after the gram, 0 where the run does not have so many.
+    Equal windows have the same anchor at the same distance.
     """
     gram = min(GRAM, window)
-    names = ("row", "lo", "n", "anchor", "digest")
+    names = ("row", "lo", "n", "anchor", "digest", "offset", "left", "right")
     empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "digest") else np.int64) for k in names}
     if len(data) < window:
         return empty
@@ -52,4 +56,9 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str,
     first = np.flatnonzero(fresh)
     lo = windows[first]
     n = np.diff(np.append(first, len(windows)))
-    return {"row": row[lo], "lo": lo, "n": n, "anchor": grams[key[first].astype(np.int64)], "digest": range_hash(prefix, lo, lo + n - 1 + window)}
+    place, end = key[first].astype(np.int64), lo + n - 1 + window
+    before, after = place - CONTEXT, place + gram + CONTEXT
+    left = np.where(before >= lo, range_hash(prefix, np.maximum(before, lo), place) | np.uint64(1), np.uint64(0))
+    right = np.where(after <= end, range_hash(prefix, place + gram, np.minimum(after, end)) | np.uint64(1), np.uint64(0))
+    short = [x.astype(np.uint32).view(np.int32) for x in (left, right)]
+    return {"row": row[lo], "lo": lo, "n": n, "anchor": grams[place], "digest": range_hash(prefix, lo, end), "offset": place - lo, "left": short[0], "right": short[1]}

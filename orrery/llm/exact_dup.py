@@ -2,8 +2,10 @@
 
 Every window of ``window`` bytes belongs to one anchor gram of its own content, so equal windows meet under equal
 anchors. Windows of anchors that occur once are unique; runs of windows that are alike as a whole are one entry with
-a count. What remains goes, anchor by anchor, to shards with a suffix array each. Anchors with very many different
-runs are dealt to several shards, whose sorted windows are then merged by binary search.
+a count. What remains goes, anchor by anchor, to shards with a suffix array each. An anchor with very many different
+runs is dealt by what stands before it, and once more by what stands after it: of two equal windows both that reach
+far enough to one side lie in one shard. Where even such a group is large it is dealt to several shards, and the few
+windows that only it can judge are merged by binary search in the shards' sorted codes.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import window_runs
+from .anchors import CONTEXT, GRAM, window_runs
 from .common import Scratch, prefix_code, range_hash, text_batches, text_of
 from .near_dup import node_groups
 from .suffix import common_prefixes, repeat_classes, suffix_array
@@ -24,6 +26,7 @@ from .suffix import common_prefixes, repeat_classes, suffix_array
 WINDOW = 400
 #: Different runs of one anchor that one shard takes.
 SHARD_RUNS = 1024
+SIDES = ["offset", "left", "right"]
 #: Bytes of one suffix array.
 SHARD_BYTES = 1 << 20
 #: Bytes of one text looked at together; a longer text is read in overlapping stretches.
@@ -47,8 +50,9 @@ def anchor_rows(window: int):
                         pa.array(found["n"].astype(np.int32)),
                         pa.array(pick[found["row"].astype(np.int64)]),
                         pa.array(lo.astype(np.int64)),
+                        *(pa.array(found[k].astype(np.int32)) for k in SIDES),
                     ],
-                    names=["anchor", "digest", "n", "pick", "lo"],
+                    names=["anchor", "digest", "n", "pick", "lo", *SIDES],
                 )
 
     return run
@@ -67,8 +71,8 @@ def run_bytes(window: int):
             lo = flat.field("lo").to_numpy() + base
             hi = lo + flat.field("n").to_numpy() + window - 1
             bodies = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
-            columns = [flat.field(k) for k in ("node", "split", "anchor", "digest", "n", "copies")]
-            yield pa.RecordBatch.from_arrays([*columns, bodies], names=["node", "split", "anchor", "digest", "n", "copies", "body"])
+            columns = [flat.field(k) for k in ("node", "split", "first", "last", "anchor", "digest", "n", "copies")]
+            yield pa.RecordBatch.from_arrays([*columns, bodies], names=["node", "split", "first", "last", "anchor", "digest", "n", "copies", "body"])
 
     return run
 
@@ -81,14 +85,14 @@ def _shards(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch
     while lo < len(bounds) - 1:
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SHARD_BYTES, side="right")) - 1)
         some = rows.slice(bounds[lo], bounds[hi] - bounds[lo])
-        keys = np.stack([some.column(k).to_numpy().astype(np.int64) for k in ("anchor", "digest", "n")], 1)
+        keys = np.stack([some.column(k).to_numpy().astype(np.int64) for k in ("node", "anchor", "digest", "n")], 1)
         _, first = np.unique(keys, axis=0, return_index=True)
         yield some.take(pa.array(np.sort(first)))
         lo = hi
 
 
 def shard_rows(window: int):
-    """Repeated windows of each run as ranges; windows of split anchors that are unique here, and one of each class."""
+    """Repeated windows among those that this shard judges, as ranges; if its group is split, also the windows unique here and one of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, bounds in node_groups(batches):
@@ -103,10 +107,16 @@ def shard_rows(window: int):
                 shared = common_prefixes(data, ends, order, window)
                 klass = np.empty(len(data), np.int64)
                 klass[order] = repeat_classes(shared[order], window)
+                _, group_of = np.unique(rows.column("node").to_numpy(), return_inverse=True)
+                if group_of.max() and len(np.unique(rows.column("digest").to_numpy())) < rows.num_rows:
+                    # a run may be here for both its contexts: only places of one group count together
+                    _, klass = np.unique(klass * (group_of.max() + 1) + group_of[owner], return_inverse=True)
                 is_window = np.arange(len(data)) + window <= ends
                 weight = np.where(is_window, rows.column("copies").to_numpy()[owner], 0)
                 places = np.bincount(klass, weights=weight)
-                repeated = is_window & (places[klass] > 1)
+                place = np.arange(len(data)) - start[owner]
+                mine = is_window & (place >= rows.column("first").to_numpy()[owner]) & (place < rows.column("last").to_numpy()[owner])
+                repeated = mine & (places[klass] > 1)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
                 # a run of repeated windows never crosses runs of text: the bytes after a run's last window are none
                 a, b = edge[::2], edge[1::2]
@@ -114,7 +124,7 @@ def shard_rows(window: int):
                 out = [(row, a - start[row], b - start[row], np.zeros(len(a), bool), np.zeros(len(a), np.uint64))]
                 split = rows.column("split").to_numpy(zero_copy_only=False)
                 if split.any():
-                    at = np.flatnonzero(is_window & split[owner])
+                    at = np.flatnonzero(mine & split[owner])
                     _, first = np.unique(klass[at], return_index=True)
                     keep = np.zeros(len(data), bool)
                     keep[at[first]] = True
@@ -165,24 +175,26 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dup")
     rows = docs.select(row_key(id_col, text_col), text_of(text_col).alias("text"))
-    occurrences = scratch.table(rows.mapInArrow(anchor_rows(window), "anchor long, digest long, n int, pick long, lo long"))
+    occurrences = scratch.table(rows.mapInArrow(anchor_rows(window), "anchor long, digest long, n int, pick long, lo long, offset int, left int, right int"))
     common = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("_places")).where("_places > 1").select("anchor")
     found = scratch.table(occurrences.join(common, "anchor"))
     scratch.drop(occurrences)
     runs = scratch.table(
-        found.groupBy("anchor", "digest", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("pick", "lo")).alias("at"))
+        found.groupBy("anchor", "digest", "n").agg(
+            F.count(F.lit(1)).alias("copies"), F.min(F.struct("pick", "lo")).alias("at"), *[F.first(c).alias(c) for c in SIDES]
+        )
     )
     kinds = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     runs = scratch.table(runs.join(kinds, "anchor"))
-    splits = F.ceil(F.col("kinds") / SHARD_RUNS)
-    node = F.xxhash64("anchor", F.pmod(F.xxhash64("digest", "n"), splits))
-    mixed = runs.where("kinds > 1").select(
+    few = runs.where((F.col("kinds") > 1) & (F.col("kinds") <= SHARD_RUNS)).withColumn("first", F.lit(0)).withColumn("last", F.col("n"))
+    few = few.withColumn("node", F.xxhash64("anchor")).withColumn("split", F.lit(False))
+    mixed = few.unionByName(_by_context(runs.where(F.col("kinds") > SHARD_RUNS), window)).select(
         F.col("at.pick").alias("pick"),
-        F.struct(node.alias("node"), (splits > 1).alias("split"), "anchor", "digest", "n", F.col("copies"), F.col("at.lo").alias("lo")).alias("run"),
+        F.struct("node", "split", "first", "last", "anchor", "digest", "n", "copies", F.col("at.lo").alias("lo")).alias("run"),
     )
     wanted = mixed.groupBy("pick").agg(F.collect_list("run").alias("wanted"))
     bodies = rows.join(wanted, "pick").select("text", "wanted").mapInArrow(
-        run_bytes(window), "node long, split boolean, anchor long, digest long, n int, copies long, body binary"
+        run_bytes(window), "node long, split boolean, first int, last int, anchor long, digest long, n int, copies long, body binary"
     )
     shards = bodies.repartition("node").sortWithinPartitions("node")
     judged = scratch.table(shards.mapInArrow(shard_rows(window), "anchor long, digest long, n int, shard long, a int, b int, open boolean, code long"))
@@ -191,12 +203,35 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     merged = pending.mapInArrow(merged_rows, "anchor long, digest long, n int, a int, b int")
     alike = runs.where("kinds = 1").select("anchor", "digest", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
     repeated = judged.where("NOT open").select("anchor", "digest", "n", "a", "b").unionByName(merged).unionByName(alike)
-    spans = found.distinct().join(repeated, ["anchor", "digest", "n"]).select(
+    spans = found.select("anchor", "digest", "n", "pick", "lo").distinct().join(repeated, ["anchor", "digest", "n"]).select(
         "pick", F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + (window - 1)).alias("hi")).alias("span")
     )
     return scratch.table(spans.groupBy("pick").agg(F.collect_list("span").alias("spans")))
 
 
+def _by_context(runs: DataFrame, window: int) -> DataFrame:
+    """Runs of large anchors, each in the shard of its left and in that of its right context, with the windows judged there.
+
+    Windows that reach CONTEXT bytes before the anchor are judged on the left if that group fits a shard, else on the
+    right if they reach as far there and that group fits, else in the left group's split shards; all others on the right.
+    """
+    gram = min(GRAM, window)
+    for side in ("left", "right"):
+        sizes = runs.groupBy("anchor", side).agg(F.count(F.lit(1)).alias(f"_{side}"))
+        runs = runs.join(sizes, ["anchor", side])
+    fits_left, fits_right = F.col("_left") <= SHARD_RUNS, F.col("_right") <= SHARD_RUNS
+    border = F.least(F.greatest(F.col("offset") - (CONTEXT - 1), F.lit(0)), F.col("n"))
+    reach = F.least(F.greatest(F.col("offset") + (gram + CONTEXT - window), F.lit(0)), border)
+    turn = F.when(fits_left | ~fits_right, border).otherwise(reach)
+    salt = lambda side: F.pmod(F.xxhash64("digest", "n"), F.ceil(F.col(f"_{side}") / SHARD_RUNS))
+    parts = F.array(
+        F.struct(F.xxhash64("anchor", F.lit("left"), "left", salt("left")).alias("node"), (~fits_left).alias("split"), F.lit(0).alias("first"), turn.cast("int").alias("last")),
+        F.struct(F.xxhash64("anchor", F.lit("right"), "right", salt("right")).alias("node"), (~fits_right).alias("split"), turn.cast("int").alias("first"), F.col("n").alias("last")),
+    )
+    out = runs.withColumn("_part", F.explode(F.filter(parts, lambda p: p["last"] > p["first"])))
+    return out.select(*[c for c in runs.columns if c not in ("_left", "_right")], "_part.*")
+
+
 def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), text_of(text_col)).alias("pick")
 
