@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate, exact_dup, near_dup, packing, quality
@@ -24,9 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored QUALITY_THRESHOLD or more stay; the model learns from all labels of the table."""
     model = quality.fit_quality(docs, load(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    scored = quality.score_quality(rows, model)
-    return scored.where(F.col("score") >= QUALITY_THRESHOLD).select("row.*")
+    return docs.where(quality.quality_column(model, F.col("text")) >= QUALITY_THRESHOLD)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +38,24 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     n_chars follows the text where the table has it as a number.
     """
     names = docs.columns
-    cut = exact_dup.remove_repeats(docs, REPEAT_BYTES, keep=names)
-
-    def whole(batches):
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") if n else None for b, n in zip(batch.column("kept_bytes").to_pylist(), batch.column("n_removed").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_left"])
-
-    rows = cut.select(F.struct(*names).alias("_row"), "kept_bytes", "n_removed")
-    kind = rows.schema["_row"].dataType.simpleString()
-    texts = rows.mapInArrow(whole, f"_row {kind}, _left string")
-    row = {c: F.col("_row")[c] for c in names}
-    row["text"] = F.coalesce("_left", row["text"])
-    if "n_chars" in names:
-        row["n_chars"] = F.when(F.col("_left").isNull(), row["n_chars"]).otherwise(F.length("_left")).cast(docs.schema["n_chars"].dataType)
-    return texts.select(*[row[c].alias(c) for c in names])
+    rest = [c for c in names if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("_none")).alias("_rest"))
+    cut = exact_dup.remove_repeats(rows, REPEAT_BYTES, keep=["_rest"])
+    values = {c: F.col("_rest")[c] for c in rest}
+    values["text"] = F.when(~F.col("_rest")["_none"], whole_characters(F.col("kept_bytes")))
+    if "n_chars" in rest:
+        values["n_chars"] = F.when(F.col("n_removed") == 0, values["n_chars"]).otherwise(F.length(values["text"])).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[values[c].alias(c) for c in names])
+
+
+def whole_characters(column: Column) -> Column:
+    """Bytes as text, without the parts of characters that a cut left at its edges."""
+
+    @F.arrow_udf("string")
+    def decoded(batch: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
+
+    return decoded(column)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

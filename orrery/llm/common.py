@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_CHECKPOINT_DIR = "file:/tmp/checkpoints"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

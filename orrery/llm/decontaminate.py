@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -200,6 +200,18 @@ def find_leaks(
     return out
 
 
+def holds_none(block: list[Item], text: Column) -> Column:
+    """Whether a text holds none of the items; only texts go to Python and only the answers come back."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(block)
+        for column in texts:
+            yield pa.array([not matcher.find(normalized(t.as_py())) for t in column], pa.bool_())
+
+    return clean(text)
+
+
 def drop_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -209,15 +221,7 @@ def drop_leaks(
     item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` in which ``find_leaks`` would find no item, with all their columns."""
-    out = docs.select(F.struct(*docs.columns).alias("_row"), text_of(text_col).alias("_text"))
-    kind = out.schema["_row"].dataType.simpleString()
+    out = docs
     for block in item_blocks(benchmark, rate, item_col, item_text_col):
-
-        def run(batches: Iterator[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block)
-            for batch in batches:
-                clean = [not matcher.find(normalized(t.as_py())) for t in batch.column("_text")]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        out = out.mapInArrow(run, f"_row {kind}, _text string")
-    return out.select("_row.*")
+        out = out.where(holds_none(block, text_of(text_col)))
+    return out

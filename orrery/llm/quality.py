@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, prefix_code, range_hash, text_batches, text_of, word_spans
+from .common import id_bucket, prefix_code, range_hash, sub_batches, text_batches, utf8, word_spans
 
 #: At most so many labelled documents, those with the smallest id hashes, are used to fit.
 SAMPLE_DOCS = 4000
@@ -262,21 +262,23 @@ def fit_quality(
     return fit_line_model(np.concatenate(xs).astype(np.float64), first, np.concatenate(sizes), np.array(marks_out))
 
 
-def score_quality(docs: DataFrame, model: LineModel, out: str = "score", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Every row's columns ``keep`` (all by default) and its score in 0..1 in column ``out``.
+def quality_column(model: LineModel, text: Column) -> Column:
+    """The score in 0..1 of each whole text, in Arrow batches; only texts go to Python and only scores come back.
 
-    The whole text is read and nothing else; a null or empty text is one empty line and gets a score as well.
+    A null or empty text is one empty line and gets a score as well.
     """
-    columns = docs.columns if keep is None else keep
-    rows = docs.select(text_of(text_col).alias("_scored"), F.struct(*columns).alias("_row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_batches(batches, "_scored"):
-            x, first, size = line_features(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(model.document_scores(x, first, size))], names=["_row", out])
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            data, offsets = utf8(column)
+            found = [np.zeros(0)]
+            for lo, hi in sub_batches(offsets):
+                x, first, size = line_features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                found.append(model.document_scores(x, first, size))
+            yield pa.array(np.concatenate(found), pa.float64())
 
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {kind}, {out} double").select("_row.*", out)
+    return score(F.coalesce(text, F.lit("")))
 
 
 def classify_documents(
@@ -297,5 +299,5 @@ def classify_documents(
     model = fit_quality(docs, taught, id_col, text_col, sample_docs=sample_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("held_out", id_bucket("doc_id", folds) == 0)
-    scored = score_quality(rows, model, text_col="_text", keep=["doc_id", "held_out"])
+    scored = rows.select("doc_id", "held_out", quality_column(model, F.col("_text")).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
