@@ -4,6 +4,7 @@ Each of ``TREES`` independent trees branches the documents by the minwise tokens
 path of such tokens, and only nodes which are still large branch once more. Small nodes are compared exhaustively:
 sketches rule pairs out, full sets confirm the rest. Nodes that stay large at the last level hold sets that are
 nearly alike; they are cut into blocks, and members left apart from the node's main class meet all its blocks.
+Sets of nodes that were branched need to share more tokens, so they get further trees, up to ``ALL_TREES``.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import Scratch, mix64, text_batches, text_of, word_hashes
 TREES = 12
 DEPTH = 4
 SKETCH = TREES * DEPTH
+#: Where the shared nodes of a pair were branched, it has to share up to ``DEPTH`` tokens: 40 trees at 0.8**4 miss 7 in 10**10.
+ALL_TREES = 40
 #: Sketch positions that must agree before sets are compared; at similarity 0.8, fewer occur 2 times in 10**8.
 LEAST_AGREEING = 22
 LEAF_SETS = 1024
@@ -30,7 +33,7 @@ BLOCK_SHINGLES = 4 << 20
 FIRST_TREES = 2
 
 _U = np.uint64
-_MULTIPLIERS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25)) | _U(1)
+_MULTIPLIERS = mix64(np.arange(1, ALL_TREES * DEPTH + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25)) | _U(1)
 
 
 # --- sets and sketches
@@ -58,13 +61,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return code[fresh], np.concatenate([[0], np.cumsum(fresh)])[bounds]
 
 
-def sketches(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """32-bit minwise values of each row that has shingles, ``SKETCH`` of them; zeros for empty rows."""
-    out = np.zeros((len(bounds) - 1, SKETCH), np.int32)
+def sketches(code: np.ndarray, bounds: np.ndarray, start: int = 0, stop: int = SKETCH) -> np.ndarray:
+    """32-bit minwise values ``start`` to ``stop`` of each row that has shingles; zeros for empty rows."""
+    out = np.zeros((len(bounds) - 1, stop - start), np.int32)
     filled = np.flatnonzero(np.diff(bounds))
     if len(filled):
-        for k in range(SKETCH):
-            out[filled, k] = (np.minimum.reduceat(code * _MULTIPLIERS[k], bounds[filled]) >> _U(32)).astype(np.uint32).view(np.int32)
+        for k in range(start, stop):
+            out[filled, k - start] = (np.minimum.reduceat(code * _MULTIPLIERS[k], bounds[filled]) >> _U(32)).astype(np.uint32).view(np.int32)
     return out
 
 
@@ -82,21 +85,25 @@ def sign_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
             code, bounds = shingle_sets(data, offsets, width)
-            sketch = sketches(code, bounds)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("pick"),
                     pa.array(np.diff(bounds)),
                     pa.array(set_digests(code, bounds), pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, SKETCH, dtype=np.int32), pa.array(sketch.ravel())),
+                    _lists(sketches(code, bounds)),
+                    _lists(sketches(code, bounds, SKETCH, ALL_TREES * DEPTH)),
                 ],
-                names=["doc_id", "pick", "n_shingles", "rid", "sketch"],
+                names=["doc_id", "pick", "n_shingles", "rid", "sketch", "more"],
             )
 
     return run
 
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
+
+
 def set_rows(width: int):
     """Sets of the rows whose digest is the wanted one."""
 
@@ -265,17 +272,18 @@ def relabel(scratch: Scratch, moved: DataFrame | None, mapping: DataFrame | None
 # --- the operator
 
 
-def _paths(sketch: Column, tree: int) -> list[Column]:
-    tokens = [sketch[tree * DEPTH + d] for d in range(DEPTH)]
+def _paths(sketch: Column, tree: int, first: int) -> list[Column]:
+    tokens = [sketch[(tree - first) * DEPTH + d] for d in range(DEPTH)]
     return [F.xxhash64(F.lit(tree), *tokens[: d + 1]).alias(f"p{d + 1}") for d in range(DEPTH)]
 
 
-def tree_nodes(scratch: Scratch, reps: DataFrame) -> DataFrame:
-    """(tree, node, rid, big, blocks): every set's node in each tree where it is not alone.
+def tree_nodes(scratch: Scratch, reps: DataFrame, column: str, trees: range) -> tuple[DataFrame, DataFrame]:
+    """(tree, node, rid, big, blocks): every set's node in each tree where it is not alone; and the sets whose node was branched.
 
     ``big`` is the path of a node still large at the last level, else null; its members are dealt to ``blocks``.
+    ``column`` has the tokens of ``trees``.
     """
-    trees = F.array(*[F.struct(F.lit(t).alias("tree"), *_paths(F.col("sketch"), t)) for t in range(TREES)])
+    trees = F.array(*[F.struct(F.lit(t).alias("tree"), *_paths(F.col(column), t, trees.start)) for t in trees])
     paths = reps.select("rid", "n_shingles", F.explode(trees).alias("t")).select("rid", "n_shingles", "t.*")
     columns = ["tree", "node", "rid", "big", "blocks"]
 
@@ -284,7 +292,7 @@ def tree_nodes(scratch: Scratch, reps: DataFrame) -> DataFrame:
         sizes = rows.groupBy(path).agg(F.count(F.lit(1)).alias("_sets"), F.sum("n_shingles").alias("_load")).where("_sets > 1")
         return rows.drop("_sets", "_load").join(sizes, path)
 
-    here = scratch.table(counted(paths, 1))
+    here = top = scratch.table(counted(paths, 1))
     out, small = None, (F.col("_sets") <= LEAF_SETS) & (F.col("_load") <= LEAF_SHINGLES)
     for level in range(1, DEPTH + 1):
         done = here.where(small).select("tree", F.col(f"p{level}").alias("node"), "rid", F.lit(None).cast("long").alias("big"), F.lit(1).cast("long").alias("blocks"))
@@ -295,7 +303,7 @@ def tree_nodes(scratch: Scratch, reps: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_load") / BLOCK_SHINGLES)).cast("long")
     last = rest.withColumn("blocks", blocks).withColumn("big", F.col(f"p{DEPTH}"))
     last = last.withColumn("node", block_node(F.col("big"), F.pmod(F.xxhash64("rid", "tree"), F.col("blocks"))))
-    return scratch.table(out.unionByName(last.select(*columns)))
+    return scratch.table(out.unionByName(last.select(*columns))), top.where(~small).select("rid").distinct()
 
 
 def block_node(big: Column, block: Column) -> Column:
@@ -317,14 +325,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("pick"), text.alias("text"))
     signed = scratch.table(
-        rows.select("doc_id", "pick", "text").mapInArrow(sign_rows(width), "doc_id long, pick long, n_shingles long, rid binary, sketch array<int>")
+        rows.select("doc_id", "pick", "text").mapInArrow(sign_rows(width), "doc_id long, pick long, n_shingles long, rid binary, sketch array<int>, more array<int>")
     )
     reps = scratch.table(
         signed.where("n_shingles > 0")
         .groupBy("rid")
         .agg(F.min("doc_id").alias("least_id"), F.min("pick").alias("pick"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
-    nodes = tree_nodes(scratch, reps)
+    nodes, branched = tree_nodes(scratch, reps, "sketch", range(TREES))
     # sketches as bytes, so that tasks read them without building lists
     marks = reps.select("rid", "n_shingles", F.to_binary(F.concat_ws("", F.transform("sketch", _little_endian_hex)), F.lit("hex")).alias("marks"))
     node_schema = "tree int, node long, rid binary, comp binary"
@@ -339,6 +347,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         found = rows.select("pick", "text").join(keys, "pick").select("rid", "text")
         return scratch.table(found.mapInArrow(set_rows(width), "rid binary, marks binary, codes binary").dropDuplicates(["rid"]))
 
+    def completed(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+        missing = wanted.join(sets, "rid", "left_anti")
+        return sets if missing.isEmpty() else sets.unionByName(fetch(missing))
+
     def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
         return by_node(members.join(sets, "rid"), linked_rows(percent), "a binary, b binary")
 
@@ -348,12 +360,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             return members.withColumn("comp", F.col("rid"))
         return members.join(moved, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
 
+    def in_torn_nodes(members: DataFrame) -> DataFrame:
+        """Members of the nodes that hold more than one class."""
+        torn = members.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("node")
+        return members.join(torn, "node", "left_semi")
+
     chosen = active(with_class(nodes, None))
     sets = fetch(chosen)
     moved = relabel(scratch, None, contract(scratch, linked(chosen.where(F.col("tree") < FIRST_TREES), sets)))
-    later = with_class(chosen.where(F.col("tree") >= FIRST_TREES), moved)
-    torn = later.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("node")
-    moved = relabel(scratch, moved, contract(scratch, linked(active(later.join(torn, "node", "left_semi")), sets)))
+    later = active(in_torn_nodes(with_class(chosen.where(F.col("tree") >= FIRST_TREES), moved)))
+    moved = relabel(scratch, moved, contract(scratch, linked(later, sets)))
+
+    keys = scratch.table(branched.join(reps.select("rid", "pick", "n_shingles"), "rid"))
+    if not keys.isEmpty():
+        # a row given twice has its pick twice
+        more = signed.select("pick", "rid", "more").join(keys, ["pick", "rid"]).dropDuplicates(["pick", "rid"])
+        further, _ = tree_nodes(scratch, more, "more", range(TREES, ALL_TREES))
+        later = active(in_torn_nodes(with_class(further, moved)))
+        sets = completed(sets, later)
+        moved = relabel(scratch, moved, contract(scratch, linked(later, sets)))
+        nodes = nodes.unionByName(further)
 
     large = nodes.where(F.col("big").isNotNull())
     if not large.isEmpty():
@@ -365,10 +391,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         apart = apart.withColumn("node", block_node(F.col("big"), F.col("_block"))).drop("_block")
         meeting = torn.where(F.col("comp") == F.col("_main")).unionByName(apart).select("tree", "node", "rid", "comp")
         last = active(meeting)
-        missing = last.join(sets, "rid", "left_anti")
-        if not missing.isEmpty():
-            sets = sets.unionByName(fetch(missing))
-        moved = relabel(scratch, moved, contract(scratch, linked(last, sets)))
+        moved = relabel(scratch, moved, contract(scratch, linked(last, completed(sets, last))))
 
     vertices = with_class(reps.select("rid", "least_id"), moved)
     least = vertices.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -173,6 +173,17 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert got == {rows[i][0]: v for i, v in want.items()}
 
 
+def test_near_duplicates_at_the_bound_in_branched_nodes(spark, monkeypatch):
+    """Pairs that share 8 of 10 words, all in nodes that are branched down to the last level."""
+    monkeypatch.setattr(near_dup, "LEAF_SETS", 1)
+    rows = []
+    for pair in range(4000):
+        words = [f"w{pair}_{k}" for k in range(10)]
+        rows += [(2 * pair, " ".join(words[:9])), (2 * pair + 1, " ".join(words[:8] + words[9:]))]
+    got = {g.doc_id: g.component_id for g in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert [k for k in got if got[k] != k - k % 2] == []
+
+
 def test_quality_on_held_out_documents(spark, none):
     good = [(k, "\n".join(prose(100 + 10 * k + j, 12) for j in range(5)), 1) for k in range(80)]
     bad = [(200 + k, "\n".join(" ".join(w.upper() + "!!" for w in random.Random(k * 9 + j).choices(WORDS, k=8)) for j in range(5)), 0) for k in range(80)]
