@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, id_bucket, prefix_code, range_hash, text_batches, text_of, word_spans
+from .common import LOWER, Scratch, id_bucket, prefix_code, range_hash, sub_batches, text_batches, text_of, word_spans
 
 STATES = 8
 #: The most frequent words, each a symbol of its own; other words are symbols by their last three bytes.
@@ -18,13 +18,12 @@ SYMBOL_WORDS = 32_768
 ENDINGS = 2_048
 #: Words whose counts every task holds, at most; counts of all others are joined.
 HELD_WORDS = 262_144
-#: Documents of the start model, those with the smallest id hashes; every later count is over all documents.
-START_DOCS = 600
-START_ROUNDS = 12
-FULL_ROUNDS = 2
+#: Baum-Welch ends with the round whose model is better than the last by less than this, in nats a token.
+LEAST_GAIN = 1e-4
 #: Weight, in tokens, of the overall symbol shares within each state's emissions.
 PRIOR_TOKENS = 2_000.0
 BATCH = 3 << 20
+BATCH_TOKENS = 1 << 19
 _U = np.uint64
 END_WORD = _U(0xE7D5E7D5E7D5E7D5)
 
@@ -221,40 +220,48 @@ def fit_vocabulary(scratch: Scratch, taught: DataFrame) -> tuple[Vocabulary, Dat
     return Vocabulary(words, counts, vocabulary.total, vocabulary.distinct, vocabulary.end_count, ending_count, ending_single), table
 
 
-def fit_chain(spark, taught: DataFrame, vocabulary: Vocabulary) -> Chain:
-    """Baum-Welch: some rounds on a bounded sample for a start, then FULL_ROUNDS with counts over all training texts."""
+def fit_chain(scratch: Scratch, taught: DataFrame, vocabulary: Vocabulary) -> Chain:
+    """Baum-Welch with counts over all training texts in every round, until the likelihood stops rising."""
     shares = vocabulary.shares()
     chain = first_chain(shares)
-    sample = taught.where(F.col("text") != "").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).select("text").toArrow()
-    read = [tokens(data, offsets) for _, data, offsets in text_batches(sample.to_batches(), most=BATCH)]
-    found = [(vocabulary.symbols(words, kinds)[0], bounds) for words, kinds, bounds in read]
-    for _ in range(START_ROUNDS if found else 0):
-        counts = Chain.empty(vocabulary.size)
-        for symbols, bounds in found:
-            chain.run(symbols, bounds, counts)
-        chain = counts.normalized(shares)
+    context = scratch.spark.sparkContext
+    sent_words = context.broadcast(vocabulary)
+
+    def symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in text_batches(batches, most=BATCH):
+            words, kinds, bounds = tokens(data, offsets)
+            symbols = sent_words.value.symbols(words, kinds)[0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(symbols))], names=["symbols"])
+
+    told = scratch.table(taught.select("text").mapInArrow(symbol_rows, "symbols array<int>"))
     columns = [f"c{k}" for k in range(STATES)]
-    for _ in range(FULL_ROUNDS):
-        sent = spark.sparkContext.broadcast((vocabulary, chain))
+    size, before = vocabulary.size, -np.inf
+    while True:
+        sent = context.broadcast(chain)
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, model = sent.value
-            counts = Chain.empty(known.size)
-            for _, data, offsets in text_batches(batches, most=BATCH):
-                words, kinds, bounds = tokens(data, offsets)
-                model.run(known.symbols(words, kinds)[0], bounds, counts)
-            rows = np.concatenate([counts.emit, counts.moves, counts.start[None]])
-            used = np.flatnonzero(rows.sum(1) > 0)
+            model, counts, logs = sent.value, Chain.empty(size), np.zeros((1, STATES))
+            for batch in batches:
+                column = batch.column("symbols")
+                offsets = column.offsets.to_numpy().astype(np.int64)
+                symbols, offsets = column.flatten().to_numpy(), offsets - offsets[0]
+                for lo, hi in sub_batches(offsets, BATCH_TOKENS):
+                    logs[0, 0] += model.run(symbols[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], counts).sum()
+            rows = np.concatenate([counts.emit, counts.moves, counts.start[None], logs])
+            used = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(rows[used, k]) for k in range(STATES))], names=["row", *columns])
 
-        made = taught.select("text").mapInArrow(expect, "row long, " + ", ".join(f"{c} double" for c in columns))
+        made = told.mapInArrow(expect, "row long, " + ", ".join(f"{c} double" for c in columns))
         summed = made.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
-        rows = np.zeros((vocabulary.size + STATES + 1, STATES))
+        sent.unpersist()
+        rows = np.zeros((size + STATES + 2, STATES))
         if summed.num_rows:
             rows[summed.column("row").to_numpy()] = np.stack([summed.column(c).to_numpy() for c in columns], 1)
-        counts = Chain(rows[-1], rows[vocabulary.size : -1], rows[: vocabulary.size])
-        chain = counts.normalized(shares)
-    return chain
+        chain = Chain(rows[-2], rows[size:-2], rows[:size]).normalized(shares)
+        if rows[-1, 0] - before < LEAST_GAIN * max(1, vocabulary.total):
+            scratch.drop(told)
+            return chain
+        before = rows[-1, 0]
 
 
 def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +280,7 @@ def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_c
     rows = rows.withColumn("held_out", id_bucket("doc_id", folds) == 0)
     taught = rows.where("NOT held_out")
     vocabulary, table = fit_vocabulary(scratch, taught)
-    chain = fit_chain(spark, taught, vocabulary)
+    chain = fit_chain(scratch, taught, vocabulary)
     sent = spark.sparkContext.broadcast((vocabulary, chain))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
