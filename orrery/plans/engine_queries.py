@@ -44,6 +44,16 @@ def feature_windows(spark, sf):
     return pair_columns(charts.variability(w).join(windows.provenance(w), windows.KEYS))
 
 
+def record_distances(spark, sf):
+    """Figures by record of the distances of all its feature windows from the windows with y = 0."""
+    rows, names = feature_windows(spark, sf), mahalanobis.FEATURE_SETS["hrv_reduced"]
+    x = mahalanobis.as_vector(names)
+    ref = rows.where("y = 0")
+    fit = mahalanobis.fit_reference(ref, x, len(names))
+    limit = mahalanobis.alarm_threshold(mahalanobis.with_distance(ref, x, fit))
+    return mahalanobis.distances_by_record(mahalanobis.with_distance(rows, x, fit), limit, SPAN, ["record_id", "y"])
+
+
 def population_folds(spark, sf):
     f = folds.group_folds(users(spark, sf), "pair_id", 3)
     return rounded(mahalanobis.population_folds(feature_windows(spark, sf), mahalanobis.FEATURE_SETS["hrv_reduced"], f, SPAN))
@@ -202,6 +212,7 @@ def set_operations(spark, sf):
 QUERIES = {
     "manifest_and_audit": lambda s, d: manifests.audit_manifest(s).join(users(s, d).select(F.format_string("p%02d", "record_id").alias("record_id"), "p"), "record_id").select("record_id", "pair_id", "included"),
     "mahalanobis_by_record": lambda s, d: rounded(distance_figures(s, d)),
+    "mahalanobis_all_windows": lambda s, d: rounded(record_distances(s, d)),
     "mahalanobis_embeddings": lambda s, d: rounded(embedding_distances(s, d)),
     "mahalanobis_population_folds": population_folds,
     "mahalanobis_pair_baseline": pair_baselines,

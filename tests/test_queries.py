@@ -6,8 +6,10 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
+from orrery.plans import engine_queries
 from orrery.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
@@ -42,6 +44,25 @@ def test_query_without_sql_has_rows(spark, name):
     assert plans.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_distances_of_all_windows(spark):
+    names = engine_queries.mahalanobis.FEATURE_SETS["hrv_reduced"]
+    windows = engine_queries.feature_windows(spark, DATA).select("record_id", "window_index", "y", *names).toPandas()
+    x, base = windows[names].to_numpy(float), (windows["y"] == 0).to_numpy()
+    x = np.where(np.isfinite(x), x, np.nanmedian(x[base], 0))
+    c = x[base] - x[base].mean(0)
+    s, p, n = c.T @ c / len(c), len(names), len(c)
+    m = np.trace(s) / p
+    d2 = ((s - m * np.eye(p)) ** 2).sum() / p
+    share = min(1.0, (((c * c).sum(1) ** 2).mean() - (s**2).sum()) / (p * n) / d2)
+    away = x - x[base].mean(0)
+    windows["d"] = np.sqrt(np.einsum("ij,jk,ik->i", away, np.linalg.inv((1 - share) * s + share * m * np.eye(p)), away))
+    limit = np.percentile(windows["d"][base], 95)
+    assert (windows["window_index"] % 5 == 3).any()
+    want = {k: (g["d"].mean(), g["d"].max(), float((g["d"] > limit + 1e-9).sum())) for k, g in windows.groupby("record_id")}
+    got = {r["record_id"]: (r["mahalanobis_mean"], r["mahalanobis_max"], r["mahalanobis_alarm_count"]) for r in plans.QUERIES["mahalanobis_all_windows"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
 def test_entry_needs_no_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
