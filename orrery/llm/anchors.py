@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import prefix_code, range_hash
+from .common import prefix_code, range_hash, twin_code, twin_hash
 
 GRAM = 32
-#: Bytes beside an anchor that tell its surroundings apart.
-CONTEXT = 16
+#: Windows of one run at most; where a longer run is cut changes no result.
+RUN_WINDOWS = 8192
 _POSITION_BITS = 26
 _POSITION = np.uint64((1 << _POSITION_BITS) - 1)
 
@@ -28,37 +28,72 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.ndarray]:
-    """Runs of consecutive windows of ``window`` bytes with the same anchor, never across rows.
+    """Runs of consecutive windows of ``window`` bytes whose anchors are the same gram, never across rows.
 
-    Arrays ``row``, ``lo`` (first window's place in ``data``), ``n`` (windows), ``anchor`` (hash of the gram),
-    ``digest`` (hash of all bytes of the run's windows), ``offset`` (of the gram from ``lo``), and ``left`` and
-    ``right``, short hashes of the CONTEXT bytes before and after the gram, 0 where the run does not have so many.
-    Equal windows have the same anchor at the same distance.
+    Arrays ``row``, ``lo`` (first window's place in ``data``), ``n`` (windows), ``spots`` (places of the gram that are
+    an anchor), ``anchor`` (hash of the gram), ``digest`` and ``twin`` (two hashes of all bytes of the run's windows).
+    Equal windows have the same anchor at the same distance; text of one repeated pattern is one run.
     """
     gram = min(GRAM, window)
-    names = ("row", "lo", "n", "anchor", "digest", "offset", "left", "right")
-    empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "digest") else np.int64) for k in names}
+    names = ("row", "lo", "n", "spots", "anchor", "digest", "twin")
+    empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "digest", "twin") else np.int64) for k in names}
     if len(data) < window:
         return empty
     assert len(data) <= int(_POSITION)
     prefix = prefix_code(data)
     at = np.arange(len(data) - gram + 1)
     grams = range_hash(prefix, at, at + gram)
-    owner = sliding_least((grams & ~_POSITION) | at.astype(np.uint64), window - gram + 1) & _POSITION
+    owner = (sliding_least((grams & ~_POSITION) | at.astype(np.uint64), window - gram + 1) & _POSITION).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(owner)]
-    inside = at[: len(owner)] + window <= offsets[1:][row]
-    windows = np.flatnonzero(inside)
+    windows = np.flatnonzero(at[: len(owner)] + window <= offsets[1:][row])
     if not len(windows):
         return empty
-    key = owner[windows]
-    fresh = np.ones(len(windows), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (row[windows[1:]] != row[windows[:-1]])
+    owner, row = owner[windows], row[windows]
+    moved = np.ones(len(windows), bool)
+    moved[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
+    fresh = moved.copy()
+    fresh[1:] &= (grams[owner[1:]] != grams[owner[:-1]]) | (row[1:] != row[:-1])
+    since = np.arange(len(windows)) - np.maximum.accumulate(np.where(fresh, np.arange(len(windows)), 0))
+    fresh |= since % RUN_WINDOWS == 0
     first = np.flatnonzero(fresh)
     lo = windows[first]
     n = np.diff(np.append(first, len(windows)))
-    place, end = key[first].astype(np.int64), lo + n - 1 + window
-    before, after = place - CONTEXT, place + gram + CONTEXT
-    left = np.where(before >= lo, range_hash(prefix, np.maximum(before, lo), place) | np.uint64(1), np.uint64(0))
-    right = np.where(after <= end, range_hash(prefix, place + gram, np.minimum(after, end)) | np.uint64(1), np.uint64(0))
-    short = [x.astype(np.uint32).view(np.int32) for x in (left, right)]
-    return {"row": row[lo], "lo": lo, "n": n, "anchor": grams[place], "digest": range_hash(prefix, lo, end), "offset": place - lo, "left": short[0], "right": short[1]}
+    end = lo + n - 1 + window
+    spots = np.add.reduceat((moved | fresh).astype(np.int64), first)
+    return {"row": row[first], "lo": lo, "n": n, "spots": spots, "anchor": grams[owner[first]], "digest": range_hash(prefix, lo, end), "twin": twin_hash(twin_code(data), lo, end)}
+
+
+def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: int, width: int) -> dict[str, np.ndarray]:
+    """Blocks of the windows of whole runs: those whose anchor lies ``width`` * b to ``width`` * (b + 1) - 1 bytes in.
+
+    All windows of a block share its core, the bytes that each of them holds. Arrays ``run``, ``a`` and ``b`` (windows
+    of the run), ``places`` (blocks that follow each other and are alike count together), ``key`` (hash of anchor,
+    distance and core; equal windows have equal keys), and two hashes of all the block's bytes.
+    """
+    gram = min(GRAM, window)
+    size = np.diff(ends)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(data))
+    stop = ends[1:][owner]
+    prefix = prefix_code(data)
+    whole = np.flatnonzero(at + gram <= stop)
+    hit = whole[range_hash(prefix, whole, whole + gram) == anchor[owner[whole]]]
+    w = np.flatnonzero(at + window <= stop)
+    place = hit[np.searchsorted(hit, w)]
+    block, run = (place - w) // width, owner[w]
+    fresh = np.ones(len(w), bool)
+    fresh[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(fresh)
+    lo, hi = w[first], np.append(w[first[1:] - 1], w[-1:]) + 1
+    run, place, block = run[first], place[first], block[first]
+    core = place - width * block
+    code = range_hash(prefix, core, core + window - width + 1)
+    step = np.uint64(width << 32) + block.astype(np.uint64)
+    key = code ^ ((anchor[run] + step) * np.uint64(0x9FB21C651E98DF25))
+    digest, twin = range_hash(prefix, lo, hi + window - 1), twin_hash(twin_code(data), lo, hi + window - 1)
+    fresh = np.ones(len(run), bool)
+    fresh[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]) | (twin[1:] != twin[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(run)) - 1
+    base = ends[:-1][run[first]]
+    return {"run": run[first], "a": lo[first] - base, "b": hi[last] - base, "places": last - first + 1, "key": key[first], "digest": digest[first], "twin": twin[first]}

@@ -2,15 +2,18 @@
 
 Every window of ``window`` bytes belongs to one anchor gram of its own content, so equal windows meet under equal
 anchors. Windows of anchors that occur once are unique; runs of windows that are alike as a whole are one entry with
-a count. What remains goes, anchor by anchor, to shards with a suffix array each. An anchor with very many different
-runs is dealt by what stands before it, and once more by what stands after it: of two equal windows both that reach
-far enough to one side lie in one shard. Where even such a group is large it is dealt to several shards, and the few
-windows that only it can judge are merged by binary search in the shards' sorted codes.
+a count. What remains goes, anchor by anchor, to shards with a suffix array each. The runs of an anchor that would not
+fit one shard (a passage in very many documents) are cut into blocks of windows which share all but a few bytes, ever
+finer: blocks seen once or alike everywhere are settled, the others meet by what they share. Blocks of the last level
+that still do not fit one shard go to several, whose sorted windows are merged by binary search.
+
+Runs and blocks are taken for alike when two independent 64-bit hashes of all their bytes agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,19 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import CONTEXT, GRAM, window_runs
-from .common import Scratch, prefix_code, range_hash, text_batches, text_of
+from .anchors import block_runs, window_runs
+from .common import Scratch, text_batches, text_of
 from .near_dup import node_groups
 from .suffix import common_prefixes, repeat_classes, suffix_array
 
 WINDOW = 400
-#: Different runs of one anchor that one shard takes.
-SHARD_RUNS = 1024
-SIDES = ["offset", "left", "right"]
 #: Bytes of one suffix array.
 SHARD_BYTES = 1 << 20
+#: Windows of a block, level by level, where an anchor's runs do not fit one shard.
+BLOCKS = (64, 16, 4)
 #: Bytes of one text looked at together; a longer text is read in overlapping stretches.
-STRETCH = 8 << 20
+STRETCH = 1 << 20
+#: What tells runs apart.
+RUN = ["anchor", "digest", "twin", "n"]
+RUN_SCHEMA = "anchor long, digest long, twin long, n int"
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
 def anchor_rows(window: int):
@@ -42,18 +51,11 @@ def anchor_rows(window: int):
                 part = data if whole else data[base : base + STRETCH + window - 1]
                 bounds = offsets if whole else np.array([0, len(part)])
                 found = window_runs(part, bounds, window)
-                lo = found["lo"] - bounds[found["row"].astype(np.int64)] + base
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found["anchor"].view(np.int64)),
-                        pa.array(found["digest"].view(np.int64)),
-                        pa.array(found["n"].astype(np.int32)),
-                        pa.array(pick[found["row"].astype(np.int64)]),
-                        pa.array(lo.astype(np.int64)),
-                        *(pa.array(found[k].astype(np.int32)) for k in SIDES),
-                    ],
-                    names=["anchor", "digest", "n", "pick", "lo", *SIDES],
-                )
+                row = found["row"].astype(np.int64)
+                columns = [_longs(found[k]) for k in ("anchor", "digest", "twin")]
+                columns += [pa.array(found[k].astype(np.int32)) for k in ("n", "spots")]
+                columns += [pa.array(pick[row]), _longs(found["lo"] - bounds[row] + base)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*RUN, "spots", "pick", "lo"])
 
     return run
 
@@ -67,12 +69,28 @@ def run_bytes(window: int):
             wanted = rows.column("wanted")
             counts = np.diff(wanted.offsets.to_numpy())
             flat = wanted.flatten()
-            base = np.repeat(offsets[:-1], counts)
-            lo = flat.field("lo").to_numpy() + base
+            lo = flat.field("lo").to_numpy() + np.repeat(offsets[:-1], counts)
             hi = lo + flat.field("n").to_numpy() + window - 1
+            names = [*RUN, "copies", "fits"]
             bodies = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())
-            columns = [flat.field(k) for k in ("node", "split", "first", "last", "anchor", "digest", "n", "copies")]
-            yield pa.RecordBatch.from_arrays([*columns, bodies], names=["node", "split", "first", "last", "anchor", "digest", "n", "copies", "body"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in names), bodies], names=[*names, "body"])
+
+    return run
+
+
+def block_rows(window: int, width: int):
+    """The blocks of ``width`` windows within the given slices of runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_batches(batches, "body"):
+            found = block_runs(data, offsets, rows.column("anchor").to_numpy().view(np.uint64), window, width)
+            take = pa.array(found["run"])
+            from_ = rows.column("a").to_numpy()[found["run"]]
+            a, b = found["a"] + from_, found["b"] + from_
+            columns = [rows.column(k).take(take) for k in [*RUN, "copies"]]
+            columns += [_longs(found["key"]), _longs(found["digest"]), _longs(found["twin"])]
+            columns += [_longs(found["places"] * rows.column("copies").to_numpy()[found["run"]]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*RUN, "copies", "key", "one", "two", "places", "a", "b"])
 
     return run
 
@@ -85,20 +103,21 @@ def _shards(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch
     while lo < len(bounds) - 1:
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SHARD_BYTES, side="right")) - 1)
         some = rows.slice(bounds[lo], bounds[hi] - bounds[lo])
-        keys = np.stack([some.column(k).to_numpy().astype(np.int64) for k in ("node", "anchor", "digest", "n")], 1)
+        keys = np.stack([some.column(k).to_numpy().astype(np.int64) for k in ("node", *RUN, "a")], 1)
         _, first = np.unique(keys, axis=0, return_index=True)
         yield some.take(pa.array(np.sort(first)))
         lo = hi
 
 
 def shard_rows(window: int):
-    """Repeated windows among those that this shard judges, as ranges; if its group is split, also the windows unique here and one of each class."""
+    """Repeated windows of each shard, as ranges of their runs; of split groups also the windows unique here and one of each class, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, bounds in node_groups(batches):
             for rows in _shards(group, bounds):
                 bodies = [b.as_buffer() for b in rows.column("body")]
-                data = np.frombuffer(b"".join(bodies), np.uint8)
+                raw = b"".join(bodies)
+                data = np.frombuffer(raw, np.uint8)
                 end = np.cumsum([len(b) for b in bodies])
                 start = np.concatenate([[0], end[:-1]])
                 owner = np.repeat(np.arange(len(end)), end - start)
@@ -107,64 +126,57 @@ def shard_rows(window: int):
                 shared = common_prefixes(data, ends, order, window)
                 klass = np.empty(len(data), np.int64)
                 klass[order] = repeat_classes(shared[order], window)
-                _, group_of = np.unique(rows.column("node").to_numpy(), return_inverse=True)
-                if group_of.max() and len(np.unique(rows.column("digest").to_numpy())) < rows.num_rows:
-                    # a run may be here for both its contexts: only places of one group count together
-                    _, klass = np.unique(klass * (group_of.max() + 1) + group_of[owner], return_inverse=True)
                 is_window = np.arange(len(data)) + window <= ends
                 weight = np.where(is_window, rows.column("copies").to_numpy()[owner], 0)
                 places = np.bincount(klass, weights=weight)
-                place = np.arange(len(data)) - start[owner]
-                mine = is_window & (place >= rows.column("first").to_numpy()[owner]) & (place < rows.column("last").to_numpy()[owner])
-                repeated = mine & (places[klass] > 1)
+                repeated = is_window & (places[klass] > 1)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.view(np.int8), [0]])))
-                # a run of repeated windows never crosses runs of text: the bytes after a run's last window are none
-                a, b = edge[::2], edge[1::2]
-                row = owner[a] if len(a) else np.zeros(0, np.int64)
-                out = [(row, a - start[row], b - start[row], np.zeros(len(a), bool), np.zeros(len(a), np.uint64))]
+                # a range of repeated windows never crosses bodies: the bytes after a body's last window are none
+                lo, hi = edge[::2], edge[1::2]
+                none = pa.nulls(len(lo), pa.binary())
+                yield _ranges(rows, owner[lo] if len(lo) else lo, lo, hi, start, np.zeros(len(lo), bool), none)
                 split = rows.column("split").to_numpy(zero_copy_only=False)
                 if split.any():
-                    at = np.flatnonzero(mine & split[owner])
+                    at = np.flatnonzero(is_window & split[owner])
                     _, first = np.unique(klass[at], return_index=True)
                     keep = np.zeros(len(data), bool)
                     keep[at[first]] = True
                     keep[at[~repeated[at]]] = True
-                    at = np.flatnonzero(keep)
-                    codes = range_hash(prefix_code(data), at, at + window)
-                    out.append((owner[at], at - start[owner[at]], at - start[owner[at]] + 1, np.ones(len(at), bool), codes))
-                row, a, b, open_, code = (np.concatenate(x) for x in zip(*out))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(rows.column(k).take(take) for k in ("anchor", "digest", "n", "node")),
-                        pa.array(a.astype(np.int32)),
-                        pa.array(b.astype(np.int32)),
-                        pa.array(open_),
-                        pa.array(code.view(np.int64)),
-                    ],
-                    names=["anchor", "digest", "n", "shard", "a", "b", "open", "code"],
-                )
+                    at = order[keep[order]]
+                    windows = pa.array([raw[p : p + window] for p in at.tolist()], pa.binary())
+                    yield _ranges(rows, owner[at], at, at + 1, start, np.ones(len(at), bool), windows)
 
     return run
 
 
+def _ranges(rows: pa.RecordBatch, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, open_: np.ndarray, windows: pa.Array) -> pa.RecordBatch:
+    take = pa.array(owner.astype(np.int64))
+    shift = rows.column("a").to_numpy()[owner] - start[owner]
+    columns = [rows.column(k).take(take) for k in [*RUN, "node", "parts"]]
+    columns += [pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32)), pa.array(open_), windows]
+    return pa.RecordBatch.from_arrays(columns, names=[*RUN, "shard", "parts", "a", "b", "open", "window"])
+
+
 def merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of split anchors that another shard has too: each shard's sorted codes are searched in those before."""
+    """Windows of split groups that another shard has too: each window is searched in the sorted windows of the shards before."""
     for rows, bounds in node_groups(batches):
-        code = rows.column("code").to_numpy()
-        shard = rows.column("shard").to_numpy()
-        chosen = np.zeros(len(code), bool)
+        windows, shard = rows.column("window").to_pylist(), rows.column("shard").to_numpy()
+        chosen = np.zeros(len(windows), bool)
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            seen = np.zeros(0, np.int64)
-            twice: list[np.ndarray] = []
+            seen: list[bytes] = []
+            twice: set[bytes] = set()
             for one in np.unique(shard[lo:hi]):
-                mine = np.unique(code[lo:hi][shard[lo:hi] == one])
-                at = np.minimum(np.searchsorted(seen, mine), max(len(seen) - 1, 0))
-                hit = seen[at] == mine if len(seen) else np.zeros(len(mine), bool)
-                twice.append(mine[hit])
-                seen = np.sort(np.concatenate([seen, mine[~hit]]))
-            chosen[lo:hi] = np.isin(code[lo:hi], np.concatenate(twice))
-        yield rows.select(["anchor", "digest", "n", "a", "b"]).filter(pa.array(chosen))
+                mine = sorted({windows[lo + k] for k in np.flatnonzero(shard[lo:hi] == one).tolist()})
+                fresh = []
+                for w in mine:
+                    at = bisect_left(seen, w)
+                    if at < len(seen) and seen[at] == w:
+                        twice.add(w)
+                    else:
+                        fresh.append(w)
+                seen = sorted(seen + fresh)
+            chosen[lo:hi] = [w in twice for w in windows[lo:hi]]
+        yield rows.select([*RUN, "a", "b"]).filter(pa.array(chosen))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,64 +184,85 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     ``pick`` is a hash of id and text, as ``row_key`` makes it. Ranges may overlap.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dup")
+    scratch = Scratch(docs.sparkSession, "exact-dup")
     rows = docs.select(row_key(id_col, text_col), text_of(text_col).alias("text"))
-    occurrences = scratch.table(rows.mapInArrow(anchor_rows(window), "anchor long, digest long, n int, pick long, lo long, offset int, left int, right int"))
-    common = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("_places")).where("_places > 1").select("anchor")
+    occurrences = scratch.table(rows.mapInArrow(anchor_rows(window), f"{RUN_SCHEMA}, spots int, pick long, lo long"))
+    # tables of counts are written first, so that joins with them are split where one anchor has very many rows
+    common = scratch.table(occurrences.groupBy("anchor").agg(F.sum("spots").alias("_places")).where("_places > 1").select("anchor"))
     found = scratch.table(occurrences.join(common, "anchor"))
-    scratch.drop(occurrences)
-    runs = scratch.table(
-        found.groupBy("anchor", "digest", "n").agg(
-            F.count(F.lit(1)).alias("copies"), F.min(F.struct("pick", "lo")).alias("at"), *[F.first(c).alias(c) for c in SIDES]
-        )
-    )
-    kinds = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    runs = scratch.table(runs.join(kinds, "anchor"))
-    few = runs.where((F.col("kinds") > 1) & (F.col("kinds") <= SHARD_RUNS)).withColumn("first", F.lit(0)).withColumn("last", F.col("n"))
-    few = few.withColumn("node", F.xxhash64("anchor")).withColumn("split", F.lit(False))
-    mixed = few.unionByName(_by_context(runs.where(F.col("kinds") > SHARD_RUNS), window)).select(
-        F.col("at.pick").alias("pick"),
-        F.struct("node", "split", "first", "last", "anchor", "digest", "n", "copies", F.col("at.lo").alias("lo")).alias("run"),
+    scratch.drop(occurrences, common)
+    runs = scratch.table(found.groupBy(*RUN).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("pick", "lo")).alias("at")))
+    load = F.sum(F.col("n") + (window - 1))
+    groups = scratch.table(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), load.alias("load")))
+    runs = scratch.table(runs.join(groups, "anchor"))
+    alike = (F.col("kinds") == 1) & (F.col("copies") > 1)
+    mixed = runs.where(~alike).select(
+        F.col("at.pick").alias("pick"), F.struct(*RUN, "copies", (F.col("load") <= SHARD_BYTES).alias("fits"), F.col("at.lo").alias("lo")).alias("run")
     )
     wanted = mixed.groupBy("pick").agg(F.collect_list("run").alias("wanted"))
-    bodies = rows.join(wanted, "pick").select("text", "wanted").mapInArrow(
-        run_bytes(window), "node long, split boolean, first int, last int, anchor long, digest long, n int, copies long, body binary"
-    )
-    shards = bodies.repartition("node").sortWithinPartitions("node")
-    judged = scratch.table(shards.mapInArrow(shard_rows(window), "anchor long, digest long, n int, shard long, a int, b int, open boolean, code long"))
-    part = F.xxhash64("anchor", F.pmod("code", F.lit(64)))
-    pending = judged.where("open").withColumn("node", part).repartition("node").sortWithinPartitions("node")
-    merged = pending.mapInArrow(merged_rows, "anchor long, digest long, n int, a int, b int")
-    alike = runs.where("kinds = 1").select("anchor", "digest", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
-    repeated = judged.where("NOT open").select("anchor", "digest", "n", "a", "b").unionByName(merged).unionByName(alike)
-    spans = found.select("anchor", "digest", "n", "pick", "lo").distinct().join(repeated, ["anchor", "digest", "n"]).select(
+    bodies = scratch.table(rows.join(wanted, "pick").select("text", "wanted").mapInArrow(run_bytes(window), f"{RUN_SCHEMA}, copies long, fits boolean, body binary"))
+    whole, shards = [runs.where(alike).select(*RUN, F.lit(0).alias("a"), F.col("n").alias("b"))], []
+    small = bodies.where("fits").withColumn("node", F.xxhash64("anchor")).withColumns({"split": F.lit(False), "parts": F.lit(1).cast("long"), "a": F.lit(0)})
+    shards.append(small)
+    slices = bodies.where("NOT fits").dropDuplicates(RUN).select(*RUN, "copies", F.lit(0).alias("a"), F.col("n").alias("b"))
+    if not slices.isEmpty():
+        bodies = scratch.table(bodies.where("NOT fits").dropDuplicates(RUN).select(*RUN, "body"))
+        slices = scratch.table(slices)
+        settled, open_ = _by_blocks(scratch, slices, bodies, window)
+        whole += settled
+        shards += open_
+    every = shards[0]
+    for more in shards[1:]:
+        every = every.unionByName(more, allowMissingColumns=True)
+    every = every.select("node", "split", "parts", *RUN, "copies", "a", "body").repartition("node").sortWithinPartitions("node")
+    judged = scratch.table(every.mapInArrow(shard_rows(window), f"{RUN_SCHEMA}, shard long, parts long, a int, b int, open boolean, window binary"))
+    part = F.xxhash64("anchor", F.pmod(F.xxhash64("window"), F.col("parts")))
+    pending = judged.where("open").withColumn("node", part).select("node", *RUN, "shard", "a", "b", "window").repartition("node").sortWithinPartitions("node")
+    merged = scratch.table(pending.mapInArrow(merged_rows, f"{RUN_SCHEMA}, a int, b int"))
+    repeated = judged.where("NOT open").select(*RUN, "a", "b").unionByName(merged)
+    for more in whole:
+        repeated = repeated.unionByName(more)
+    spans = found.select(*RUN, "pick", "lo").join(repeated, RUN).select(
         "pick", F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + (window - 1)).alias("hi")).alias("span")
     )
-    return scratch.table(spans.groupBy("pick").agg(F.collect_list("span").alias("spans")))
+    return scratch.table(spans.groupBy("pick").agg(F.collect_set("span").alias("spans")))
 
 
-def _by_context(runs: DataFrame, window: int) -> DataFrame:
-    """Runs of large anchors, each in the shard of its left and in that of its right context, with the windows judged there.
+def _with_bytes(slices: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
+    """Slices of runs, windows ``a`` to ``b``, with the bytes of those windows."""
+    return slices.join(bodies, RUN).withColumn("body", F.substring("body", F.col("a") + 1, F.col("b") - F.col("a") + (window - 1)))
 
-    Windows that reach CONTEXT bytes before the anchor are judged on the left if that group fits a shard, else on the
-    right if they reach as far there and that group fits, else in the left group's split shards; all others on the right.
+
+def _by_blocks(scratch: Scratch, slices: DataFrame, bodies: DataFrame, window: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of runs whose anchor does not fit one shard: ranges that are repeated as a whole, and slices for shards.
+
+    The rows of each level come from single runs, not from whole anchors, and its counts are summed before they are
+    shuffled: a frequent anchor is spread over all tasks. Each level keeps only what its blocks leave undecided, at
+    most a few blocks at the edges of what a frequent passage shares.
     """
-    gram = min(GRAM, window)
-    for side in ("left", "right"):
-        sizes = runs.groupBy("anchor", side).agg(F.count(F.lit(1)).alias(f"_{side}"))
-        runs = runs.join(sizes, ["anchor", side])
-    fits_left, fits_right = F.col("_left") <= SHARD_RUNS, F.col("_right") <= SHARD_RUNS
-    border = F.least(F.greatest(F.col("offset") - (CONTEXT - 1), F.lit(0)), F.col("n"))
-    reach = F.least(F.greatest(F.col("offset") + (gram + CONTEXT - window), F.lit(0)), border)
-    turn = F.when(fits_left | ~fits_right, border).otherwise(reach)
-    salt = lambda side: F.pmod(F.xxhash64("digest", "n"), F.ceil(F.col(f"_{side}") / SHARD_RUNS))
-    parts = F.array(
-        F.struct(F.xxhash64("anchor", F.lit("left"), "left", salt("left")).alias("node"), (~fits_left).alias("split"), F.lit(0).alias("first"), turn.cast("int").alias("last")),
-        F.struct(F.xxhash64("anchor", F.lit("right"), "right", salt("right")).alias("node"), (~fits_right).alias("split"), turn.cast("int").alias("first"), F.col("n").alias("last")),
-    )
-    out = runs.withColumn("_part", F.explode(F.filter(parts, lambda p: p["last"] > p["first"])))
-    return out.select(*[c for c in runs.columns if c not in ("_left", "_right")], "_part.*")
+    settled, shards = [], []
+    for width in [w for w in BLOCKS if 4 * w <= window]:
+        made = _with_bytes(slices, bodies, window).mapInArrow(
+            block_rows(window, width), f"{RUN_SCHEMA}, copies long, key long, one long, two long, places long, a int, b int"
+        )
+        blocks = scratch.table(made)
+        alike = (F.min("one") == F.max("one")) & (F.min("two") == F.max("two"))
+        load = F.sum(F.col("b") - F.col("a") + (window - 1))
+        groups = blocks.groupBy("key").agg(F.sum("places").alias("_places"), alike.alias("_alike"), load.alias("_load")).where("_places > 1")
+        joined = scratch.table(blocks.join(scratch.table(groups), "key").select(*RUN, "copies", "key", "a", "b", "_alike", "_load"))
+        settled.append(joined.where("_alike").select(*RUN, "a", "b"))
+        fits = joined.where(~F.col("_alike") & (F.col("_load") <= SHARD_BYTES))
+        shards.append(_with_bytes(fits, bodies, window).select(F.col("key").alias("node"), F.lit(False).alias("split"), F.lit(1).cast("long").alias("parts"), *RUN, "copies", "a", "body"))
+        slices = joined.where(~F.col("_alike") & (F.col("_load") > SHARD_BYTES))
+        if slices.isEmpty():
+            return settled, shards
+    if "key" not in slices.columns:  # the window is too short for blocks
+        sizes = scratch.table(slices.groupBy("anchor").agg(F.sum(F.col("b") - F.col("a") + (window - 1)).alias("_load")))
+        slices = slices.join(sizes, "anchor").withColumn("key", F.col("anchor"))
+    parts = F.ceil(F.col("_load") / SHARD_BYTES)
+    node = F.xxhash64("key", F.pmod(F.xxhash64("digest", "twin", "n", "a"), parts))
+    shards.append(_with_bytes(slices, bodies, window).select(node.alias("node"), F.lit(True).alias("split"), parts.alias("parts"), *RUN, "copies", "a", "body"))
+    return settled, shards
 
 
 def row_key(id_col: str, text_col: str):

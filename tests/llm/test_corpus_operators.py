@@ -101,9 +101,9 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
-@pytest.mark.parametrize("window,runs", [(120, 1024), (60, 2)])
-def test_repeats(docs, none, monkeypatch, window, runs):
-    monkeypatch.setattr(exact_dup, "SHARD_RUNS", runs)
+@pytest.mark.parametrize("window,shard", [(120, 1 << 20), (260, 2000), (60, 300), (17, 40)])
+def test_repeats(docs, none, monkeypatch, window, shard):
+    monkeypatch.setattr(exact_dup, "SHARD_BYTES", shard)
     seen = collections.Counter(body(r[1])[p : p + window] for r in ROWS for p in range(len(body(r[1])) - window + 1))
     want = collections.Counter()
     for r in ROWS:
