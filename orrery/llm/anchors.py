@@ -63,12 +63,13 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str,
     return {"row": row[first], "lo": lo, "n": n, "spots": spots, "anchor": grams[owner[first]], "digest": range_hash(prefix, lo, end), "twin": twin_hash(twin_code(data), lo, end)}
 
 
-def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: int, width: int) -> dict[str, np.ndarray]:
+def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: int, width: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Blocks of the windows of whole runs: those whose anchor lies ``width`` * b to ``width`` * (b + 1) - 1 bytes in.
 
     All windows of a block share its core, the bytes that each of them holds. Arrays ``run``, ``a`` and ``b`` (windows
-    of the run), ``places`` (blocks that follow each other and are alike count together), ``key`` (hash of anchor,
-    distance and core; equal windows have equal keys), and two hashes of all the block's bytes.
+    of the run, of the first such block in it), ``places`` (such blocks in the run), ``key`` (hash of anchor, distance
+    and core; equal windows have equal keys), and two hashes of all the block's bytes. The second result has ``run``,
+    ``a`` and ``b`` of the stretches of blocks that a run holds more than once.
     """
     gram = min(GRAM, window)
     size = np.diff(ends)
@@ -91,9 +92,20 @@ def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: i
     step = np.uint64(width << 32) + block.astype(np.uint64)
     key = code ^ ((anchor[run] + step) * np.uint64(0x9FB21C651E98DF25))
     digest, twin = range_hash(prefix, lo, hi + window - 1), twin_hash(twin_code(data), lo, hi + window - 1)
+    order = np.lexsort((twin, digest, key, run))
     fresh = np.ones(len(run), bool)
-    fresh[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]) | (twin[1:] != twin[:-1])
+    fresh[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (run, key, digest, twin)], axis=0)
+    kinds = np.flatnonzero(fresh)
+    places = np.diff(np.append(kinds, len(run)))
+    often = np.zeros(len(run), bool)
+    often[order] = np.repeat(places > 1, places)
+    base = ends[:-1]
+    first = order[kinds]
+    out = {"run": run[first], "a": lo[first] - base[run[first]], "b": hi[first] - base[run[first]], "places": places, "key": key[first], "digest": digest[first], "twin": twin[first]}
+    run, lo, hi = run[often], lo[often], hi[often]
+    fresh = np.ones(len(run), bool)
+    fresh[1:] = (run[1:] != run[:-1]) | (lo[1:] != hi[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(run)) - 1
-    base = ends[:-1][run[first]]
-    return {"run": run[first], "a": lo[first] - base, "b": hi[last] - base, "places": last - first + 1, "key": key[first], "digest": digest[first], "twin": twin[first]}
+    again = {"run": run[first], "a": lo[first] - base[run[first]], "b": hi[last] - base[run[first]]} if len(run) else {k: np.zeros(0, np.int64) for k in ("run", "a", "b")}
+    return out, again

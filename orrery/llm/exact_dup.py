@@ -27,8 +27,9 @@ from .near_dup import node_groups
 from .suffix import common_prefixes, repeat_classes, suffix_array
 
 WINDOW = 400
-#: Bytes of one suffix array.
+#: Bytes of one suffix array, and of the groups of runs that are never divided among arrays.
 SHARD_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: Windows of a block, level by level, where an anchor's runs do not fit one shard.
 BLOCKS = (64, 16, 4)
 #: Bytes of one text looked at together; a longer text is read in overlapping stretches.
@@ -79,22 +80,27 @@ def run_bytes(window: int):
 
 
 def block_rows(window: int, width: int):
-    """The blocks of ``width`` windows within the given slices of runs."""
+    """The blocks of ``width`` windows within the given slices of runs; stretches that repeat within one run have no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_batches(batches, "body"):
-            found = block_runs(data, offsets, rows.column("anchor").to_numpy().view(np.uint64), window, width)
-            take = pa.array(found["run"])
-            from_ = rows.column("a").to_numpy()[found["run"]]
-            a, b = found["a"] + from_, found["b"] + from_
-            columns = [rows.column(k).take(take) for k in [*RUN, "copies"]]
-            columns += [_longs(found["key"]), _longs(found["digest"]), _longs(found["twin"])]
-            columns += [_longs(found["places"] * rows.column("copies").to_numpy()[found["run"]]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*RUN, "copies", "key", "one", "two", "places", "a", "b"])
+            found, again = block_runs(data, offsets, rows.column("anchor").to_numpy().view(np.uint64), window, width)
+            copies = rows.column("copies").to_numpy()
+            hashes = {k: _longs(found[c]) for k, c in (("key", "key"), ("one", "digest"), ("two", "twin"))}
+            yield _block_batch(rows, found, hashes | {"places": _longs(found["places"] * copies[found["run"]])})
+            none = {k: pa.nulls(len(again["run"]), pa.int64()) for k in ("key", "one", "two", "places")}
+            yield _block_batch(rows, again, none)
 
     return run
 
 
+def _block_batch(rows: pa.RecordBatch, found: dict[str, np.ndarray], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    take, shift = pa.array(found["run"]), rows.column("a").to_numpy()[found["run"]]
+    columns = [rows.column(k).take(take) for k in [*RUN, "copies"]]
+    columns += [*more.values(), *(pa.array((found[k] + shift).astype(np.int32)) for k in ("a", "b"))]
+    return pa.RecordBatch.from_arrays(columns, names=[*RUN, "copies", *more, "a", "b"])
+
+
 def _shards(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Whole groups together, up to SHARD_BYTES; runs that came twice only once."""
     sizes = np.array([len(b.as_buffer()) for b in rows.column("body")], np.int64)
@@ -197,7 +203,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     runs = scratch.table(runs.join(groups, "anchor"))
     alike = (F.col("kinds") == 1) & (F.col("copies") > 1)
     mixed = runs.where(~alike).select(
-        F.col("at.pick").alias("pick"), F.struct(*RUN, "copies", (F.col("load") <= SHARD_BYTES).alias("fits"), F.col("at.lo").alias("lo")).alias("run")
+        F.col("at.pick").alias("pick"), F.struct(*RUN, "copies", (F.col("load") <= GROUP_BYTES).alias("fits"), F.col("at.lo").alias("lo")).alias("run")
     )
     wanted = mixed.groupBy("pick").agg(F.collect_list("run").alias("wanted"))
     bodies = scratch.table(rows.join(wanted, "pick").select("text", "wanted").mapInArrow(run_bytes(window), f"{RUN_SCHEMA}, copies long, fits boolean, body binary"))
@@ -248,18 +254,19 @@ def _by_blocks(scratch: Scratch, slices: DataFrame, bodies: DataFrame, window: i
         blocks = scratch.table(made)
         alike = (F.min("one") == F.max("one")) & (F.min("two") == F.max("two"))
         load = F.sum(F.col("b") - F.col("a") + (window - 1))
-        groups = blocks.groupBy("key").agg(F.sum("places").alias("_places"), alike.alias("_alike"), load.alias("_load")).where("_places > 1")
+        settled.append(blocks.where("key IS NULL").select(*RUN, "a", "b"))
+        groups = blocks.where("key IS NOT NULL").groupBy("key").agg(F.sum("places").alias("_places"), alike.alias("_alike"), load.alias("_load")).where("_places > 1")
         joined = scratch.table(blocks.join(scratch.table(groups), "key").select(*RUN, "copies", "key", "a", "b", "_alike", "_load"))
         settled.append(joined.where("_alike").select(*RUN, "a", "b"))
-        fits = joined.where(~F.col("_alike") & (F.col("_load") <= SHARD_BYTES))
+        fits = joined.where(~F.col("_alike") & (F.col("_load") <= GROUP_BYTES))
         shards.append(_with_bytes(fits, bodies, window).select(F.col("key").alias("node"), F.lit(False).alias("split"), F.lit(1).cast("long").alias("parts"), *RUN, "copies", "a", "body"))
-        slices = joined.where(~F.col("_alike") & (F.col("_load") > SHARD_BYTES))
+        slices = joined.where(~F.col("_alike") & (F.col("_load") > GROUP_BYTES))
         if slices.isEmpty():
             return settled, shards
     if "key" not in slices.columns:  # the window is too short for blocks
         sizes = scratch.table(slices.groupBy("anchor").agg(F.sum(F.col("b") - F.col("a") + (window - 1)).alias("_load")))
         slices = slices.join(sizes, "anchor").withColumn("key", F.col("anchor"))
-    parts = F.ceil(F.col("_load") / SHARD_BYTES)
+    parts = F.ceil(F.col("_load") / GROUP_BYTES)
     node = F.xxhash64("key", F.pmod(F.xxhash64("digest", "twin", "n", "a"), parts))
     shards.append(_with_bytes(slices, bodies, window).select(node.alias("node"), F.lit(True).alias("split"), parts.alias("parts"), *RUN, "copies", "a", "body"))
     return settled, shards

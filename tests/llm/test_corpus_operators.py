@@ -103,7 +103,7 @@ def test_packing(docs, none):
 
 @pytest.mark.parametrize("window,shard", [(120, 1 << 20), (260, 2000), (60, 300), (17, 40)])
 def test_repeats(docs, none, monkeypatch, window, shard):
-    monkeypatch.setattr(exact_dup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(exact_dup, "GROUP_BYTES", shard)
     seen = collections.Counter(body(r[1])[p : p + window] for r in ROWS for p in range(len(body(r[1])) - window + 1))
     want = collections.Counter()
     for r in ROWS:
