@@ -3,7 +3,8 @@
 Each of ``TREES`` independent trees branches the documents by the minwise tokens of their shingle sets: a node is a
 path of such tokens, and only nodes which are still large branch once more. Small nodes are compared exhaustively:
 sketches rule pairs out, full sets confirm the rest. Nodes that stay large at the last level hold sets that are
-nearly alike; they are cut into blocks, and members left apart from the node's main class meet all its blocks.
+nearly alike; they are cut into blocks, and members left apart from the node's main class meet all its blocks, in
+groups of two blocks each.
 Sets of nodes that were branched need to share more tokens, so they get further trees, up to ``ALL_TREES``.
 """
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, text_batches, text_of, word_hashes
 
-#: A pair of similarity 0.8 shares the first token of one tree with probability 0.8: 12 trees miss 4 in 10**9.
+#: A pair of similarity 0.8 shares the first token of one tree with probability 0.8: 12 trees miss 4 in 10**9 where
+#: the nodes of that token are compared as they are.
 TREES = 12
 DEPTH = 4
 SKETCH = TREES * DEPTH
@@ -26,10 +28,11 @@ SKETCH = TREES * DEPTH
 ALL_TREES = 40
 #: Sketch positions that must agree before sets are compared; at similarity 0.8, fewer occur 2 times in 10**8.
 LEAST_AGREEING = 22
-LEAF_SETS = 1024
-LEAF_SHINGLES = 8 << 20
+#: A node is compared exhaustively up to so many sets, in one task; only larger ones are branched.
+LEAF_SETS = 4096
+LEAF_SHINGLES = 4 << 20
 BLOCK_SETS = 256
-BLOCK_SHINGLES = 4 << 20
+BLOCK_SHINGLES = 2 << 20
 FIRST_TREES = 2
 
 _U = np.uint64
@@ -210,8 +213,11 @@ def linked_rows(percent: int):
             parent = list(range(len(known)))
             out: list[tuple[bytes, bytes]] = []
             names = list(known)
+            root = start.copy()
             for a, b in likely_pairs(sketch, sizes, bounds, percent):
-                for i, j in zip(a.tolist(), b.tolist()):
+                apart = root[a] != root[b]
+                joined = len(out)
+                for i, j in zip(a[apart].tolist(), b[apart].tolist()):
                     x, y = _root(parent, start[i]), _root(parent, start[j])
                     if x == y:
                         continue
@@ -223,6 +229,8 @@ def linked_rows(percent: int):
                     if 100 * both >= percent * (len(one) + len(two) - both):
                         parent[max(x, y)] = min(x, y)
                         out.append((names[x], names[y]))
+                if len(out) > joined:
+                    root = np.array([_root(parent, k) for k in range(len(parent))])[start]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], names=["a", "b"])
 
     return run
@@ -288,16 +296,19 @@ def tree_nodes(scratch: Scratch, reps: DataFrame, column: str, trees: range) ->
     columns = ["tree", "node", "rid", "big", "blocks"]
 
     def counted(rows: DataFrame, level: int) -> DataFrame:
+        # the sizes are written first, so that the join is split where one node has very many rows
         path = f"p{level}"
         sizes = rows.groupBy(path).agg(F.count(F.lit(1)).alias("_sets"), F.sum("n_shingles").alias("_load")).where("_sets > 1")
-        return rows.drop("_sets", "_load").join(sizes, path)
+        return scratch.table(rows.drop("_sets", "_load").join(scratch.table(sizes), path))
 
-    here = top = scratch.table(counted(paths, 1))
+    here = top = counted(paths, 1)
     out, small = None, (F.col("_sets") <= LEAF_SETS) & (F.col("_load") <= LEAF_SHINGLES)
     for level in range(1, DEPTH + 1):
         done = here.where(small).select("tree", F.col(f"p{level}").alias("node"), "rid", F.lit(None).cast("long").alias("big"), F.lit(1).cast("long").alias("blocks"))
         out = done if out is None else out.unionByName(done)
         rest = here.where(~small)
+        if rest.isEmpty():
+            return scratch.table(out), top.where(~small).select("rid").distinct()
         if level < DEPTH:
             here = counted(rest, level + 1)
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_load") / BLOCK_SHINGLES)).cast("long")
@@ -306,6 +317,25 @@ def tree_nodes(scratch: Scratch, reps: DataFrame, column: str, trees: range) ->
     return scratch.table(out.unionByName(last.select(*columns))), top.where(~small).select("rid").distinct()
 
 
+def meetings(torn: DataFrame) -> DataFrame:
+    """(tree, node, rid, comp): groups of at most two blocks in which all members of a large node that are of different classes meet.
+
+    ``blocks`` of the node's main class and blocks of its ``_apart`` other members; no group holds two of the former.
+    """
+    aside = F.col("comp") != F.col("_main")
+    others = F.ceil(F.col("_apart") / BLOCK_SETS).cast("long")
+    own = F.pmod(F.xxhash64("rid", "tree"), F.when(aside, others).otherwise(F.col("blocks")))
+    here = torn.withColumns({"_aside": aside, "_others": others, "_own": own})
+    to_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(b.alias("one"), F.col("_own").alias("two")))
+    to_aside = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("_others") - 1), lambda b: F.struct((-1 - F.greatest(b, "_own")).alias("one"), F.least(b, "_own").alias("two"))
+    )
+    from_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_others") - 1), lambda b: F.struct(F.col("_own").alias("one"), b.alias("two")))
+    groups = F.when(F.col("_aside"), F.concat(to_main, to_aside)).otherwise(from_main)
+    met = here.withColumn("_group", F.explode(groups))
+    return met.select("tree", F.xxhash64(F.lit(-2), "big", "_group.one", "_group.two").alias("node"), "rid", "comp")
+
+
 def block_node(big: Column, block: Column) -> Column:
     return F.xxhash64(F.lit(-1), big, block)
 
@@ -385,12 +415,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if not large.isEmpty():
         members = scratch.table(with_class(large, moved))
         shares = members.groupBy("tree", "big", "comp").agg(F.count(F.lit(1)).alias("_n"))
-        main = shares.groupBy("tree", "big").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.count(F.lit(1)).alias("_classes"))
-        torn = members.join(main.where("_classes > 1"), ["tree", "big"])
-        apart = torn.where(F.col("comp") != F.col("_main")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        apart = apart.withColumn("node", block_node(F.col("big"), F.col("_block"))).drop("_block")
-        meeting = torn.where(F.col("comp") == F.col("_main")).unionByName(apart).select("tree", "node", "rid", "comp")
-        last = active(meeting)
+        most = F.max(F.struct("_n", "comp"))
+        main = shares.groupBy("tree", "big").agg(most["comp"].alias("_main"), (F.sum("_n") - most["_n"]).alias("_apart")).where("_apart > 0")
+        torn = members.join(scratch.table(main), ["tree", "big"])
+        last = active(meetings(torn))
         moved = relabel(scratch, moved, contract(scratch, linked(last, completed(sets, last))))
 
     vertices = with_class(reps.select("rid", "least_id"), moved)
