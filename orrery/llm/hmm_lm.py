@@ -19,11 +19,17 @@ ENDINGS = 2_048
 #: Words whose counts every task holds, at most; counts of all others are joined.
 HELD_WORDS = 262_144
 #: Baum-Welch ends with the round whose model is better than the last by less than this, in nats a token.
-LEAST_GAIN = 1e-4
+LEAST_GAIN = 5e-3
+#: The most frequent symbols, whose pairs in all training texts give the first model.
+PAIR_SYMBOLS = 512
+PAIR_ROUNDS = 200
 #: Weight, in tokens, of the overall symbol shares within each state's emissions.
 PRIOR_TOKENS = 2_000.0
-BATCH = 3 << 20
-BATCH_TOKENS = 1 << 19
+BATCH = 1 << 20
+#: Tokens that the recursion holds at once, whatever the texts' lengths.
+BATCH_TOKENS = 1 << 17
+#: Longer sequences are run as segments side by side, with their exact vectors at both ends.
+SEGMENT = 1024
 _U = np.uint64
 END_WORD = _U(0xE7D5E7D5E7D5E7D5)
 
@@ -105,6 +111,20 @@ class Vocabulary:
         return counts / counts.sum()
 
 
+@dataclass
+class Segments:
+    """Stretches of sequences: first token, tokens, and the vectors that the recursion has before, after and just before the cut."""
+
+    lo: np.ndarray
+    length: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    previous: np.ndarray
+
+    def take(self, some: np.ndarray) -> Segments:
+        return Segments(self.lo[some], self.length[some], self.before[some], self.after[some], self.previous[some])
+
+
 @dataclass
 class Chain:
     """Start, move and emission probabilities; emissions by symbol, one column a state."""
@@ -116,48 +136,112 @@ class Chain:
     def run(self, symbols: np.ndarray, bounds: np.ndarray, counts: Chain | None = None) -> np.ndarray:
         """Natural log-likelihood of each sequence by the scaled forward recursion; adds expected counts to ``counts``.
 
-        Sequences are laid out time by time, the longest first, so that one step serves all that are still running.
+        Sequences are cut into segments. The product of a segment's step matrices carries the state vector over it, so
+        that every segment starts (and, for counts, ends) with the very vector that one long recursion would have there.
+        Sums for ``counts`` are in single precision, likelihoods without them in double.
         """
         size = np.diff(bounds)
-        order = np.argsort(-size, kind="stable")
-        sorted_size = size[order]
-        steps = int(sorted_size[0]) if len(size) else 0
-        active = np.searchsorted(-sorted_size, -np.arange(steps), side="left")
+        pieces = np.maximum(-(-size // SEGMENT), 1)
+        doc = np.repeat(np.arange(len(size)), pieces)
+        part = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo = bounds[:-1][doc] + part * SEGMENT
+        length = np.minimum(lo + SEGMENT, bounds[1:][doc]) - lo
+        kind = np.float64 if counts is None else np.float32
+        segments = Segments(lo, length, np.tile(self.start, (len(doc), 1)), np.ones((len(doc), STATES)), np.zeros((len(doc), STATES)))
+        emit = self.emit.astype(kind, copy=False)
+        self._carry(symbols, segments, part, pieces[doc] > 1, emit)
+        logs = np.zeros(len(size))
+        order = np.argsort(-length, kind="stable")
+        for a, b in sub_batches(np.concatenate([[0], np.cumsum(length[order])]), BATCH_TOKENS):
+            some = order[a:b]
+            logs += np.bincount(doc[some], weights=self._run_segments(symbols, segments.take(some), part[some] == 0, emit, counts), minlength=len(size))
+        return logs
+
+    def _carry(self, symbols: np.ndarray, segments: Segments, part: np.ndarray, long: np.ndarray, emit: np.ndarray) -> None:
+        """Fills in the vectors at the cuts of sequences of more than one segment."""
+        if not long.any():
+            return
+        which = np.flatnonzero(long)
+        over = np.empty((len(which), STATES, STATES))
+        begun, moves = np.diag(self.start).astype(emit.dtype), self.moves.astype(emit.dtype)
+        by_length = np.argsort(-segments.length[which], kind="stable")
+        for a in range(0, len(which), 512):
+            some = which[by_length[a : a + 512]]
+            lo, length = segments.lo[some], segments.length[some]
+            made = np.where((part[some] == 0)[:, None, None], begun, moves) * emit[symbols[lo]][:, None, :]
+            ahead = np.empty_like(made)
+            for t in range(1, int(length[0])):
+                n = int(np.searchsorted(-length, -t, side="left"))
+                here = ahead[:n]
+                np.matmul(made[:n].reshape(-1, STATES), moves, out=here.reshape(-1, STATES))
+                here *= emit[symbols[lo[:n] + t]][:, None, :]
+                if t % 2:
+                    here /= here.sum((1, 2), keepdims=True)
+                if n < len(made):
+                    over[by_length[a + n : a + len(made)]] = made[n:]
+                made, ahead = here, made[:n]
+            over[by_length[a : a + len(made)]] = made
+        for k, s in enumerate(which.tolist()):
+            at = over[k].sum(0) if part[s] == 0 else at @ over[k]
+            at = at / at.sum()
+            if k + 1 < len(which) and part[which[k + 1]]:
+                segments.before[s + 1], segments.previous[s + 1] = at @ self.moves, at
+        for k in range(len(which) - 1, 0, -1):
+            s = which[k]
+            if part[s]:
+                back = over[k] @ segments.after[s]
+                segments.after[s - 1] = back / (segments.previous[s] @ back)
+
+    def _run_segments(self, symbols: np.ndarray, segments: Segments, first: np.ndarray, table: np.ndarray, counts: Chain | None) -> np.ndarray:
+        """The recursion over segments, the longest first, laid out time by time: one step serves all that still run."""
+        steps = int(segments.length[0]) if len(first) else 0
+        active = np.searchsorted(-segments.length, -np.arange(steps), side="left")
         at = np.concatenate([[0], np.cumsum(active)])
         step = np.repeat(np.arange(steps), active)
         rank = np.arange(at[-1]) - at[step]
-        laid = symbols[bounds[:-1][order][rank] + step]
-        emit = self.emit[laid]
+        laid = symbols[segments.lo[rank] + step]
+        emit = table[laid]
+        moves = self.moves.astype(emit.dtype)
         alpha = np.empty_like(emit)
-        scale = np.empty(len(emit))
+        scale = np.empty(len(emit), emit.dtype)
         for t in range(steps):
             a, b = at[t], at[t + 1]
             here = alpha[a:b]
             if t == 0:
-                np.multiply(self.start, emit[a:b], out=here)
+                np.multiply(segments.before, emit[a:b], out=here, casting="same_kind")
             else:
-                np.matmul(alpha[at[t - 1] : at[t - 1] + b - a], self.moves, out=here)
+                np.matmul(alpha[at[t - 1] : at[t - 1] + b - a], moves, out=here)
                 here *= emit[a:b]
             total = here.sum(1)
             scale[a:b] = total
             here /= total[:, None]
-        logs = np.empty(len(size))
-        logs[order] = np.bincount(rank, weights=np.log(scale), minlength=len(size))
-        if counts is None:
+        logs = np.bincount(rank, weights=np.log(scale), minlength=len(first))
+        if counts is None or not steps:
             return logs
         emit /= scale[:, None]
-        beta = np.ones_like(alpha)
-        back = self.moves.T.copy()
+        back = moves.T.copy()
+        beta = np.empty_like(alpha)
+        ends = at[segments.length - 1] + np.arange(len(first))
+        beta[ends] = segments.after
+        # emissions times beta replace the emissions, from the last step to the first
+        emit[ends] *= beta[ends]
         for t in range(steps - 2, -1, -1):
             a, b = at[t + 1], at[t + 2]
-            np.matmul(emit[a:b] * beta[a:b], back, out=beta[at[t] : at[t] + b - a])
-        counts.start += (alpha[: at[1]] * beta[: at[1]]).sum(0) if steps else 0
-        later = np.arange(at[1], at[-1]) if steps else np.zeros(0, np.int64)
-        earlier = at[step[later] - 1] + rank[later]
-        counts.moves += self.moves * (alpha[earlier].T @ (emit[later] * beta[later]))
+            here = beta[at[t] : at[t] + b - a]
+            np.matmul(emit[a:b], back, out=here)
+            emit[at[t] : at[t] + b - a] *= here
+        begun = slice(0, at[1])
+        counts.start += (alpha[begun] * beta[begun])[first].sum(0)
+        moved = segments.previous.T @ emit[begun]
+        for t in range(1, steps):
+            a, b = at[t], at[t + 1]
+            moved += alpha[at[t - 1] : at[t - 1] + b - a].T @ emit[a:b]
+        counts.moves += self.moves * moved
         alpha *= beta
-        for k in range(alpha.shape[1]):
-            counts.emit[:, k] += np.bincount(laid, weights=alpha[:, k], minlength=len(counts.emit))
+        order = np.argsort(laid, kind="stable")
+        found = laid[order]
+        begin = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        counts.emit[found[begin]] += np.add.reduceat(alpha[order], begin, axis=0)
         return logs
 
     @classmethod
@@ -172,11 +256,41 @@ class Chain:
         return Chain(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def first_chain(shares: np.ndarray) -> Chain:
-    rng = np.random.default_rng(5)
-    emit = shares[:, None] * rng.uniform(0.5, 1.5, (len(shares), STATES))
-    moves = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
-    return Chain(np.full(STATES, 1.0 / STATES), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
+def pair_codes(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring symbols, of which all past the most frequent count as one."""
+    k = PAIR_SYMBOLS
+    small = np.minimum(symbols, k - 1).astype(np.int64)
+    code = small[:-1] * k + small[1:]
+    inner = np.ones(len(code), bool)
+    inner[bounds[1:-1] - 1] = False
+    return np.bincount(code[inner], minlength=k * k)
+
+
+def first_chain(shares: np.ndarray, pairs: np.ndarray) -> Chain:
+    """The model that Baum-Welch on the counted pairs alone, taken as sequences of two, comes to from a random one.
+
+    Symbols past the most frequent share the emission of the pairs' last symbol by their overall shares.
+    """
+    k = PAIR_SYMBOLS
+    near = pairs.reshape(k, k)
+    weight = near.sum(1) + near.sum(0) + 1e-3
+    emit = weight[:, None] * np.random.default_rng(5).uniform(0.5, 1.5, (k, STATES))
+    emit /= emit.sum(0)
+    start, moves = np.full(STATES, 1.0 / STATES), np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
+    for _ in range(PAIR_ROUNDS):
+        left = emit * start
+        ratio = near / np.maximum(left @ moves @ emit.T, 1e-300)
+        right = ratio @ emit
+        first, second = left * (right @ moves.T), emit * ((ratio.T @ left) @ moves)
+        moves = moves * (left.T @ right) + 1.0
+        moves /= moves.sum(1, keepdims=True)
+        emit = first + second + 1e-3 * weight[:, None] / weight.sum()
+        start = first.sum(0) + 1.0
+        emit, start = emit / emit.sum(0), start / start.sum()
+    rest = np.arange(len(shares)) >= k - 1
+    full = np.where(rest[:, None], shares[:, None] / max(shares[rest].sum(), 1e-300) * emit[-1], emit[np.minimum(np.arange(len(shares)), k - 1)])
+    full = full + 1e-3 * shares[:, None]
+    return Chain(start, moves, full / full.sum(0))
 
 
 def counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +334,16 @@ def fit_vocabulary(scratch: Scratch, taught: DataFrame) -> tuple[Vocabulary, Dat
     return Vocabulary(words, counts, vocabulary.total, vocabulary.distinct, vocabulary.end_count, ending_count, ending_single), table
 
 
+def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and bounds of a batch's sequences."""
+    column = batch.column("symbols")
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(), offsets - offsets[0]
+
+
 def fit_chain(scratch: Scratch, taught: DataFrame, vocabulary: Vocabulary) -> Chain:
     """Baum-Welch with counts over all training texts in every round, until the likelihood stops rising."""
     shares = vocabulary.shares()
-    chain = first_chain(shares)
     context = scratch.spark.sparkContext
     sent_words = context.broadcast(vocabulary)
 
@@ -234,6 +354,18 @@ def fit_chain(scratch: Scratch, taught: DataFrame, vocabulary: Vocabulary) -> Ch
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(symbols))], names=["symbols"])
 
     told = scratch.table(taught.select("text").mapInArrow(symbol_rows, "symbols array<int>"))
+
+    def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PAIR_SYMBOLS**2, np.int64)
+        for batch in batches:
+            total += pair_codes(*_sequences(batch))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["pair", "n"])
+
+    met = told.mapInArrow(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(PAIR_SYMBOLS**2)
+    pairs[met.column("pair").to_numpy()] = met.column("n").to_numpy()
+    chain = first_chain(shares, pairs)
     columns = [f"c{k}" for k in range(STATES)]
     size, before = vocabulary.size, -np.inf
     while True:
@@ -242,11 +374,7 @@ def fit_chain(scratch: Scratch, taught: DataFrame, vocabulary: Vocabulary) -> Ch
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             model, counts, logs = sent.value, Chain.empty(size), np.zeros((1, STATES))
             for batch in batches:
-                column = batch.column("symbols")
-                offsets = column.offsets.to_numpy().astype(np.int64)
-                symbols, offsets = column.flatten().to_numpy(), offsets - offsets[0]
-                for lo, hi in sub_batches(offsets, BATCH_TOKENS):
-                    logs[0, 0] += model.run(symbols[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], counts).sum()
+                logs[0, 0] += model.run(*_sequences(batch), counts).sum()
             rows = np.concatenate([counts.emit, counts.moves, counts.start[None], logs])
             used = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(rows[used, k]) for k in range(STATES))], names=["row", *columns])

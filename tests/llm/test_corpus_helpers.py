@@ -128,18 +128,19 @@ def test_pieces_find_every_occurrence_within_budget():
 
 def test_forward_backward():
     rng = np.random.default_rng(0)
-    chain = hmm_lm.first_chain(np.full(20, 0.05))
-    chain.emit, chain.moves = rng.dirichlet(np.ones(20), hmm_lm.STATES).T, rng.dirichlet(np.ones(hmm_lm.STATES), hmm_lm.STATES)
-    sequences = [rng.integers(0, 20, n) for n in (1, 5, 3, 9, 9)]
+    chain = hmm_lm.Chain(np.full(hmm_lm.STATES, 1 / hmm_lm.STATES), rng.dirichlet(np.ones(hmm_lm.STATES), hmm_lm.STATES), rng.dirichlet(np.ones(20), hmm_lm.STATES).T)
+    sequences = [rng.integers(0, 20, n) for n in (1, 5, 3, 9, 9, hmm_lm.SEGMENT, hmm_lm.SEGMENT + 1, 3 * hmm_lm.SEGMENT + 7)]
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
     counts = hmm_lm.Chain.empty(20)
     logs = chain.run(np.concatenate(sequences), bounds, counts)
     for s, log in zip(sequences, logs):
-        a = chain.start * chain.emit[s[0]]
+        a, plain = chain.start * chain.emit[s[0]], 0.0
         for t in s[1:]:
-            a = (a @ chain.moves) * chain.emit[t]
-        assert np.isclose(np.log(a.sum()), log)
-    assert np.isclose(counts.emit.sum(), bounds[-1]) and np.isclose(counts.moves.sum(), bounds[-1] - 5) and np.isclose(counts.start.sum(), 5)
+            plain += np.log(a.sum())
+            a = (a / a.sum() @ chain.moves) * chain.emit[t]
+        assert np.isclose(plain + np.log(a.sum()), log)
+    assert np.allclose(chain.run(np.concatenate(sequences), bounds), logs)
+    assert np.isclose(counts.emit.sum(), bounds[-1]) and np.isclose(counts.moves.sum(), bounds[-1] - 8) and np.isclose(counts.start.sum(), 8)
     better = chain
     for _ in range(5):  # each round raises the likelihood, but for the small prior
         counts = hmm_lm.Chain.empty(20)
