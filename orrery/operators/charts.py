@@ -5,6 +5,7 @@ All take the rows that ``windows.multi_scale`` makes and group by its keys, so n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -41,31 +42,63 @@ def _least_n(n: int, value: Column) -> Column:
     return F.when(F.first("n") >= n, value).cast("double")
 
 
-def variability(windowed: DataFrame) -> DataFrame:
-    """Nine variability features, null under 4 intervals, and three of the Poincare plot, null under 3."""
+@dataclass(frozen=True)
+class Part:
+    """A family of features: rows with helper columns, aggregates of a window's rows, and results made from these.
+
+    ``then`` has helper columns between aggregates and results.
+    """
+
+    rows: DataFrame
+    values: dict[str, Column]
+    finish: dict[str, Column] | None = None
+    then: dict[str, Column] | None = None
+
+
+def _features(*parts: Callable[[DataFrame], Part], more: dict[str, Column] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """All families from one pass over the windows: helper columns one after another, then one aggregate by window."""
+
+    def made(windowed: DataFrame) -> DataFrame:
+        rows, values, finish, then = windowed, dict(more or {}), {c: F.col(c) for c in more or {}}, {}
+        for part in parts:
+            found = part(rows)
+            rows, values = found.rows, values | found.values
+            finish |= found.finish or {c: F.col(c) for c in found.values}
+            then |= found.then or {}
+        out = rows.groupBy(*KEYS).agg(F.first("n").alias("n"), *[v.alias(c) for c, v in values.items()])
+        return out.withColumns(then).select(*KEYS, *[v.alias(c) for c, v in finish.items()])
+
+    return made
+
+
+def _variability(windowed: DataFrame) -> Part:
     x = F.col("rr_ms")
-    rows = windowed.withColumn("_d", x - F.lag(x).over(_ordered())).withColumn("_far", F.abs(x - F.median(x).over(_whole())))
+    rows = windowed.withColumn("_vd", x - F.lag(x).over(_ordered())).withColumn("_vfar", F.abs(x - F.median(x).over(_whole())))
     sd, mean = F.stddev_samp(x), F.avg(x)
-    root = F.sqrt(F.avg(F.col("_d") * F.col("_d")))
+    root = F.sqrt(F.avg(F.col("_vd") * F.col("_vd")))
     sd1 = root / F.sqrt(F.lit(2.0))
     sd2 = F.sqrt(F.greatest(F.lit(0.0), 2 * sd * sd - sd1 * sd1))
     four = {
         "mean_rr": mean,
         "median_rr": F.median(x),
         "std_rr": sd,
-        "mad_rr": F.median("_far"),
+        "mad_rr": F.median("_vfar"),
         "rmssd": root,
-        "sdsd": F.stddev_samp("_d"),
+        "sdsd": F.stddev_samp("_vd"),
         "cv_rr": F.when(mean > 0, sd / mean),
-        "rr_diff_mean": F.avg(F.abs("_d")),
-        "rr_diff_std": F.stddev_samp("_d"),
+        "rr_diff_mean": F.avg(F.abs("_vd")),
+        "rr_diff_std": F.stddev_samp("_vd"),
     }
     three = {"sd1": sd1, "sd2": sd2, "sd1_sd2_ratio": F.when(sd2 > 0, sd1 / sd2)}
-    return rows.groupBy(*KEYS).agg(*[_least_n(4, v).alias(c) for c, v in four.items()], *[_least_n(3, v).alias(c) for c, v in three.items()])
+    return Part(rows, {c: _least_n(4, v) for c, v in four.items()} | {c: _least_n(3, v) for c, v in three.items()})
 
 
-def shewhart(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
-    """Points beyond the limit: count, rate, largest deviation, and place and time of the first (-1 and null if none)."""
+def variability(windowed: DataFrame) -> DataFrame:
+    """Nine variability features, null under 4 intervals, and three of the Poincare plot, null under 3."""
+    return _features(_variability)(windowed)
+
+
+def _shewhart(windowed: DataFrame, chart: Chart) -> Part:
     out = F.abs("z") > chart.limit
     values = {
         "shewhart_out_count": F.count_if(out),
@@ -74,7 +107,12 @@ def shewhart(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
         "shewhart_first_alarm_pos": F.coalesce(F.min(F.when(out, F.col("pos"))), F.lit(-1)).cast("double"),
         "shewhart_first_alarm_time_sec": F.min(F.when(out, F.col("t_local"))),
     }
-    return windowed.groupBy(*KEYS).agg(*[_least_n(6, v).alias(c) for c, v in values.items()])
+    return Part(windowed, {c: _least_n(6, v) for c, v in values.items()})
+
+
+def shewhart(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
+    """Points beyond the limit: count, rate, largest deviation, and place and time of the first (-1 and null if none)."""
+    return _features(lambda w: _shewhart(w, chart))(windowed)
 
 
 def cusum_points(windowed: DataFrame, chart: Chart = Chart(), keys: list[str] = KEYS) -> DataFrame:
@@ -120,7 +158,7 @@ def cusum_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], s
     return out.unpivot([*by, "k", "h"], [f"s{s}" for s in sustained], "_s", "alarms").withColumn("sustained", F.substring("_s", 2, 9).cast("int")).drop("_s")
 
 
-def cusum(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
+def _cusum(windowed: DataFrame, chart: Chart) -> Part:
     rows = cusum_points(windowed, chart)
     share = F.count_if("alarm") / F.count(F.lit(1))
     values = {
@@ -135,7 +173,12 @@ def cusum(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
         "cusum_time_in_alarm": share * F.max("t_local"),
         "cusum_alarm_density": share,
     }
-    return rows.groupBy(*KEYS).agg(*[_least_n(6, v).alias(c) for c, v in values.items()])
+    return Part(rows, {c: _least_n(6, v) for c, v in values.items()})
+
+
+def cusum(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
+    """Largest and last sums, and count, place, time and share of the points in alarm; null under 6 intervals."""
+    return _features(lambda w: _cusum(w, chart))(windowed)
 
 
 def _sorted(value: str) -> Column:
@@ -143,14 +186,8 @@ def _sorted(value: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value])
 
 
-def ewma(windowed: DataFrame, chart: Chart = Chart(), whole_tail: bool = True) -> DataFrame:
-    """Exponentially weighted mean from 0: last, largest, slope of the second half, alarms and the first one's time.
-
-    The recurrence is one fold over the window's values, in the JVM. With ``whole_tail`` windows of fewer than four
-    points use all points for the slope.
-    """
+def _ewma(windowed: DataFrame, chart: Chart, whole_tail: bool) -> Part:
     bound = chart.ewma_limit * (chart.weight / (2.0 - chart.weight)) ** 0.5
-    rows = windowed.groupBy(*KEYS).agg(F.first("n").alias("n"), _sorted("z").alias("_z"), _sorted("t_local").alias("_t"))
     zero, none = F.lit(0.0), F.lit(None).cast("double")
     start = F.struct(zero.alias("e"), zero.alias("top"), F.lit(0).cast("long").alias("out"), none.alias("first"), F.lit(0).cast("long").alias("i"), zero.alias("sx"), zero.alias("sy"), zero.alias("sxy"), zero.alias("sxx"))
     half = F.when((F.col("n") < 4) & F.lit(whole_tail), 0).otherwise(F.floor(F.col("n") / 2))
@@ -166,8 +203,7 @@ def ewma(windowed: DataFrame, chart: Chart = Chart(), whole_tail: bool = True) -
             (a["i"] + 1).alias("i"), add(a["sx"], place).alias("sx"), add(a["sy"], e).alias("sy"), add(a["sxy"], place * e).alias("sxy"), add(a["sxx"], place * place).alias("sxx"),
         )
 
-    pairs = F.zip_with("_z", "_t", lambda z, t: F.struct(z.alias("z"), t.alias("t")))
-    rows = rows.withColumn("_f", F.aggregate(pairs, start, step))
+    pairs = F.zip_with("_ez", "_et", lambda z, t: F.struct(z.alias("z"), t.alias("t")))
     m = (F.col("n") - half).cast("double")
     f = F.col("_f")
     spread = m * f["sxx"] - f["sx"] * f["sx"]
@@ -178,15 +214,29 @@ def ewma(windowed: DataFrame, chart: Chart = Chart(), whole_tail: bool = True) -
         "ewma_alarm_count": f["out"],
         "ewma_first_alarm_time_sec": f["first"],
     }
-    return rows.select(*KEYS, *[F.when(F.col("n") >= 6, v).cast("double").alias(c) for c, v in values.items()])
+    finish = {c: F.when(F.col("n") >= 6, v).cast("double") for c, v in values.items()}
+    return Part(windowed, {"_ez": _sorted("z"), "_et": _sorted("t_local")}, finish, {"_f": F.aggregate(pairs, start, step)})
+
+
+def ewma(windowed: DataFrame, chart: Chart = Chart(), whole_tail: bool = True) -> DataFrame:
+    """Exponentially weighted mean from 0: last, largest, slope of the second half, alarms and the first one's time.
+
+    The recurrence is one fold over the window's values, in the JVM. With ``whole_tail`` windows of fewer than four
+    points use all points for the slope.
+    """
+    return _features(lambda w: _ewma(w, chart, whole_tail))(windowed)
+
+
+def _moving_range(windowed: DataFrame) -> Part:
+    rows = windowed.withColumn("_mr", F.abs(F.col("rr_ms") - F.lag("rr_ms").over(_ordered())))
+    rows = rows.withColumn("_mfar", F.abs(F.col("_mr") - F.median("_mr").over(_whole()))).withColumn("_mout", F.col("_mr") > MOVING_RANGE_FACTOR * F.avg("_mr").over(_whole()))
+    values = {"mr_mean": F.avg("_mr"), "mr_median": F.median("_mr"), "mr_max": F.max("_mr"), "mr_mad": F.median("_mfar"), "mr_out_count": F.count_if("_mout")}
+    return Part(rows, {c: _least_n(6, v) for c, v in values.items()})
 
 
 def moving_range(windowed: DataFrame) -> DataFrame:
     """Absolute differences of neighbours: mean, median, largest, median deviation, points beyond 3.267 means."""
-    rows = windowed.withColumn("_mr", F.abs(F.col("rr_ms") - F.lag("rr_ms").over(_ordered())))
-    rows = rows.withColumn("_far", F.abs(F.col("_mr") - F.median("_mr").over(_whole()))).withColumn("_out", F.col("_mr") > MOVING_RANGE_FACTOR * F.avg("_mr").over(_whole()))
-    values = {"mr_mean": F.avg("_mr"), "mr_median": F.median("_mr"), "mr_max": F.max("_mr"), "mr_mad": F.median("_far"), "mr_out_count": F.count_if("_out")}
-    return rows.groupBy(*KEYS).agg(*[_least_n(6, v).alias(c) for c, v in values.items()])
+    return _features(_moving_range)(windowed)
 
 
 def longest(symbols: Column, symbol: str) -> Column:
@@ -195,38 +245,36 @@ def longest(symbols: Column, symbol: str) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda s: F.length(s))), F.lit(0))
 
 
-def runs(windowed: DataFrame) -> DataFrame:
-    """Longest stretches above and below the window's median, longest trends in points, and four run rules."""
+def _runs(windowed: DataFrame) -> Part:
     z = F.col("z")
-    rows = windowed.withColumn("_med", F.median(z).over(_whole())).withColumn("_d", z - F.lag(z).over(_ordered()))
+    rows = windowed.withColumn("_rmed", F.median(z).over(_whole())).withColumn("_rd", z - F.lag(z).over(_ordered()))
     for name, span, beyond, need in (("two", 3, 2.0, 2), ("one", 5, 1.0, 4)):
         over = _ordered().rowsBetween(1 - span, 0)
         high, low = F.sum((z > beyond).cast("int")).over(over), F.sum((z < -beyond).cast("int")).over(over)
         rows = rows.withColumn(f"_{name}", (F.col("pos") >= span - 1) & ((high >= need) | (low >= need)))
-    side = F.when(z > F.col("_med"), "A").when(z < F.col("_med"), "B").otherwise("M")
-    turn = F.when(F.col("_d") > 0, "U").when(F.col("_d") < 0, "D").otherwise("E")
+    side = F.when(z > F.col("_rmed"), "A").when(z < F.col("_rmed"), "B").otherwise("M")
+    turn = F.when(F.col("_rd") > 0, "U").when(F.col("_rd") < 0, "D").otherwise("E")
     rows = rows.withColumn("_side", side).withColumn("_turn", turn)
-    rows = rows.groupBy(*KEYS).agg(
-        F.first("n").alias("n"), F.array_join(_sorted("_side"), "").alias("_sides"), F.array_join(_sorted("_turn"), "").alias("_turns"), F.max("_two").alias("_two"), F.max("_one").alias("_one")
-    )
+    values = {"_sides": F.array_join(_sorted("_side"), ""), "_turns": F.array_join(_sorted("_turn"), ""), "_two": F.max("_two"), "_one": F.max("_one")}
     steps = lambda s: F.when(longest(F.col("_turns"), s) > 0, longest(F.col("_turns"), s) + 1).otherwise(0)
-    rows = rows.withColumn("_a", longest(F.col("_sides"), "A")).withColumn("_b", longest(F.col("_sides"), "B")).withColumn("_u", steps("U")).withColumn("_v", steps("D"))
+    then = {"_a": longest(F.col("_sides"), "A"), "_b": longest(F.col("_sides"), "B"), "_u": steps("U"), "_v": steps("D")}
     rules = (F.greatest("_a", "_b") >= 8).cast("int") + (F.greatest("_u", "_v") >= 6).cast("int") + F.col("_two").cast("int") + F.col("_one").cast("int")
-    values = {"longest_run_above_median": F.col("_a"), "longest_run_below_median": F.col("_b"), "trend_run_up_max": F.col("_u"), "trend_run_down_max": F.col("_v"), "n_runs_rule_violations": rules}
-    return rows.select(*KEYS, *[F.when(F.col("n") >= 6, v).cast("double").alias(c) for c, v in values.items()])
+    finish = {"longest_run_above_median": F.col("_a"), "longest_run_below_median": F.col("_b"), "trend_run_up_max": F.col("_u"), "trend_run_down_max": F.col("_v"), "n_runs_rule_violations": rules}
+    return Part(rows, values, {c: F.when(F.col("n") >= 6, v).cast("double") for c, v in finish.items()}, then)
 
 
-def ectopy(windowed: DataFrame) -> DataFrame:
-    """Short and long intervals against the window's median, and patterns of them found in a string of symbols.
+def runs(windowed: DataFrame) -> DataFrame:
+    """Longest stretches above and below the window's median, longest trends in points, and four run rules."""
+    return _features(_runs)(windowed)
 
-    Null under 5 intervals or if the median is not positive.
-    """
+
+def _ectopy(windowed: DataFrame) -> Part:
     x, median = F.col("rr_ms"), F.median("rr_ms").over(_whole())
-    rows = windowed.withColumn("_med", median)
-    rows = rows.withColumn("_s", F.when(x < SHORT * F.col("_med"), "S").when(x > LONG * F.col("_med"), "L").otherwise("N"))
-    rows = rows.groupBy(*KEYS).agg(F.first("n").alias("n"), F.first("_med").alias("_med"), F.array_join(_sorted("_s"), "").alias("_s"))
-    count = lambda p: F.regexp_count("_s", F.lit(p)).cast("long")
-    values = {
+    rows = windowed.withColumn("_xmed", median)
+    rows = rows.withColumn("_xs", F.when(x < SHORT * F.col("_xmed"), "S").when(x > LONG * F.col("_xmed"), "L").otherwise("N"))
+    values = {"_xmed": F.first("_xmed"), "_xs": F.array_join(_sorted("_xs"), "")}
+    count = lambda p: F.regexp_count("_xs", F.lit(p)).cast("long")
+    finish = {
         "ectopy_like_count": count("[SL]"),
         "ectopy_like_density": count("[SL]") / F.col("n"),
         "short_long_sequence_count": count("SL"),
@@ -235,15 +283,29 @@ def ectopy(windowed: DataFrame) -> DataFrame:
         "trigeminy_like_pattern_count": count("(SNN){2,}"),
         "atrial_tachy_like_run_count": count("S{3,}"),
     }
-    fits = (F.col("n") >= 5) & (F.col("_med") > 0)
-    return rows.select(*KEYS, *[F.when(fits, v).cast("double").alias(c) for c, v in values.items()])
+    fits = (F.col("n") >= 5) & (F.col("_xmed") > 0)
+    return Part(rows, values, {c: F.when(fits, v).cast("double") for c, v in finish.items()})
 
 
-def all_features(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
-    """One row for each window with provenance and all 49 features; the parts share the windows' partitioning."""
-    from .windows import provenance
+def ectopy(windowed: DataFrame) -> DataFrame:
+    """Short and long intervals against the window's median, and patterns of them found in a string of symbols.
+
+    Null under 5 intervals or if the median is not positive.
+    """
+    return _features(_ectopy)(windowed)
+
+
+def _bounds() -> dict[str, Column]:
+    """Provenance of a window, as aggregates of its rows."""
+    return {"start_time_sec": F.first("start_time_sec"), "end_time_sec": F.first("end_time_sec"), "n_rr": F.count(F.lit(1))}
 
-    out = provenance(windowed)
-    for part in (variability(windowed), shewhart(windowed, chart), cusum(windowed, chart), ewma(windowed, chart), moving_range(windowed), runs(windowed), ectopy(windowed)):
-        out = out.join(part, KEYS)
-    return out
+
+def cusum_with_bounds(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
+    """The CUSUM features with each window's bounds and size."""
+    return _features(lambda w: _cusum(w, chart), more=_bounds())(windowed)
+
+
+def all_features(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
+    """One row for each window with provenance and all 49 features, from one pass and one aggregate."""
+    parts = (_variability, lambda w: _shewhart(w, chart), lambda w: _cusum(w, chart), lambda w: _ewma(w, chart, True), _moving_range, _runs, _ectopy)
+    return _features(*parts, more=_bounds())(windowed)

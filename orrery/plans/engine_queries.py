@@ -8,27 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import charts, folds, mahalanobis, models, stats, windows
-from ..sources import manifests
 from ..streaming.monitor import monitor
-from .base import BASELINE, CHART, load, rounded, windowed
-from .series_queries import POINTS_SQL, VARIABILITY_SQL, WK, pair_columns
+from .base import BASELINE, CHART, load, rounded, shared_dir, windowed
+from .series_queries import POINTS_SQL, VARIABILITY_SQL, pair_columns
 from .stat_queries import FEATURES, RECORDS_SQL, records, users
 
-LIMIT, SPAN = 2.0, 3.0
-DISTANCES_SQL = f"""{POINTS_SQL}, dm AS (SELECT record_id, record_id % 2 AS y, any_value(start_time_sec) AS st, CASE WHEN window_index % 5 = 3 THEN NULL ELSE max(abs(z)) END AS d FROM w WHERE window_type = 'rr_count' AND window_size = 10 GROUP BY {WK}),
-d1 AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY st) - 1 AS i, count(*) OVER (PARTITION BY record_id) AS n FROM dm),
-d2 AS (SELECT *, CASE WHEN i >= n - greatest(n // 2, 1) THEN d END AS tl FROM d1), d3 AS (SELECT *, CASE WHEN tl IS NOT NULL THEN sum(CAST(tl IS NOT NULL AS INT)) OVER (PARTITION BY record_id ORDER BY i) END AS k FROM d2),
-d4 AS (SELECT record_id, y, avg(d) AS a, median(d) AS b, max(d) AS c, quantile_cont(d, 0.9) AS e, arg_max(d, i) FILTER (d IS NOT NULL) AS f, regr_slope(tl, CAST(k AS DOUBLE)) AS g, CAST(count(*) FILTER (d > {LIMIT}) AS DOUBLE) AS h,
-  count(*) FILTER (d > {LIMIT}) / CAST(count(*) AS DOUBLE) AS s, max(st) AS ms, arg_min(st, i) FILTER (d > {LIMIT}) AS fa FROM d3 GROUP BY record_id, y)
-SELECT record_id, y, round(a, 8) + 0.0 AS mahalanobis_mean, round(b, 8) + 0.0 AS mahalanobis_median, round(c, 8) + 0.0 AS mahalanobis_max, round(e, 8) + 0.0 AS mahalanobis_p90, round(f, 8) + 0.0 AS mahalanobis_last, round(g, 8) + 0.0 AS mahalanobis_slope,
-  h AS mahalanobis_alarm_count, round(s, 8) + 0.0 AS mahalanobis_alarm_density, round(s * ms, 8) + 0.0 AS mahalanobis_time_in_alarm, round(fa, 8) + 0.0 AS mahalanobis_first_alarm_time_sec, round(CASE WHEN y = 1 AND fa IS NOT NULL THEN greatest(0.0, {SPAN} - fa) END, 8) + 0.0 AS mahalanobis_lead_time_sec FROM d4"""
-
-
-def distance_figures(spark, sf):
-    w = windowed(spark, sf).where("window_type = 'rr_count' AND window_size = 10")
-    d = w.groupBy(*windows.KEYS).agg(F.first("start_time_sec").alias("start_time_sec"), F.max(F.abs("z")).alias("dm"))
-    d = d.withColumn("dm", F.when(F.col("window_index") % 5 != 3, F.col("dm"))).withColumn("y", F.col("record_id") % 2)
-    return mahalanobis.distances_by_record(d, LIMIT, SPAN, ["record_id", "y"])
+SPAN = 3.0
 
 
 def embedding_distances(spark, sf):
@@ -121,7 +106,7 @@ def nested_tuning(spark, sf):
 
 def streamed(spark, sf):
     """The monitor over all events as a stream that ends with them, its rows appended to a table in the shared folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:/tmp/checkpoints'}/monitor-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
     schema = load(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = events.select(F.col("user_id").alias("record_id"), "ts", F.col("event_id").alias("order"), F.col("value").alias("rr_ms"))
@@ -174,11 +159,6 @@ def revenue_cube(spark, sf):
     return rows.cube("c_mktsegment", "o_orderpriority").agg(F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("lines"), F.grouping_id().alias("level"))
 
 
-def customers_without_orders(spark, sf):
-    c, o = load(spark, sf, "customer"), load(spark, sf, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
-
-
 def last_event_before_order(spark, sf):
     """For each order the customer-number's latest event before it: an as-of join as one union and one window."""
     o = load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("o_orderkey"), F.lit(None).cast("long").alias("event_id"))
@@ -210,8 +190,6 @@ def set_operations(spark, sf):
 
 
 QUERIES = {
-    "manifest_and_audit": lambda s, d: manifests.audit_manifest(s).join(users(s, d).select(F.format_string("p%02d", "record_id").alias("record_id"), "p"), "record_id").select("record_id", "pair_id", "included"),
-    "mahalanobis_by_record": lambda s, d: rounded(distance_figures(s, d)),
     "mahalanobis_all_windows": lambda s, d: rounded(record_distances(s, d)),
     "mahalanobis_embeddings": lambda s, d: rounded(embedding_distances(s, d)),
     "mahalanobis_population_folds": population_folds,
@@ -229,15 +207,12 @@ QUERIES = {
     "topk_abs": lambda s, d: rounded(topk(s, d)),
     "supplier_count_windows": supplier_windows,
     "revenue_cube": lambda s, d: rounded(revenue_cube(s, d)),
-    "anti_join": customers_without_orders,
     "asof_join": last_event_before_order,
     "event_sessions": lambda s, d: rounded(event_sessions(s, d)),
     "set_operations": set_operations,
 }
 _SCALE = {"rr_count_10": "rr_count' AND window_size = 10", "rr_count_16": "rr_count' AND window_size = 16", "rr_count_25": "rr_count' AND window_size = 25", "full_record_1800": "full_record' AND window_size = 1800"}
 ORACLE_SQL = {
-    "manifest_and_audit": "SELECT 'p' || lpad(CAST(user_id AS VARCHAR), 2, '0') AS record_id, (user_id - 1) // 2 AS pair_id, TRUE AS included FROM (SELECT DISTINCT user_id FROM events) WHERE user_id BETWEEN 1 AND 50",
-    "mahalanobis_by_record": DISTANCES_SQL,
     "streaming_monitor": STREAM_SQL,
     "pivot_block_by_window": f"{POINTS_SQL}, {VARIABILITY_SQL} SELECT record_id, " + ", ".join(f"round(avg(rmssd) FILTER (window_type = '{f}), 8) + 0.0 AS {c}" for c, f in _SCALE.items()) + " FROM r GROUP BY record_id",
     "best_window_per_record": f"{POINTS_SQL}, {VARIABILITY_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY record_id, window_size ORDER BY rmssd DESC, window_index) AS k FROM r WHERE window_type = 'rr_count' AND rmssd IS NOT NULL) SELECT record_id, window_size, window_index, round(rmssd, 8) + 0.0 AS rmssd FROM q WHERE k = 1",
@@ -245,7 +220,6 @@ ORACLE_SQL = {
     "supplier_count_windows": """WITH s AS (SELECT l_suppkey AS record_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n, l_quantity AS q FROM lineitem)
 SELECT record_id, idx // 100 AS window_index, round(avg(q), 8) + 0.0 AS mean_rr, round(median(q), 8) + 0.0 AS median_rr, round(stddev_samp(q), 8) + 0.0 AS std_rr FROM s WHERE idx // 100 < n // 100 GROUP BY record_id, idx // 100""",
     "revenue_cube": "SELECT c_mktsegment, o_orderpriority, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS lines, CAST(grouping_id(c_mktsegment, o_orderpriority) AS BIGINT) AS level FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY CUBE (c_mktsegment, o_orderpriority)",
-    "anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "asof_join": """SELECT o_orderkey, last_event FROM (SELECT o_orderkey, (SELECT arg_max(event_id, (ts, event_id)) FROM events WHERE user_id = o_custkey AND ts <= o_orderdate + INTERVAL 30 YEARS) AS last_event FROM orders) WHERE last_event IS NOT NULL""",
     "event_sessions": """WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) > 43200000000 THEN 1 ELSE 0 END AS f FROM events),
 h AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY us, event_id) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS events, max(us) - min(us) AS length_us FROM h GROUP BY user_id, session""",

@@ -1,7 +1,7 @@
 """All named queries of the series engine, and the DuckDB text of those that SQL can express."""
 
-from . import engine_queries, series_queries, stat_queries
+from . import engine_queries, series_queries, stat_queries, wide_queries
 
-_PARTS = (series_queries, stat_queries, engine_queries)
+_PARTS = (series_queries, stat_queries, engine_queries, wide_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}

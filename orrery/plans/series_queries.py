@@ -45,16 +45,16 @@ SHEWHART_SQL = grouped(
 )
 
 
-def cusum_points_sql(source: str, keys: str) -> str:
+def cusum_points_sql(source: str, keys: str, h: float = CHART.h) -> str:
     upto = f"OVER (PARTITION BY {keys} ORDER BY pos ROWS UNBOUNDED PRECEDING)"
     return f"""k1 AS (SELECT *, sum(z - {CHART.k}) {upto} AS pp, sum(-z - {CHART.k}) {upto} AS pm FROM {source}),
 k2 AS (SELECT *, pp - least(0.0, min(pp) {upto}) AS s_pos, pm - least(0.0, min(pm) {upto}) AS s_neg FROM k1),
-k3 AS (SELECT *, z IS NOT NULL AND coalesce(s_pos > {CHART.h}, FALSE) AS xp, z IS NOT NULL AND coalesce(s_neg > {CHART.h}, FALSE) AS xn FROM k2),
+k3 AS (SELECT *, z IS NOT NULL AND coalesce(s_pos > {h}, FALSE) AS xp, z IS NOT NULL AND coalesce(s_neg > {h}, FALSE) AS xn FROM k2),
 k4 AS (SELECT *, pos - row_number() OVER (PARTITION BY {keys}, xp ORDER BY pos) AS ip, pos - row_number() OVER (PARTITION BY {keys}, xn ORDER BY pos) AS i_n FROM k3),
 k AS (SELECT *, (xp AND count(*) OVER (PARTITION BY {keys}, xp, ip) >= {CHART.sustained}) OR (xn AND count(*) OVER (PARTITION BY {keys}, xn, i_n) >= {CHART.sustained}) AS alarm FROM k4)"""
 
 
-CUSUM_SQL = cusum_points_sql("w", WK) + ", " + grouped(
+CUSUM_PARTS = grouped(
     "k",
     guarded(
         6,
@@ -72,6 +72,7 @@ CUSUM_SQL = cusum_points_sql("w", WK) + ", " + grouped(
         },
     ),
 )
+CUSUM_SQL = f"{cusum_points_sql('w', WK)}, {CUSUM_PARTS}"
 
 _KEEP = 1 - CHART.weight
 _BOUND = CHART.ewma_limit * (CHART.weight / (2.0 - CHART.weight)) ** 0.5
@@ -139,7 +140,7 @@ def pair_columns(df):
 
 
 def cusum_features(spark, sf):
-    return charts.cusum(windowed(spark, sf), CHART).join(windows.provenance(windowed(spark, sf)), windows.KEYS)
+    return charts.cusum_with_bounds(windowed(spark, sf), CHART)
 
 
 def record_aggregate(spark, sf):

@@ -79,7 +79,7 @@ def users(spark, sf):
     return scores(spark, sf).where("config = 'user_mean'")
 
 
-REPLICATES = 40
+REPLICATES = 500
 DRAWS_SQL = f"""np AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS k FROM (SELECT DISTINCT pair_id FROM us)),
 dr AS (SELECT b, CAST(floor((((b + 1) * 1103515245 + (k + 1) * 12345 + (b + 1) * (k + 1) * 69069) % 2147483647) / 7.0) AS BIGINT) % (SELECT count(*) FROM np) AS k FROM np, (SELECT unnest(range({REPLICATES})) AS b)),
 dw AS (SELECT b, pair_id, count(*) AS times FROM dr JOIN np USING (k) GROUP BY b, pair_id)"""
