@@ -22,28 +22,39 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored QUALITY_THRESHOLD or more stay; the model learns from all labels of the table."""
+    """Documents scored QUALITY_THRESHOLD or more stay; the model learns from all labels of the table.
+
+    Null, empty and wordless texts get the score of a text without lines, like every other text by the model alone;
+    repeated rows get equal scores and stay or go together; null ids have no label; other columns are passed on as
+    they are, whatever their names; an empty table stays empty.
+    """
     model = quality.fit_quality(docs, load(spark, sf_dir, "labels"))
     return docs.where(quality.quality_column(model, F.col("text")) >= QUALITY_THRESHOLD)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
+    """One document of each class of near duplicates stays, the one with the smallest id.
+
+    Null, empty and wordless texts are in no class and all stay; repeated rows are one class, of which one row stays;
+    null ids are kept only where their class has no other id; other columns are passed on; an empty table stays empty.
+    """
     return near_dup.keep_one_of_each(docs, near_dup.near_duplicates(docs, NEAR_WIDTH, NEAR_PERCENT))
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every string of REPEAT_BYTES bytes that occurs at two places is taken out of the texts, characters kept whole.
 
-    n_chars follows the text where the table has it as a number.
+    All rows stay, with what is left of their texts; n_chars follows the text where the table has it. Null texts stay
+    null, shorter texts as they are; repeated rows of that length lose all; null ids do no harm; other columns are
+    passed on, whatever their names; an empty table stays empty.
     """
     names = docs.columns
-    rest = [c for c in names if c != "text"]
-    rows = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("_none")).alias("_rest"))
-    cut = exact_dup.remove_repeats(rows, REPEAT_BYTES, keep=["_rest"])
-    values = {c: F.col("_rest")[c] for c in rest}
-    values["text"] = F.when(~F.col("_rest")["_none"], whole_characters(F.col("kept_bytes")))
-    if "n_chars" in rest:
+    places = {c: f"c{k}" for k, c in enumerate(names)}
+    whole = F.struct(*[(F.col("text").isNull() if c == "text" else F.col(c)).alias(places[c]) for c in names])
+    cut = exact_dup.remove_repeats(docs.select("doc_id", "text", whole.alias("_rest")), REPEAT_BYTES, keep=["_rest"])
+    values = {c: F.col("_rest")[places[c]] for c in names}
+    values["text"] = F.when(~values["text"], whole_characters(F.col("kept_bytes")))
+    if "n_chars" in names:
         values["n_chars"] = F.when(F.col("n_removed") == 0, values["n_chars"]).otherwise(F.length(values["text"])).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[values[c].alias(c) for c in names])
 
@@ -59,12 +70,20 @@ def whole_characters(column: Column) -> Column:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, or one within its edit budget, go.
+
+    Null and empty texts hold nothing and stay; repeated rows go or stay together; items without text match nothing;
+    other columns are passed on; without items all documents stay.
+    """
     return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces, packed into sequences."""
+    """The remaining documents' pieces, packed into sequences.
+
+    Null and empty texts are one piece, their end alone; repeated rows are packed each; null ids are kept; other columns
+    are left behind; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path(packing.DEFAULT_TOKENIZER), SEQUENCE_TOKENS)
 
 
