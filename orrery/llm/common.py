@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_CHECKPOINT_DIR = "file:/tmp/checkpoints"
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+#: Rows and bytes of one Arrow batch between the JVM and Python, where the session has Spark's own defaults.
+ARROW_ROWS, ARROW_BYTES = 2_000, 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +21,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = DEFAULT_CHECKPOINT_DIR
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local session without one uses /tmp."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or DEFAULT_CHECKPOINT_DIR).rstrip("/")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that no task holds thousands of long texts at once; set limits stay."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 class Scratch:
@@ -37,6 +46,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.made: list[str] = []
+        small_batches(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count:03d}"
@@ -44,13 +55,23 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.made.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        self._delete([t.scratch_path for t in tables])
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Removes all tables that were written for the given ones, which alone are read from now on."""
+        kept = {t.scratch_path for t in tables}
+        self._delete([p for p in self.made if p not in kept])
+
+    def _delete(self, paths: list[str]) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        for t in tables:
-            path = hadoop(t.scratch_path)
+        for p in paths:
+            path = hadoop(p)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.made = [p for p in self.made if p not in set(paths)]
 
 
 def text_of(col: str = "text") -> Column:
@@ -89,6 +110,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
         data, offsets = utf8(batch.column(column))
         for lo, hi in sub_batches(offsets, most):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        del batch, data
+        pa.default_memory_pool().release_unused()
 
 
 # --- words: runs of bytes outside space, tab, newline, vertical tab, form feed, return

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.1
-#: Items of fewer characters are no evidence and match nothing.
-LEAST_CHARS = 32
+#: Items of fewer characters must occur as they are, between word boundaries.
+EDITABLE_CHARS = 32
 #: Characters of items that one scan of the documents looks for; a larger benchmark takes several scans.
 BLOCK_CHARS = 4 << 20
 
@@ -78,7 +78,7 @@ class Item:
 
     @classmethod
     def of(cls, item_id: int, text: str, rate: float) -> Item:
-        budget = int(rate * len(text))
+        budget = int(rate * len(text)) if len(text) >= EDITABLE_CHARS else 0
         return cls(item_id, text, budget, tuple(len(text) * k // (budget + 1) for k in range(budget + 2)))
 
 
@@ -114,6 +114,8 @@ class Matcher:
 
     def _verify(self, i: int, text: str, lo: int, hi: int) -> tuple[int, int, int] | None:
         item = self.items[i]
+        if len(item.text) < EDITABLE_CHARS:
+            return None if text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum() else (0, lo, hi)
         if i not in self.masks:
             self.masks[i] = bit_masks(item.text), bit_masks(item.text[::-1])
         ahead, behind = self.masks[i]
@@ -145,13 +147,13 @@ class Matcher:
         return found
 
 
-def item_blocks(benchmark: DataFrame, rate: float, id_col: str, text_col: str) -> Iterator[list[Item]]:
+def item_blocks(benchmark: DataFrame, rate: float, id_col: str, text_col: str, least_chars: int) -> Iterator[list[Item]]:
     """The benchmark in blocks of at most BLOCK_CHARS characters, one after another through the driver."""
     block: list[Item] = []
     size = 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t")).toLocalIterator():
         text = normalized(r["t"])
-        if len(text) < LEAST_CHARS:
+        if len(text) < max(1, least_chars):
             continue
         if block and size + len(text) > BLOCK_CHARS:
             yield block
@@ -170,18 +172,21 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    least_chars: int = 1,
 ) -> DataFrame:
     """(doc_id, item_id, distance, start, end) for each document row and each benchmark item found in it.
 
     Texts are compared in lower case with white space collapsed; ``start`` and ``end`` are characters of that form,
     of the best occurrence, the first among equals. An item may differ by ``rate`` of its characters, inserted,
-    deleted or replaced. Null and empty texts match nothing, as do items under ``LEAST_CHARS`` characters; repeated
+    deleted or replaced; one under ``EDITABLE_CHARS`` characters must occur as it is, with no letter or digit beside it.
+    Null and empty texts match nothing, as do items under ``least_chars`` characters (by default none); repeated
     rows and items each give their own rows; null ids stay null; an empty table on either side gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(benchmark, rate, item_col, item_text_col):
+    for block in item_blocks(benchmark, rate, item_col, item_text_col, least_chars):
 
         def run(batches: Iterator[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block)
@@ -219,9 +224,11 @@ def drop_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    least_chars: int = 1,
 ) -> DataFrame:
     """The rows of ``docs`` in which ``find_leaks`` would find no item, with all their columns."""
+    small_batches(docs.sparkSession)
     out = docs
-    for block in item_blocks(benchmark, rate, item_col, item_text_col):
+    for block in item_blocks(benchmark, rate, item_col, item_text_col, least_chars):
         out = out.where(holds_none(block, text_of(text_col)))
     return out

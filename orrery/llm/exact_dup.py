@@ -28,12 +28,12 @@ from .suffix import common_prefixes, repeat_classes, suffix_array
 
 WINDOW = 400
 #: Bytes of one suffix array, and of the groups of runs that are never divided among arrays.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 GROUP_BYTES = 1 << 18
 #: Windows of a block, level by level, where an anchor's runs do not fit one shard.
 BLOCKS = (64, 16, 4)
 #: Bytes of one text looked at together; a longer text is read in overlapping stretches.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 #: What tells runs apart.
 RUN = ["anchor", "digest", "twin", "n"]
 RUN_SCHEMA = "anchor long, digest long, twin long, n int"
@@ -231,7 +231,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     spans = found.select(*RUN, "pick", "lo").join(repeated, RUN).select(
         "pick", F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + (window - 1)).alias("hi")).alias("span")
     )
-    return scratch.table(spans.groupBy("pick").agg(F.collect_set("span").alias("spans")))
+    out = scratch.table(spans.groupBy("pick").agg(F.collect_set("span").alias("spans")))
+    scratch.drop_all_but(out)
+    return out
 
 
 def _with_bytes(slices: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
@@ -286,13 +288,14 @@ def _merged(spans: pa.Array) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False
 ) -> DataFrame:
     """Every row with the bytes left after each byte covered by a repeated ``window``-byte string is removed.
 
     All places of such a string are removed, the first as well; overlapping places count, places are judged on the
     input, and strings never cross documents. Returns the columns ``keep`` (the id by default), n_bytes, n_removed,
-    n_spans (maximal removed ranges), kept_sha256 (hex) and ``kept_bytes`` (binary; characters may be cut). Null and
+    n_spans (maximal removed ranges), kept_sha256 (hex) and ``kept_bytes`` (binary; characters may be cut) or, with
+    ``as_text``, ``kept_text`` (string, without the parts of characters that a cut left). Null and
     empty texts have no bytes; texts shorter than the window keep all; repeated rows of ``window`` bytes or more
     lose everything; null ids and extra columns do no harm; an empty table gives no rows.
     """
@@ -318,10 +321,11 @@ def remove_repeats(
                 removed.append(len(text) - len(body))
                 counts.append(len(cuts))
                 digests.append(hashlib.sha256(body).hexdigest())
-                left.append(body)
-            columns = [part.column("_row"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+                left.append(body.decode("utf-8", "ignore") if as_text else body)
+            columns = [part.column("_row"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept])
 
+    kept = "kept_text" if as_text else "kept_bytes"
     kind = joined.schema["_row"].dataType.simpleString()
-    schema = f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
-    return joined.mapInArrow(run, schema).select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
+    schema = f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {kept} {'string' if as_text else 'binary'}"
+    return joined.mapInArrow(run, schema).select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)

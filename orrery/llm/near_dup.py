@@ -146,6 +146,7 @@ def node_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
         if held:
             yield from _bounded(held)
         held = [batch.slice(cut)]
+        pa.default_memory_pool().release_unused()
     if held:
         yield from _bounded(held)
 
@@ -423,7 +424,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     vertices = with_class(reps.select("rid", "least_id"), moved)
     least = vertices.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    labels = vertices.join(least, "comp").select("rid", F.col("comp").alias("cluster"), "component_id")
+    labels = scratch.table(vertices.join(least, "comp").select("rid", F.col("comp").alias("cluster"), "component_id"))
+    scratch.drop_all_but(signed, labels)
     full = signed.where("n_shingles > 0").join(labels, "rid").select("doc_id", "pick", "n_shingles", "cluster", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "pick", "n_shingles", F.lit(None).cast("binary").alias("cluster"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -169,7 +169,8 @@ def pack_documents(
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("part", "length", F.coalesce(F.sum("pieces").over(before), F.lit(0)).alias("earlier"))
-    ranked = pieces.join(starts, ["part", "length"]).select(
+    # starts has a row for each task and length: it grows with the table and is never broadcast
+    ranked = pieces.join(starts.hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("earlier")).alias("rank")
     )
 

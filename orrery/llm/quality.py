@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, prefix_code, range_hash, sub_batches, text_batches, utf8, word_spans
+from .common import id_bucket, prefix_code, range_hash, small_batches, sub_batches, text_batches, utf8, word_spans
 
 #: At most so many labelled documents, those with the smallest id hashes, are used to fit.
 SAMPLE_DOCS = 4000
@@ -222,14 +222,15 @@ def fit_quality(
 ) -> LineModel:
     """Fit on a bounded sample of labelled documents, the ``sample_docs`` smallest by a hash of the id.
 
-    Rows without an id, label or text are left out; of repeated ids the lowest label and one text count. Lines'
-    features are made on the executors; the driver gets those of at most ``sample_lines`` lines.
+    Rows without an id, label or text are left out; of repeated ids the lowest label and text count. Lines' features
+    are made on the executors; the driver gets those of the first documents with ``sample_lines`` lines together.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_label"))
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(chosen), "_id").select("_id", "_label", "text")
+    rows = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
@@ -248,6 +249,8 @@ def fit_quality(
 
     made = rows.mapInArrow(features, "_id long, _label int, x binary, size binary, lines long")
     xs, sizes, marks_out, lines, seen = [], [], [], 0, set()
+    upto = Window.orderBy(F.xxhash64("_id"), "_id", "lines").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = made.withColumn("_upto", F.sum("lines").over(upto)).where(F.col("_upto") <= sample_lines).drop("_upto")
     for r in made.orderBy(F.xxhash64("_id"), "_id", "lines").toLocalIterator():
         if r["_id"] in seen or lines + r["lines"] > sample_lines:
             continue

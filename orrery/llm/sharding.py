@@ -10,6 +10,8 @@ from pyspark.sql import Window
 from .common import Scratch, text_of
 
 # Fixed values of the published jump hash: multiplier of its 64-bit generator, and 2**31.
+#: Jumps that nearly all keys get by with.
+USUAL_JUMPS = 16
 JUMP_MULTIPLIER = 2862933555777941757
 JUMP_SPAN = 2147483648
 _WRAP = "cast(18446744073709551616 as decimal(38,0))"
@@ -37,8 +39,14 @@ def jump_hash(key: Column, shards: int) -> Column:
         moved = F.struct(state.alias("state"), acc["next"].alias("at"), jumped.alias("next"))
         return F.when(acc["next"] < shards, moved).otherwise(acc)
 
-    steps = F.sequence(F.lit(1), F.lit(max(1, shards)))
-    return F.aggregate(steps, start, step, lambda acc: acc["at"].cast("int"))
+    # a key jumps about ln(shards) times; the few that need more than the first steps take the rest
+    few = min(max(1, shards), USUAL_JUMPS)
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
+    if few >= shards:
+        return first["at"].cast("int")
+    rest = F.sequence(F.lit(few + 1), F.lit(shards))
+    done = F.transform(F.array(first), lambda a: F.when(a["next"] >= shards, a["at"]).otherwise(F.aggregate(rest, a, step, lambda b: b["at"])))
+    return done[0].cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, text_of
+from .common import small_batches, text_batches, text_of
 from .pieces import piece_memory, spaced_pieces
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -38,5 +38,6 @@ def count_tokens(
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
