@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate, exact_dup, near_dup, packing, quality
@@ -51,24 +50,14 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     names = docs.columns
     places = {c: f"c{k}" for k, c in enumerate(names)}
     whole = F.struct(*[(F.col("text").isNull() if c == "text" else F.col(c)).alias(places[c]) for c in names])
-    cut = exact_dup.remove_repeats(docs.select("doc_id", "text", whole.alias("_rest")), REPEAT_BYTES, keep=["_rest"])
+    cut = exact_dup.remove_repeats(docs.select("doc_id", "text", whole.alias("_rest")), REPEAT_BYTES, keep=["_rest"], as_text=True)
     values = {c: F.col("_rest")[places[c]] for c in names}
-    values["text"] = F.when(~values["text"], whole_characters(F.col("kept_bytes")))
+    values["text"] = F.when(~values["text"], F.col("kept_text"))
     if "n_chars" in names:
         values["n_chars"] = F.when(F.col("n_removed") == 0, values["n_chars"]).otherwise(F.length(values["text"])).cast(docs.schema["n_chars"].dataType)
     return cut.select(*[values[c].alias(c) for c in names])
 
 
-def whole_characters(column: Column) -> Column:
-    """Bytes as text, without the parts of characters that a cut left at its edges."""
-
-    @F.arrow_udf("string")
-    def decoded(batch: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
-
-    return decoded(column)
-
-
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or one within its edit budget, go.
 
@@ -95,7 +84,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can express none of the stages in full: see tests/llm/test_pipeline.py for brute force.
+#: SQL can express none of the stages in full: tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL: str | None = None
 
 
