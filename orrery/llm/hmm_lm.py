@@ -319,9 +319,16 @@ def fit_vocabulary(scratch: Scratch, taught: DataFrame) -> tuple[Vocabulary, Dat
     counted = taught.select("text").mapInArrow(counted_rows, "word long, ending int, n long")
     table = scratch.table(counted.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c")))
     totals = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("ending") < 0, F.col("c"))), F.lit(0)).alias("e")).head()
-    top = table.where("ending >= 0").orderBy(F.desc("c"), "word").limit(HELD_WORDS).select("word", "c").toArrow()
+    # how many words have each count tells from which count on the words can be held
+    words_of = table.where("ending >= 0").groupBy("c").agg(F.count(F.lit(1)).alias("words")).toArrow()
+    c, n = words_of.column("c").to_numpy(), words_of.column("words").to_numpy()
+    fits = np.cumsum(n[np.argsort(-c)]) <= HELD_WORDS
+    least = int(np.sort(c)[::-1][fits].min()) if fits.any() else 1 << 62
+    top = table.where((F.col("ending") >= 0) & (F.col("c") >= least)).select("word", "c").toArrow()
     words = top.column("word").to_numpy().view(np.uint64)
     counts = top.column("c").to_numpy().astype(np.int64)
+    order = np.lexsort((words, -counts))
+    words, counts = words[order], counts[order]
     ending_count, ending_single = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in table.where("ending >= 0").groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") == 1, 1)).alias("one")).collect():
         ending_count[r["ending"]], ending_single[r["ending"]] = r["c"], r["one"]
