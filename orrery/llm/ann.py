@@ -17,10 +17,12 @@ SAMPLE_VECTORS = 20_000
 LIST_VECTORS = 4096
 MOST_LISTS = 4096
 #: Copies of a vector at most, and how much farther than the nearest centroid another one may be.
-COPIES = 3
-COPY_RATIO = 1.02
+COPIES = 2
+COPY_RATIO = 1.05
 #: Share of true neighbours of sampled queries whose lists the pruning ratio must let through.
 TARGET = 0.97
+#: Classes of queries, by the distance to their nearest centroid, with a pruning ratio each.
+CLASSES = 8
 BLOCK_VECTORS = 16_384
 BLOCK_QUERIES = 4096
 DEGREE = 16
@@ -107,66 +109,64 @@ def balanced_centroids(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarr
     return centroids
 
 
-def lifted(x: np.ndarray, most_norm: float) -> np.ndarray:
-    """Vectors with one more component that brings all to one length: the nearest then have the largest product."""
-    rest = np.sqrt(np.maximum(most_norm**2 - (x * x).sum(1), 0))
-    return np.concatenate([x, rest[:, None]], 1)
+def directions(x: np.ndarray) -> np.ndarray:
+    """Vectors at unit length: of two equally long vectors the one nearer in direction has the larger product."""
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def chosen_lists(graph: CentroidGraph, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the nearest centroid and, near a boundary, others that lie in other directions."""
-    ids, dist = graph.search(points, 4 * COPIES)
-    take = np.zeros(ids.shape, bool)
-    take[:, 0] = True
-    c = graph.centroids
-    for j in range(1, ids.shape[1]):
-        fits = (dist[:, j] <= COPY_RATIO * dist[:, 0]) & (take.sum(1) < COPIES)
-        for i in range(j):
-            between = np.sqrt(((c[ids[:, j]] - c[ids[:, i]]) ** 2).sum(1))
-            fits &= ~take[:, i] | (between >= dist[:, j])
-        take[:, j] = fits
-    row, at = np.nonzero(take)
+    """(row, list) pairs: the nearest centroid and, near a boundary, the next ones that are hardly farther."""
+    ids, dist = graph.search(points, COPIES)
+    row, at = np.nonzero(dist <= COPY_RATIO * dist[:, :1])
     return row, ids[row, at]
 
 
 @dataclass
 class ListIndex:
     graph: CentroidGraph
-    most_norm: float
-    ratio: float
+    #: Upper ends of classes of the distance to the nearest centroid, and the pruning ratio of each class.
+    reach: np.ndarray
+    ratio: np.ndarray
     width: int
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return chosen_lists(self.graph, lifted(x, self.most_norm))
+        return chosen_lists(self.graph, directions(x))
 
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs whose centroid is at most ``ratio`` times as far as the nearest one."""
-        scale = self.most_norm / np.sqrt((q * q).sum(1))
-        points = np.concatenate([q * scale[:, None], np.zeros((len(q), 1))], 1)
-        ids, dist = self.graph.search(points, self.width)
-        row, at = np.nonzero(dist <= self.ratio * dist[:, :1] + 1e-12)
+        """(row, list) pairs whose centroid is at most the ratio of the query's class times as far as the nearest one."""
+        ids, dist = self.graph.search(directions(q), self.width)
+        ratio = self.ratio[np.searchsorted(self.reach, dist[:, 0])]
+        row, at = np.nonzero(dist <= ratio[:, None] * dist[:, :1] + 1e-12)
         return row, ids[row, at]
 
 
-def fit_index(sample: np.ndarray, total: int, most_norm: float, k: int) -> ListIndex:
+def fit_index(sample: np.ndarray, total: int, k: int) -> ListIndex:
     """Centroids from the sample, and the pruning ratio that lets through the lists of the sample's true neighbours."""
-    points = lifted(sample, most_norm)
+    points = directions(sample)
     lists = max(1, min(MOST_LISTS, -(-total // LIST_VECTORS), len(sample)))
     graph = CentroidGraph.build(balanced_centroids(points, lists))
     row, owner = chosen_lists(graph, points)
     first = np.searchsorted(row, np.arange(len(sample) + 1))
-    ratios, numbers = [], []
-    for i in range(0, len(sample), max(1, len(sample) // 200)):
-        q = np.append(sample[i] * most_norm / np.sqrt((sample[i] ** 2).sum()), 0.0)
-        d = np.sqrt(_squares(q[None], graph.centroids))[0]
+    # of all rows' k neighbours the sample has its share; these lie as far away as the k do
+    near = min(max(1, -(-k * len(sample) // max(total, 1))), len(sample) - 1)
+    least, ratios = [], []
+    for i in range(0, len(sample), max(1, len(sample) // 2000)):
+        d = np.sqrt(_squares(points[i : i + 1], graph.centroids))[0]
         score = sample @ sample[i]
         score[i] = -np.inf
-        for j in np.argsort(-score)[: min(k, len(sample) - 1)]:
+        for j in np.argpartition(-score, max(near - 1, 0))[:near]:
+            least.append(d.min())
             ratios.append(float(d[owner[first[j] : first[j + 1]]].min() / max(d.min(), 1e-12)))
-        numbers.append(d / max(d.min(), 1e-12))
-    ratio = max(float(np.quantile(ratios, TARGET)), 1.0) + 1e-9 if ratios else 1.0
-    width = max([int((d <= ratio).sum()) for d in numbers] or [1])
-    return ListIndex(graph, most_norm, ratio, min(lists, width + width // 4 + 8))
+    if not ratios:
+        return ListIndex(graph, np.zeros(0), np.ones(1), lists)
+    least, ratios = np.array(least), np.array(ratios)
+    reach = np.unique(np.quantile(least, np.arange(1, CLASSES) / CLASSES))
+    of = np.searchsorted(reach, least)
+    ratio = np.array([max(float(np.quantile(ratios[of == c], TARGET)), 1.0) + 1e-9 if (of == c).any() else ratios.max() for c in range(len(reach) + 1)])
+    nearest = np.sqrt(_squares(points[:: max(1, len(points) // 2000)], graph.centroids))
+    allowed = ratio[np.searchsorted(reach, nearest.min(1))] * nearest.min(1)
+    width = int((nearest <= allowed[:, None]).sum(1).max())
+    return ListIndex(graph, reach, ratio, min(lists, width + width // 4 + 8))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -205,13 +205,11 @@ def nearest_neighbours(
     if length is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("vector") == length["d"])
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     queries = rows.where(F.col("vec_id") % query_modulus == 0)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), F.count(F.when(F.col("vec_id") % query_modulus == 0, 1)).alias("q")).head()
+    total = rows.count()
     picked = rows.select("vector").orderBy(F.xxhash64("vec_id", "uid")).limit(SAMPLE_VECTORS).toArrow()
     sample = _vectors(picked.column("vector").combine_chunks())
-    index = fit_index(sample, facts["n"], float(facts["norm"]), k)
-    query_blocks = max(1, -(-facts["q"] // BLOCK_QUERIES))
+    index = fit_index(sample, total, k)
 
     def spread(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +227,15 @@ def nearest_neighbours(
     kind = rows.schema["vector"].dataType.simpleString()
     spread_schema = f"list int, uid long, vec_id long, vector {kind}"
     posted = scratch.table(rows.select("uid", "vec_id", "vector").mapInArrow(spread("lists_of"), spread_schema))
-    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
+    asked = scratch.table(queries.select("uid", "vec_id", "vector").mapInArrow(spread("probes"), spread_schema))
+    # a list is cut into blocks, and its queries into parts: only where both are many does a row go to more than one task
+    blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
+    parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts"))
+    sizes = F.broadcast(blocks.join(parts, "list"))  # a row for each of at most MOST_LISTS lists
     dealt = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("list", "block", "part", "uid", "vec_id", "vector")
-    asked = queries.select("uid", "vec_id", "vector").mapInArrow(spread("probes"), spread_schema)
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "block", "part", "uid", "vec_id", "vector")
     asked = asked.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(query_blocks)).cast("int")).select("list", "block", "part", "uid", "vec_id", "vector")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).select("list", "block", "part", "uid", "vec_id", "vector")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"asker": [], "query_id": [], "uid": [], "vec_id": [], "score": []}

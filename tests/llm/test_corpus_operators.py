@@ -275,7 +275,13 @@ def test_license_windows_match_every_window(spark):
     assert len(want) > 10 and got.sort_values(key).reset_index(drop=True)[key + ["containment", "first_word"]].equals(want.sort_values(key).reset_index(drop=True)[key + ["containment", "first_word"]])
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("lists,sample,queries", [(1, 20_000, 4096), (32, 400, 3)])
+def test_nearest_neighbours(spark, monkeypatch, lists, sample, queries):
+    """One list, and many lists from a sample of half the rows, with several blocks and parts of each."""
+    monkeypatch.setattr(ann, "LIST_VECTORS", -(-907 // lists))
+    monkeypatch.setattr(ann, "SAMPLE_VECTORS", sample)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", queries)
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 16_384 if lists == 1 else 20)
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(30, 8))
     x = (centers[rng.integers(0, 30, 900)] + 0.3 * rng.normal(size=(900, 8))).astype(np.float32)
@@ -322,3 +328,23 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sum(SHARED[:200] in (t or "") for t in texts) == 0 and not any(prose(13, 40) in (t or "") for t in texts)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in now.collect()}
+
+
+def test_lists_are_replicated_and_pruned():
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(200, 48))
+    x = centers[rng.integers(0, 200, 8000)] + 0.4 * rng.normal(size=(8000, 48))
+    index = ann.fit_index(x[:4000], 8000 * ann.LIST_VECTORS // 200, 20)
+    row, owner = index.lists_of(x)
+    size = np.bincount(owner)
+    assert len(size) == 40 and len(row) > 1.05 * len(x)
+    asked = np.arange(4000, 8000, 20)
+    at, probed = index.probes(x[asked])
+    assert size[probed].sum() / len(asked) < 0.5 * len(x)
+    hit = 0
+    for i, q in enumerate(asked):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.argsort(-score)[:5]
+        hit += np.isin(best, row[np.isin(owner, probed[at == i])]).sum()
+    assert hit >= 0.9 * 5 * len(asked)
