@@ -286,8 +286,8 @@ def _paths(sketch: Column, tree: int, first: int) -> list[Column]:
     return [F.xxhash64(F.lit(tree), *tokens[: d + 1]).alias(f"p{d + 1}") for d in range(DEPTH)]
 
 
-def tree_nodes(scratch: Scratch, reps: DataFrame, column: str, trees: range) -> tuple[DataFrame, DataFrame]:
-    """(tree, node, rid, big, blocks): every set's node in each tree where it is not alone; and the sets whose node was branched.
+def tree_nodes(scratch: Scratch, reps: DataFrame, column: str, trees: range) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, node, rid, big, blocks): every set's node in each tree where it is not alone; and the sets whose node was branched, if any.
 
     ``big`` is the path of a node still large at the last level, else null; its members are dealt to ``blocks``.
     ``column`` has the tokens of ``trees``.
@@ -308,8 +308,8 @@ def tree_nodes(scratch: Scratch, reps: DataFrame, column: str, trees: range) ->
         done = here.where(small).select("tree", F.col(f"p{level}").alias("node"), "rid", F.lit(None).cast("long").alias("big"), F.lit(1).cast("long").alias("blocks"))
         out = done if out is None else out.unionByName(done)
         rest = here.where(~small)
-        if rest.isEmpty():
-            return scratch.table(out), top.where(~small).select("rid").distinct()
+        if level == 1 and rest.isEmpty():
+            return out, None
         if level < DEPTH:
             here = counted(rest, level + 1)
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_load") / BLOCK_SHINGLES)).cast("long")
@@ -402,8 +402,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     later = active(in_torn_nodes(with_class(chosen.where(F.col("tree") >= FIRST_TREES), moved)))
     moved = relabel(scratch, moved, contract(scratch, linked(later, sets)))
 
-    keys = scratch.table(branched.join(reps.select("rid", "pick", "n_shingles"), "rid"))
-    if not keys.isEmpty():
+    if branched is not None:
+        keys = branched.join(reps.select("rid", "pick", "n_shingles"), "rid")
         # a row given twice has its pick twice
         more = signed.select("pick", "rid", "more").join(keys, ["pick", "rid"]).dropDuplicates(["pick", "rid"])
         further, _ = tree_nodes(scratch, more, "more", range(TREES, ALL_TREES))
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         nodes = nodes.unionByName(further)
 
     large = nodes.where(F.col("big").isNotNull())
-    if not large.isEmpty():
+    if branched is not None and not large.isEmpty():
         members = scratch.table(with_class(large, moved))
         shares = members.groupBy("tree", "big", "comp").agg(F.count(F.lit(1)).alias("_n"))
         most = F.max(F.struct("_n", "comp"))
