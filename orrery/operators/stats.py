@@ -141,15 +141,16 @@ def wilcoxon_p(ranks: DataFrame, most_exact: int = 50) -> DataFrame:
     return ranks.withColumn("p_value", p_value("n_used", "wilcoxon_w", "ties"))
 
 
-def spearman(records: DataFrame, names: list[str], key: str = "record_id") -> DataFrame:
-    """(a, b, rho, n) for each pair of features: correlation of average ranks over rows that have both."""
+def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, rho, n) for each pair of features: correlation of average ranks over rows that have both, within ``by``."""
+    by = by or []
     order = {c: i for i, c in enumerate(names)}
     rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    long = unpivoted(records, names, [key]).where("x IS NOT NULL")
-    left, right = long.select(key, F.col("feature").alias("a"), F.col("x").alias("xa")), long.select(key, F.col("feature").alias("b"), F.col("x").alias("xb"))
-    both = left.join(right, key).where(rank_of[F.col("a")] < rank_of[F.col("b")])
-    both = both.withColumn("ra", average_rank(F.col("xa"), ["a", "b"])).withColumn("rb", average_rank(F.col("xb"), ["a", "b"]))
-    return both.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    long = unpivoted(records, names, [key, *by]).where("x IS NOT NULL")
+    left, right = long.select(key, *by, F.col("feature").alias("a"), F.col("x").alias("xa")), long.select(key, *by, F.col("feature").alias("b"), F.col("x").alias("xb"))
+    both = left.join(right, [key, *by]).where(rank_of[F.col("a")] < rank_of[F.col("b")])
+    both = both.withColumn("ra", average_rank(F.col("xa"), [*by, "a", "b"])).withColumn("rb", average_rank(F.col("xb"), [*by, "a", "b"]))
+    return both.groupBy(*by, "a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def components(names: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
@@ -185,7 +186,10 @@ class CorrelationPruner:
 
     def fit(self, records: DataFrame) -> CorrelationPruner:
         strong = spearman(records, self.names).where(F.abs(F.round("rho", 4)) >= self.threshold).select("a", "b").collect()
-        self.groups = components(self.names, [(r["a"], r["b"]) for r in strong])
+        return self.fit_pairs([(r["a"], r["b"]) for r in strong])
+
+    def fit_pairs(self, pairs: list[tuple[str, str]]) -> CorrelationPruner:
+        self.groups = components(self.names, pairs)
         best = {g[0] for g in self.groups}
         self.kept = [c for c in self.given if c in best]
         return self
@@ -202,6 +206,17 @@ class CorrelationPruner:
         return len(self.given) - len(self.kept)
 
 
+def kept_in_folds(rows: DataFrame, names: list[str], threshold: float = 0.9, priority: list[str] | None = None, fold: str = "fold", key: str = "record_id") -> dict[int, list[str]]:
+    """Features that ``CorrelationPruner`` keeps of the training rows of each fold; one job correlates all folds."""
+    held = rows.select(F.col(fold).alias("_model")).distinct()
+    seen = rows.crossJoin(F.broadcast(held)).where(F.col(fold) != F.col("_model"))
+    strong = spearman(seen, names, key, ["_model"]).where(F.abs(F.round("rho", 4)) >= threshold)
+    pairs: dict[int, list[tuple[str, str]]] = {}
+    for r in held.join(strong, "_model", "left").select("_model", "a", "b").collect():
+        pairs.setdefault(r["_model"], []).extend([(r["a"], r["b"])] if r["a"] else [])
+    return {m: CorrelationPruner(names, threshold, priority).fit_pairs(p).kept for m, p in sorted(pairs.items())}
+
+
 def pruning_stability(kept: DataFrame, folds: int) -> DataFrame:
     """Percentage of folds in which each feature of (fold, feature) was kept."""
     return kept.groupBy("feature").agg(F.round(100.0 * F.count_distinct("fold") / folds, 2).alias("pct_folds"))

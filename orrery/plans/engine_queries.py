@@ -79,16 +79,38 @@ def coefficient_stability(spark, sf):
     return models.coefficient_stability(spark.createDataFrame(rows, "model long, feature string, coef double"))
 
 
+PRIORITY = ["rmssd", "cv_rr"]
+
+
 def pruned_features(spark, sf):
     """Features kept in each fold's training rows, and the share of folds."""
-    rows = fold_rows(spark, sf)
-    kept = []
-    for r in rows.select("fold").distinct().orderBy("fold").collect():
-        pruner = stats.CorrelationPruner(FEATURES, 0.9, ["rmssd", "cv_rr"]).fit(rows.where(F.col("fold") != r["fold"]))
-        kept += [(r["fold"], c) for c in pruner.kept]
+    found = stats.kept_in_folds(fold_rows(spark, sf), FEATURES, 0.9, PRIORITY)
+    kept = [(m, c) for m, names in found.items() for c in names]
     return stats.pruning_stability(spark.createDataFrame(kept, "fold long, feature string"), 5)
 
 
+def pairwise_ranking(spark, sf):
+    """Metrics of each held-out fold and the ranking within its pairs, with all features and with those kept by pruning.
+
+    Pruning sees the training rows alone. A pruned feature's scaled values are 0, so its penalized coefficient is 0,
+    and the models of all folds are fitted together.
+    """
+    rows = fold_rows(spark, sf)
+    scaled = models.impute_and_scale(rows, FEATURES)
+    kept = stats.kept_in_folds(rows, FEATURES, 0.9, PRIORITY)
+    shares = F.create_map(*[F.lit(v) for m, names in kept.items() for v in (m, [float(c in names) for c in FEATURES])])
+    pruned = scaled.withColumn("x", F.zip_with("x", shares[F.col("model")], lambda v, share: v * share))
+    out = None
+    for use, data in ((False, scaled), (True, pruned)):
+        p = models.predictions(data, models.logistic_folds(data, len(FEATURES)))
+        mean = F.round(F.avg(F.round("margin", 4)), 4).alias("mean_margin")
+        share = F.round(F.avg((F.col("pre") > F.col("far")).cast("double")), 4).alias("pairwise_concordance")
+        pairs = stats.pair_margins(p, ["fold"]).groupBy("fold").agg(share, mean, F.count(F.lit(1)).alias("n_pairs_val"))
+        part = stats.confusion(p, ["fold"]).join(stats.roc_auc(p, ["fold"]), "fold").join(pairs, "fold", "left").withColumn("use_pruning", F.lit(use))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def nested_tuning(spark, sf):
     """Best chart setting of each outer fold by inner mean AUC of alarm counts; the first setting wins ties."""
     w = windowed(spark, sf).where("window_type = 'rr_count' AND window_size = 16")
@@ -200,6 +222,7 @@ QUERIES = {
     "coefficient_stability": lambda s, d: rounded(coefficient_stability(s, d)),
     "forest_importance": lambda s, d: rounded(models.forest_importance(records(s, d), FEATURES)),
     "pruning_stability": pruned_features,
+    "pairwise_ranking": lambda s, d: rounded(pairwise_ranking(s, d)),
     "nested_chart_tuning": lambda s, d: rounded(nested_tuning(s, d)),
     "streaming_monitor": streamed,
     "pivot_block_by_window": lambda s, d: rounded(block_pivot(s, d)),

@@ -63,6 +63,42 @@ def test_distances_of_all_windows(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
 
 
+def test_pairwise_ranking_by_plain_models(spark):
+    names = engine_queries.FEATURES
+    rows = engine_queries.fold_rows(spark, DATA).toPandas()
+    got = {(r["fold"], r["use_pruning"]): r for r in plans.QUERIES["pairwise_ranking"](spark, DATA).collect()}
+    assert len(got) == 2 * rows["fold"].nunique()
+    fewer = 0
+    for (fold, pruned), r in got.items():
+        train, held = rows[rows["fold"] != fold], rows[rows["fold"] == fold].copy()
+        used = list(names)
+        if pruned:
+            rho = train[names].astype(float).rank().corr().abs().round(4)
+            order = sorted(names, key=lambda c: (["rmssd", "cv_rr"] + names).index(c))
+            group = {c: {c} for c in names}
+            for a in names:
+                for b in names:
+                    if rho.loc[a, b] >= 0.9 and group[a] is not group[b]:
+                        joined = group[a] | group[b]
+                        group.update({c: joined for c in joined})
+            used = [c for c in names if min(group[c], key=order.index) == c]
+            fewer += len(used) < len(names)
+        middle = train[used].astype(float).median()
+        x, v = train[used].astype(float).fillna(middle), held[used].astype(float).fillna(middle)
+        mean, deviation = x.mean(), x.std(ddof=0).replace(0, 1)
+        x, v = (np.column_stack([((t - mean) / deviation).to_numpy(), np.ones(len(t))]) for t in (x, v))
+        b, y, ridge = np.zeros(x.shape[1]), train["y"].to_numpy(float), np.append(np.ones(len(used)), 0)
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-x @ b))
+            b += np.linalg.solve((x.T * (q * (1 - q))) @ x + np.diag(ridge), x.T @ (y - q) - ridge * b)
+        held["p"] = 1 / (1 + np.exp(-v @ b))
+        sides = held.pivot_table(index="pair_id", columns="y", values="p").dropna()
+        margin = sides[1] - sides[0]
+        assert r["n_pairs_val"] == len(margin)
+        assert abs(r["pairwise_concordance"] - (margin > 0).mean()) < 1e-4 and abs(r["mean_margin"] - margin.mean()) < 2e-4
+    assert fewer
+
+
 def test_entry_needs_no_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
