@@ -160,6 +160,39 @@ def customers_without_events(spark, sf):
     return c.join(e, c.c_custkey == e.user_id, "left_anti").select("c_custkey", "c_name")
 
 
+# --- all chart settings over three kinds of window
+
+# The settings that charts are tuned over, and the kinds of window.
+LIMITS, SLACKS, WEIGHTS, LENGTHS, SHEWHART_LIMITS = [3.0, 5.0, 7.0], [0.25, 0.5, 0.75], [0.1, 0.2, 0.3], [1, 2, 3], [2.5, 3.0]
+TUNED = "(window_type = 'rr_count' AND window_size IN (100, 128)) OR (window_type = 'time' AND window_size = 300)"
+
+
+def chart_settings(spark, sf):
+    """Alarms of the three charts and records in alarm, for every one of 162 settings and every kind of window."""
+    by = ["record_id", "window_type", "window_size"]
+    rows = charts.chart_grid(supplier_windows(spark, sf).where(TUNED), SLACKS, LIMITS, WEIGHTS, LENGTHS, SHEWHART_LIMITS, by)
+    alarms = [F.col(f"{c}_alarms") for c in ("cusum", "ewma", "shewhart")]
+    total = rows.groupBy("window_type", "window_size", "h", "k", "lam", "sustained", "shewhart_l")
+    return total.agg(*[F.sum(a).alias(n) for a, n in zip(alarms, ("cusum_alarms", "ewma_alarms", "shewhart_alarms"))], F.count_if(sum(alarms[1:], alarms[0]) > 0).alias("records"))
+
+
+def _settings_sql() -> str:
+    by, setting = "record_id, window_type, window_size", f"{WK}, h, k"
+    up = f"OVER (PARTITION BY {setting} ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    upto = f"OVER (PARTITION BY {WK}, lam ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    return f"""{points_sql(SERIES_SQL, BASELINE, COUNTS, SECONDS, FULL)}, tw AS (SELECT {WK}, pos, z FROM w WHERE n >= 6 AND ({TUNED})),
+g1 AS (SELECT * FROM tw, (SELECT unnest({LIMITS}::DOUBLE[]) AS h), (SELECT unnest({SLACKS}::DOUBLE[]) AS k)),
+g2 AS (SELECT *, sum(z - k) {up} AS pp, sum(-z - k) {up} AS pm FROM g1), g3 AS (SELECT *, pp - least(0.0, min(pp) {up}) > h AS xp, pm - least(0.0, min(pm) {up}) > h AS xn FROM g2),
+g4 AS (SELECT *, pos - row_number() OVER (PARTITION BY {setting}, xp ORDER BY pos) AS ip, pos - row_number() OVER (PARTITION BY {setting}, xn ORDER BY pos) AS i_n FROM g3),
+g5 AS (SELECT *, greatest(CASE WHEN xp THEN count(*) OVER (PARTITION BY {setting}, xp, ip) ELSE 0 END, CASE WHEN xn THEN count(*) OVER (PARTITION BY {setting}, xn, i_n) ELSE 0 END) AS run FROM g4),
+cu AS (SELECT {by}, h, k, sustained, count(*) FILTER (run >= sustained) AS ca FROM g5, (SELECT unnest({LENGTHS}) AS sustained) GROUP BY {by}, h, k, sustained),
+e1 AS (SELECT *, lam * pow(1 - lam, pos) * sum(z * pow(1 - lam, -pos)) {upto} AS ew FROM tw, (SELECT unnest({WEIGHTS}::DOUBLE[]) AS lam)),
+em AS (SELECT {by}, lam, count(*) FILTER (abs(ew) > 2.7 * sqrt(lam / (2 - lam))) AS ea FROM e1 GROUP BY {by}, lam),
+sw AS (SELECT {by}, shewhart_l, count(*) FILTER (abs(z) > shewhart_l) AS sa FROM tw, (SELECT unnest({SHEWHART_LIMITS}::DOUBLE[]) AS shewhart_l) GROUP BY {by}, shewhart_l)
+SELECT window_type, window_size, h, k, lam, CAST(sustained AS BIGINT) AS sustained, shewhart_l, CAST(sum(ca) AS BIGINT) AS cusum_alarms, CAST(sum(ea) AS BIGINT) AS ewma_alarms, CAST(sum(sa) AS BIGINT) AS shewhart_alarms,
+  count(*) FILTER (ca + ea + sa > 0) AS records FROM cu JOIN em USING ({by}) JOIN sw USING ({by}) GROUP BY ALL"""
+
+
 # --- manifest and audit of all users' recordings
 
 # What each kind of recording is called, and why it is left out of the main task.
@@ -199,6 +232,7 @@ QUERIES = {
     "records_with_distances": lambda s, d: rounded(figures_beside_records(s, d), DIGITS),
     "records_in_alarm": records_in_alarm,
     "charts_with_variability": lambda s, d: rounded(charts_beside_variability(s, d), DIGITS),
+    "param_grid_charts": lambda s, d: rounded(chart_settings(s, d), DIGITS),
     "anti_join": customers_without_events,
     "manifest_and_audit": audited,
     "recordings_audit": recordings_audit,
@@ -211,6 +245,7 @@ ORACLE_SQL = {
     "records_with_distances": DISTANCES_SQL.replace("SELECT record_id, y, round(a,", ", fin AS (SELECT record_id, y, round(a,", 1) + f") SELECT r.record_id, r.record_id // 2 AS pair_id, r.record_id % 2 AS y, round(rmssd, {DIGITS}) + 0.0 AS rmssd, mahalanobis_max, mahalanobis_alarm_count FROM r LEFT JOIN fin USING (record_id) WHERE window_type = 'full_record'",
     "records_in_alarm": DISTANCES_SQL[: DISTANCES_SQL.index("d1 AS (SELECT dm.*")].rstrip().rstrip(",") + " SELECT DISTINCT record_id, record_id // 2 AS pair_id, record_id % 2 AS y FROM dm, lt WHERE d > t",
     "charts_with_variability": f"{POINTS_SQL}, {_family(VARIABILITY_SQL, 'vb')}, {cusum_points_sql('w', WK)}, {_family(CUSUM_PARTS, 'cs')} SELECT {', '.join(f'cs.{c}' for c in KEY_COLUMNS)}, round(cusum_abs_max, {DIGITS}) + 0.0 AS cusum_abs_max, round(b.rmssd, {DIGITS}) + 0.0 AS rmssd, round(b.sd2, {DIGITS}) + 0.0 AS sd2 FROM cs LEFT JOIN (SELECT * FROM vb WHERE rmssd > 30) b USING ({WK}) WHERE cs.window_type = 'rr_count' AND cs.window_size = 16",
+    "param_grid_charts": _settings_sql(),
     "anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)",
     "recordings_audit": f"""{RECORDINGS_SQL}, pp AS (SELECT pair_id, count(*) AS n, count(DISTINCT y) AS l FROM re GROUP BY pair_id),
 ru AS (SELECT 'no_continuation_record' AS rule, count(*) FILTER (record_id LIKE '%c') AS violations FROM re UNION ALL SELECT 'no_control_record', count(*) FILTER (record_id LIKE 'n%') FROM re

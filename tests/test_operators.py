@@ -21,6 +21,23 @@ def points(spark, values, z=None):
     return windows.multi_scale(df, full=1800.0)
 
 
+def test_chart_grid_against_single_charts(spark):
+    rng = random.Random(5)
+    w = points(spark, [rng.gauss(0.3, 1.4) for _ in range(90)])
+    grid = charts.chart_grid(w, [0.25, 0.5], [2.0, 3.0], [0.1, 0.3], [1, 3], [1.5, 2.5], ["record_id"]).collect()
+    assert len(grid) == 32
+    for h, k, lam, sustained, limit in [(2.0, 0.25, 0.1, 3, 1.5), (3.0, 0.5, 0.3, 1, 2.5)]:
+        chart = charts.Chart(h=h, k=k, sustained=sustained, weight=lam, limit=limit)
+        row = next(r for r in grid if (r.h, r.k, r.lam, r.sustained, r.shewhart_l) == (h, k, lam, sustained, limit))
+        assert row.cusum_alarms == charts.cusum(w, chart).first().cusum_alarm_count > 0
+        assert row.ewma_alarms == charts.ewma(w, chart).first().ewma_alarm_count > 0
+        assert row.shewhart_alarms == charts.shewhart(w, chart).first().shewhart_out_count > 0
+
+
+def test_chart_grid_leaves_out_short_windows(spark):
+    assert charts.chart_grid(points(spark, [9.0] * 5), [0.5], [3.0], [0.2], [1], [3.0], ["record_id"]).isEmpty()
+
+
 def test_cusum_against_recursion(spark):
     rng = random.Random(1)
     for _ in range(3):
