@@ -92,3 +92,8 @@ def irregularity(clocked: DataFrame) -> DataFrame:
     x = F.col("rr_ms")
     rows = clocked.withColumn("_d", F.abs(x - F.lag(x).over(whole.orderBy("idx")))).withColumn("_far", F.abs(x - F.median(x).over(whole)))
     return rows.groupBy("record_id").agg((F.stddev_pop(x) / F.avg(x)).alias("rr_cv"), (F.avg("_d") / F.avg(x)).alias("rr_masd_over_mean"), F.median("_far").alias("segment_rr_mad_ms"))
+
+
+def scan(manifest: DataFrame, features: DataFrame) -> DataFrame:
+    """Every record of the manifest with its features; a record without intervals keeps its row, with nulls."""
+    return manifest.join(features, "record_id", "left")

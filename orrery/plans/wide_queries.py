@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import features as names
-from ..operators import aggregate, charts, mahalanobis, stats, windows
+from ..operators import aggregate, charts, legacy, mahalanobis, stats, windows
 from ..operators.intervals import series, with_clock
-from .base import EVENTS_SQL, KEY_COLUMNS, WK, load, points_sql, rounded, windowed
+from .base import CLOCKED_SQL, EVENTS_SQL, KEY_COLUMNS, WK, clocked, load, points_sql, rounded, sql_rounded, windowed
 from .series_queries import CUSUM_PARTS, ECTOPY_SQL, EWMA_SQL, MOVING_RANGE_SQL, POINTS_SQL, RUNS_SQL, SHEWHART_SQL, VARIABILITY_SQL, cusum_points_sql, pair_columns
 
 COUNTS, SECONDS, FULL, BASELINE = (50, 100, 128, 200), (300.0,), 1800.0, 200
@@ -155,6 +155,12 @@ def charts_beside_variability(spark, sf):
     return left.join(right, windows.KEYS, "left")
 
 
+def legacy_scan(spark, sf):
+    """Customers as the manifest of records: most have no events, and keep a row of nulls."""
+    manifest = load(spark, sf, "customer").select(F.col("c_custkey").alias("record_id"), "c_mktsegment")
+    return legacy.scan(manifest, legacy.irregularity(clocked(spark, sf)))
+
+
 def customers_without_events(spark, sf):
     c, e = load(spark, sf, "customer"), load(spark, sf, "events")
     return c.join(e, c.c_custkey == e.user_id, "left_anti").select("c_custkey", "c_name")
@@ -233,6 +239,7 @@ QUERIES = {
     "records_in_alarm": records_in_alarm,
     "charts_with_variability": lambda s, d: rounded(charts_beside_variability(s, d), DIGITS),
     "param_grid_charts": lambda s, d: rounded(chart_settings(s, d), DIGITS),
+    "legacy_scan": lambda s, d: rounded(legacy_scan(s, d)),
     "anti_join": customers_without_events,
     "manifest_and_audit": audited,
     "recordings_audit": recordings_audit,
@@ -246,6 +253,13 @@ ORACLE_SQL = {
     "records_in_alarm": DISTANCES_SQL[: DISTANCES_SQL.index("d1 AS (SELECT dm.*")].rstrip().rstrip(",") + " SELECT DISTINCT record_id, record_id // 2 AS pair_id, record_id % 2 AS y FROM dm, lt WHERE d > t",
     "charts_with_variability": f"{POINTS_SQL}, {_family(VARIABILITY_SQL, 'vb')}, {cusum_points_sql('w', WK)}, {_family(CUSUM_PARTS, 'cs')} SELECT {', '.join(f'cs.{c}' for c in KEY_COLUMNS)}, round(cusum_abs_max, {DIGITS}) + 0.0 AS cusum_abs_max, round(b.rmssd, {DIGITS}) + 0.0 AS rmssd, round(b.sd2, {DIGITS}) + 0.0 AS sd2 FROM cs LEFT JOIN (SELECT * FROM vb WHERE rmssd > 30) b USING ({WK}) WHERE cs.window_type = 'rr_count' AND cs.window_size = 16",
     "param_grid_charts": _settings_sql(),
+    "legacy_scan": sql_rounded(
+        f"""{CLOCKED_SQL}, i1 AS (SELECT *, abs(rr_ms - lag(rr_ms) OVER (PARTITION BY record_id ORDER BY idx)) AS d, abs(rr_ms - median(rr_ms) OVER (PARTITION BY record_id)) AS far FROM c),
+i2 AS (SELECT record_id, stddev_pop(rr_ms) / avg(rr_ms) AS rr_cv, avg(d) / avg(rr_ms) AS rr_masd_over_mean, median(far) AS segment_rr_mad_ms FROM i1 GROUP BY record_id),
+r AS (SELECT c_custkey AS record_id, c_mktsegment, rr_cv, rr_masd_over_mean, segment_rr_mad_ms FROM customer LEFT JOIN i2 ON c_custkey = record_id)""",
+        ["rr_cv", "rr_masd_over_mean", "segment_rr_mad_ms"],
+        ["record_id", "c_mktsegment"],
+    ),
     "anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)",
     "recordings_audit": f"""{RECORDINGS_SQL}, pp AS (SELECT pair_id, count(*) AS n, count(DISTINCT y) AS l FROM re GROUP BY pair_id),
 ru AS (SELECT 'no_continuation_record' AS rule, count(*) FILTER (record_id LIKE '%c') AS violations FROM re UNION ALL SELECT 'no_control_record', count(*) FILTER (record_id LIKE 'n%') FROM re
