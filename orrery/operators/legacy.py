@@ -49,7 +49,7 @@ def robust_scores(windows: DataFrame, baseline: int = BASELINE_WINDOWS) -> DataF
 
 def gated(windows: DataFrame) -> DataFrame:
     """Scores and values only where the window passed its gate."""
-    return windows.withColumn("z", F.when("gate", F.col("z"))).withColumn("rmssd", F.when("gate", F.col("rmssd")))
+    return windows.withColumn("z", F.when(F.col("gate"), F.col("z"))).withColumn("rmssd", F.when(F.col("gate"), F.col("rmssd")))
 
 
 def charted(windows: DataFrame, chart: Chart = Chart()) -> DataFrame:

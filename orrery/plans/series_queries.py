@@ -193,21 +193,38 @@ SELECT record_id, record_id // 2 AS pair_id, record_id % 2 AS y, window_type, wi
 
 STEP = 0.25
 LEGACY_BASE = 4
-DENSE_SQL = f"""{CLOCKED_SQL},
-l1 AS (SELECT *, CAST(floor(t / {STEP}) AS BIGINT) AS pos FROM c WHERE floor(t / {STEP}) * {STEP} < max_t),
-l2 AS (SELECT *, rr_ms - lag(rr_ms) OVER (PARTITION BY record_id, pos ORDER BY idx) AS d, least(floor((t - pos * {STEP}) / ({STEP} / 3)), 2) AS sub FROM l1),
+
+
+def dense_sql(clocked: str, step: float) -> str:
+    return f"""{clocked},
+l1 AS (SELECT *, CAST(floor(t / {step}) AS BIGINT) AS pos FROM c WHERE floor(t / {step}) * {step} < max_t),
+l2 AS (SELECT *, rr_ms - lag(rr_ms) OVER (PARTITION BY record_id, pos ORDER BY idx) AS d, least(floor((t - pos * {step}) / ({step} / 3)), 2) AS sub FROM l1),
 l3 AS (SELECT record_id, pos, sqrt(avg(d * d)) AS rmssd, count(*) FILTER (sub = 0) >= 3 AND count(*) FILTER (sub = 1) >= 3 AND count(*) FILTER (sub = 2) >= 3 AS gate FROM l2 GROUP BY record_id, pos),
-l4 AS (SELECT record_id, unnest(range(0, greatest(CAST(ceil(max(max_t) / {STEP}) AS BIGINT) - 1, 0) + 1)) AS pos FROM c GROUP BY record_id),
-dense AS (SELECT l4.record_id, l4.pos, (l4.pos + 0.5) * {STEP} AS center_s, rmssd, coalesce(gate, FALSE) AS gate FROM l4 LEFT JOIN l3 USING (record_id, pos))"""
-SCORED_SQL = f"""{DENSE_SQL},
-b1 AS (SELECT *, CASE WHEN rmssd IS NOT NULL AND row_number() OVER (PARTITION BY record_id, rmssd IS NOT NULL ORDER BY pos) <= {LEGACY_BASE} THEN rmssd END AS base FROM dense),
+l4 AS (SELECT record_id, unnest(range(0, greatest(CAST(ceil(max(max_t) / {step}) AS BIGINT) - 1, 0) + 1)) AS pos FROM c GROUP BY record_id),
+dense AS (SELECT l4.record_id, l4.pos, (l4.pos + 0.5) * {step} AS center_s, rmssd, coalesce(gate, FALSE) AS gate FROM l4 LEFT JOIN l3 USING (record_id, pos))"""
+
+
+def scored_sql(clocked: str, step: float, base: int, gate: bool = False) -> str:
+    """With ``gate`` scores and values only where the window passed."""
+    kept = "CASE WHEN gate THEN {} END" if gate else "{}"
+    return f"""{dense_sql(clocked, step)},
+b1 AS (SELECT *, CASE WHEN rmssd IS NOT NULL AND row_number() OVER (PARTITION BY record_id, rmssd IS NOT NULL ORDER BY pos) <= {base} THEN rmssd END AS base FROM dense),
 b2 AS (SELECT *, count(base) OVER (PARTITION BY record_id) AS nb, median(base) OVER (PARTITION BY record_id) AS med FROM b1),
 b3 AS (SELECT *, median(abs(base - med)) OVER (PARTITION BY record_id) AS mad FROM b2),
-scored AS (SELECT record_id, pos, center_s, rmssd, gate, CASE WHEN nb >= {LEGACY_BASE} THEN (rmssd - med) / (CASE WHEN mad = 0 THEN 1e-6 ELSE mad END) END AS z FROM b3)"""
-CHARTED_SQL = f"""{SCORED_SQL}, {cusum_points_sql('scored', 'record_id')},
+s0 AS (SELECT record_id, pos, center_s, rmssd, gate, CASE WHEN nb >= {base} THEN (rmssd - med) / (CASE WHEN mad = 0 THEN 1e-6 ELSE mad END) END AS z FROM b3),
+scored AS (SELECT record_id, pos, center_s, {kept.format('rmssd')} AS rmssd, gate, {kept.format('z')} AS z FROM s0)"""
+
+
+def charted_sql(scored: str, h: float) -> str:
+    return f"""{scored}, {cusum_points_sql('scored', 'record_id', h)},
 ch AS (SELECT record_id, pos, z, rmssd, gate, CASE WHEN z IS NOT NULL THEN s_pos END AS s_pos, CASE WHEN z IS NOT NULL THEN s_neg END AS s_neg, alarm AND z IS NOT NULL AS alarm FROM k)"""
 
 
+DENSE_SQL = dense_sql(CLOCKED_SQL, STEP)
+SCORED_SQL = scored_sql(CLOCKED_SQL, STEP, LEGACY_BASE)
+CHARTED_SQL = charted_sql(SCORED_SQL, CHART.h)
+
+
 def dense(spark, sf):
     return legacy.dense_windows(clocked(spark, sf), STEP)
 
@@ -225,8 +242,11 @@ def events_per_record(spark, sf):
 
 
 LEGACY_DOUBLES = ["pct_alarm_sustained", "max_cusum", "final_cusum", "max_cusum_pos", "max_cusum_neg", "final_cusum_pos", "final_cusum_neg", "median_rmssd", "median_z", "sqi_ok_fraction", "rr_cv", "rr_masd_over_mean", "segment_rr_mad_ms"]
-LEGACY_SQL = sql_rounded(
-    f"""{CHARTED_SQL},
+
+
+def legacy_sql(charted: str) -> str:
+    return sql_rounded(
+        f"""{charted},
 ed AS (SELECT *, CASE WHEN alarm AND NOT coalesce(lag(alarm) OVER (PARTITION BY record_id ORDER BY pos), FALSE) THEN 1 ELSE 0 END AS e FROM ch),
 f1 AS (SELECT record_id, CAST(sum(e) AS BIGINT) AS alarm_events, count(*) FILTER (alarm) / CAST(count(*) AS DOUBLE) AS pct_alarm_sustained, max(s_pos) AS max_cusum_pos, max(s_neg) AS max_cusum_neg,
   arg_max(s_pos, pos) FILTER (s_pos IS NOT NULL) AS final_cusum_pos, arg_max(s_neg, pos) FILTER (s_neg IS NOT NULL) AS final_cusum_neg,
@@ -234,9 +254,12 @@ f1 AS (SELECT record_id, CAST(sum(e) AS BIGINT) AS alarm_events, count(*) FILTER
 i1 AS (SELECT *, abs(rr_ms - lag(rr_ms) OVER (PARTITION BY record_id ORDER BY idx)) AS d, abs(rr_ms - median(rr_ms) OVER (PARTITION BY record_id)) AS far FROM c),
 f2 AS (SELECT record_id, stddev_pop(rr_ms) / avg(rr_ms) AS rr_cv, avg(d) / avg(rr_ms) AS rr_masd_over_mean, median(far) AS segment_rr_mad_ms FROM i1 GROUP BY record_id),
 r AS (SELECT *, greatest(max_cusum_pos, max_cusum_neg) AS max_cusum, greatest(final_cusum_pos, final_cusum_neg) AS final_cusum FROM f1 JOIN f2 USING (record_id))""",
-    LEGACY_DOUBLES,
-    ["record_id", "alarm_events"],
-)
+        LEGACY_DOUBLES,
+        ["record_id", "alarm_events"],
+    )
+
+
+LEGACY_SQL = legacy_sql(CHARTED_SQL)
 
 GAPS_SQL = """WITH g AS (SELECT user_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 2 AS idx,
   (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000.0 AS rr_ms FROM events)

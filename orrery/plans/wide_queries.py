@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import features as names
 from ..operators import aggregate, charts, legacy, mahalanobis, stats, windows
 from ..operators.intervals import series, with_clock
-from .base import CLOCKED_SQL, EVENTS_SQL, KEY_COLUMNS, WK, clocked, load, points_sql, rounded, sql_rounded, windowed
-from .series_queries import CUSUM_PARTS, ECTOPY_SQL, EWMA_SQL, MOVING_RANGE_SQL, POINTS_SQL, RUNS_SQL, SHEWHART_SQL, VARIABILITY_SQL, cusum_points_sql, pair_columns
+from .base import CLOCKED_SQL, EVENTS_SQL, KEY_COLUMNS, WK, clocked, clocked_sql, load, points_sql, rounded, sql_rounded, windowed
+from .series_queries import CUSUM_PARTS, ECTOPY_SQL, EWMA_SQL, MOVING_RANGE_SQL, POINTS_SQL, RUNS_SQL, SHEWHART_SQL, VARIABILITY_SQL, charted_sql, cusum_points_sql, legacy_sql, pair_columns, scored_sql
 
 COUNTS, SECONDS, FULL, BASELINE = (50, 100, 128, 200), (300.0,), 1800.0, 200
 CHART = charts.Chart()
@@ -20,10 +20,15 @@ ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpri
 SERIES_SQL = f"SELECT l_suppkey AS record_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ORDER)}) - 1 AS idx, l_quantity * 25.0 AS rr_ms FROM lineitem"
 
 
-def supplier_windows(spark, sf):
-    """All scales over each supplier's quantities, taken as intervals of 25 ms a unit."""
+def supplier_intervals(spark, sf):
+    """Each supplier's quantities, taken as intervals of 25 ms a unit."""
     items = load(spark, sf, "lineitem").withColumn("rr", F.col("l_quantity") * 25.0)
-    return windows.multi_scale(with_clock(series(items, "l_suppkey", "rr", ORDER), BASELINE), COUNTS, SECONDS, FULL, "main")
+    return with_clock(series(items, "l_suppkey", "rr", ORDER), BASELINE)
+
+
+def supplier_windows(spark, sf):
+    """All scales over each supplier's intervals."""
+    return windows.multi_scale(supplier_intervals(spark, sf), COUNTS, SECONDS, FULL, "main")
 
 
 def window_features(spark, sf):
@@ -161,6 +166,15 @@ def legacy_scan(spark, sf):
     return legacy.scan(manifest, legacy.irregularity(clocked(spark, sf)))
 
 
+#: Seconds of a dense window, such that some windows pass the gate and some do not.
+GATE_STEP = 8.0
+
+
+def gated_records(spark, sf):
+    """The older pipeline's fourteen features with its gate and its usual baseline of ten windows."""
+    return legacy.record_features(supplier_intervals(spark, sf), GATE_STEP, CHART)
+
+
 def customers_without_events(spark, sf):
     c, e = load(spark, sf, "customer"), load(spark, sf, "events")
     return c.join(e, c.c_custkey == e.user_id, "left_anti").select("c_custkey", "c_name")
@@ -239,6 +253,7 @@ QUERIES = {
     "records_in_alarm": records_in_alarm,
     "charts_with_variability": lambda s, d: rounded(charts_beside_variability(s, d), DIGITS),
     "param_grid_charts": lambda s, d: rounded(chart_settings(s, d), DIGITS),
+    "legacy_record_features_gated": lambda s, d: rounded(gated_records(s, d)),
     "legacy_scan": lambda s, d: rounded(legacy_scan(s, d)),
     "anti_join": customers_without_events,
     "manifest_and_audit": audited,
@@ -253,6 +268,7 @@ ORACLE_SQL = {
     "records_in_alarm": DISTANCES_SQL[: DISTANCES_SQL.index("d1 AS (SELECT dm.*")].rstrip().rstrip(",") + " SELECT DISTINCT record_id, record_id // 2 AS pair_id, record_id % 2 AS y FROM dm, lt WHERE d > t",
     "charts_with_variability": f"{POINTS_SQL}, {_family(VARIABILITY_SQL, 'vb')}, {cusum_points_sql('w', WK)}, {_family(CUSUM_PARTS, 'cs')} SELECT {', '.join(f'cs.{c}' for c in KEY_COLUMNS)}, round(cusum_abs_max, {DIGITS}) + 0.0 AS cusum_abs_max, round(b.rmssd, {DIGITS}) + 0.0 AS rmssd, round(b.sd2, {DIGITS}) + 0.0 AS sd2 FROM cs LEFT JOIN (SELECT * FROM vb WHERE rmssd > 30) b USING ({WK}) WHERE cs.window_type = 'rr_count' AND cs.window_size = 16",
     "param_grid_charts": _settings_sql(),
+    "legacy_record_features_gated": legacy_sql(charted_sql(scored_sql(clocked_sql(SERIES_SQL, BASELINE), GATE_STEP, legacy.BASELINE_WINDOWS, True), CHART.h)),
     "legacy_scan": sql_rounded(
         f"""{CLOCKED_SQL}, i1 AS (SELECT *, abs(rr_ms - lag(rr_ms) OVER (PARTITION BY record_id ORDER BY idx)) AS d, abs(rr_ms - median(rr_ms) OVER (PARTITION BY record_id)) AS far FROM c),
 i2 AS (SELECT record_id, stddev_pop(rr_ms) / avg(rr_ms) AS rr_cv, avg(d) / avg(rr_ms) AS rr_masd_over_mean, median(far) AS segment_rr_mad_ms FROM i1 GROUP BY record_id),
