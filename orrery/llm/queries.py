@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact_dup, hmm_lm, licenses, near_dup, packing, quality, sharding, token_counts
+from . import ann, collocations, decontaminate, exact_dup, fill_middle, hmm_lm, licenses, near_dup, packing, quality, sharding, token_counts, url_filter
 from .common import load
 from .pieces import tokenizer_path
 
@@ -54,6 +54,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(load(spark, sf_dir, "documents"), most=2000, least=30)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(load(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(load(spark, sf_dir, "pages"), url_filter.production_rules(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -65,6 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_url_filter": op13_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": licenses.oracle(),
+    "op11_collocations": collocations.oracle(),
+    "op12_fill_in_middle": fill_middle.oracle(),
+    "op13_url_filter": url_filter.oracle(),
+}
