@@ -28,8 +28,8 @@ from .common import LOWER, Scratch, mix64, prefix_code, range_hash, sub_batches,
 SCALE, LEAST, INSIDE = 2_000_000, 30, 80
 LONGEST = 4
 NO_LANGUAGE = "und"
-#: Bytes of text looked at together.
-CHUNK = 4 << 20
+#: Bytes of text looked at together, and rows of one batch of counts.
+CHUNK, ROWS = 2 << 20, 1 << 16
 #: Bits of a bitmap; beyond some millions of phrases it lets more of the others through.
 BITS = 1 << 25
 #: Pairs above the frontier, as multiples of the wanted phrases, round by round; after that all are.
@@ -59,7 +59,7 @@ class Words:
         last[edges - 1] = ~apart[edges - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         owner = np.searchsorted(offsets, starts, side="right") - 1
-        self.piece = np.cumsum(BREAK[low], dtype=np.int64)[starts] + owner if len(starts) else owner
+        self.piece = np.searchsorted(np.flatnonzero(BREAK[low]), starts) + owner
         size = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         buffer = np.ascontiguousarray(low[~apart])
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(buffer)]).dictionary_encode()
@@ -113,6 +113,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", lang: str = "l
         row = np.searchsorted(offsets, edges[:-1], side="right") - 1
         for lo, hi in sub_batches(edges, CHUNK):
             yield Words(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], row[lo:hi], batch.column(lang))
+            pa.default_memory_pool().release_unused()
 
 
 # --- bitmaps of what is grown
@@ -183,9 +184,11 @@ def counted_rows(width: int, wanted: Callable[[Words], np.ndarray] | None, with_
                 continue
             ok = words.whole(width)
             at = np.flatnonzero(ok if wanted is None else ok & wanted(words))
-            first, count = words.counted(at, width)
-            langs = words.langs.take(pa.array(words.lang[first]))
-            yield pa.RecordBatch.from_arrays([langs, words.phrases(first, width), pa.array(count)], names=["lang", "phrase", "places"])
+            places, counts = words.counted(at, width)
+            for k in range(0, len(places), ROWS):
+                first, count = places[k : k + ROWS], counts[k : k + ROWS]
+                langs = words.langs.take(pa.array(words.lang[first]))
+                yield pa.RecordBatch.from_arrays([langs, words.phrases(first, width), pa.array(count)], names=["lang", "phrase", "places"])
             if with_total:
                 total = np.bincount(words.lang, minlength=len(words.langs))
                 yield pa.RecordBatch.from_arrays([words.langs, pa.nulls(len(total), pa.string()), pa.array(total)], names=["lang", "phrase", "places"])
