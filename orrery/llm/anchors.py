@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import prefix_code, range_hash, twin_code, twin_hash
+from .common import FIXED_BASE, RangeCode, prefix_code, range_hash
 
 GRAM = 32
 #: Windows of one run at most; where a longer run is cut changes no result.
 RUN_WINDOWS = 8192
+#: Bases of the two hashes by which runs are told apart, where none are given.
+BASES = (FIXED_BASE, FIXED_BASE // 3)
 _POSITION_BITS = 26
 _POSITION = np.uint64((1 << _POSITION_BITS) - 1)
 
@@ -27,7 +29,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def window_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str, np.ndarray]:
+def window_runs(data: np.ndarray, offsets: np.ndarray, window: int, bases: tuple[int, int] = BASES) -> dict[str, np.ndarray]:
     """Runs of consecutive windows of ``window`` bytes whose anchors are the same gram, never across rows.
 
     Arrays ``row``, ``lo`` (first window's place in ``data``), ``n`` (windows), ``spots`` (places of the gram that are
@@ -60,10 +62,10 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, window: int) -> dict[str,
     n = np.diff(np.append(first, len(windows)))
     end = lo + n - 1 + window
     spots = np.add.reduceat((moved | fresh).astype(np.int64), first)
-    return {"row": row[first], "lo": lo, "n": n, "spots": spots, "anchor": grams[owner[first]], "digest": range_hash(prefix, lo, end), "twin": twin_hash(twin_code(data), lo, end)}
+    return {"row": row[first], "lo": lo, "n": n, "spots": spots, "anchor": grams[owner[first]], "digest": RangeCode(data, bases[0]).hashes(lo, end), "twin": RangeCode(data, bases[1]).hashes(lo, end)}
 
 
-def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: int, width: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: int, width: int, bases: tuple[int, int] = BASES) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Blocks of the windows of whole runs: those whose anchor lies ``width`` * b to ``width`` * (b + 1) - 1 bytes in.
 
     All windows of a block share its core, the bytes that each of them holds. Arrays ``run``, ``a`` and ``b`` (windows
@@ -91,7 +93,7 @@ def block_runs(data: np.ndarray, ends: np.ndarray, anchor: np.ndarray, window: i
     code = range_hash(prefix, core, core + window - width + 1)
     step = np.uint64(width << 32) + block.astype(np.uint64)
     key = code ^ ((anchor[run] + step) * np.uint64(0x9FB21C651E98DF25))
-    digest, twin = range_hash(prefix, lo, hi + window - 1), twin_hash(twin_code(data), lo, hi + window - 1)
+    digest, twin = (RangeCode(data, b).hashes(lo, hi + window - 1) for b in bases)
     order = np.lexsort((twin, digest, key, run))
     fresh = np.ones(len(run), bool)
     fresh[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (run, key, digest, twin)], axis=0)

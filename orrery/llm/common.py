@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -122,7 +123,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15
-_TWIN = 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
 
@@ -152,7 +152,10 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def prefix_code(data: np.ndarray) -> np.ndarray:
-    """n+1 prefix sums of a polynomial code modulo 2**64, for hashes of any byte range."""
+    """n+1 prefix sums of a polynomial code modulo 2**64, for cheap hashes of byte ranges.
+
+    Made strings can collide under it, so it chooses places and ways for strings, and never decides that two are equal.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_CODE[data] * powers(_BASE, len(data)), out=out[1:])
     return out
@@ -164,19 +167,86 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
-def twin_code(data: np.ndarray) -> np.ndarray:
-    """Like ``prefix_code`` over mixed words of eight bytes, for a second hash that is independent of the first."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    if len(data) >= 8:
-        words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data).data, strides=(1,))
-        np.cumsum(mix64(words + _U(1)) * powers(_TWIN, len(words)), out=out[1 : len(words) + 1])
-    return out
+# --- hashes that tell byte ranges apart: polynomials over the field of 2**61 - 1 elements
 
+FIELD = (1 << 61) - 1
+_P, _LOW = _U(FIELD), _U(0xFFFFFFFF)
+#: A base for hashes that must be the same in every session.
+FIXED_BASE = 0x1B873593CC9E2D51 % FIELD
+_FIELD_BLOCK = 1 << 19
+_field_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-def twin_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A second 64-bit hash of each byte range; of ranges under eight bytes it tells nothing."""
-    inverse = powers(pow(_TWIN, -1, 1 << 64), len(prefix))
-    return mix64((prefix[np.maximum(ends - 7, starts)] - prefix[starts]) * inverse[starts])
+
+def hash_bases(spark: SparkSession) -> tuple[int, int]:
+    """Two bases drawn from the application's id: no text can have been written to collide under them.
+
+    Two different strings of n bytes then have equal hashes under both with probability (n / 2**61)**2 at most.
+    """
+    drawn = hashlib.sha512(spark.sparkContext.applicationId.encode()).digest()
+    one, two = (int.from_bytes(drawn[k : k + 32], "big") % (FIELD - (1 << 20)) + (1 << 20) for k in (0, 32))
+    return one, two
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def field_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of reduced numbers, from products of halves."""
+    a1, a0, b1, b0 = a >> _U(32), a & _LOW, b >> _U(32), b & _LOW
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(((a1 * b1) << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) + (low & _P) + (low >> _U(61)))
+
+
+def _power_list(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, field_product(out, np.full(len(out), pow(base, len(out), FIELD), np.uint64))])
+    return out[:n]
+
+
+class RangeCode:
+    """Hashes of any byte ranges of ``data``, equal for equal bytes wherever they stand."""
+
+    def __init__(self, data: np.ndarray, base: int = FIXED_BASE):
+        if base not in _field_powers:
+            power = _power_list(base, _FIELD_BLOCK)
+            _field_powers.clear() if len(_field_powers) > 4 else None
+            _field_powers[base] = power & _LOW, power >> _U(32), _power_list(pow(base, -1, FIELD), _FIELD_BLOCK)
+        low, high, self.inverse = _field_powers[base]
+        n, blocks = len(data), len(data) // _FIELD_BLOCK + 1
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        step = pow(base, _FIELD_BLOCK, FIELD)
+        self.block_power = np.array([pow(step, k, FIELD) for k in range(blocks)], np.uint64)
+        self.block_inverse = np.array([pow(step, -k, FIELD) for k in range(blocks)], np.uint64)
+        self.carry = np.zeros(blocks, np.uint64)
+        for k in range(blocks):
+            lo = k * _FIELD_BLOCK
+            code = data[lo : lo + _FIELD_BLOCK].astype(np.uint64) + _U(1)
+            sums = [np.cumsum(code * part[: len(code)], dtype=np.uint64) for part in (low, high)]
+            self.low[lo + 1 : lo + 1 + len(code)], self.high[lo + 1 : lo + 1 + len(code)] = sums
+            if len(code) == _FIELD_BLOCK:
+                total = self._joined(sums[1][-1:], sums[0][-1:])
+                self.carry[k + 1] = _reduced(self.carry[k : k + 1] + field_product(self.block_power[k : k + 1], total))[0]
+                self.low[lo + len(code)] = self.high[lo + len(code)] = 0
+
+    @staticmethod
+    def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return _reduced((high >> _U(29)) + ((high & _U((1 << 29) - 1)) << _U(32)) + (low & _P) + (low >> _U(61)))
+
+    def _value(self, at: np.ndarray) -> np.ndarray:
+        here = self._joined(self.high[at], self.low[at])
+        if len(self.carry) == 1:
+            return here
+        block = at // _FIELD_BLOCK
+        return _reduced(self.carry[block] + field_product(self.block_power[block], here))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = field_product(_reduced(self._value(ends) + _P - self._value(starts)), self.inverse[starts % _FIELD_BLOCK])
+        if len(self.carry) > 1:
+            value = field_product(value, self.block_inverse[starts // _FIELD_BLOCK])
+        return mix64(value)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,8 +266,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, base: int = FIXED_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lower-cased (A-Z) words in order, and each row's first index (n+1 entries)."""
     low = LOWER[data]
     starts, ends, rows = word_spans(low, offsets)
-    return range_hash(prefix_code(low), starts, ends), rows
+    return RangeCode(low, base).hashes(starts, ends), rows

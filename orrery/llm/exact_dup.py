@@ -7,7 +7,8 @@ fit one shard (a passage in very many documents) are cut into blocks of windows
 finer: blocks seen once or alike everywhere are settled, the others meet by what they share. Blocks of the last level
 that still do not fit one shard go to several, whose sorted windows are merged by binary search.
 
-Runs and blocks are taken for alike when two independent 64-bit hashes of all their bytes agree.
+Runs and blocks are taken for alike when two hashes of all their bytes agree, polynomials modulo 2**61 - 1 whose bases
+are drawn for each application: strings of 8,192 windows that differ agree with probability 2**-94.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import block_runs, window_runs
-from .common import Scratch, text_batches, text_of
+from .anchors import BASES, block_runs, window_runs
+from .common import Scratch, hash_bases, text_batches, text_of
 from .near_dup import node_groups
 from .suffix import common_prefixes, repeat_classes, suffix_array
 
@@ -43,7 +44,7 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-def anchor_rows(window: int):
+def anchor_rows(window: int, bases: tuple[int, int] = BASES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_batches(batches):
             pick = rows.column("pick").to_numpy()
@@ -51,7 +52,7 @@ def anchor_rows(window: int):
                 whole = rows.num_rows > 1
                 part = data if whole else data[base : base + STRETCH + window - 1]
                 bounds = offsets if whole else np.array([0, len(part)])
-                found = window_runs(part, bounds, window)
+                found = window_runs(part, bounds, window, bases)
                 row = found["row"].astype(np.int64)
                 columns = [_longs(found[k]) for k in ("anchor", "digest", "twin")]
                 columns += [pa.array(found[k].astype(np.int32)) for k in ("n", "spots")]
@@ -79,12 +80,12 @@ def run_bytes(window: int):
     return run
 
 
-def block_rows(window: int, width: int):
+def block_rows(window: int, width: int, bases: tuple[int, int] = BASES):
     """The blocks of ``width`` windows within the given slices of runs; stretches that repeat within one run have no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_batches(batches, "body"):
-            found, again = block_runs(data, offsets, rows.column("anchor").to_numpy().view(np.uint64), window, width)
+            found, again = block_runs(data, offsets, rows.column("anchor").to_numpy().view(np.uint64), window, width, bases)
             copies = rows.column("copies").to_numpy()
             hashes = {k: _longs(found[c]) for k, c in (("key", "key"), ("one", "digest"), ("two", "twin"))}
             yield _block_batch(rows, found, hashes | {"places": _longs(found["places"] * copies[found["run"]])})
@@ -192,7 +193,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """
     scratch = Scratch(docs.sparkSession, "exact-dup")
     rows = docs.select(row_key(id_col, text_col), text_of(text_col).alias("text"))
-    occurrences = scratch.table(rows.mapInArrow(anchor_rows(window), f"{RUN_SCHEMA}, spots int, pick long, lo long"))
+    occurrences = scratch.table(rows.mapInArrow(anchor_rows(window, hash_bases(docs.sparkSession)), f"{RUN_SCHEMA}, spots int, pick long, lo long"))
     # tables of counts are written first, so that joins with them are split where one anchor has very many rows
     common = scratch.table(occurrences.groupBy("anchor").agg(F.sum("spots").alias("_places")).where("_places > 1").select("anchor"))
     found = scratch.table(occurrences.join(common, "anchor"))
@@ -251,7 +252,7 @@ def _by_blocks(scratch: Scratch, slices: DataFrame, bodies: DataFrame, window: i
     settled, shards = [], []
     for width in [w for w in BLOCKS if 4 * w <= window]:
         made = _with_bytes(slices, bodies, window).mapInArrow(
-            block_rows(window, width), f"{RUN_SCHEMA}, copies long, key long, one long, two long, places long, a int, b int"
+            block_rows(window, width, hash_bases(scratch.spark)), f"{RUN_SCHEMA}, copies long, key long, one long, two long, places long, a int, b int"
         )
         blocks = scratch.table(made)
         alike = (F.min("one") == F.max("one")) & (F.min("two") == F.max("two"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, id_bucket, prefix_code, range_hash, sub_batches, text_batches, text_of, word_spans
+from .common import LOWER, RangeCode, Scratch, id_bucket, prefix_code, range_hash, sub_batches, text_batches, text_of, word_spans
 
 STATES = 8
 #: The most frequent words, each a symbol of its own; other words are symbols by their last three bytes.
@@ -39,7 +39,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low = LOWER[data]
     starts, ends, first = word_spans(low, offsets)
     prefix = prefix_code(low)
-    words = range_hash(prefix, starts, ends)
+    words = RangeCode(low).hashes(starts, ends)
     endings = (range_hash(prefix, np.maximum(starts, ends - 3), ends) % _U(ENDINGS)).astype(np.int32)
     rows = len(offsets) - 1
     bounds = first + np.arange(rows + 1)

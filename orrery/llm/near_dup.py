@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, text_batches, text_of, word_hashes
+from .common import FIXED_BASE, Scratch, hash_bases, mix64, text_batches, text_of, word_hashes
 
 #: A pair of similarity 0.8 shares the first token of one tree with probability 0.8: 12 trees miss 4 in 10**9 where
 #: the nodes of that token are compared as they are.
@@ -42,9 +42,9 @@ _MULTIPLIERS = mix64(np.arange(1, ALL_TREES * DEPTH + 1, dtype=np.uint64) * _U(0
 # --- sets and sketches
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, base: int = FIXED_BASE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, and the n+1 bounds of the rows."""
-    words, first = word_hashes(data, offsets)
+    words, first = word_hashes(data, offsets, base)
     n_words = np.diff(first)
     counts = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -84,10 +84,10 @@ def set_digests(code: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [h.tobytes() for h in halves]
 
 
-def sign_rows(width: int):
+def sign_rows(width: int, base: int = FIXED_BASE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
-            code, bounds = shingle_sets(data, offsets, width)
+            code, bounds = shingle_sets(data, offsets, width, base)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -107,12 +107,12 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
 
 
-def set_rows(width: int):
+def set_rows(width: int, base: int = FIXED_BASE):
     """Sets of the rows whose digest is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
-            code, bounds = shingle_sets(data, offsets, width)
+            code, bounds = shingle_sets(data, offsets, width, base)
             same = [i for i, (a, b) in enumerate(zip(set_digests(code, bounds), part.column("rid").to_pylist())) if a == b]
             sketch = sketches(code, bounds)
             yield pa.RecordBatch.from_arrays(
@@ -350,13 +350,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     (the id is component_id). Null, empty and wordless texts have no shingles, are linked with nothing and kept.
     Null ids never are a component_id unless the class has no other; repeated rows fall into one class. Equal sets
     are one vertex from the start, so copies cost no comparisons. Extra columns are ignored.
+
+    Words are compared by 64-bit hashes, polynomials modulo 2**61 - 1 whose base is drawn for each application: two
+    words of n bytes are taken for one with probability n / 2**61, whatever they are. Full sets are sets of hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
+    base, _ = hash_bases(spark)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("pick"), text.alias("text"))
     signed = scratch.table(
-        rows.select("doc_id", "pick", "text").mapInArrow(sign_rows(width), "doc_id long, pick long, n_shingles long, rid binary, sketch array<int>, more array<int>")
+        rows.select("doc_id", "pick", "text").mapInArrow(sign_rows(width, base), "doc_id long, pick long, n_shingles long, rid binary, sketch array<int>, more array<int>")
     )
     reps = scratch.table(
         signed.where("n_shingles > 0")
@@ -376,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         """Sets of the wanted vertices; each is made from one text that has it."""
         keys = wanted.select("rid").distinct().join(reps.select("rid", "pick"), "rid")
         found = rows.select("pick", "text").join(keys, "pick").select("rid", "text")
-        return scratch.table(found.mapInArrow(set_rows(width), "rid binary, marks binary, codes binary").dropDuplicates(["rid"]))
+        return scratch.table(found.mapInArrow(set_rows(width, base), "rid binary, marks binary, codes binary").dropDuplicates(["rid"]))
 
     def completed(sets: DataFrame, wanted: DataFrame) -> DataFrame:
         missing = wanted.join(sets, "rid", "left_anti")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import secrets
 from functools import lru_cache
 
 import numpy as np
 
-from .common import SPACE, prefix_code, range_hash, word_spans
+from .common import FIELD, SPACE, RangeCode, word_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -86,6 +87,8 @@ class PieceMemory:
 
     def __init__(self, path: str, with_ids: bool):
         self.model, self.with_ids = load_tokenizer(path), with_ids
+        # a base of this process alone, so that no text can have been written to collide with another's pieces
+        self.base = secrets.randbelow(FIELD - (1 << 20)) + (1 << 20)
         vocabulary = self.model.get_vocab()
         ends = [i for t, i in vocabulary.items() if t.endswith(WORD_END)]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if ends else None
@@ -139,7 +142,7 @@ class PieceMemory:
         """Tokens of each piece, and where its ids begin in ``ids``."""
         if self.with_ids and len(self.ids) > MEMORY_IDS:
             self.clear()
-        keys = range_hash(prefix_code(data), starts, ends) | np.uint64(1)
+        keys = RangeCode(data, self.base).hashes(starts, ends) | np.uint64(1)
         slot = (keys >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
         size = self.size[slot]
         start = self.start[slot] if self.with_ids else size
