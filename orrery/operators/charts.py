@@ -98,7 +98,8 @@ def variability(windowed: DataFrame) -> DataFrame:
     return _features(_variability)(windowed)
 
 
-def _shewhart(windowed: DataFrame, chart: Chart) -> Part:
+def shewhart_values(chart: Chart) -> dict[str, Column]:
+    """The Shewhart features as aggregates of a window's rows."""
     out = F.abs("z") > chart.limit
     values = {
         "shewhart_out_count": F.count_if(out),
@@ -107,7 +108,11 @@ def _shewhart(windowed: DataFrame, chart: Chart) -> Part:
         "shewhart_first_alarm_pos": F.coalesce(F.min(F.when(out, F.col("pos"))), F.lit(-1)).cast("double"),
         "shewhart_first_alarm_time_sec": F.min(F.when(out, F.col("t_local"))),
     }
-    return Part(windowed, {c: _least_n(6, v) for c, v in values.items()})
+    return {c: _least_n(6, v) for c, v in values.items()}
+
+
+def _shewhart(windowed: DataFrame, chart: Chart) -> Part:
+    return Part(windowed, shewhart_values(chart))
 
 
 def shewhart(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
@@ -158,8 +163,8 @@ def cusum_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], s
     return out.unpivot([*by, "k", "h"], [f"s{s}" for s in sustained], "_s", "alarms").withColumn("sustained", F.substring("_s", 2, 9).cast("int")).drop("_s")
 
 
-def _cusum(windowed: DataFrame, chart: Chart) -> Part:
-    rows = cusum_points(windowed, chart)
+def cusum_values() -> dict[str, Column]:
+    """The CUSUM features as aggregates of a window's points."""
     share = F.count_if("alarm") / F.count(F.lit(1))
     values = {
         "cusum_pos_max": F.max("s_pos"),
@@ -173,7 +178,11 @@ def _cusum(windowed: DataFrame, chart: Chart) -> Part:
         "cusum_time_in_alarm": share * F.max("t_local"),
         "cusum_alarm_density": share,
     }
-    return Part(rows, {c: _least_n(6, v) for c, v in values.items()})
+    return {c: _least_n(6, v) for c, v in values.items()}
+
+
+def _cusum(windowed: DataFrame, chart: Chart) -> Part:
+    return Part(cusum_points(windowed, chart), cusum_values())
 
 
 def cusum(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
@@ -186,11 +195,16 @@ def _sorted(value: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value])
 
 
-def _ewma(windowed: DataFrame, chart: Chart, whole_tail: bool) -> Part:
+def ewma_half(whole_tail: bool) -> Column:
+    """Where the half of a window begins over which its slope is taken."""
+    return F.when((F.col("n") < 4) & F.lit(whole_tail), 0).otherwise(F.floor(F.col("n") / 2))
+
+
+def ewma_fold(pairs: Column, chart: Chart, half: Column, before: Column, place: Column) -> Column:
+    """The mean and its figures over (z, t) pairs in order, of which the first is the window's ``place``-th, from the mean ``before`` it."""
     bound = chart.ewma_limit * (chart.weight / (2.0 - chart.weight)) ** 0.5
     zero, none = F.lit(0.0), F.lit(None).cast("double")
-    start = F.struct(zero.alias("e"), zero.alias("top"), F.lit(0).cast("long").alias("out"), none.alias("first"), F.lit(0).cast("long").alias("i"), zero.alias("sx"), zero.alias("sy"), zero.alias("sxy"), zero.alias("sxx"))
-    half = F.when((F.col("n") < 4) & F.lit(whole_tail), 0).otherwise(F.floor(F.col("n") / 2))
+    start = F.struct(before.alias("e"), zero.alias("top"), F.lit(0).cast("long").alias("out"), none.alias("first"), place.cast("long").alias("i"), zero.alias("sx"), zero.alias("sy"), zero.alias("sxy"), zero.alias("sxx"))
 
     def step(a: Column, x: Column) -> Column:
         e = chart.weight * x["z"] + (1 - chart.weight) * a["e"]
@@ -203,9 +217,11 @@ def _ewma(windowed: DataFrame, chart: Chart, whole_tail: bool) -> Part:
             (a["i"] + 1).alias("i"), add(a["sx"], place).alias("sx"), add(a["sy"], e).alias("sy"), add(a["sxy"], place * e).alias("sxy"), add(a["sxx"], place * place).alias("sxx"),
         )
 
-    pairs = F.zip_with("_ez", "_et", lambda z, t: F.struct(z.alias("z"), t.alias("t")))
+    return F.aggregate(pairs, start, step)
+
+
+def ewma_results(half: Column, f: Column) -> dict[str, Column]:
     m = (F.col("n") - half).cast("double")
-    f = F.col("_f")
     spread = m * f["sxx"] - f["sx"] * f["sx"]
     values = {
         "ewma_last": f["e"],
@@ -214,8 +230,14 @@ def _ewma(windowed: DataFrame, chart: Chart, whole_tail: bool) -> Part:
         "ewma_alarm_count": f["out"],
         "ewma_first_alarm_time_sec": f["first"],
     }
-    finish = {c: F.when(F.col("n") >= 6, v).cast("double") for c, v in values.items()}
-    return Part(windowed, {"_ez": _sorted("z"), "_et": _sorted("t_local")}, finish, {"_f": F.aggregate(pairs, start, step)})
+    return {c: F.when(F.col("n") >= 6, v).cast("double") for c, v in values.items()}
+
+
+def _ewma(windowed: DataFrame, chart: Chart, whole_tail: bool) -> Part:
+    pairs = F.zip_with("_ez", "_et", lambda z, t: F.struct(z.alias("z"), t.alias("t")))
+    half = ewma_half(whole_tail)
+    fold = ewma_fold(pairs, chart, half, F.lit(0.0), F.lit(0))
+    return Part(windowed, {"_ez": _sorted("z"), "_et": _sorted("t_local")}, ewma_results(half, F.col("_f")), {"_f": fold})
 
 
 def ewma(windowed: DataFrame, chart: Chart = Chart(), whole_tail: bool = True) -> DataFrame:

@@ -1,7 +1,7 @@
-"""All named queries of the series engine, and the DuckDB text of those that SQL can express."""
+"""All named queries of the series part."""
 
-from . import engine_queries, series_queries, stat_queries, wide_queries
+from . import engine_queries, scale_queries, series_queries, stat_queries, wide_queries
 
-_PARTS = (series_queries, stat_queries, engine_queries, wide_queries)
+_PARTS = (series_queries, stat_queries, engine_queries, wide_queries, scale_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
-ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
