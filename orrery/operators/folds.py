@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import numbered_from_0
+
 
 def group_folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
     """(group, fold) with folds 1..k: groups from the largest to the smallest, later ids first, dealt in turn.
@@ -12,8 +14,8 @@ def group_folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
     No group is in two folds; with groups of one size fold sizes differ by one group at most.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    turn = F.row_number().over(Window.orderBy(F.desc("_n"), F.desc(group))) - 1
-    return sizes.select(group, ((turn % k) + 1).cast("long").alias("fold"))
+    dealt = numbered_from_0(sizes, [F.desc("_n"), F.desc(group)], "_turn")
+    return dealt.select(group, ((F.col("_turn") % k) + 1).cast("long").alias("fold"))
 
 
 def fold_audit(rows: DataFrame, folds: DataFrame, group: str, id_col: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import PART, attach, running, segmented, written
+
 THRESHOLD = 0.5
 
 
@@ -39,33 +39,44 @@ def by_score(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
 
 
+def _ranked(scores: DataFrame, by: list[str], descending: bool, inclusive: bool, values: dict[str, str]) -> DataFrame:
+    """Distinct scores with running sums of the named counts, from the lowest or the highest score, in ranges of any number."""
+    order = [F.desc("p") if descending else F.asc("p")]
+    cut = segmented(by_score(scores, by), by, order)
+    return running(cut, by, order, {n: ("sum", F.col(c)) for n, c in values.items()}, inclusive)
+
+
 def roc_auc(scores: DataFrame, by: list[str]) -> DataFrame:
     """Area under the curve as the share of ordered pairs, ties one half; null with one class only."""
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_score(scores, by).withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    rows = _ranked(scores, by, False, False, {"_below": "neg"})
     out = rows.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("_below") + 0.5 * F.col("neg"))).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
+def _curve(scores: DataFrame, by: list[str]) -> DataFrame:
+    rows = _ranked(scores, by, True, True, {"_tp": "pos", "_fp": "neg"})
+    return attach(rows, rows.groupBy(*by).agg(F.sum("pos").alias("_np"), F.sum("neg").alias("_nn")), by)
+
+
+def _rate(count: Column, base: str) -> Column:
+    return _safe(count, F.col(base), None)
+
+
 def curve(scores: DataFrame, by: list[str]) -> DataFrame:
     """One point for each distinct score, from the highest: true and false positive rate, precision."""
-    upto = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    rows = by_score(scores, by).withColumn("_tp", F.sum("pos").over(upto)).withColumn("_fp", F.sum("neg").over(upto))
-    rows = rows.withColumn("_np", F.sum("pos").over(whole)).withColumn("_nn", F.sum("neg").over(whole))
-    return rows.select(*by, "p", _safe(F.col("_tp"), F.col("_np"), None).alias("tpr"), _safe(F.col("_fp"), F.col("_nn"), None).alias("fpr"), (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("precision"))
+    tp, fp = F.col("_tp"), F.col("_fp")
+    return _curve(scores, by).select(*by, "p", _rate(tp, "_np").alias("tpr"), _rate(fp, "_nn").alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
 def average_precision(scores: DataFrame, by: list[str]) -> DataFrame:
     """Sum over distinct scores of precision times the step in recall."""
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(Window.partitionBy(*by).orderBy(F.desc("p"))), F.lit(0.0))
-    return curve(scores, by).withColumn("_s", step * F.col("precision")).groupBy(*by).agg(F.sum("_s").alias("average_precision"))
+    step = _rate(F.col("pos"), "_np")
+    return _curve(scores, by).groupBy(*by).agg(F.sum(step * F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("average_precision"))
 
 
 def trapezoid_auc(scores: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("p"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return curve(scores, by).withColumn("_a", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).groupBy(*by).agg(F.sum("_a").alias("auc_trapezoid"))
+    width, height = _rate(F.col("neg"), "_nn"), _rate(F.col("_tp"), "_np") + _rate(F.col("_tp") - F.col("pos"), "_np")
+    return _curve(scores, by).groupBy(*by).agg(F.sum(width * height / 2).alias("auc_trapezoid"))
 
 
 def pair_margins(scores: DataFrame, by: list[str], pair: str = "pair_id") -> DataFrame:
@@ -99,46 +110,63 @@ def delta_summary(deltas: DataFrame, consistent: float = 0.6) -> DataFrame:
     return out.select("feature", "n_pairs", median.alias("median_delta"), quarter.alias("q25"), three.alias("q75"), (three - quarter).alias("iqr"), "share_up", "share_down", (F.greatest("share_up", "share_down") >= consistent).alias("direction_consistent"))
 
 
-def average_rank(value: Column, by: list[str]) -> Column:
-    """Rank from 1, ties at their mean."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return low + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
-
+def average_ranks(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """(by, value, out) of the distinct values: their rank from 1 within the group, ties at their mean.
 
-def signed_ranks(deltas: DataFrame, by: str = "feature") -> DataFrame:
-    """Rank sums of positive and negative differences, zeros left out; the smaller sum and the rank-biserial correlation."""
-    rows = deltas.where("delta <> 0").withColumn("_a", F.abs("delta"))
-    rows = rows.withColumn("_r", average_rank(F.col("_a"), [by]))
-    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_used"), F.sum(F.when(F.col("delta") > 0, F.col("_r")).otherwise(0.0)).alias("t_plus"), F.sum(F.when(F.col("delta") < 0, F.col("_r")).otherwise(0.0)).alias("t_minus"), F.count_distinct("_a").alias("_distinct"))
-    return out.select(by, "n_used", "t_plus", "t_minus", F.least("t_plus", "t_minus").alias("wilcoxon_w"), ((F.col("t_plus") - F.col("t_minus")) / (F.col("t_plus") + F.col("t_minus"))).alias("rank_biserial"), (F.col("_distinct") < F.col("n_used")).alias("ties"))
+    Values are counted before they are ordered, so a value that many rows share is one row.
+    """
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(segmented(counted, by, [value]), by, [value], {"_below": ("sum", F.col("_n"))}, inclusive=False)
+    return ranked.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out))
 
 
-def exact_signed_rank_p(n: int, w: float) -> float:
-    """Two-sided probability of a rank sum at most ``w`` among all sign choices for ranks 1..n."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1.0
-    for r in range(1, n + 1):
-        ways[r:] = ways[r:] + ways[:-r]
-    return float(min(1.0, 2.0 * ways[: int(math.floor(w)) + 1].sum() / 2.0**n))
+def signed_ranks(deltas: DataFrame, by: str = "feature") -> DataFrame:
+    """Rank sums of positive and negative differences, zeros left out; the smaller sum and the rank-biserial correlation.
 
+    ``tie_term`` is the sum of t^3 - t over groups of t equal differences.
+    """
+    rows = deltas.where("delta <> 0").withColumn("_a", F.abs("delta"))
+    counted = rows.groupBy(by, "_a").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("delta") > 0).alias("_up"))
+    ranked = running(segmented(counted, [by], ["_a"]), [by], ["_a"], {"_below": ("sum", F.col("_n"))}, inclusive=False)
+    rank, n = F.col("_below") + (F.col("_n") + 1) / 2.0, F.col("_n")
+    sums = [F.sum(n).alias("n_used"), F.sum(F.col("_up") * rank).alias("t_plus"), F.sum((n - F.col("_up")) * rank).alias("t_minus")]
+    out = ranked.groupBy(by).agg(*sums, F.sum(n * n * n - n).alias("tie_term"), (F.max(n) > 1).alias("ties"))
+    return out.select(by, "n_used", "t_plus", "t_minus", F.least("t_plus", "t_minus").alias("wilcoxon_w"), ((F.col("t_plus") - F.col("t_minus")) / (F.col("t_plus") + F.col("t_minus"))).alias("rank_biserial"), "ties", "tie_term")
 
-def wilcoxon_p(ranks: DataFrame, most_exact: int = 50) -> DataFrame:
-    """Adds ``p_value``: exact up to ``most_exact`` untied differences, else the normal approximation."""
 
-    @F.pandas_udf("double")
-    def p_value(n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
-        out = []
-        for k, low, tied in zip(n, w, ties):
-            if k == 0:
-                out.append(None)
-            elif k <= most_exact and not tied:
-                out.append(exact_signed_rank_p(int(k), float(low)))
-            else:
-                sd = math.sqrt(k * (k + 1) * (2 * k + 1) / 24.0)
-                out.append(min(1.0, math.erfc(abs(low - k * (k + 1) / 4.0) / sd / math.sqrt(2.0))))
-        return pd.Series(out, dtype="float64")
+def wilcoxon_p(deltas: DataFrame, by: str = "feature", most_exact: int = 50) -> DataFrame:
+    """``signed_ranks`` with ``p_value``: two-sided, exact up to ``most_exact`` differences, ties included.
 
-    return ranks.withColumn("p_value", p_value("n_used", "wilcoxon_w", "ties"))
+    Doubled mean ranks are whole numbers. One fold of the JVM over a group's at most ``most_exact`` of them counts, for
+    every sum, the sign choices that reach it; the probability is that of a sum at most the smaller one seen, doubled.
+    Larger groups take the normal approximation with the variance lessened for ties.
+    """
+    found = signed_ranks(deltas, by)
+    rows = deltas.where("delta <> 0").withColumn("_a", F.abs("delta"))
+    few = attach(rows, found.where(F.col("n_used") <= most_exact).select(by), [by])
+    counted = few.groupBy(by, "_a").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy(by).orderBy("_a")) - F.col("_n")
+    doubled = counted.select(by, "_n", (2 * below + F.col("_n") + 1).cast("int").alias("_r"))
+    ranks = doubled.groupBy(by).agg(F.flatten(F.collect_list(F.array_repeat("_r", F.col("_n").cast("int")))).alias("_ranks"))
+    ways = F.aggregate(
+        F.col("_ranks"), F.array(F.lit(1.0)), lambda ways, r: F.zip_with(F.concat(ways, F.array_repeat(F.lit(0.0), r)), F.concat(F.array_repeat(F.lit(0.0), r), ways), lambda a, b: a + b)
+    )
+    out = attach(found, ranks, [by], "left").withColumn("_ways", ways)
+    low = F.aggregate(F.slice("_ways", F.lit(1), F.floor(2 * F.col("wilcoxon_w")).cast("int") + 1), F.lit(0.0), lambda s, w: s + w)
+    exact = F.least(F.lit(1.0), 2.0 * low / F.pow(F.lit(2.0), F.col("n_used")))
+    n = F.col("n_used").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_term") / 48.0)
+    normal = F.least(F.lit(1.0), normal_tail(F.abs(F.col("wilcoxon_w") - n * (n + 1) / 4.0) / spread))
+    return out.withColumn("p_value", F.when(F.col("_ways").isNotNull(), exact).otherwise(normal)).drop("_ranks", "_ways")
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided probability of a standard normal value beyond z >= 0, to 1e-12: a series near 0, a continued fraction beyond 3."""
+    terms = F.sequence(F.lit(1), F.lit(80))
+    series = F.aggregate(terms, F.struct(z.alias("term"), z.alias("sum")), lambda a, k: F.struct((a["term"] * z * z / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * z * z / (2 * k + 1)).alias("sum")))
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    fraction = F.aggregate(F.reverse(F.sequence(F.lit(1), F.lit(120))), z, lambda a, k: z + k / a)
+    return F.when(z < 3, 1 - 2 * density * series["sum"]).otherwise(2 * density / fraction)
 
 
 def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: list[str] | None = None) -> DataFrame:
@@ -149,7 +177,10 @@ def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: l
     long = unpivoted(records, names, [key, *by]).where("x IS NOT NULL")
     left, right = long.select(key, *by, F.col("feature").alias("a"), F.col("x").alias("xa")), long.select(key, *by, F.col("feature").alias("b"), F.col("x").alias("xb"))
     both = left.join(right, [key, *by]).where(rank_of[F.col("a")] < rank_of[F.col("b")])
-    both = both.withColumn("ra", average_rank(F.col("xa"), [*by, "a", "b"])).withColumn("rb", average_rank(F.col("xb"), [*by, "a", "b"]))
+    both = written(both)
+    keys = [*by, "a", "b"]
+    for x, r in (("xa", "ra"), ("xb", "rb")):
+        both = both.join(average_ranks(both, keys, x, r), [*keys, x])
     return both.groupBy(*by, "a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -222,36 +253,10 @@ def pruning_stability(kept: DataFrame, folds: int) -> DataFrame:
     return kept.groupBy("feature").agg(F.round(100.0 * F.count_distinct("fold") / folds, 2).alias("pct_folds"))
 
 
-def bootstrap_draws(pairs: DataFrame, replicates: int, pair: str = "pair_id") -> DataFrame:
-    """(b, pair_id, times): as many draws with replacement as there are pairs, for each replicate.
-
-    Draw k of replicate b is a fixed arithmetic hash of (b, k), so that every engine draws alike.
-    """
-    numbered = pairs.select(pair).distinct().withColumn("_k", F.row_number().over(Window.orderBy(pair)) - 1)
-    n = F.broadcast(numbered.agg(F.count(F.lit(1)).alias("_n")))
-    spark = pairs.sparkSession
-    draws = numbered.select("_k").crossJoin(spark.range(replicates).withColumnRenamed("id", "b")).crossJoin(n)
-    mixed = (F.col("b") + 1) * 1103515245 + (F.col("_k") + 1) * 12345 + (F.col("b") + 1) * (F.col("_k") + 1) * 69069
-    draws = draws.select("b", F.pmod(F.floor(F.pmod(mixed, F.lit(2147483647)) / 7).cast("long"), F.col("_n")).alias("_k"))
-    return draws.groupBy("b", "_k").agg(F.count(F.lit(1)).alias("times")).join(numbered, "_k").select("b", pair, "times")
-
-
-def bootstrap(scores: DataFrame, draws: DataFrame, multiplicity: bool = False, confidence: float = 0.95, pair: str = "pair_id") -> DataFrame:
-    """(metric, observed, mean, sd, low, high) of AUC and concordance over replicates of whole pairs.
-
-    Without ``multiplicity`` a replicate is the set of the pairs drawn; replicates with one class are left out.
-    """
-    rows = scores.join(draws, pair)
-    if multiplicity:
-        rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        rows = rows.withColumn(pair, F.struct(pair, "_c"))
-    auc = roc_auc(rows, ["b"]).where("auc IS NOT NULL").select("b", F.lit("auc").alias("metric"), F.col("auc").alias("v"))
-    agree = concordance(rows, ["b"], pair).select("b", F.lit("pairwise_concordance").alias("metric"), F.col("pairwise_concordance").alias("v"))
-    one = scores.withColumn("b", F.lit(0))
-    seen = roc_auc(one, ["b"]).select(F.lit("auc").alias("metric"), F.col("auc").alias("observed")).unionByName(concordance(one, ["b"], pair).select(F.lit("pairwise_concordance").alias("metric"), F.col("pairwise_concordance").alias("observed")))
-    tail = (1 - confidence) / 2
-    out = auc.unionByName(agree).groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"), F.count(F.lit(1)).alias("replicates"))
-    return out.join(seen, "metric")
+def numbered_from_0(rows: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """The rows numbered in order, range by range."""
+    ranked = running(segmented(rows, [], order), [], order, {out: ("sum", F.lit(1).cast("long"))})
+    return ranked.withColumn(out, F.col(out) - 1).drop(PART)
 
 
 def block_differences(summary: DataFrame, pairs: list[tuple[str, str]], keys: list[str], metrics: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts, folds, stats
+from ..operators import charts, folds, resampling, stats
 from .base import load, rounded, sql_rounded, windowed
 from .series_queries import POINTS_SQL, VARIABILITY_SQL, WK
 
@@ -65,6 +65,22 @@ sr AS (SELECT feature, delta, abs(delta) AS ad, rank() OVER (PARTITION BY featur
 ss AS (SELECT feature, count(*) AS n_used, sum(CASE WHEN delta > 0 THEN rk ELSE 0.0 END) AS t_plus, sum(CASE WHEN delta < 0 THEN rk ELSE 0.0 END) AS t_minus, count(DISTINCT ad) < count(*) AS ties FROM sr GROUP BY feature),
 q AS (SELECT *, least(t_plus, t_minus) AS wilcoxon_w, (t_plus - t_minus) / (t_plus + t_minus) AS rank_biserial FROM ss)"""
 
+
+
+def _wilcoxon_p_sql(most_exact: int = 50) -> str:
+    """Ways to every doubled rank sum by a recursion over each feature's differences; beyond ``most_exact`` an error function's series."""
+    return SIGNED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+tt AS (SELECT feature, CAST(sum(t * t * t - t) AS BIGINT) AS tie_term FROM (SELECT feature, ad, count(*) AS t FROM sr GROUP BY feature, ad) GROUP BY feature),
+rr AS (SELECT sr.feature, CAST(2 * rk AS INT) AS r, row_number() OVER (PARTITION BY sr.feature ORDER BY ad, delta) AS i FROM sr JOIN q USING (feature) WHERE n_used <= {most_exact}),
+wy AS (SELECT DISTINCT feature, 0::BIGINT AS i, 0 AS s, 1.0::DOUBLE AS ways FROM rr
+  UNION ALL SELECT feature, i, s, sum(ways) FROM (SELECT wy.feature, rr.i, wy.s + u.add * rr.r AS s, wy.ways FROM wy JOIN rr ON rr.feature = wy.feature AND rr.i = wy.i + 1, (VALUES (0), (1)) u(add)) GROUP BY feature, i, s),
+ex AS (SELECT q.feature, least(1.0, 2 * sum(ways) FILTER (s <= 2 * wilcoxon_w) / pow(2.0, any_value(n_used))) AS p FROM wy JOIN q ON q.feature = wy.feature AND wy.i = q.n_used GROUP BY q.feature),
+nz AS (SELECT feature, abs(wilcoxon_w - n_used * (n_used + 1) / 4.0::DOUBLE) / sqrt(n_used * (n_used + 1) * (2 * n_used + 1) / 24.0::DOUBLE - tie_term / 48.0::DOUBLE) AS z FROM q JOIN tt USING (feature)),
+er AS (SELECT feature, z, sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(z / sqrt(2.0)) - lgamma(k + 1.0)) / (2 * k + 1)) * 2 / sqrt(pi()) AS e FROM nz, range(0, 120) t(k) WHERE z > 0 GROUP BY feature, z)
+SELECT feature, n_used, ties, tie_term, round(t_plus, 8) + 0.0 AS t_plus, round(t_minus, 8) + 0.0 AS t_minus, round(wilcoxon_w, 8) + 0.0 AS wilcoxon_w, round(rank_biserial, 8) + 0.0 AS rank_biserial,
+  round(coalesce(ex.p, 1 - er.e, 1.0), 8) + 0.0 AS p_value FROM q JOIN tt USING (feature) LEFT JOIN ex USING (feature) LEFT JOIN er USING (feature)"""
+
+
 SPEARMAN_SQL = f"""{RECORDS_SQL}, {LONG_SQL},
 nm AS (SELECT unnest({FEATURES!r}) AS feature, unnest(range({len(FEATURES)})) AS o),
 lo AS (SELECT record_id, lg.feature, o, x FROM lg JOIN nm ON lg.feature = nm.feature WHERE x IS NOT NULL),
@@ -86,10 +102,19 @@ dw AS (SELECT b, pair_id, count(*) AS times FROM dr JOIN np USING (k) GROUP BY b
 
 
 def bootstrap_sql(rows: str) -> str:
+    values = {
+        "auc": "auc", "balanced_accuracy": "(tp / (tp + fn) + tn / (tn + fp)) / 2", "sensitivity": "tp / (tp + fn)", "specificity": "tn / (tn + fp)",
+        "f1": "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END",
+        "mcc": "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0.0 END",
+        "pairwise_concordance": "v",
+    }
+    long = " UNION ALL ".join(f"SELECT b, '{m}' AS metric, {v} AS v FROM bm" for m, v in values.items())
+    count = lambda c, n: f"CAST(count(*) FILTER ({c}) AS DOUBLE) AS {n}"
     return f"""{FOLDS_SQL}, {DRAWS_SQL}, br AS ({rows}), bz AS (SELECT * FROM br UNION ALL SELECT -1, pair_id, 0, y, p FROM us), {auc_sql('b', 'bz')},
 pb AS (SELECT b, pair_id, c, avg(p) FILTER (y = 1) AS pre, avg(p) FILTER (y = 0) AS far FROM bz GROUP BY b, pair_id, c),
 cb AS (SELECT b, avg(CAST(pre > far AS INT)) AS v FROM pb WHERE pre IS NOT NULL AND far IS NOT NULL GROUP BY b),
-mv AS (SELECT b, 'auc' AS metric, auc AS v FROM auc WHERE auc IS NOT NULL UNION ALL SELECT b, 'pairwise_concordance', v FROM cb),
+bc AS (SELECT b, {count('p >= 0.5 AND y = 1', 'tp')}, {count('p >= 0.5 AND y <> 1', 'fp')}, {count('p < 0.5 AND y = 1', 'fn')}, {count('p < 0.5 AND y <> 1', 'tn')} FROM bz GROUP BY b),
+bm AS (SELECT * FROM auc JOIN bc USING (b) LEFT JOIN cb USING (b) WHERE auc IS NOT NULL), mv AS (SELECT * FROM ({long}) WHERE v IS NOT NULL),
 q AS (SELECT metric, avg(v) FILTER (b >= 0) AS mean, stddev_pop(v) FILTER (b >= 0) AS sd, quantile_cont(v, 0.025) FILTER (b >= 0) AS low, quantile_cont(v, 0.975) FILTER (b >= 0) AS high, count(*) FILTER (b >= 0) AS replicates, max(v) FILTER (b < 0) AS observed FROM mv GROUP BY metric)"""
 
 
@@ -143,15 +168,14 @@ QUERIES = {
     "pairwise_margins": lambda s, d: rounded(stats.pair_margins(scores(s, d), BY)),
     "pairwise_concordance": lambda s, d: rounded(stats.concordance(scores(s, d), BY)),
     "paired_delta": lambda s, d: rounded(stats.delta_summary(stats.pair_deltas(records(s, d), FEATURES))),
-    "wilcoxon_stat": lambda s, d: rounded(stats.signed_ranks(stats.pair_deltas(records(s, d), FEATURES))),
-    "wilcoxon_p": lambda s, d: rounded(stats.wilcoxon_p(stats.signed_ranks(stats.pair_deltas(records(s, d), FEATURES)))),
+    "wilcoxon_stat": lambda s, d: rounded(stats.signed_ranks(stats.pair_deltas(records(s, d), FEATURES)).drop("tie_term")),
+    "wilcoxon_p": lambda s, d: rounded(stats.wilcoxon_p(stats.pair_deltas(records(s, d), FEATURES))),
     "spearman_pairs": lambda s, d: rounded(stats.spearman(records(s, d), FEATURES)),
     "group_kfold_folds": lambda s, d: folds.group_folds(users(s, d), "pair_id"),
     "fold_audit": lambda s, d: folds.fold_audit(users(s, d), folds.group_folds(users(s, d), "pair_id"), "pair_id", "record_id"),
-    "bootstrap_distinct": lambda s, d: rounded(stats.bootstrap(users(s, d), stats.bootstrap_draws(users(s, d), REPLICATES))),
-    "bootstrap_multiplicity": lambda s, d: rounded(stats.bootstrap(users(s, d), stats.bootstrap_draws(users(s, d), REPLICATES), True)),
+    "bootstrap_distinct": lambda s, d: rounded(resampling.bootstrap(users(s, d), REPLICATES)),
+    "bootstrap_multiplicity": lambda s, d: rounded(resampling.bootstrap(users(s, d), REPLICATES, True)),
     "nan_audit": lambda s, d: rounded(folds.nan_audit(records(s, d), FEATURES, {"variability": ["rmssd", "cv_rr"], "plane": ["sd1", "sd2"]})),
-    "dataset_audit": lambda s, d: folds.dataset_audit(records(s, d).withColumn("name", F.format_string("p%02d", "record_id")), "name"),
     "param_grid_cusum": lambda s, d: rounded(parameter_grid(s, d)),
     "threshold_classifier": lambda s, d: rounded(threshold_classifier(s, d)),
     "cv_mean_std": lambda s, d: rounded(cv_summary(s, d)),
@@ -167,6 +191,7 @@ ORACLE_SQL = {
     "paired_delta": f"""{DELTA_SQL}, ds AS (SELECT feature, count(*) AS n_pairs, median(delta) AS med, quantile_cont(delta, 0.25) AS q25, quantile_cont(delta, 0.75) AS q75, avg(CAST(delta > 0 AS INT)) AS up, avg(CAST(delta < 0 AS INT)) AS dn FROM dl GROUP BY feature)
 SELECT feature, n_pairs, round(med, 8) + 0.0 AS median_delta, round(q25, 8) + 0.0 AS q25, round(q75, 8) + 0.0 AS q75, round(q75 - q25, 8) + 0.0 AS iqr, round(up, 8) + 0.0 AS share_up, round(dn, 8) + 0.0 AS share_down, greatest(up, dn) >= 0.6 AS direction_consistent FROM ds""",
     "wilcoxon_stat": f"{SIGNED_SQL} SELECT feature, n_used, ties, round(t_plus, 8) + 0.0 AS t_plus, round(t_minus, 8) + 0.0 AS t_minus, round(wilcoxon_w, 8) + 0.0 AS wilcoxon_w, round(rank_biserial, 8) + 0.0 AS rank_biserial FROM q",
+    "wilcoxon_p": _wilcoxon_p_sql(),
     "spearman_pairs": f"{SPEARMAN_SQL} SELECT a, b, n, round(rho, 8) + 0.0 AS rho FROM rq",
     "group_kfold_folds": f"{FOLDS_SQL} SELECT pair_id, fold FROM fo",
     "fold_audit": f"""{FOLDS_SQL}, la AS (SELECT us.*, fold FROM us JOIN fo USING (pair_id)), fs AS (SELECT DISTINCT fold AS f FROM fo)
@@ -174,9 +199,6 @@ SELECT f AS fold, count(*) FILTER (fold = f) AS n_val, count(*) FILTER (fold <>
     "bootstrap_distinct": bootstrap_sql("SELECT b, us.pair_id, 0 AS c, y, p FROM us JOIN dw USING (pair_id)") + " SELECT metric, replicates, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in BOOT) + " FROM q",
     "bootstrap_multiplicity": bootstrap_sql("SELECT b, pair_id, unnest(range(times)) + 1 AS c, y, p FROM us JOIN dw USING (pair_id)") + " SELECT metric, replicates, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in BOOT) + " FROM q",
     "nan_audit": f"{RECORDS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS n_missing, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 8)::DOUBLE AS pct_missing, {c in ('rmssd', 'cv_rr')} AS in_variability, {c in ('sd1', 'sd2')} AS in_plane FROM rec" for c in FEATURES),
-    "dataset_audit": f"""{RECORDS_SQL}, pp AS (SELECT pair_id, count(*) AS n, count(DISTINCT y) AS l FROM rec GROUP BY pair_id),
-ru AS (SELECT 'no_continuation_record' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'no_control_record', 0 UNION ALL SELECT 'two_rows_per_pair', count(*) FILTER (n <> 2) FROM pp UNION ALL SELECT 'both_labels_per_pair', count(*) FILTER (l <> 2) FROM pp)
-SELECT rule, violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ru""",
     "param_grid_cusum": _grid_sql(),
     "threshold_classifier": f"{RECORDS_SQL}, xx AS (SELECT record_id, y, coalesce(rmssd, 0.0) AS x FROM rec), tt AS (SELECT quantile_cont(x, 0.95) AS t FROM xx WHERE y = 0) SELECT record_id, y, round(1 / (1 + exp(-(2 / t) * (x - t))), 8) + 0.0 AS p, x >= t AS predicted FROM xx, tt",
     "cv_mean_std": f"{CV_SQL} SELECT config, round(avg(auc), 8) + 0.0 AS auc_mean, round(stddev_samp(auc), 8) + 0.0 AS auc_std, count(auc) AS folds FROM auc GROUP BY config",

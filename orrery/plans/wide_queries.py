@@ -217,13 +217,24 @@ SELECT window_type, window_size, h, k, lam, CAST(sustained AS BIGINT) AS sustain
 
 # What each kind of recording is called, and why it is left out of the main task.
 KINDS = {"view": ("p", "", None), "click": ("n", "", "control"), "purchase": ("p", "c", "continuation"), "error": ("n", "c", "control")}
+#: The same for kinds that are not listed: they keep a row, with the reason that nobody knows what they are.
+UNKNOWN = ("u", "", "unknown")
 
 
 def recordings(spark, sf):
     """One recording for each user and kind of event: record_id, pair_id, y, prefix, tail, and the reason if it is left out."""
     rows = load(spark, sf, "events").select(F.col("user_id").alias("number"), F.col("event_type").alias("kind")).distinct()
-    pick = lambda i: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[i])) for k, v in KINDS.items()])
-    rows = rows.withColumn("prefix", pick(0)).withColumn("tail", pick(1)).withColumn("excluded", pick(2)).where("prefix IS NOT NULL")
+
+    def pick(i):
+        found = F.lit(UNKNOWN[i])
+        for kind, values in KINDS.items():
+            found = F.when(F.col("kind") == kind, F.lit(values[i])).otherwise(found)
+        return found
+
+    rows = rows.withColumns({"prefix": pick(0), "tail": pick(1), "excluded": pick(2)})
+    # kinds that are not listed are told apart by their names
+    known = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
+    rows = rows.withColumn("prefix", F.when(known, F.col("prefix")).otherwise(F.concat("prefix", F.lit("-"), F.coalesce("kind", F.lit("")), F.lit("-"))))
     made = F.concat("prefix", F.lpad(F.col("number").cast("string"), 6, "0"), "tail")
     return rows.select(made.alias("record_id"), F.floor(F.col("number") / 2).cast("long").alias("pair_id"), (F.col("number") % 2).cast("long").alias("y"), "prefix", "tail", "excluded")
 
@@ -232,9 +243,13 @@ def audited(spark, sf):
     return recordings(spark, sf).select("record_id", "pair_id", "excluded", F.col("excluded").isNull().alias("included"))
 
 
-_CASE = lambda i: "CASE event_type " + " ".join(f"WHEN '{k}' THEN {'NULL' if v[i] is None else repr(v[i])}" for k, v in KINDS.items()) + " END"
-RECORDINGS_SQL = f"""WITH re AS (SELECT number, prefix || lpad(CAST(number AS VARCHAR), 6, '0') || tail AS record_id, number // 2 AS pair_id, number % 2 AS y, prefix, tail, excluded
-  FROM (SELECT DISTINCT user_id AS number, {_CASE(0)} AS prefix, {_CASE(1)} AS tail, {_CASE(2)} AS excluded FROM events) WHERE prefix IS NOT NULL)"""
+RECORDINGS_SQL = """WITH re AS (
+  SELECT 'p' || n AS record_id, u // 2 AS pair_id, u % 2 AS y, NULL AS excluded FROM (SELECT DISTINCT user_id AS u, lpad(CAST(user_id AS VARCHAR), 6, '0') AS n FROM events WHERE event_type = 'view')
+  UNION ALL SELECT 'n' || n, u // 2, u % 2, 'control' FROM (SELECT DISTINCT user_id AS u, lpad(CAST(user_id AS VARCHAR), 6, '0') AS n FROM events WHERE event_type = 'click')
+  UNION ALL SELECT 'p' || n || 'c', u // 2, u % 2, 'continuation' FROM (SELECT DISTINCT user_id AS u, lpad(CAST(user_id AS VARCHAR), 6, '0') AS n FROM events WHERE event_type = 'purchase')
+  UNION ALL SELECT 'n' || n || 'c', u // 2, u % 2, 'control' FROM (SELECT DISTINCT user_id AS u, lpad(CAST(user_id AS VARCHAR), 6, '0') AS n FROM events WHERE event_type = 'error')
+  UNION ALL SELECT 'u-' || k || '-' || n, u // 2, u % 2, 'unknown' FROM (SELECT DISTINCT user_id AS u, coalesce(event_type, '') AS k, lpad(CAST(user_id AS VARCHAR), 6, '0') AS n FROM events
+    WHERE event_type IS NULL OR event_type NOT IN ('view', 'click', 'purchase', 'error')))"""
 
 
 def recordings_audit(spark, sf):

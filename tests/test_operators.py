@@ -1,5 +1,6 @@
 """Truth tables, plain recursions and invariances of the series operators."""
 
+import itertools
 import math
 import random
 
@@ -83,12 +84,10 @@ def test_runs_truth_table(spark, z, want):
     assert got.n_runs_rule_violations == want[4]
 
 
-@pytest.mark.parametrize("symbols,want", [("SNSNN", (2, 0, 1, 0, 0)), ("SNNSNNN", (2, 0, 0, 1, 0)), ("SSSLN", (4, 1, 0, 0, 1)), ("NNNNN", (0, 0, 0, 0, 0)), ("SLSLN", (4, 2, 0, 0, 0))])
+@pytest.mark.parametrize("symbols,want", [("SNSNN", (2, 0, 1, 0, 0)), ("SNNSNNN", (2, 0, 0, 1, 0)), ("SSSLNNNN", (4, 1, 0, 0, 1)), ("NNNNN", (0, 0, 0, 0, 0)), ("SLSLN", (4, 2, 0, 0, 0))])
 def test_patterns(spark, symbols, want):
     value = {"S": 10.0, "N": 100.0, "L": 300.0}
     w = points(spark, [value[s] for s in symbols]).withColumn("n", F.lit(len(symbols)).cast("long"))
-    if sorted(symbols)[len(symbols) // 2] != "N":
-        pytest.skip("the median is not a normal interval")
     got = charts.ectopy(w).head()
     assert (got.ectopy_like_count, got.short_long_sequence_count, got.bigeminy_like_pattern_count, got.trigeminy_like_pattern_count, got.atrial_tachy_like_run_count) == want
 
@@ -130,11 +129,32 @@ def test_legacy_gap_keeps_the_sum(spark):
 
 
 def test_wilcoxon_probabilities(spark):
-    assert stats.exact_signed_rank_p(5, 0) == 2 / 32 and stats.exact_signed_rank_p(3, 6) == 1.0
-    d = [0.3, -0.1, 0.7, 1.1, -0.4, 0.0, 2.0]
-    df = spark.createDataFrame([("f", k, v) for k, v in enumerate(d)], "feature string, pair_id long, delta double")
-    got = stats.wilcoxon_p(stats.signed_ranks(df)).head()
-    assert (got.n_used, got.t_plus, got.t_minus) == (6, 17.0, 4.0) and got.p_value == stats.exact_signed_rank_p(6, 4)
+    rng = random.Random(9)
+    cases = {"plain": [0.3, -0.1, 0.7, 1.1, -0.4, 0.0, 2.0], "ties": [1.0, -1.0, 1.0, 2.0, -2.0, 2.0, 3.0, 3.0, 3.0, 0.5, -0.5, 0.0], "one": [2.0], "even": [1.0, -1.0]}
+    cases["many"] = [float(rng.randrange(-4, 9)) for _ in range(90)]
+    df = spark.createDataFrame([(f, k, v) for f, d in cases.items() for k, v in enumerate(d)], "feature string, pair_id long, delta double")
+    got = {r.feature: r for r in stats.wilcoxon_p(df).collect()}
+    assert (got["plain"].n_used, got["plain"].t_plus, got["plain"].t_minus) == (6, 17.0, 4.0)
+    for name, deltas in cases.items():
+        d = [v for v in deltas if v]
+        a = sorted(map(abs, d))
+        rank = {v: (a.index(v) + 1 + len(a) - a[::-1].index(v)) / 2 for v in a}
+        low = min(sum(rank[abs(v)] for v in d if v > 0), sum(rank[abs(v)] for v in d if v < 0))
+        assert got[name].wilcoxon_w == low
+        if len(d) <= 50:
+            few = sum(sum(rank[a] for a, s in zip(map(abs, d), signs) if s) <= low for signs in itertools.product((0, 1), repeat=len(d)))
+            want = min(1.0, 2 * few / 2 ** len(d))
+        else:
+            n = len(d)
+            ties = sum(a.count(v) ** 3 - a.count(v) for v in set(a))
+            want = math.erfc(abs(low - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / math.sqrt(2))
+        assert abs(got[name].p_value - want) < 1e-12
+
+
+def test_normal_tail(spark):
+    z = [0.0, 0.01, 1.0, 2.9999, 3.0, 3.5, 6.0, 12.0, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(stats.normal_tail(F.col("z"))).collect()]
+    assert all(abs(g - math.erfc(v / math.sqrt(2))) < 1e-12 for g, v in zip(got, z))
 
 
 @pytest.mark.parametrize("p,y,want", [((0.1, 0.9), (0, 1), 1.0), ((0.9, 0.1), (0, 1), 0.0), ((0.1, 0.9), (1, 0), 0.0)])
