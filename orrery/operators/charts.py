@@ -147,20 +147,66 @@ def cusum_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], s
 
     Sums depend on the slack alone and lengths of runs on slack and limit; each sustained length only compares them.
     """
+    rows, _ = _sweep_points(windowed, slacks, limits)
+    run = F.greatest("_rp", "_rn")
+    out = rows.groupBy(*by, "k", "h").agg(*[F.count_if(run >= s).alias(f"s{s}") for s in sustained])
+    return out.unpivot([*by, "k", "h"], [f"s{s}" for s in sustained], "_s", "alarms").withColumn("sustained", F.substring("_s", 2, 9).cast("int")).drop("_s")
+
+
+def _sweep_points(windowed: DataFrame, slacks: list[float], limits: list[float]) -> tuple[DataFrame, list[str]]:
+    """Both sums (``_sp``, ``_sn``) of every slack and lengths of the runs beyond every limit (``_rp``, ``_rn``), and the keys of a charted window."""
     keys = [*KEYS, "k"]
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = windowed.select(*KEYS, "pos", "z", F.explode(F.array(*[F.lit(k) for k in slacks])).alias("k"))
+    rows = windowed.select(*KEYS, "pos", "z", "t_local", F.explode(F.array(*[F.lit(k) for k in slacks])).alias("k"))
     rows = rows.withColumn("_p", F.sum(F.col("z") - F.col("k")).over(upto)).withColumn("_m", F.sum(-F.col("z") - F.col("k")).over(upto))
     rows = rows.withColumn("_sp", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(upto))).withColumn("_sn", F.col("_m") - F.least(F.lit(0.0), F.min("_m").over(upto)))
-    rows = rows.select(*keys, "pos", "_sp", "_sn", F.explode(F.array(*[F.lit(h) for h in limits])).alias("h"))
+    rows = rows.select(*keys, "pos", "t_local", "_sp", "_sn", F.explode(F.array(*[F.lit(h) for h in limits])).alias("h"))
     keys = [*keys, "h"]
     for side in ("p", "n"):
         rows = rows.withColumn(f"_x{side}", F.col(f"_s{side}") > F.col("h"))
         rows = rows.withColumn(f"_i{side}", F.col("pos") - F.row_number().over(Window.partitionBy(*keys, f"_x{side}").orderBy("pos")))
         rows = rows.withColumn(f"_r{side}", F.when(F.col(f"_x{side}"), F.count(F.lit(1)).over(Window.partitionBy(*keys, f"_x{side}", f"_i{side}"))).otherwise(0))
+    return rows, keys
+
+
+def cusum_features_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], sustained: list[int]) -> DataFrame:
+    """Eight CUSUM features of each window under every setting (k, h, sustained)."""
+    rows, keys = _sweep_points(windowed, slacks, limits)
     run = F.greatest("_rp", "_rn")
-    out = rows.groupBy(*by, "k", "h").agg(*[F.count_if(run >= s).alias(f"s{s}") for s in sustained])
-    return out.unpivot([*by, "k", "h"], [f"s{s}" for s in sustained], "_s", "alarms").withColumn("sustained", F.substring("_s", 2, 9).cast("int")).drop("_s")
+    counts = [F.count_if(run >= s).alias(f"s{s}") for s in sustained]
+    sums = [F.max("_sp").alias("cusum_pos_max"), F.max("_sn").alias("cusum_neg_max"), F.max_by("_sp", "pos").alias("cusum_last_pos"), F.max_by("_sn", "pos").alias("cusum_last_neg")]
+    out = rows.groupBy(*keys).agg(*sums, *counts, F.count(F.lit(1)).alias("_n"), F.max("t_local").alias("_t"))
+    out = out.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("sustained"), F.col(f"s{s}").alias("alarms")) for s in sustained])))
+    share = F.col("_s.alarms") / F.col("_n")
+    return out.select(
+        *keys, F.col("_s.sustained").alias("sustained"), "cusum_pos_max", "cusum_neg_max", F.greatest("cusum_pos_max", "cusum_neg_max").alias("cusum_abs_max"), "cusum_last_pos", "cusum_last_neg",
+        F.col("_s.alarms").cast("double").alias("cusum_alarm_count"), share.alias("cusum_alarm_density"), (share * F.col("_t")).alias("cusum_time_in_alarm"),
+    )
+
+
+def ewma_features_sweep(windowed: DataFrame, weights: list[float], limits: dict[float, float]) -> DataFrame:
+    """Four EWMA features of each window for every weight ``lam`` and every limit; ``limits`` maps what a limit is called by (``shewhart_l``) to it."""
+    series = windowed.groupBy(*KEYS).agg(F.first("n").alias("n"), _sorted("z").alias("_ez"), _sorted("t_local").alias("_et"))
+    settings = [F.struct(F.lit(w).alias("lam"), F.lit(name).alias("shewhart_l"), F.lit(limit).alias("limit")) for w in weights for name, limit in limits.items()]
+    rows = series.select("*", F.inline(F.array(*settings)))
+    pairs = F.zip_with("_ez", "_et", lambda z, t: F.struct(z.alias("z"), t.alias("t")))
+    half = ewma_half(True)
+    folded = rows.withColumn("_f", ewma_fold(pairs, Chart(weight=F.col("lam"), ewma_limit=F.col("limit")), half, F.lit(0.0), F.lit(0)))
+    made = {c: v for c, v in ewma_results(half, F.col("_f")).items() if c != "ewma_first_alarm_time_sec"}
+    return folded.select(*KEYS, "lam", "shewhart_l", *[v.alias(c) for c, v in made.items()])
+
+
+def shewhart_features_sweep(windowed: DataFrame, limits: list[float]) -> DataFrame:
+    """Three Shewhart features of each window under every limit."""
+    counts = [F.count_if(F.abs("z") > limit).alias(f"s{i}") for i, limit in enumerate(limits)]
+    out = windowed.groupBy(*KEYS).agg(*counts, F.count(F.lit(1)).alias("_n"), F.max(F.abs("z")).alias("shewhart_max_abs_z"))
+    rows = out.select(*KEYS, "_n", "shewhart_max_abs_z", F.inline(F.array(*[F.struct(F.lit(x).alias("shewhart_l"), F.col(f"s{i}").cast("double").alias("shewhart_out_count")) for i, x in enumerate(limits)])))
+    return rows.withColumn("shewhart_out_rate", F.col("shewhart_out_count") / F.col("_n")).drop("_n")
+
+
+def ranges_and_runs(windowed: DataFrame) -> DataFrame:
+    """Features that no chart setting changes."""
+    return _features(_moving_range, _runs)(windowed)
 
 
 def cusum_values() -> dict[str, Column]:
