@@ -402,6 +402,11 @@ def _bounds() -> dict[str, Column]:
     return {"start_time_sec": F.first("start_time_sec"), "end_time_sec": F.first("end_time_sec"), "n_rr": F.count(F.lit(1))}
 
 
+def variability_with_bounds(windowed: DataFrame) -> DataFrame:
+    """The variability features with each window's bounds and size."""
+    return _features(_variability, more=_bounds())(windowed)
+
+
 def cusum_with_bounds(windowed: DataFrame, chart: Chart = Chart()) -> DataFrame:
     """The CUSUM features with each window's bounds and size."""
     return _features(lambda w: _cusum(w, chart), more=_bounds())(windowed)

@@ -113,8 +113,8 @@ def alarm_threshold(distances: DataFrame, percentile: float = PERCENTILE, dm: st
     return float("inf") if found is None else float(found)
 
 
-def distances_by_record(df: DataFrame, threshold: float, span_s: float, keys: list[str], dm: str = "dm", start: str = "start_time_sec", label: str = "y") -> DataFrame:
-    """Eleven figures of a record's distances in time order.
+def distances_by_record(df: DataFrame, threshold: float | Column, span_s: float, keys: list[str], dm: str = "dm", start: str = "start_time_sec", label: str = "y") -> DataFrame:
+    """Eleven figures of a record's distances in time order; ``threshold`` may be a column.
 
     Missing distances count as rows but not in statistics. The slope is over the last half's values, renumbered; the
     last value falls back to the last one there is; time in alarm is the share in alarm times the latest start.
@@ -138,45 +138,28 @@ def distances_by_record(df: DataFrame, threshold: float, span_s: float, keys: li
 
 
 def population_folds(windows: DataFrame, names: list[str], folds: DataFrame, span_s: float, percentile: float = PERCENTILE) -> DataFrame:
-    """For each fold: reference and threshold from training windows with y = 0, figures of all validation records."""
-    out = None
-    rows = windows.join(folds, "pair_id")
-    for r in folds.select("fold").distinct().orderBy("fold").collect():
-        held = F.col("fold") == r["fold"]
-        train = rows.where(~held & (F.col("y") == 0))
-        fit = fit_reference(train, as_vector(names), len(names))
-        limit = alarm_threshold(with_distance(train, as_vector(names), fit), percentile)
-        part = distances_by_record(with_distance(rows.where(held), as_vector(names), fit), limit, span_s, ["record_id", "y", "fold"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """For each fold: reference and threshold from training windows with y = 0, figures of all validation records; all folds together."""
+    from .keyed_distance import fit_keys, with_keyed_distance, with_thresholds
+    from .scan import written
+
+    held = folds.select(F.col("fold").alias("_held")).distinct()
+    rows = written(windows.join(folds, "pair_id").join(F.broadcast(held)), "distances")
+    reference = (F.col("fold") != F.col("_held")) & (F.col("y") == 0)
+    far = with_keyed_distance(rows, fit_keys(rows.where(reference), names, ["_held"]), names, ["_held"])
+    judged = with_thresholds(written(far, "distances"), reference, ["_held"], percentile).where(F.col("fold") == F.col("_held"))
+    return distances_by_record(judged, F.col("threshold"), span_s, ["record_id", "y", "fold"])
 
 
-def pair_baselines(windows: DataFrame, names: list[str], span_s: float, percentile: float = PERCENTILE) -> DataFrame:
-    """Reference from each pair's own y = 0 windows, one Python group for each pair and scale.
+def pair_baselines(windows: DataFrame, names: list[str], percentile: float = PERCENTILE) -> DataFrame:
+    """Reference from each pair's own y = 0 windows, at each scale.
 
     A pair and scale with too few reference windows is left out alone. (pair_id, window_type, window_size, record_id,
     y, start_time_sec, dm, threshold).
     """
-    p = len(names)
-
-    def run(pdf):
-        x = pdf[names].to_numpy(np.float64)
-        ref = x[(pdf["y"] == 0).to_numpy()]
-        if len(ref) < LEAST_ROWS:
-            return pdf.head(0)[keep].assign(dm=[], threshold=[]).astype({"dm": float, "threshold": float})
-        with np.errstate(all="ignore"):
-            medians = np.where(np.isfinite(ref).any(0), np.nanmedian(np.where(np.isfinite(ref), ref, np.nan), 0), 0.0)
-        ref = np.where(np.isfinite(ref), ref, medians)
-        mean, c = ref.mean(0), ref - ref.mean(0)
-        s = c.T @ c / len(ref)
-        m = np.trace(s) / p
-        d2 = ((s - m * np.eye(p)) ** 2).sum() / p
-        b2 = min(d2, (((c * c).sum(1) ** 2).mean() - (s**2).sum()) / (p * len(ref)))
-        share = b2 / d2 if d2 > 0 else 0.0
-        fit = Reference(medians, mean, np.linalg.pinv((1 - share) * s + share * m * np.eye(p)), share, len(ref))
-        return pdf[keep].assign(dm=fit.distances(x), threshold=float(np.percentile(fit.distances(ref), percentile)))
-
-    keep = ["pair_id", "window_type", "window_size", "record_id", "y", "start_time_sec"]
-    kinds = {f.name: f.dataType.simpleString() for f in windows.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", dm double, threshold double"
-    return windows.select(*keep, *names).groupBy("pair_id", "window_type", "window_size").applyInPandas(run, schema)
+    from .keyed_distance import fit_keys, with_keyed_distance, with_thresholds
+    from .scan import written
+
+    keys = ["pair_id", "window_type", "window_size"]
+    rows = written(windows.select(*keys, "record_id", "y", "start_time_sec", *names), "distances")
+    far = written(with_keyed_distance(rows, fit_keys(rows.where("y = 0"), names, keys), names, keys).drop(*names), "distances")
+    return with_thresholds(far, F.col("y") == 0, keys, percentile)

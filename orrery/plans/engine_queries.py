@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import charts, folds, mahalanobis, models, stats, windows
+from ..operators import charts, folds, mahalanobis, models, stats
+from ..operators.windows import multi_scale
 from ..streaming.monitor import monitor
 from .base import BASELINE, CHART, load, rounded, shared_dir, windowed
 from .series_queries import POINTS_SQL, VARIABILITY_SQL, pair_columns
@@ -25,8 +26,7 @@ def embedding_distances(spark, sf):
 
 
 def feature_windows(spark, sf):
-    w = windowed(spark, sf).where("window_type = 'rr_count' AND window_size = 10")
-    return pair_columns(charts.variability(w).join(windows.provenance(w), windows.KEYS))
+    return pair_columns(charts.variability_with_bounds(windowed(spark, sf).where("window_type = 'rr_count' AND window_size = 10")))
 
 
 def record_distances(spark, sf):
@@ -45,7 +45,7 @@ def population_folds(spark, sf):
 
 
 def pair_baselines(spark, sf):
-    return rounded(mahalanobis.pair_baselines(feature_windows(spark, sf), mahalanobis.FEATURE_SETS["hrv_reduced"], SPAN))
+    return rounded(mahalanobis.pair_baselines(feature_windows(spark, sf), mahalanobis.FEATURE_SETS["hrv_reduced"]).select("pair_id", "window_type", "window_size", "record_id", "y", "start_time_sec", "dm", "threshold"))
 
 
 def fold_rows(spark, sf):
@@ -170,7 +170,7 @@ def supplier_windows(spark, sf):
 
     li = load(spark, sf, "lineitem")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    w = windows.multi_scale(with_clock(series(li, "l_suppkey", "l_quantity", order)), (100,))
+    w = multi_scale(with_clock(series(li, "l_suppkey", "l_quantity", order)), (100,))
     return rounded(charts.variability(w).select("record_id", "window_index", "mean_rr", "median_rr", "std_rr"))
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as names
-from ..operators import charts, folds, model_table, models, stats
+from ..operators import charts, folds, mahalanobis, model_table, models, stats
+from ..operators.keyed_distance import fit_keys, with_keyed_distance, with_thresholds
 from ..operators.scan import attach, running, segmented, written
+from ..operators.selection import exact_percentiles
 from .base import rounded
 from .series_queries import pair_columns
-from .wide_queries import LENGTHS, LIMITS, SHEWHART_LIMITS, SLACKS, TUNED, WEIGHTS, record_features, supplier_windows
+from .wide_queries import LENGTHS, LIMITS, SHEWHART_LIMITS, SLACKS, TUNED, WEIGHTS, FULL, record_features, supplier_windows, window_features
 
 FOLDS, INNER = 5, 3
 SCALE = ["window_type", "window_size"]
@@ -127,9 +129,99 @@ def nested_choice(rows: DataFrame, features: list[str], outer: int = FOLDS, inne
     return best.join(measured, by, "left")
 
 
+# --- distances as features, against and beside the charts
+
+DISTANCES = [f"mahalanobis_{c}" for c in ("mean", "median", "max", "p90", "last", "slope", "alarm_count", "alarm_density", "time_in_alarm", "first_alarm_time_sec")]
+HARNESS = [*names.HRV, *names.SPC, *DISTANCES]
+# Blocks of the harness.
+HARNESS_BLOCKS = {"A_HRV": names.HRV, "B_SPC": names.SPC, "C_HRV_SPC": names.HRV + names.SPC, "D_Mahal": DISTANCES, "E_HRV_SPC_Mahal": HARNESS}
+
+
+def _window_rows(spark, sf) -> DataFrame:
+    columns = dict.fromkeys(c for own in mahalanobis.FEATURE_SETS.values() for c in own)
+    return written(pair_columns(window_features(spark, sf)).select("record_id", "pair_id", "y", *SCALE, "window_index", "start_time_sec", *columns), "windows")
+
+
+def _each_set(make) -> DataFrame:
+    """The rows of all sets of features that distances are taken in."""
+    return reduce(DataFrame.unionByName, [make(own).withColumn("features", F.lit(name)) for name, own in mahalanobis.FEATURE_SETS.items()])
+
+
+def _measured(rows: DataFrame, blocks: dict[str, list[str]], columns: list[str], keys: list[str]) -> DataFrame:
+    """Metrics of held-out records for each key and block, from logistic models."""
+    scaled = model_table.standardized(rows, columns, keys, F.col("train"))
+    each = model_table.block_rows(scaled, columns, blocks, keys)
+    return model_table.logistic_predictions(each, len(columns)).select(*keys, "block", "record_id", "pair_id", "y", "p", F.lit("logistic").alias("kind"))
+
+
+def harness_predictions(spark, sf) -> DataFrame:
+    """Out-of-fold probabilities: references fitted for each fold's training windows, or for each pair by its own.
+
+    With ``population_fold`` nothing of a held-out record enters mean, covariance, threshold or scaling; distances of
+    training and held-out records are both taken from the fold's reference. ``threshold`` models look at the largest
+    distance alone.
+    """
+    windowed = _window_rows(spark, sf)
+    dealt = written(folds.group_folds(windowed.select("record_id", "pair_id").distinct(), "pair_id", FOLDS), "folds")
+    records = written(record_features(spark, sf).select("record_id", *SCALE, *names.HRV, *names.SPC), "records")
+    sides = written(model_table.fold_sides(windowed.join(dealt, "pair_id"), FOLDS), "sides")
+    keys, far = [*SCALE, "held"], F.col("train") & (F.col("y") == 0)
+    who = ["record_id", "pair_id", "y", *SCALE]
+
+    def population(own: list[str]) -> DataFrame:
+        away = written(with_keyed_distance(sides, fit_keys(sides.where(far), own, keys), own, keys).drop(*[c for c in own]), "distances")
+        return mahalanobis.distances_by_record(with_thresholds(away, far, keys), F.col("threshold"), FULL, [*who, "held", "train"])
+
+    def paired(own: list[str]) -> DataFrame:
+        return mahalanobis.distances_by_record(mahalanobis.pair_baselines(windowed, own), F.col("threshold"), FULL, who)
+
+    whole = written(_each_set(population).join(records, ["record_id", *SCALE]), "harness")
+    by = ["features", *keys]
+    fitted = _measured(whole, HARNESS_BLOCKS, HARNESS, by)
+    limits = exact_percentiles(whole.where(far), by, F.col("mahalanobis_max"), [mahalanobis.PERCENTILE / 100]).select(*by, F.col("value").alias("_t"))
+    limit = F.coalesce("_t", F.lit(1.0))
+    plain = attach(whole.where("NOT train"), limits, by, "left").withColumn("p", model_table.probability(2.0 / F.greatest(limit, F.lit(1e-6)) * (F.coalesce("mahalanobis_max", F.lit(0.0)) - limit)))
+    plain = plain.withColumn("block", F.explode(F.array(F.lit("D_Mahal"), F.lit("E_HRV_SPC_Mahal")))).select(*by, "block", "record_id", "pair_id", "y", "p", F.lit("threshold").alias("kind"))
+    own = model_table.fold_sides(_each_set(paired).join(dealt, "pair_id"), FOLDS)
+    own = written(own.select(*by, "record_id", "pair_id", "y", "train", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in DISTANCES]), "harness")
+    paired_rows = _measured(own, {"D_Mahal": DISTANCES}, DISTANCES, by)
+    mode = lambda df, m: df.withColumn("mode", F.lit(m))
+    return written(mode(fitted.unionByName(plain), "population_fold").unionByName(mode(paired_rows, "pair_baseline")), "predictions")
+
+
+def harness_metrics(spark, sf) -> DataFrame:
+    """Mean and deviation over folds of each mode, set of features, block, scale and kind of model."""
+    by = ["mode", "features", "block", "kind", *SCALE]
+    p = harness_predictions(spark, sf)
+    per = stats.confusion(p, [*by, "held"]).join(stats.roc_auc(p, [*by, "held"]).select(*by, "held", "auc"), [*by, "held"])
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_folds"), *[f(c).alias(f"{c}_{n}") for c in METRICS for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+
+
+def distance_steps(spark, sf) -> DataFrame:
+    """What distances add to variability and charts, at every scale and for every set and kind of model."""
+    summary = harness_metrics(spark, sf).where("mode = 'population_fold'")
+    return stats.block_differences(summary, [("C_HRV_SPC", "E_HRV_SPC_Mahal")], ["features", "kind", *SCALE], ["auc_mean", "f1_mean"])
+
+
+def distance_lead_times(spark, sf) -> DataFrame:
+    """Time from the first alarm to the end of the span for every y = 1 record, by scale and set; the reference is all y = 0 windows of the scale."""
+    windowed = _window_rows(spark, sf)
+
+    def made(own: list[str]) -> DataFrame:
+        away = written(with_keyed_distance(windowed, fit_keys(windowed.where("y = 0"), own, SCALE), own, SCALE).drop(*own), "distances")
+        judged = with_thresholds(away, F.col("y") == 0, SCALE).where("y = 1")
+        first = F.min_by("start_time_sec", F.when(F.col("dm") > F.col("threshold"), F.col("window_index")))
+        return judged.groupBy("record_id", "pair_id", *SCALE).agg((FULL - first).alias("lead_time_sec"), F.count_if(F.col("dm") > F.col("threshold")).alias("alarms"), F.max("dm").alias("farthest"), F.first("threshold").alias("threshold"))
+
+    return _each_set(made)
+
+
 QUERIES = {
     "block_metrics": lambda s, d: rounded(block_metrics(s, d), 6),
     "block_steps": lambda s, d: rounded(block_steps(s, d), 4),
+    "distance_harness": lambda s, d: rounded(harness_metrics(s, d), 6),
+    "distance_steps": lambda s, d: rounded(distance_steps(s, d), 4),
+    "distance_lead_times": lambda s, d: rounded(distance_lead_times(s, d), 6),
     "coefficient_table": lambda s, d: rounded(coefficient_table(s, d), 6),
     "nested_model_tuning": lambda s, d: rounded(nested_choice(tuning_records(s, d), TUNED_FEATURES), 6),
 }

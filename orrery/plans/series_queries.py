@@ -171,7 +171,7 @@ TEMPORAL = ["rmssd", "cv_rr"]
 
 def temporal_query(spark, sf):
     w = windowed(spark, sf).where("window_type = 'rr_count' AND window_size = 10")
-    f = pair_columns(charts.variability(w).join(windows.provenance(w), windows.KEYS))
+    f = pair_columns(charts.variability_with_bounds(w))
     return rounded(aggregate.temporal(f, TEMPORAL))
 
 

@@ -75,7 +75,7 @@ SPAN = 3.0
 def plane_distances(spark, sf):
     """Distances of all feature windows from those with y = 0, with a threshold at the 95th percentile of these."""
     w = windowed(spark, sf).where("window_type = 'rr_count' AND window_size = 10")
-    rows = pair_columns(charts.variability(w).join(windows.provenance(w), windows.KEYS))
+    rows = pair_columns(charts.variability_with_bounds(w))
     x, ref = mahalanobis.as_vector(PLANE), rows.where("y = 0")
     fit = mahalanobis.fit_reference(ref, x, 2)
     limit = mahalanobis.alarm_threshold(mahalanobis.with_distance(ref, x, fit))
