@@ -165,14 +165,14 @@ def logistic_predictions(rows: DataFrame, p: int) -> DataFrame:
     return scored(rows.where("NOT train"), table).withColumn("p", probability(F.col("score"))).drop("score", "x")
 
 
-def svm_predictions(rows: DataFrame, p: int, group: str = "pair_id", parts: int = 3) -> DataFrame:
+def svm_predictions(rows: DataFrame, p: int, part: str = "part", parts: int = 3) -> DataFrame:
     """Held-out rows with ``p``, the mean of ``parts`` linear squared-hinge machines, each calibrated on the training rows that it did not see.
 
-    Training rows are parted by a hash of ``group``; the sigmoid of a machine is a logistic model of its scores, with
-    targets drawn in by one row of each class.
+    ``part`` (1 to ``parts``) deals the training rows; the sigmoid of a machine is a logistic model of its scores, with
+    targets drawn in by one row of each class. A machine whose own part has no training rows is left out, as is one
+    without rows of other parts.
     """
-    part = F.pmod(F.xxhash64(group), F.lit(parts)).cast("int")
-    each = rows.withColumn("_part", part).withColumn("_out", F.explode(F.array(*[F.lit(k) for k in range(parts)])))
+    each = rows.withColumn("_part", F.col(part)).withColumn("_out", F.explode(F.array(*[F.lit(k) for k in range(1, parts + 1)])))
     each = each.withColumn("_whole", F.col("model")).withColumn("model", F.concat_ws("|", "model", F.col("_out").cast("string")))
     table = fit_table(each.where("train AND _part <> _out"), p, "squared_hinge", plain_intercept=False)
     found = written(scored(each.where("NOT train OR _part = _out"), table).drop("x"), "models")

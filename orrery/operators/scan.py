@@ -60,15 +60,15 @@ def attach(rows: DataFrame, facts: DataFrame, by: Sequence[str], how: str = "inn
 def running(table: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: dict[str, tuple[str, Column]], inclusive: bool = True, backward: bool = False) -> DataFrame:
     """Adds running sums, least or largest values of each group, in its order or backward.
 
-    ``values`` maps names to (``sum``, ``min`` or ``max``, column); ``table`` is of ``segmented``. Without
+    ``values`` maps names to (``sum``, ``min`` or ``max``, column); ``table`` is of ``segmented``; backward, ``order``
+    has names alone. Without
     ``inclusive`` a row's own value is left out; sums over nothing are 0, extremes null.
     """
-    whole = Window.partitionBy(*by, PART).orderBy(*order)
-    far = Window.unboundedFollowing if backward else Window.unboundedPreceding
-    near = 0 if inclusive else (1 if backward else -1)
-    local = whole.rowsBetween(near, far) if backward else whole.rowsBetween(far, near)
-    others = Window.partitionBy(*by).orderBy(PART)
-    others = others.rowsBetween(1, far) if backward else others.rowsBetween(far, -1)
+    # backward figures run forward over the reversed order: frames that end at the last row are made anew for each row
+    turned = [F.desc(c) for c in (*order, PART)] if backward else [*order, PART]
+    far = Window.unboundedPreceding
+    local = Window.partitionBy(*by, PART).orderBy(*turned[:-1]).rowsBetween(far, 0 if inclusive else -1)
+    others = Window.partitionBy(*by).orderBy(turned[-1]).rowsBetween(far, -1)
     facts = table.groupBy(*by, PART).agg(*[_KINDS[kind](c).alias(n) for n, (kind, c) in values.items()])
     facts = facts.select(*by, PART, *[_KINDS[kind](F.col(n)).over(others).alias(f"_c_{n}") for n, (kind, _) in values.items()])
     rows = attach(table.withColumns({n: _KINDS[kind](c).over(local) for n, (kind, c) in values.items()}), facts, [*by, PART])

@@ -27,7 +27,8 @@ def folded_records(spark, sf) -> DataFrame:
     """Record features of all suppliers at all scales, once for each fold that may be held out, standardized by its training rows."""
     records = written(record_features(spark, sf).select("record_id", "pair_id", "y", *SCALE, *names.ALL), "records")
     dealt = folds.group_folds(records.select("record_id", "pair_id").distinct(), "pair_id", FOLDS)
-    sides = model_table.fold_sides(records.join(dealt, "pair_id"), FOLDS)
+    parts = folds.group_folds(records.select("record_id", "pair_id").distinct(), "pair_id", INNER).withColumnRenamed("fold", "part")
+    sides = model_table.fold_sides(records.join(dealt, "pair_id").join(parts, "pair_id"), FOLDS)
     return model_table.standardized(sides, names.ALL, [*SCALE, "held"], F.col("train"))
 
 
