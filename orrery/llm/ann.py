@@ -19,8 +19,9 @@ MOST_LISTS = 4096
 #: Copies of a vector at most, and how much farther than the nearest centroid another one may be.
 COPIES = 2
 COPY_RATIO = 1.05
-#: Share of true neighbours of sampled queries whose lists the pruning ratio must let through.
-TARGET = 0.97
+#: Share of a sampled query's true neighbours whose lists its ratio must let through, and share of the queries of a
+#: class whose ratios the class's must reach.
+TARGET, QUERY_TARGET = 0.99, 0.99
 #: Classes of queries, by the distance to their nearest centroid, with a pruning ratio each.
 CLASSES = 8
 BLOCK_VECTORS = 16_384
@@ -133,18 +134,43 @@ class ListIndex:
         return chosen_lists(self.graph, directions(x))
 
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs whose centroid is at most the ratio of the query's class times as far as the nearest one."""
-        ids, dist = self.graph.search(directions(q), self.width)
-        ratio = self.ratio[np.searchsorted(self.reach, dist[:, 0])]
-        row, at = np.nonzero(dist <= ratio[:, None] * dist[:, :1] + 1e-12)
-        return row, ids[row, at]
+        """(row, list) pairs whose centroid is at most the ratio of the query's class times as far as the nearest one.
+
+        ``width`` is where the search begins: it is doubled for queries whose farthest list found is still within
+        their ratio, up to all lists.
+        """
+        points, lists, width = directions(q), len(self.graph.centroids), self.width
+        left, rows, found = np.arange(len(q)), [], []
+        while len(left):
+            ids, dist = self.graph.search(points[left], width)
+            limit = self.ratio[np.searchsorted(self.reach, dist[:, 0])] * dist[:, 0] + 1e-12
+            done = (dist[:, -1] > limit) | (dist.shape[1] >= lists)
+            row, at = np.nonzero((dist <= limit[:, None]) & done[:, None])
+            rows.append(left[row])
+            found.append(ids[row, at])
+            left, width = left[~done], width * 2
+        return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def all_lists(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every list for every row: the way for queries that their own lists did not give enough candidates."""
+        lists = len(self.graph.centroids)
+        return np.repeat(np.arange(len(q)), lists), np.tile(np.arange(lists), len(q))
 
 
 def fit_index(sample: np.ndarray, total: int, k: int) -> ListIndex:
-    """Centroids from the sample, and the pruning ratio that lets through the lists of the sample's true neighbours."""
+    """Centroids from the sample, and the pruning ratio that lets through the lists of the sample's true neighbours.
+
+    Equal vectors count once, so copies neither move centroids nor stand for the queries of a class; each sampled
+    query has one ratio, that of TARGET of its neighbours, and a class takes the ratio of QUERY_TARGET of its queries.
+    Ratios are taken from the half of the sample that the centroids have not seen, for most rows have not been seen.
+    """
+    sample = np.unique(sample, axis=0)
+    sample = sample[np.random.default_rng(5).permutation(len(sample))]
+    lists = max(1, min(MOST_LISTS, -(-total // LIST_VECTORS), -(-len(sample) // 2)))
+    seen = max(lists, len(sample) // 2)
+    graph = CentroidGraph.build(balanced_centroids(directions(sample[:seen]), lists))
+    sample = sample[seen:] if len(sample) - seen > 1 else sample
     points = directions(sample)
-    lists = max(1, min(MOST_LISTS, -(-total // LIST_VECTORS), len(sample)))
-    graph = CentroidGraph.build(balanced_centroids(points, lists))
     row, owner = chosen_lists(graph, points)
     first = np.searchsorted(row, np.arange(len(sample) + 1))
     # of all rows' k neighbours the sample has its share; these lie as far away as the k do
@@ -154,15 +180,16 @@ def fit_index(sample: np.ndarray, total: int, k: int) -> ListIndex:
         d = np.sqrt(_squares(points[i : i + 1], graph.centroids))[0]
         score = sample @ sample[i]
         score[i] = -np.inf
-        for j in np.argpartition(-score, max(near - 1, 0))[:near]:
+        own = [float(d[owner[first[j] : first[j + 1]]].min() / max(d.min(), 1e-12)) for j in np.argpartition(-score, max(near - 1, 0))[:near]]
+        if own:
             least.append(d.min())
-            ratios.append(float(d[owner[first[j] : first[j + 1]]].min() / max(d.min(), 1e-12)))
+            ratios.append(sorted(own)[-(-len(own) * int(100 * TARGET) // 100) - 1])
     if not ratios:
         return ListIndex(graph, np.zeros(0), np.ones(1), lists)
     least, ratios = np.array(least), np.array(ratios)
     reach = np.unique(np.quantile(least, np.arange(1, CLASSES) / CLASSES))
     of = np.searchsorted(reach, least)
-    ratio = np.array([max(float(np.quantile(ratios[of == c], TARGET)), 1.0) + 1e-9 if (of == c).any() else ratios.max() for c in range(len(reach) + 1)])
+    ratio = np.array([max(float(np.quantile(ratios[of == c], QUERY_TARGET)), 1.0) + 1e-9 if (of == c).any() else ratios.max() for c in range(len(reach) + 1)])
     nearest = np.sqrt(_squares(points[:: max(1, len(points) // 2000)], graph.centroids))
     allowed = ratio[np.searchsorted(reach, nearest.min(1))] * nearest.min(1)
     width = int((nearest <= allowed[:, None]).sum(1).max())
@@ -186,6 +213,16 @@ def clean_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
+def first_copies(rows: DataFrame, most: int) -> DataFrame:
+    """Of equal vectors the ``most`` with the smallest ids.
+
+    Equal vectors have equal scores, and ties go to the smaller id, so a query that may not take itself never takes one
+    behind the k + 1 first of them.
+    """
+    order = Window.partitionBy("vector").orderBy(F.asc_nulls_last("vec_id"), "uid")
+    return rows.withColumn("_copy", F.row_number().over(order)).where(F.col("_copy") <= most).drop("_copy")
+
+
 def nearest_neighbours(
     vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -194,8 +231,9 @@ def nearest_neighbours(
     Returns query_id, rank from 1, vec_id, and score, the product of the original vectors in double precision;
     equal scores go to the smaller id. Rows without a vector, or with null, non-finite, or only zero components, or
     of another length than most, take no part; a null id is never a query and ranks last among ties. Repeated ids are
-    rows of their own. The index is fitted on at most SAMPLE_VECTORS rows and holds every row; lists are searched in
-    blocks, so neither a long list nor many queries meet in one task. An empty table gives no rows.
+    rows of their own. The index is fitted on at most SAMPLE_VECTORS rows and holds every row that can be a result: of
+    equal vectors the k + 1 of smallest id. Lists are searched in blocks, so neither a long list nor many queries meet
+    in one task; a query whose lists held fewer than k candidates is searched in all lists. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -226,8 +264,21 @@ def nearest_neighbours(
 
     kind = rows.schema["vector"].dataType.simpleString()
     spread_schema = f"list int, uid long, vec_id long, vector {kind}"
-    posted = scratch.table(rows.select("uid", "vec_id", "vector").mapInArrow(spread("lists_of"), spread_schema))
+    posted = scratch.table(first_copies(rows.select("uid", "vec_id", "vector"), k + 1).mapInArrow(spread("lists_of"), spread_schema))
     asked = scratch.table(queries.select("uid", "vec_id", "vector").mapInArrow(spread("probes"), spread_schema))
+    found = scratch.table(_searched(posted, asked, k).dropDuplicates(["asker", "uid"]))
+    enough = found.groupBy("asker").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, total - 1)).select(F.col("asker").alias("uid"))
+    short = queries.join(enough, "uid", "left_anti")
+    if not short.isEmpty():
+        asked = scratch.table(short.select("uid", "vec_id", "vector").mapInArrow(spread("all_lists"), spread_schema))
+        found = found.unionByName(_searched(posted, asked, k)).dropDuplicates(["asker", "uid"])
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "uid")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _searched(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(asker, query_id, uid, vec_id, score): the ``k`` best rows of each asked list, block by block."""
     # a list is cut into blocks, and its queries into parts: only where both are many does a row go to more than one task
     blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
     parts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts"))
@@ -263,8 +314,4 @@ def nearest_neighbours(
         return pa.table({c: pa.array(out[c], t) for c, t in kinds})
 
     keys = ["list", "block", "part"]
-    found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(best, "asker long, query_id long, uid long, vec_id long, score double")
-    found = found.dropDuplicates(["asker", "uid"])
-    order = Window.partitionBy("asker").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "uid")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(best, "asker long, query_id long, uid long, vec_id long, score double")
