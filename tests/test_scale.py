@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import charts, intervals, keyed_distance, long_records, mahalanobis, model_table, resampling, scan, selection, stats, windows
-from orrery.plans import model_queries
+from orrery.plans import engine_queries, model_queries
 from orrery.plans.base import load
 
 DATA = "/root/testdata/sf0.001"
@@ -390,3 +390,56 @@ def test_harness(spark, monkeypatch):
     for r in steps:
         a, b = (summary["population_fold", r.features, block, r.kind, r.window_size].f1_mean for block in ("C_HRV_SPC", "E_HRV_SPC_Mahal"))
         assert abs(r.delta_f1_mean - (b - a)) < 1e-4
+
+
+def test_population_folds_and_pair_baselines(spark):
+    names = mahalanobis.FEATURE_SETS["hrv_reduced"]
+    windowed = engine_queries.feature_windows(spark, DATA).toPandas()
+    users = engine_queries.users(spark, DATA).toPandas()
+    sizes = users.groupby("pair_id").size()
+    order = sorted(sizes.index, key=lambda p: (-sizes[p], -p))
+    fold = {p: i % 3 + 1 for i, p in enumerate(order)}
+    got = {r.record_id: r for r in engine_queries.population_folds(spark, DATA).collect()}
+    assert got.keys() == set(windowed.record_id)
+    for k in (1, 2, 3):
+        seen = windowed.pair_id.map(fold) != k
+        distance, limit = plain_fit(windowed[seen & (windowed.y == 0)][names].to_numpy(float))
+        for record, own in windowed[~seen].groupby("record_id"):
+            d = distance(own[names].to_numpy(float))
+            r = got[record]
+            assert r.fold == k and abs(r.mahalanobis_mean - d.mean()) < 1e-6 and abs(r.mahalanobis_max - d.max()) < 1e-6 and r.mahalanobis_alarm_count == (d > limit).sum()
+    rows = engine_queries.pair_baselines(spark, DATA).toPandas()
+    assert len(rows)
+    for pair, own in windowed.groupby("pair_id"):
+        ref = own[own.y == 0][names].to_numpy(float)
+        mine = rows[rows.pair_id == pair].sort_values(["record_id", "start_time_sec"])
+        assert len(mine) == (len(own) if len(ref) >= 5 else 0)
+        if len(ref) >= 5:
+            distance, limit = plain_fit(ref)
+            own = own.sort_values(["record_id", "start_time_sec"])
+            assert np.allclose(mine.dm, distance(own[names].to_numpy(float)), atol=1e-6) and np.allclose(mine.threshold, limit, atol=1e-6)
+
+
+def test_smaller_blocks_by_plain_models(spark):
+    """Metrics, gains and coefficients of the three small blocks on whole records."""
+    records = engine_queries.fold_rows(spark, DATA).toPandas()
+    names = engine_queries.FEATURES
+    got = {(r.block, r.fold): r for r in engine_queries.cv_logistic(spark, DATA).collect()}
+    areas, betas = {}, []
+    for block, own in (("A", names[:2]), ("B", names[:4]), ("C", names)):
+        for k in sorted(records.fold.unique()):
+            train, held = records[records.fold != k], records[records.fold == k]
+            x, v = scaled_sides(train[own].astype(float), held[own].astype(float))
+            beta = newton(x, train.y.to_numpy(float))
+            p = 1 / (1 + np.exp(-np.column_stack([v, np.ones(len(v))]) @ beta))
+            r, y = got[block, k], held.y.to_numpy()
+            areas[block, k] = area(np.round(p, 9), y)
+            assert (r.auc is None and np.isnan(areas[block, k])) or abs(r.auc - areas[block, k]) < 1e-8
+            assert (r.tp, r.fp, r.fn, r.tn) == (((p >= 0.5) & (y == 1)).sum(), ((p >= 0.5) & (y == 0)).sum(), ((p < 0.5) & (y == 1)).sum(), ((p < 0.5) & (y == 0)).sum())
+            if block == "C":
+                betas.append(beta[:-1])
+    mean = {b: np.nanmean([v for (c, _), v in areas.items() if c == b]) for b in "ABC"}
+    for r in engine_queries.incremental_blocks(spark, DATA).collect():
+        assert abs(r.delta_auc - (mean[r.b] - mean[r.a])) < 1e-4
+    stable = {r.feature: r.coef_mean for r in engine_queries.coefficient_stability(spark, DATA).collect()}
+    assert all(abs(stable[c] - m) < 1e-6 for c, m in zip(names, np.mean(betas, 0)))
