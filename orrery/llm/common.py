@@ -173,7 +173,7 @@ FIELD = (1 << 61) - 1
 _P, _LOW = _U(FIELD), _U(0xFFFFFFFF)
 #: A base for hashes that must be the same in every session.
 FIXED_BASE = 0x1B873593CC9E2D51 % FIELD
-_FIELD_BLOCK = 1 << 19
+_FIELD_BLOCK, _STRETCH = 1 << 19, 1 << 14
 _field_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -216,20 +216,29 @@ class RangeCode:
             _field_powers[base] = power & _LOW, power >> _U(32), _power_list(pow(base, -1, FIELD), _FIELD_BLOCK)
         low, high, self.inverse = _field_powers[base]
         n, blocks = len(data), len(data) // _FIELD_BLOCK + 1
-        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        self.low, self.high = np.empty(n + 1, np.uint64), np.empty(n + 1, np.uint64)
+        self.low[0] = self.high[0] = 0
         step = pow(base, _FIELD_BLOCK, FIELD)
         self.block_power = np.array([pow(step, k, FIELD) for k in range(blocks)], np.uint64)
         self.block_inverse = np.array([pow(step, -k, FIELD) for k in range(blocks)], np.uint64)
         self.carry = np.zeros(blocks, np.uint64)
         for k in range(blocks):
             lo = k * _FIELD_BLOCK
-            code = data[lo : lo + _FIELD_BLOCK].astype(np.uint64) + _U(1)
-            sums = [np.cumsum(code * part[: len(code)], dtype=np.uint64) for part in (low, high)]
-            self.low[lo + 1 : lo + 1 + len(code)], self.high[lo + 1 : lo + 1 + len(code)] = sums
-            if len(code) == _FIELD_BLOCK:
-                total = self._joined(sums[1][-1:], sums[0][-1:])
+            hi = min(lo + _FIELD_BLOCK, n)
+            # short stretches stay in the cache
+            for a in range(lo, hi, _STRETCH):
+                b = min(a + _STRETCH, hi)
+                code = data[a:b].astype(np.uint64)
+                code += _U(1)
+                for sums, power in ((self.low, low), (self.high, high)):
+                    out = sums[a + 1 : b + 1]
+                    np.cumsum(code * power[a - lo : b - lo], out=out)
+                    if a > lo:
+                        out += sums[a]
+            if hi - lo == _FIELD_BLOCK:
+                total = self._joined(self.high[hi : hi + 1], self.low[hi : hi + 1])
                 self.carry[k + 1] = _reduced(self.carry[k : k + 1] + field_product(self.block_power[k : k + 1], total))[0]
-                self.low[lo + len(code)] = self.high[lo + len(code)] = 0
+                self.low[hi] = self.high[hi] = 0
 
     @staticmethod
     def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -243,6 +252,8 @@ class RangeCode:
         return _reduced(self.carry[block] + field_product(self.block_power[block], here))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.carry) == 1:
+            return mix64(field_product(self._joined(self.high[ends] - self.high[starts], self.low[ends] - self.low[starts]), self.inverse[starts]))
         value = field_product(_reduced(self._value(ends) + _P - self._value(starts)), self.inverse[starts % _FIELD_BLOCK])
         if len(self.carry) > 1:
             value = field_product(value, self.block_inverse[starts // _FIELD_BLOCK])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIXED_BASE, Scratch, hash_bases, mix64, text_batches, text_of, word_hashes
+from .common import FIXED_BASE, Scratch, mix64, text_batches, text_of, word_hashes
 
 #: A pair of similarity 0.8 shares the first token of one tree with probability 0.8: 12 trees miss 4 in 10**9 where
 #: the nodes of that token are compared as they are.
@@ -351,12 +351,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Null ids never are a component_id unless the class has no other; repeated rows fall into one class. Equal sets
     are one vertex from the start, so copies cost no comparisons. Extra columns are ignored.
 
-    Words are compared by 64-bit hashes, polynomials modulo 2**61 - 1 whose base is drawn for each application: two
-    words of n bytes are taken for one with probability n / 2**61, whatever they are. Full sets are sets of hashes.
+    Words are compared by 64-bit hashes, polynomials modulo 2**61 - 1 with a fixed base: two words of n bytes, written
+    without regard to it, are taken for one with probability n / 2**61. Full sets are sets of hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
-    base, _ = hash_bases(spark)
+    # one base for all sessions: what the trees branch on, and so their cost, is the same in each
+    base = FIXED_BASE
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("pick"), text.alias("text"))
     signed = scratch.table(
