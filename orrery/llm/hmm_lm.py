@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeCode, Scratch, id_bucket, mix64, sub_batches, text_batches, text_of, word_spans
+from .common import LOWER, Scratch, hashes_of_words, id_bucket, mix64, sub_batches, text_batches, text_of, word_spans
 
 STATES = 8
 #: The most frequent words, each a symbol of its own; other words are symbols by their last three bytes.
@@ -38,7 +38,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Word hashes with an end after each row, endings of the words (-1 for an end), and each row's first token."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offsets)
-    words = RangeCode(low).hashes(starts, ends)
+    words = hashes_of_words(low, starts, ends)
     tail = low[ends - 1].astype(np.uint64)
     for k in (2, 3):
         tail = tail * _U(257) + np.where(ends - k >= starts, low[np.maximum(ends - k, 0)].astype(np.uint64) + _U(1), _U(0))

@@ -351,8 +351,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Null ids never are a component_id unless the class has no other; repeated rows fall into one class. Equal sets
     are one vertex from the start, so copies cost no comparisons. Extra columns are ignored.
 
-    Words are compared by 64-bit hashes, polynomials modulo 2**61 - 1 with a fixed base: two words of n bytes, written
-    without regard to it, are taken for one with probability n / 2**61. Full sets are sets of hashes.
+    Words are compared by 64-bit hashes with fixed bases, those beyond 256 bytes by a polynomial modulo 2**61 - 1. Full
+    sets are sets of these hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
