@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, folds, mahalanobis, models, stats
 from ..operators.windows import multi_scale
-from ..streaming.monitor import monitor
+from ..streaming.monitor import monitor, ordered_monitor
 from .base import BASELINE, CHART, load, rounded, shared_dir, windowed
 from .series_queries import POINTS_SQL, VARIABILITY_SQL, pair_columns
 from .stat_queries import FEATURES, RECORDS_SQL, records, users
@@ -138,6 +138,28 @@ def streamed(spark, sf):
     return rounded(spark.read.schema(out.schema).parquet(f"{root}/rows"))
 
 
+HOUR = 3_600_000_000
+
+
+def streamed_out_of_order(spark, sf):
+    """The monitor over all events, which arrive up to six hours late and in six files, one a trigger; a seventh ends every record."""
+    root = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    arrives = at + F.pmod(F.xxhash64("event_id"), F.lit(6 * HOUR))
+    e = load(spark, sf, "events").select(F.col("user_id").alias("record_id"), at.alias("at"), F.col("event_id").alias("order"), F.col("value").alias("rr_ms"), F.lit(False).alias("last"), arrives.alias("_arrives"))
+    ends = e.agg(F.min("_arrives").alias("a"), F.max("_arrives").alias("b")).head()
+    width = ((ends["b"] or 0) - (ends["a"] or 0)) // 6 + 1
+    for part in range(6):
+        e.where(F.floor((F.col("_arrives") - (ends["a"] or 0)) / width) == part).drop("_arrives").coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    closing = e.groupBy("record_id").agg(F.max("at").alias("at")).select("record_id", "at", F.lit(None).cast("long").alias("order"), F.lit(None).cast("double").alias("rr_ms"), F.lit(True).alias("last"))
+    closing.coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    came = spark.readStream.schema(closing.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrived")
+    out = ordered_monitor(came, 6 * HOUR, BASELINE, CHART)
+    query = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.read.schema(out.schema).parquet(f"{root}/rows").drop("at"))
+
+
 STREAM_SQL = f"""WITH RECURSIVE s AS (SELECT user_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS rr_ms FROM events),
 b AS (SELECT record_id, avg(rr_ms) AS mu, stddev_samp(rr_ms) AS sg FROM s WHERE idx < {BASELINE} GROUP BY record_id),
 x AS (SELECT s.record_id, idx, rr_ms, (rr_ms - mu) / (CASE WHEN sg > 0 THEN sg ELSE 1.0 END) AS z FROM s JOIN b USING (record_id) WHERE idx >= {BASELINE}),
@@ -225,6 +247,7 @@ QUERIES = {
     "pairwise_ranking": lambda s, d: rounded(pairwise_ranking(s, d)),
     "nested_chart_tuning": lambda s, d: rounded(nested_tuning(s, d)),
     "streaming_monitor": streamed,
+    "streaming_monitor_out_of_order": streamed_out_of_order,
     "pivot_block_by_window": lambda s, d: rounded(block_pivot(s, d)),
     "best_window_per_record": lambda s, d: rounded(best_window(s, d)),
     "topk_abs": lambda s, d: rounded(topk(s, d)),
@@ -237,6 +260,7 @@ QUERIES = {
 _SCALE = {"rr_count_10": "rr_count' AND window_size = 10", "rr_count_16": "rr_count' AND window_size = 16", "rr_count_25": "rr_count' AND window_size = 25", "full_record_1800": "full_record' AND window_size = 1800"}
 ORACLE_SQL = {
     "streaming_monitor": STREAM_SQL,
+    "streaming_monitor_out_of_order": f"SELECT *, FALSE AS late FROM ({STREAM_SQL})",
     "pivot_block_by_window": f"{POINTS_SQL}, {VARIABILITY_SQL} SELECT record_id, " + ", ".join(f"round(avg(rmssd) FILTER (window_type = '{f}), 8) + 0.0 AS {c}" for c, f in _SCALE.items()) + " FROM r GROUP BY record_id",
     "best_window_per_record": f"{POINTS_SQL}, {VARIABILITY_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY record_id, window_size ORDER BY rmssd DESC, window_index) AS k FROM r WHERE window_type = 'rr_count' AND rmssd IS NOT NULL) SELECT record_id, window_size, window_index, round(rmssd, 8) + 0.0 AS rmssd FROM q WHERE k = 1",
     "topk_abs": f"{RECORDS_SQL}, lg AS (UNPIVOT rec ON {', '.join(FEATURES)} INTO NAME feature VALUE x), md AS (SELECT feature, median(x) AS m FROM lg GROUP BY feature) SELECT record_id, lg.feature AS feature, round(abs(x - m), 8) + 0.0 AS away FROM lg JOIN md ON lg.feature = md.feature ORDER BY abs(x - m) DESC, lg.feature, record_id LIMIT 20",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +15,19 @@ STATE = "n long, total double, squares double, s_pos double, s_neg double, e dou
 OUTPUT = "record_id long, idx long, rr_ms double, z double, s_pos double, s_neg double, ewma double, out_cusum boolean, out_ewma boolean"
 
 
+ORDERED_STATE = STATE + ", released long, pending binary"
+ORDERED_OUTPUT = OUTPUT + ", at long, late boolean"
+PENDING = np.dtype([("at", "i8"), ("order", "i8"), ("rr_ms", "f8")])
+
+
+def _step(x: float, total: float, squares: float, up: float, down: float, e: float, baseline: int, chart: Chart) -> tuple[float, float, float, float]:
+    """(z, up, down, e) after one more interval."""
+    mean = total / baseline
+    spread = max(squares - baseline * mean * mean, 0.0) / max(baseline - 1, 1)
+    z = (x - mean) / (spread**0.5 if spread > 0 else 1.0)
+    return z, max(0.0, up + z - chart.k), max(0.0, down - z - chart.k), chart.weight * z + (1 - chart.weight) * e
+
+
 def monitor(events: DataFrame, baseline: int = 20, chart: Chart = Chart()) -> DataFrame:
     """One row for each interval after the baseline, in append mode.
 
@@ -30,13 +44,57 @@ def monitor(events: DataFrame, baseline: int = 20, chart: Chart = Chart()) -> Da
             if n < baseline:
                 total, squares = total + x, squares + x * x
             else:
-                mean = total / baseline
-                spread = max(squares - baseline * mean * mean, 0.0) / max(baseline - 1, 1)
-                z = (x - mean) / (spread**0.5 if spread > 0 else 1.0)
-                up, down, e = max(0.0, up + z - chart.k), max(0.0, down - z - chart.k), chart.weight * z + (1 - chart.weight) * e
+                z, up, down, e = _step(x, total, squares, up, down, e, baseline, chart)
                 rows.append((key[0], n, x, z, up, down, e, max(up, down) > chart.h, abs(e) > bound))
             n += 1
         state.update((n, total, squares, up, down, e))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return events.groupBy("record_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def ordered_monitor(events: DataFrame, delay: int, baseline: int = 20, chart: Chart = Chart()) -> DataFrame:
+    """``monitor`` over rows that arrive up to ``delay`` out of order, with the rows that came later than that listed.
+
+    ``events`` streams (record_id, at, order, rr_ms, last): ``at`` is a long in the unit of ``delay``. After each
+    trigger a record's horizon is its largest ``at`` less ``delay``; rows before it are charted in order of
+    (at, order), the others wait in state, which so holds the rows of one delay. A row of a later trigger before the
+    horizon, or without ``at``, is late: it comes out with ``late`` true and no figures, and moves no chart. A row
+    with ``last`` true ends its record (its value is not used): what waits is charted, all rows of later triggers
+    are late. Rows with null or NaN ``rr_ms`` take no part. Triggers may cut the arrivals anywhere: without late
+    rows, the result is that of ``monitor`` over all rows in order.
+    """
+    bound = chart.ewma_limit * (chart.weight / (2 - chart.weight)) ** 0.5
+    first, end = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, squares, up, down, e, released, kept = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, first, b"")
+        came = pd.concat(list(frames))
+        ended = bool(came["last"].fillna(False).astype(bool).any())
+        came = came[~came["last"].fillna(False).astype(bool) & came["rr_ms"].notna()]
+        at = came["at"].astype("Int64")
+        late = (at.isna() | (at < released).fillna(True) | (released == end)).to_numpy(bool)
+        rows = [(key[0], None, x, *[None] * 6, None if pd.isna(t) else int(t), True) for t, x in zip(at[late], came["rr_ms"][late].tolist())]
+        fresh = came[~late]
+        new = np.zeros(len(fresh), PENDING)
+        for name in PENDING.names:
+            new[name] = fresh[name].to_numpy()
+        waiting = np.concatenate([np.frombuffer(bytes(kept), PENDING), new])
+        waiting = waiting[np.lexsort((waiting["order"], waiting["at"]))]
+        if ended:
+            released = end
+        elif len(waiting):
+            released = max(released, int(waiting["at"][-1]) - delay)
+        ready = len(waiting) if ended else int(np.searchsorted(waiting["at"], released))
+        for at, x in zip(waiting["at"][:ready].tolist(), waiting["rr_ms"][:ready].tolist()):
+            if n < baseline:
+                total, squares = total + x, squares + x * x
+            else:
+                z, up, down, e = _step(x, total, squares, up, down, e, baseline, chart)
+                rows.append((key[0], n, x, z, up, down, e, max(up, down) > chart.h, abs(e) > bound, at, False))
+            n += 1
+        state.update((n, total, squares, up, down, e, released, waiting[ready:].tobytes()))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in ORDERED_OUTPUT.split(", ")])
+        yield out.astype({"idx": "Int64", "at": "Int64", "out_cusum": "boolean", "out_ewma": "boolean", "late": "boolean", "z": "float64", "s_pos": "float64", "s_neg": "float64", "ewma": "float64"})
+
+    return events.groupBy("record_id").applyInPandasWithState(run, ORDERED_OUTPUT, ORDERED_STATE, "append", GroupStateTimeout.NoTimeout)
