@@ -34,6 +34,8 @@ LEAF_SHINGLES = 4 << 20
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 2 << 20
 FIRST_TREES = 2
+#: Members of a node that stand so near each other are compared pair by pair, the others by the holders of their shingles.
+NEAR_GAPS = 8
 
 _U = np.uint64
 _MULTIPLIERS = mix64(np.arange(1, ALL_TREES * DEPTH + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25)) | _U(1)
@@ -161,11 +163,12 @@ def matrix(column: pa.Array, width: int, kind=np.int32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def likely_pairs(sketch: np.ndarray, size: np.ndarray, bounds: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members of one node whose sketches and sizes allow the similarity, by growing distance in the node."""
+def likely_pairs(sketch: np.ndarray, size: np.ndarray, bounds: np.ndarray, percent: int, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of one node whose sketches and sizes allow the similarity, by growing distance in the node, up to ``last``."""
     end = np.repeat(bounds[1:], np.diff(bounds))
     at = np.arange(len(end))
-    for gap in range(1, int(np.diff(bounds).max()) if len(end) else 0):
+    furthest = int(np.diff(bounds).max()) - 1 if len(end) else 0
+    for gap in range(1, (furthest if last is None else min(furthest, last)) + 1):
         at = at[at + gap < end[at]]
         small, large = np.minimum(size[at], size[at + gap]), np.maximum(size[at], size[at + gap])
         i = at[100 * small >= percent * large]
@@ -200,8 +203,35 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
+class SharedShingles:
+    """The shingles that some sets have in common: each shingle's holders, so that one look gives a set's overlap with all others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        code = np.concatenate(sets)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        again = np.zeros(len(code) + 1, bool)
+        again[1:-1] = code[1:] == code[:-1]
+        shared = again[1:] | again[:-1]  # what one set alone has meets nothing
+        self.code = code[shared]
+        self.holder = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order[shared]]
+        self.n = len(sets)
+
+    def overlaps(self, one: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of ``one`` with every set."""
+        first = np.searchsorted(self.code, one, "left")
+        many = np.searchsorted(self.code, one, "right") - first
+        total = int(many.sum())
+        place = np.arange(total) + np.repeat(first - np.cumsum(many) + many, many)
+        return np.bincount(self.holder[place], minlength=self.n)
+
+
 def linked_rows(percent: int):
-    """Edges between classes that a confirmed pair of full sets joins; pairs of one class need no comparison."""
+    """Edges between classes that a confirmed pair of full sets joins; pairs of one class need no comparison.
+
+    Neighbours in a node, up to ``NEAR_GAPS`` apart, are compared one by one, which joins most of what is alike. Then each
+    member outside the node's largest class is held against all others at once, by the holders of its shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in node_groups(batches):
@@ -215,15 +245,18 @@ def linked_rows(percent: int):
             out: list[tuple[bytes, bytes]] = []
             names = list(known)
             root = start.copy()
-            for a, b in likely_pairs(sketch, sizes, bounds, percent):
+
+            def members(i: int, codes: pa.Array = codes) -> np.ndarray:
+                return np.frombuffer(codes[i].as_buffer(), np.uint64)
+
+            for a, b in likely_pairs(sketch, sizes, bounds, percent, NEAR_GAPS):
                 apart = root[a] != root[b]
                 joined = len(out)
                 for i, j in zip(a[apart].tolist(), b[apart].tolist()):
                     x, y = _root(parent, start[i]), _root(parent, start[j])
                     if x == y:
                         continue
-                    one = np.frombuffer(codes[i].as_buffer(), np.uint64)
-                    two = np.frombuffer(codes[j].as_buffer(), np.uint64)
+                    one, two = members(i), members(j)
                     if len(one) > len(two):
                         one, two = two, one
                     both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
@@ -232,11 +265,43 @@ def linked_rows(percent: int):
                         out.append((names[x], names[y]))
                 if len(out) > joined:
                     root = np.array([_root(parent, k) for k in range(len(parent))])[start]
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if hi - lo > NEAR_GAPS + 1:
+                    here = np.array([_root(parent, k) for k in start[lo:hi].tolist()])
+                    for x, y in across(here, sketch[lo:hi], sizes[lo:hi], lambda lo=lo, hi=hi: [members(i) for i in range(lo, hi)], percent):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((names[x], names[y]))
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], names=["a", "b"])
 
     return run
 
 
+def across(root: np.ndarray, sketch: np.ndarray, size: np.ndarray, sets: Callable[[], list[np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of classes, given by ``root``, that some pair of one node's sets links; classes joined on the way count as one.
+
+    Members of the largest class are not taken one by one: what they may be linked with outside it looks at them.
+    """
+    root = root.copy()
+    labels, count = np.unique(root, return_counts=True)
+    waiting = np.ones(len(root), bool)
+    all_sets, index = None, None
+    for i in np.flatnonzero(root != labels[np.argmax(count)]).tolist():
+        waiting[i] = False
+        other = np.flatnonzero(waiting & (root != root[i]))
+        other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+        other = other[(sketch[other] == sketch[i]).sum(1) >= LEAST_AGREEING]
+        if not len(other):
+            continue
+        if index is None:
+            all_sets = sets()
+            index = SharedShingles(all_sets)
+        both = index.overlaps(all_sets[i])[other]
+        for y in np.unique(root[other[100 * both >= percent * (size[i] + size[other] - both)]]).tolist():
+            x = int(root[i])
+            yield x, y
+            root[(root == x) | (root == y)] = min(x, y)
+
+
 def by_node(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
