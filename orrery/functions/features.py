@@ -44,6 +44,28 @@ BLOCKS = {
 }
 
 
+# Blocks for reading models, and the order in which one of several correlated features is kept.
+INTERPRETABLE = {
+    "hrv_full_actual": HRV + POINCARE,
+    "hrv_reduced_interpretable": ["rmssd", "cv_rr", "sd2"],
+    "hrv_minimal": ["rmssd", "sd2"],
+    "B_SPC": SPC,
+    "C_HRV_SPC": ["rmssd", "cv_rr", "sd2"] + SPC,
+    "D_HRV_SPC_Poincare": ["rmssd", "cv_rr", "sd2"] + SPC + POINCARE,
+}
+PRIORITY = [
+    "rmssd", "cv_rr", "sd2", "sd1", "sdsd", "mad_rr", "mean_rr", "median_rr", "rr_diff_mean", "rr_diff_std", "std_rr", "sd1_sd2_ratio",
+    "cusum_abs_max", "cusum_pos_max", "cusum_neg_max", "cusum_last_pos", "cusum_last_neg", "ewma_slope", "ewma_last", "ewma_max_abs",
+    "shewhart_out_rate", "shewhart_out_count", "shewhart_max_abs_z", "mr_mad", "mr_median", "mr_mean", "mr_max", "mr_out_count",
+    "longest_run_above_median", "longest_run_below_median", "trend_run_up_max", "trend_run_down_max", "n_runs_rule_violations",
+]
+
+
+def priority(feature: str) -> int:
+    """Place in PRIORITY; all features that it lacks share the place after the last."""
+    return PRIORITY.index(feature) if feature in PRIORITY else len(PRIORITY)
+
+
 def resolve(block: list[str], columns: list[str]) -> tuple[list[str], list[str]]:
     """The block's features that a table has, once each and in order, and those that it lacks."""
     have = set(columns)

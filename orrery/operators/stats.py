@@ -170,7 +170,7 @@ def normal_tail(z: Column) -> Column:
 
 
 def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: list[str] | None = None) -> DataFrame:
-    """(by, a, b, rho, n) for each pair of features: correlation of average ranks over rows that have both, within ``by``."""
+    """(by, a, b, rho, n) for each pair of features: correlation of average ranks over rows that have both, within ``by``; null where one is constant."""
     by = by or []
     order = {c: i for i, c in enumerate(names)}
     rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
@@ -181,7 +181,9 @@ def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: l
     keys = [*by, "a", "b"]
     for x, r in (("xa", "ra"), ("xb", "rb")):
         both = both.join(average_ranks(both, keys, x, r), [*keys, x])
-    return both.groupBy(*by, "a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    # not corr, which fails where one side is constant
+    rho = F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra")) * F.sqrt(F.var_pop("rb")))
+    return both.groupBy(*by, "a", "b").agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def components(names: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
