@@ -65,6 +65,8 @@ def _features(*parts: Callable[[DataFrame], Part], more: dict[str, Column] | Non
             rows, values = found.rows, values | found.values
             finish |= found.finish or {c: F.col(c) for c in found.values}
             then |= found.then or {}
+        # the rows are in the windows' order already; a hash aggregate of lists would sort them all once more
+        rows.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
         out = rows.groupBy(*KEYS).agg(F.first("n").alias("n"), *[v.alias(c) for c, v in values.items()])
         return out.withColumns(then).select(*KEYS, *[v.alias(c) for c, v in finish.items()])
 
@@ -132,14 +134,24 @@ def cusum_points(windowed: DataFrame, chart: Chart = Chart(), keys: list[str] =
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = windowed.withColumn("_p", F.sum(F.col("z") - chart.k).over(upto)).withColumn("_m", F.sum(-F.col("z") - chart.k).over(upto))
     rows = rows.withColumn("s_pos", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(upto))).withColumn("s_neg", F.col("_m") - F.least(F.lit(0.0), F.min("_m").over(upto)))
-    for side in ("pos", "neg"):
-        rows = rows.withColumn(f"_x{side}", F.col("z").isNotNull() & F.coalesce(F.col(f"s_{side}") > chart.h, F.lit(False)))
-        same = Window.partitionBy(*keys, f"_x{side}").orderBy("pos")
-        rows = rows.withColumn(f"_i{side}", F.col("pos") - F.row_number().over(same))
-        island = Window.partitionBy(*keys, f"_x{side}", f"_i{side}")
-        rows = rows.withColumn(f"_r{side}", F.when(F.col(f"_x{side}"), F.count(F.lit(1)).over(island)).otherwise(0))
-    alarm = (F.col("_rpos") >= chart.sustained) | (F.col("_rneg") >= chart.sustained)
-    return rows.withColumn("alarm", alarm).drop("_p", "_m", "_xpos", "_ipos", "_rpos", "_xneg", "_ineg", "_rneg")
+    rows = rows.withColumns({f"_x{side}": F.col("z").isNotNull() & F.coalesce(F.col(f"s_{side}") > chart.h, F.lit(False)) for side in ("pos", "neg")})
+    rows = _with_lengths(rows, {"_rpos": "_xpos", "_rneg": "_xneg"}, ordered)
+    alarm = _sustained("_rpos", chart.sustained, ordered) | _sustained("_rneg", chart.sustained, ordered)
+    return rows.withColumn("alarm", alarm).drop("_p", "_m", "_xpos", "_rpos", "_xneg", "_rneg")
+
+
+def _with_lengths(rows: DataFrame, flags: dict[str, str], ordered: WindowSpec) -> DataFrame:
+    """For each flag the length so far of the stretch of true values that a row lies in, 0 outside; the rows' order serves all of them."""
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_at", F.row_number().over(ordered))
+    ends = {f"_e{n}": F.max(F.when(~F.col(x), F.col("_at"))).over(upto) for n, x in flags.items()}
+    rows = rows.withColumns(ends)
+    return rows.withColumns({n: F.when(F.col(x), F.col("_at") - F.coalesce(F.col(f"_e{n}"), F.lit(0))).otherwise(0) for n, x in flags.items()}).drop("_at", *ends)
+
+
+def _sustained(length: str, least: int, ordered: WindowSpec) -> Column:
+    """Whether a row lies in a stretch of at least ``least`` rows: then the length so far comes to that within ``least`` - 1 rows."""
+    return F.max(length).over(ordered.rowsBetween(0, least - 1)) >= least
 
 
 def cusum_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], sustained: list[int], by: list[str]) -> DataFrame:
@@ -147,41 +159,48 @@ def cusum_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], s
 
     Sums depend on the slack alone and lengths of runs on slack and limit; each sustained length only compares them.
     """
-    rows, _ = _sweep_points(windowed, slacks, limits)
-    run = F.greatest("_rp", "_rn")
-    out = rows.groupBy(*by, "k", "h").agg(*[F.count_if(run >= s).alias(f"s{s}") for s in sustained])
-    return out.unpivot([*by, "k", "h"], [f"s{s}" for s in sustained], "_s", "alarms").withColumn("sustained", F.substring("_s", 2, 9).cast("int")).drop("_s")
-
-
-def _sweep_points(windowed: DataFrame, slacks: list[float], limits: list[float]) -> tuple[DataFrame, list[str]]:
-    """Both sums (``_sp``, ``_sn``) of every slack and lengths of the runs beyond every limit (``_rp``, ``_rn``), and the keys of a charted window."""
-    keys = [*KEYS, "k"]
-    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = windowed.select(*KEYS, "pos", "z", "t_local", F.explode(F.array(*[F.lit(k) for k in slacks])).alias("k"))
-    rows = rows.withColumn("_p", F.sum(F.col("z") - F.col("k")).over(upto)).withColumn("_m", F.sum(-F.col("z") - F.col("k")).over(upto))
-    rows = rows.withColumn("_sp", F.col("_p") - F.least(F.lit(0.0), F.min("_p").over(upto))).withColumn("_sn", F.col("_m") - F.least(F.lit(0.0), F.min("_m").over(upto)))
-    rows = rows.select(*keys, "pos", "t_local", "_sp", "_sn", F.explode(F.array(*[F.lit(h) for h in limits])).alias("h"))
-    keys = [*keys, "h"]
-    for side in ("p", "n"):
-        rows = rows.withColumn(f"_x{side}", F.col(f"_s{side}") > F.col("h"))
-        rows = rows.withColumn(f"_i{side}", F.col("pos") - F.row_number().over(Window.partitionBy(*keys, f"_x{side}").orderBy("pos")))
-        rows = rows.withColumn(f"_r{side}", F.when(F.col(f"_x{side}"), F.count(F.lit(1)).over(Window.partitionBy(*keys, f"_x{side}", f"_i{side}"))).otherwise(0))
-    return rows, keys
+    rows = _sweep_points(windowed, slacks, limits, sustained)
+    counts = {(i, j, s): F.count_if(f"_a{i}_{j}_{s}") for i in range(len(slacks)) for j in range(len(limits)) for s in sustained}
+    out = rows.groupBy(*by).agg(*[v.alias(f"c{i}_{j}_{s}") for (i, j, s), v in counts.items()])
+    made = [F.struct(F.lit(slacks[i]).alias("k"), F.lit(limits[j]).alias("h"), F.col(f"c{i}_{j}_{s}").alias("alarms"), F.lit(s).alias("sustained")) for i, j, s in counts]
+    return out.select(*by, F.inline(F.array(*made)))
+
+
+def _sweep_points(windowed: DataFrame, slacks: list[float], limits: list[float], sustained: list[int]) -> DataFrame:
+    """Both sums of every slack (``_sp{i}``, ``_sn{i}``) and whether a point is in alarm under every slack, limit and length (``_a{i}_{j}_{length}``).
+
+    Settings are columns and not rows, so that a window's points are ordered once for all of them.
+    """
+    ordered = _ordered()
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = windowed.select(*KEYS, "pos", "z", "t_local")
+    steps = {f"{side}{i}": (F.col("z") if side == "p" else -F.col("z")) - k for i, k in enumerate(slacks) for side in "pn"}
+    rows = rows.withColumns({f"_t{n}": F.sum(step).over(upto) for n, step in steps.items()})
+    rows = rows.withColumns({f"_s{n}": F.col(f"_t{n}") - F.least(F.lit(0.0), F.min(f"_t{n}").over(upto)) for n in steps}).drop(*[f"_t{n}" for n in steps])
+    flags = {f"_x{n}_{j}": F.coalesce(F.col(f"_s{n}") > h, F.lit(False)) for n in steps for j, h in enumerate(limits)}
+    rows = _with_lengths(rows.withColumns(flags), {f"_r{x[2:]}": x for x in flags}, ordered)
+    found = {f"_a{i}_{j}_{s}": _sustained(f"_rp{i}_{j}", s, ordered) | _sustained(f"_rn{i}_{j}", s, ordered) for i in range(len(slacks)) for j in range(len(limits)) for s in sustained}
+    return rows.withColumns(found).drop(*flags, *[f"_r{x[2:]}" for x in flags])
 
 
 def cusum_features_sweep(windowed: DataFrame, slacks: list[float], limits: list[float], sustained: list[int]) -> DataFrame:
     """Eight CUSUM features of each window under every setting (k, h, sustained)."""
-    rows, keys = _sweep_points(windowed, slacks, limits)
-    run = F.greatest("_rp", "_rn")
-    counts = [F.count_if(run >= s).alias(f"s{s}") for s in sustained]
-    sums = [F.max("_sp").alias("cusum_pos_max"), F.max("_sn").alias("cusum_neg_max"), F.max_by("_sp", "pos").alias("cusum_last_pos"), F.max_by("_sn", "pos").alias("cusum_last_neg")]
-    out = rows.groupBy(*keys).agg(*sums, *counts, F.count(F.lit(1)).alias("_n"), F.max("t_local").alias("_t"))
-    out = out.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("sustained"), F.col(f"s{s}").alias("alarms")) for s in sustained])))
-    share = F.col("_s.alarms") / F.col("_n")
-    return out.select(
-        *keys, F.col("_s.sustained").alias("sustained"), "cusum_pos_max", "cusum_neg_max", F.greatest("cusum_pos_max", "cusum_neg_max").alias("cusum_abs_max"), "cusum_last_pos", "cusum_last_neg",
-        F.col("_s.alarms").cast("double").alias("cusum_alarm_count"), share.alias("cusum_alarm_density"), (share * F.col("_t")).alias("cusum_time_in_alarm"),
-    )
+    rows = _sweep_points(windowed, slacks, limits, sustained)
+    settings = [(i, j, s) for i in range(len(slacks)) for j in range(len(limits)) for s in sustained]
+    tops = [F.max(f"_s{side}{i}").alias(f"t{side}{i}") for i in range(len(slacks)) for side in "pn"]
+    lasts = [F.max_by(f"_s{side}{i}", "pos").alias(f"l{side}{i}") for i in range(len(slacks)) for side in "pn"]
+    out = rows.groupBy(*KEYS).agg(*tops, *lasts, *[F.count_if(f"_a{i}_{j}_{s}").alias(f"c{i}_{j}_{s}") for i, j, s in settings], F.count(F.lit(1)).alias("_n"), F.max("t_local").alias("_t"))
+
+    def setting(i: int, j: int, s: int) -> Column:
+        count = F.col(f"c{i}_{j}_{s}")
+        share = count / F.col("_n")
+        values = {
+            "k": F.lit(slacks[i]), "h": F.lit(limits[j]), "sustained": F.lit(s), "cusum_pos_max": F.col(f"tp{i}"), "cusum_neg_max": F.col(f"tn{i}"), "cusum_abs_max": F.greatest(f"tp{i}", f"tn{i}"),
+            "cusum_last_pos": F.col(f"lp{i}"), "cusum_last_neg": F.col(f"ln{i}"), "cusum_alarm_count": count.cast("double"), "cusum_alarm_density": share, "cusum_time_in_alarm": share * F.col("_t"),
+        }
+        return F.struct(*[v.alias(c) for c, v in values.items()])
+
+    return out.select(*KEYS, F.inline(F.array(*[setting(*x) for x in settings])))
 
 
 def ewma_features_sweep(windowed: DataFrame, weights: list[float], limits: dict[float, float]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASELINE_INTERVALS = 200
+#: Rows of one task, counted as often as the windows' scales repeat them.
+ROWS_A_TASK = 200_000
 
 
 def intervals_from_events(events: DataFrame, record: str, at: Column, order: list[str], per_ms: float = 1.0) -> DataFrame:
@@ -19,11 +21,18 @@ def intervals_from_events(events: DataFrame, record: str, at: Column, order: lis
     return steps.where("idx >= 0").select("record_id", F.col("idx").cast("long").alias("idx"), "rr_ms")
 
 
-def series(df: DataFrame, record: str, value: str, order: list[str]) -> DataFrame:
-    """(record_id, idx, rr_ms): a column of positive values taken as the intervals themselves."""
+def series(df: DataFrame, record: str, value: str, order: list[str], copies: int | None = None) -> DataFrame:
+    """(record_id, idx, rr_ms): a column of positive values taken as the intervals themselves.
+
+    With ``copies``, the number of windows a row will lie in, records are dealt to as many tasks as hold
+    ROWS_A_TASK of these rows each, so that what a task sorts does not grow with the table.
+    """
     w = Window.partitionBy("record_id").orderBy(*order)
-    keyed = df.withColumn("record_id", F.col(record))
-    return keyed.select("record_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col(value).alias("rr_ms"))
+    keyed = df.select(F.col(record).alias("record_id"), F.col(value).alias("rr_ms"), *[c for c in order if c not in ("record_id", "rr_ms")])
+    if copies:
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * copies // ROWS_A_TASK))
+        keyed = keyed.repartition(tasks, "record_id")
+    return keyed.select("record_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "rr_ms")
 
 
 def with_clock(intervals: DataFrame, baseline: int = BASELINE_INTERVALS) -> DataFrame:

@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values of each user as intervals of a record."""
-    return with_clock(series(load(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"]), BASELINE)
+    return with_clock(series(load(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"], len(COUNTS) + len(SECONDS) + 1), BASELINE)
 
 
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:

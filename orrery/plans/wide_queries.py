@@ -23,7 +23,7 @@ SERIES_SQL = f"SELECT l_suppkey AS record_id, row_number() OVER (PARTITION BY l_
 def supplier_intervals(spark, sf):
     """Each supplier's quantities, taken as intervals of 25 ms a unit."""
     items = load(spark, sf, "lineitem").withColumn("rr", F.col("l_quantity") * 25.0)
-    return with_clock(series(items, "l_suppkey", "rr", ORDER), BASELINE)
+    return with_clock(series(items, "l_suppkey", "rr", ORDER, len(COUNTS) + len(SECONDS) + 1), BASELINE)
 
 
 def supplier_windows(spark, sf):
