@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as names
-from ..operators import charts, folds, mahalanobis, model_table, models, stats
+from ..operators import charts, folds, mahalanobis, model_cells, model_table, models, stats
 from ..operators.keyed_distance import fit_keys, with_keyed_distance, with_thresholds
 from ..operators.scan import attach, running, segmented, written
 from ..operators.selection import exact_percentiles
@@ -24,21 +25,21 @@ METRICS = ["auc", "f1", "recall", "specificity", "precision", "balanced_accuracy
 
 
 def folded_records(spark, sf) -> DataFrame:
-    """Record features of all suppliers at all scales, once for each fold that may be held out, standardized by its training rows."""
+    """Record features of all suppliers at all scales with their fold, and the part of the other folds that a machine leaves out."""
     records = written(record_features(spark, sf).select("record_id", "pair_id", "y", *SCALE, *names.ALL), "records")
     dealt = folds.group_folds(records.select("record_id", "pair_id").distinct(), "pair_id", FOLDS)
     parts = folds.group_folds(records.select("record_id", "pair_id").distinct(), "pair_id", INNER).withColumnRenamed("fold", "part")
-    sides = model_table.fold_sides(records.join(dealt, "pair_id").join(parts, "pair_id"), FOLDS)
-    return model_table.standardized(sides, names.ALL, [*SCALE, "held"], F.col("train"))
+    return attach(records, written(dealt.join(parts, "pair_id"), "folds"), ["pair_id"])
 
 
 def block_predictions(spark, sf) -> DataFrame:
     """Out-of-fold probabilities of every record for each block, scale and kind of model."""
-    rows = written(model_table.block_rows(folded_records(spark, sf), names.ALL, names.BLOCKS, [*SCALE, "held"]), "blocks")
-    p = len(names.ALL)
-    kinds = {"logistic": model_table.logistic_predictions(rows, p), "svm": model_table.svm_predictions(rows, p)}
-    shown = ["block", *SCALE, "held", "record_id", "pair_id", "y", "p"]
-    return written(reduce(DataFrame.unionByName, [made.select(F.lit(k).alias("kind"), *shown) for k, made in kinds.items()]), "predictions")
+    who = [*SCALE, "record_id", "pair_id", "y"]
+    cells = model_cells.packed(folded_records(spark, sf), SCALE, names.ALL, model_cells.fold_sides(F.col("fold"), FOLDS), FOLDS, who, F.col("part"))
+    logistic = model_cells.Models(len(names.ALL), FOLDS, model_cells.places(names.ALL, names.BLOCKS))
+    kinds = {"logistic": logistic, "svm": replace(logistic, parts=INNER, loss="squared_hinge", plain_intercept=False)}
+    made = [model_cells.predictions(cells, model_cells.fitted(cells, m), m).select(F.lit(k).alias("kind"), "block", *who, (F.col("s") + 1).cast("long").alias("held"), "p") for k, m in kinds.items()]
+    return written(reduce(DataFrame.unionByName, made), "predictions")
 
 
 def block_metrics(spark, sf) -> DataFrame:
@@ -59,11 +60,13 @@ def block_steps(spark, sf) -> DataFrame:
 
 def coefficient_table(spark, sf) -> DataFrame:
     """Coefficients of all 49 features on whole records: mean and spread over folds, their signs, and their rank by size."""
-    rows = folded_records(spark, sf).where("window_type = 'full_record' AND train").withColumn("model", F.col("held").cast("string"))
-    table = model_table.fit_table(rows, len(names.ALL))
+    m = model_cells.Models(len(names.ALL), FOLDS, {"all": tuple(range(len(names.ALL)))})
+    rows = folded_records(spark, sf).where("window_type = 'full_record'")
+    cells = model_cells.packed(rows, SCALE, names.ALL, model_cells.fold_sides(F.col("fold"), FOLDS), FOLDS, ["record_id"])
     order = F.array(*[F.lit(c) for c in names.ALL])
-    long = table.select(F.col("model").cast("long").alias("model"), F.posexplode(F.slice("beta", 1, len(names.ALL))).alias("i", "coef")).withColumn("feature", F.element_at(order, F.col("i") + 1))
-    stable = models.coefficient_stability(long.select("model", "feature", "coef"))
+    found = model_cells.coefficients(model_cells.fitted(cells, m), m)
+    long = found.select(F.col("s").cast("long").alias("model"), F.element_at(order, F.col("i") + 1).alias("feature"), "coef")
+    stable = models.coefficient_stability(long)
     # one row for each of 49 features
     return stable.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("coef_mean")), "feature")))
 
