@@ -32,7 +32,8 @@ BROADCAST_CELLS = 2_000
 class Models:
     """Which models every cell has: one for each set of training rows and block of features; with ``parts`` one for each part left out.
 
-    ``blocks`` maps names to places in x.
+    ``blocks`` maps names to places in x. With ``untrained``, models without training rows have coefficients of 0 and
+    are not left out.
     """
 
     p: int
@@ -41,6 +42,7 @@ class Models:
     parts: int = 0
     loss: str = "logistic"
     plain_intercept: bool = True
+    untrained: bool = False
 
     @property
     def fits(self) -> list[tuple[int, int]]:
@@ -371,7 +373,7 @@ def _predicted(m: Models):
                         guesses = []
                         for f in (f for f, (t, _) in enumerate(m.fits) if t == s):
                             k = f * blocks + b
-                            if not seen[k] or (m.parts and not up[f] + down[f]):
+                            if not (seen[k] or m.untrained) or (m.parts and not up[f] + down[f]):
                                 continue
                             score = scaled[:, _with_one(m.columns[b])] @ beta[starts[k] : starts[k + 1]]
                             if m.parts:
@@ -400,9 +402,9 @@ def predictions(cells: Cells, table: DataFrame, m: Models) -> DataFrame:
 
 
 def coefficients(table: DataFrame, m: Models) -> DataFrame:
-    """(cell, s, block, i, coef): coefficients of the fits that have rows, without intercepts; ``i`` is a place in the block."""
+    """(cell, s, block, i, coef): coefficients of the fits that have rows (of all if ``untrained``), without intercepts; ``i`` is a place in the block."""
     starts = _starts(m).tolist()
     blocks = list(m.blocks)
     each = [(s, b, f * len(blocks) + j) for f, (s, _) in enumerate(m.fits) for j, b in enumerate(blocks)]
     made = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(b).alias("block"), F.col("seen")[k].alias("n"), F.slice("beta", starts[k] + 1, starts[k + 1] - starts[k] - 1).alias("coefs")) for s, b, k in each])
-    return table.select("cell", F.inline(made)).where("n > 0").select("cell", "s", "block", F.posexplode("coefs").alias("i", "coef"))
+    return table.select("cell", F.inline(made)).where("true" if m.untrained else "n > 0").select("cell", "s", "block", F.posexplode("coefs").alias("i", "coef"))

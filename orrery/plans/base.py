@@ -40,6 +40,11 @@ def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_scale(clocked(spark, sf_dir), COUNTS, SECONDS, FULL)
 
 
+def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole-record windows of ``windowed`` alone."""
+    return multi_scale(with_clock(series(load(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"], 1), BASELINE), full=FULL)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles at ``digits`` decimals and without a negative zero; all integers long; NaN as null."""
     out = []

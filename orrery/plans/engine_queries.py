@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import charts, folds, mahalanobis, models, stats
+from ..operators import charts, folds, mahalanobis, model_cells, models, stats
+from ..operators.scan import written
 from ..operators.windows import multi_scale
 from ..streaming.monitor import monitor, ordered_monitor
 from .base import BASELINE, CHART, load, rounded, shared_dir, windowed
@@ -48,24 +49,38 @@ def pair_baselines(spark, sf):
     return rounded(mahalanobis.pair_baselines(feature_windows(spark, sf), mahalanobis.FEATURE_SETS["hrv_reduced"]).select("pair_id", "window_type", "window_size", "record_id", "y", "start_time_sec", "dm", "threshold"))
 
 
+SETS = 5
+#: Blocks of features, each with those of the one before.
+BLOCKS = {"A": FEATURES[:2], "B": FEATURES[:4], "C": FEATURES}
+
+
 def fold_rows(spark, sf):
-    return records(spark, sf).join(folds.group_folds(users(spark, sf), "pair_id"), "pair_id")
+    """Whole-record features of all users and their fold, made once."""
+    rows = written(records(spark, sf), "records")
+    return written(rows.join(folds.group_folds(rows, "pair_id", SETS), "pair_id"), "folds")
+
+
+def fold_models(rows, blocks):
+    """Logistic models of every block and fold, and the held-out rows' ``fold``, ``block`` and ``p``; each row is held once for all of them."""
+    m = model_cells.Models(len(FEATURES), SETS, model_cells.places(FEATURES, blocks), untrained=True)
+    cells = model_cells.packed(rows.withColumn("scale", F.lit("full_record")), ["scale"], FEATURES, model_cells.fold_sides(F.col("fold"), SETS), SETS, ["record_id", "pair_id", "y", "fold"])
+    return cells, model_cells.fitted(cells, m), m
+
+
+def fold_predictions(rows, blocks):
+    return written(model_cells.predictions(*fold_models(rows, blocks)).drop("s"), "predictions")
 
 
 def cv_predictions(spark, sf):
-    scaled = models.impute_and_scale(fold_rows(spark, sf), FEATURES)
-    return models.predictions(scaled, models.logistic_folds(scaled, len(FEATURES))).select("record_id", "pair_id", "y", "fold", "p")
+    return fold_predictions(fold_rows(spark, sf), {"C": FEATURES}).select("record_id", "pair_id", "y", "fold", "p")
 
 
 def cv_logistic(spark, sf):
     """Fold metrics of each block of features, from out-of-fold predictions."""
-    out = None
-    for block, names in (("A", FEATURES[:2]), ("B", FEATURES[:4]), ("C", FEATURES)):
-        scaled = models.impute_and_scale(fold_rows(spark, sf), names)
-        p = models.predictions(scaled, models.logistic_folds(scaled, len(names)))
-        part = stats.roc_auc(p, ["fold"]).join(stats.confusion(p, ["fold"]), "fold").withColumn("block", F.lit(block))
-        out = part if out is None else out.unionByName(part)
-    return out
+    by = ["block", "fold"]
+    p = fold_predictions(fold_rows(spark, sf), BLOCKS)
+    out = stats.roc_auc(p, by).join(stats.confusion(p, by), by)
+    return out.select("fold", *[c for c in out.columns if c not in by], "block")
 
 
 def incremental_blocks(spark, sf):
@@ -74,9 +89,9 @@ def incremental_blocks(spark, sf):
 
 
 def coefficient_stability(spark, sf):
-    scaled = models.impute_and_scale(fold_rows(spark, sf), FEATURES)
-    rows = models.coefficients(models.logistic_folds(scaled, len(FEATURES)), FEATURES)
-    return models.coefficient_stability(spark.createDataFrame(rows, "model long, feature string, coef double"))
+    _, table, m = fold_models(fold_rows(spark, sf), {"C": FEATURES})
+    feature = F.element_at(F.array(*[F.lit(c) for c in FEATURES]), F.col("i") + 1)
+    return models.coefficient_stability(model_cells.coefficients(table, m).select((F.col("s") + 1).cast("long").alias("model"), feature.alias("feature"), "coef"))
 
 
 PRIORITY = ["rmssd", "cv_rr"]
@@ -92,23 +107,22 @@ def pruned_features(spark, sf):
 def pairwise_ranking(spark, sf):
     """Metrics of each held-out fold and the ranking within its pairs, with all features and with those kept by pruning.
 
-    Pruning sees the training rows alone. A pruned feature's scaled values are 0, so its penalized coefficient is 0,
-    and the models of all folds are fitted together.
+    Pruning sees the training rows alone. What folds keep are blocks of features, and the models of all folds are
+    fitted together.
     """
     rows = fold_rows(spark, sf)
-    scaled = models.impute_and_scale(rows, FEATURES)
     kept = stats.kept_in_folds(rows, FEATURES, 0.9, PRIORITY)
-    shares = F.create_map(*[F.lit(v) for m, names in kept.items() for v in (m, [float(c in names) for c in FEATURES])])
-    pruned = scaled.withColumn("x", F.zip_with("x", shares[F.col("model")], lambda v, share: v * share))
-    out = None
-    for use, data in ((False, scaled), (True, pruned)):
-        p = models.predictions(data, models.logistic_folds(data, len(FEATURES)))
-        mean = F.round(F.avg(F.round("margin", 4)), 4).alias("mean_margin")
-        share = F.round(F.avg((F.col("pre") > F.col("far")).cast("double")), 4).alias("pairwise_concordance")
-        pairs = stats.pair_margins(p, ["fold"]).groupBy("fold").agg(share, mean, F.count(F.lit(1)).alias("n_pairs_val"))
-        part = stats.confusion(p, ["fold"]).join(stats.roc_auc(p, ["fold"]), "fold").join(pairs, "fold", "left").withColumn("use_pruning", F.lit(use))
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = {",".join(names): names for names in (FEATURES, *kept.values())}
+    p = fold_predictions(rows, blocks)
+    block = F.create_map(*[F.lit(v) for m, names in kept.items() for v in (m, ",".join(names))]) if kept else F.create_map().cast("map<bigint,string>")
+    uses = F.filter(F.array(F.when(F.col("block") == ",".join(FEATURES), False), F.when(F.col("block") == block[F.col("fold")], True)), lambda use: use.isNotNull())
+    p = p.withColumn("use_pruning", F.explode(uses))
+    by = ["use_pruning", "fold"]
+    mean = F.round(F.avg(F.round("margin", 4)), 4).alias("mean_margin")
+    share = F.round(F.avg((F.col("pre") > F.col("far")).cast("double")), 4).alias("pairwise_concordance")
+    pairs = stats.pair_margins(p, by).groupBy(*by).agg(share, mean, F.count(F.lit(1)).alias("n_pairs_val"))
+    out = stats.confusion(p, by).join(stats.roc_auc(p, by), by).join(pairs, by, "left")
+    return out.select("fold", *[c for c in out.columns if c not in by], "use_pruning")
 
 
 def nested_tuning(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charts, folds, resampling, stats
-from .base import load, rounded, sql_rounded, windowed
+from .base import load, rounded, sql_rounded, whole_records, windowed
 from .series_queries import POINTS_SQL, VARIABILITY_SQL, WK
 
 SCORES_SQL = """WITH sc AS (
@@ -56,7 +56,7 @@ DELTA_SQL = f"{RECORDS_SQL}, {LONG_SQL}, de AS (SELECT feature, pair_id, avg(x)
 
 
 def records(spark, sf):
-    v = charts.variability(windowed(spark, sf).where("window_type = 'full_record'"))
+    v = charts.variability(whole_records(spark, sf))
     return v.select("record_id", F.floor(F.col("record_id") / 2).cast("long").alias("pair_id"), (F.col("record_id") % 2).cast("long").alias("y"), *FEATURES)
 
 
