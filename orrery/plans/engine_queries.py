@@ -156,22 +156,28 @@ HOUR = 3_600_000_000
 
 
 def streamed_out_of_order(spark, sf):
-    """The monitor over all events, which arrive up to six hours late and in six files, one a trigger; a seventh ends every record."""
+    """The monitor over all events, which arrive up to six hours late and in six parts, one a trigger; a seventh ends every record."""
     root = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     arrives = at + F.pmod(F.xxhash64("event_id"), F.lit(6 * HOUR))
     e = load(spark, sf, "events").select(F.col("user_id").alias("record_id"), at.alias("at"), F.col("event_id").alias("order"), F.col("value").alias("rr_ms"), F.lit(False).alias("last"), arrives.alias("_arrives"))
     ends = e.agg(F.min("_arrives").alias("a"), F.max("_arrives").alias("b")).head()
     width = ((ends["b"] or 0) - (ends["a"] or 0)) // 6 + 1
+    schema = e.drop("_arrives").schema
+
+    def trigger(arrived):
+        """All that has just arrived, in one trigger; the state goes on from the last one."""
+        arrived.write.mode("append").parquet(f"{root}/arrived")
+        out = ordered_monitor(spark.readStream.schema(schema).parquet(f"{root}/arrived"), 6 * HOUR, BASELINE, CHART)
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return out.schema
+
     for part in range(6):
-        e.where(F.floor((F.col("_arrives") - (ends["a"] or 0)) / width) == part).drop("_arrives").coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+        trigger(e.where(F.floor((F.col("_arrives") - (ends["a"] or 0)) / width) == part).drop("_arrives"))
     closing = e.groupBy("record_id").agg(F.max("at").alias("at")).select("record_id", "at", F.lit(None).cast("long").alias("order"), F.lit(None).cast("double").alias("rr_ms"), F.lit(True).alias("last"))
-    closing.coalesce(1).write.mode("append").parquet(f"{root}/arrived")
-    came = spark.readStream.schema(closing.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrived")
-    out = ordered_monitor(came, 6 * HOUR, BASELINE, CHART)
-    query = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rounded(spark.read.schema(out.schema).parquet(f"{root}/rows").drop("at"))
+    made = trigger(closing)
+    return rounded(spark.read.schema(made).parquet(f"{root}/rows").drop("at"))
 
 
 STREAM_SQL = f"""WITH RECURSIVE s AS (SELECT user_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS rr_ms FROM events),
