@@ -50,15 +50,32 @@ def _shrunk(p: int):
     return run
 
 
-def fit_keys(reference: DataFrame, names: Sequence[str], keys: Sequence[str], least: int = LEAST_ROWS) -> DataFrame:
+def lacking(rows: DataFrame, names: Sequence[str]) -> list[str]:
+    """Those of the named columns that are missing somewhere."""
+    found = rows.select(_cells(names).alias("_x")).agg(*[F.coalesce(F.bool_or(F.col("_x")[j].isNull()), F.lit(False)).alias(c) for j, c in enumerate(names)]).head()
+    return [c for c in names if found[c]]
+
+
+def fit_keys(reference: DataFrame, names: Sequence[str], keys: Sequence[str], least: int = LEAST_ROWS, filled: Sequence[str] | None = None) -> DataFrame:
     """(keys, n, medians, mean, precision, shrinkage) of the reference rows of every key that has ``least`` of them.
 
-    Missing values take the key's medians, 0 where it has none.
+    Missing values take the key's medians, 0 where it has none. Where keys are few and large, ``filled`` names the
+    columns that are missing in any row to be measured: the medians of these are exact at any size, those of the
+    others, which nothing takes, are 0.
     """
     p, keys = len(names), list(keys)
     base = written(reference.select(*keys, _cells(names).alias("_x")), "distances")
-    middle = F.array(*[F.coalesce(F.median(F.col("_x")[j]), F.lit(0.0)) for j in range(p)])
-    facts = written(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), middle.alias("medians")).where(F.col("n") >= least), "distances")
+    if filled is None:
+        middle = F.array(*[F.coalesce(F.median(F.col("_x")[j]), F.lit(0.0)) for j in range(p)])
+        facts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), middle.alias("medians"))
+    else:
+        facts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("medians", F.array_repeat(F.lit(0.0), p))
+        if missing := [j for j, c in enumerate(names) if c in filled]:
+            values = base.select(*keys, F.inline(F.array(*[F.struct(F.lit(j).alias("_j"), F.col("_x")[j].alias("_v")) for j in missing])))
+            found = exact_percentiles(values, [*keys, "_j"], F.col("_v"), [0.5]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_j", "value"))).alias("_m"))
+            medians = F.array(*[F.coalesce(F.try_element_at("_m", F.lit(j)), F.lit(0.0)) for j in range(p)])
+            facts = attach(facts, found, keys, "left").withColumn("medians", medians).drop("_m")
+    facts = written(facts.where(F.col("n") >= least), "distances")
     filled = attach(base, facts.select(*keys, "medians"), keys).select(*keys, F.zip_with("_x", "medians", lambda v, m: F.coalesce(v, m)).alias("_x"))
     mean = written(filled.groupBy(*keys).agg(F.array(*[F.avg(F.col("_x")[j]) for j in range(p)]).alias("mean")), "distances")
     away = attach(filled, mean, keys).select(*keys, F.zip_with("_x", "mean", lambda v, m: v - m).alias("_c"))
