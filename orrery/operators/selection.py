@@ -51,27 +51,32 @@ def ranked_values(clean: DataFrame, by: list[str], ranks: DataFrame, hold: int =
     ranks = written(ranks, "percentiles")
     spread = F.col("_hi") / 2 - F.col("_lo") / 2
     bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / spread * BUCKETS))
-    order = Window.partitionBy(*by, "_rank").orderBy("_bucket")
+    order = Window.partitionBy(*by, "_id").orderBy("_bucket")
     while True:
         open_ = ranks.where((F.col("_lo") < F.col("_hi")) & (F.col("_inside") > hold))
         if open_.isEmpty():
             break
-        # one group has several ranks: its rows meet each of them, and most only to be found outside the bounds
-        inside = _with_ranks(clean, by, open_).withColumn("_bucket", bucket)
-        counted = inside.groupBy(*by, "_rank", "_below", "_bucket").agg(F.count(F.lit(1)).alias("_inside"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # ranks between the same bounds share a histogram, which goes by the least of them
+        shared = open_.groupBy(*by, "_lo", "_hi", "_below").agg(F.min("_rank").alias("_id"), F.collect_list("_rank").alias("_ranks"))
+        shared = written(shared, "percentiles")
+        inside = _within(clean, by, shared.select(*by, "_id", "_lo", "_hi", "_below")).withColumn("_bucket", bucket)
+        counted = inside.groupBy(*by, "_id", "_below", "_bucket").agg(F.count(F.lit(1)).alias("_inside"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         counted = counted.withColumn("_first", F.col("_below") + F.sum("_inside").over(order) - F.col("_inside"))
         held = (F.col("_first") <= F.col("_rank")) & (F.col("_rank") < F.col("_first") + F.col("_inside"))
-        moved = counted.where(held).select(*by, "_rank", "_lo", "_hi", F.col("_first").alias("_below"), "_inside")
+        found = attach(counted, shared.select(*by, "_id", "_ranks"), [*by, "_id"]).withColumn("_rank", F.explode("_ranks"))
+        moved = found.where(held).select(*by, "_rank", "_lo", "_hi", F.col("_first").alias("_below"), "_inside")
         done = ranks.where((F.col("_lo") == F.col("_hi")) | (F.col("_inside") <= hold))
         ranks = written(done.unionByName(moved), "percentiles")
     met = ranks.where("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_x"))
-    left = _with_ranks(clean, by, ranks.where("_lo < _hi")).groupBy(*by, "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    left = _within(clean, by, ranks.where("_lo < _hi").select(*by, "_rank", "_lo", "_hi", "_below"))
+    left = left.groupBy(*by, "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*by, "_rank").orderBy("_v"))
     left = left.withColumn("_upto", upto).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank")))
     return met.unionByName(left.select(*by, "_rank", F.col("_v").alias("_x")))
 
 
-def _with_ranks(clean: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
-    lists = ranks.groupBy(*by).agg(F.collect_list(F.struct("_rank", "_lo", "_hi", "_below")).alias("_r"))
-    fits = F.filter("_r", lambda r: (F.col("_v") >= r["_lo"]) & (F.col("_v") <= r["_hi"]))
-    return attach(clean, lists, by).select(*by, "_v", F.inline(fits))
+def _within(clean: DataFrame, by: list[str], bounds: DataFrame) -> DataFrame:
+    """The values with each of their group's bounds that they lie in."""
+    lists = bounds.groupBy(*by).agg(F.collect_list(F.struct(*[c for c in bounds.columns if c not in by])).alias("_r"))
+    # rows are laid beside all bounds and then compared, which compiles; a filter over the list would be interpreted
+    return attach(clean, lists, by).select(*by, "_v", F.inline("_r")).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
