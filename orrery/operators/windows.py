@@ -25,7 +25,7 @@ def _scale(kind: str, size: float, index: Column, keep: Column) -> Column:
     return F.when(keep, F.struct(F.lit(kind).alias("window_type"), F.lit(float(size)).alias("window_size"), index.cast("long").alias("window_index")))
 
 
-def _four_places(seconds: Column) -> Column:
+def four_places(seconds: Column) -> Column:
     """Rounded as a decimal, half away from zero."""
     return F.round(seconds.cast("decimal(20,10)"), 4).cast("double")
 
@@ -56,7 +56,7 @@ def multi_scale(clocked: DataFrame, counts: Sequence[int] = (), seconds: Sequenc
     out = out.where((F.col("window_type") != "time") | (F.col("n") >= least))
     start = F.when(F.col("window_type") == "time", F.col("window_index") * F.col("window_size")).when(F.col("window_type") == "full_record", 0.0).otherwise(F.col("_open"))
     end = F.when(F.col("window_type") == "time", F.least((F.col("window_index") + 1) * F.col("window_size"), F.col("max_t"))).otherwise(F.max("t").over(whole))
-    out = out.withColumn("start_time_sec", _four_places(start)).withColumn("end_time_sec", _four_places(end))
+    out = out.withColumn("start_time_sec", four_places(start)).withColumn("end_time_sec", four_places(end))
     return out.withColumn("t_local", t - F.col("_open")).drop("_open")
 
 

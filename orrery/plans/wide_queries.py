@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import features as names
-from ..operators import aggregate, charts, legacy, mahalanobis, stats, windows
+from ..operators import aggregate, charts, legacy, mahalanobis, stats, window_arrays, windows
 from ..operators.intervals import series, with_clock
 from .base import CLOCKED_SQL, EVENTS_SQL, KEY_COLUMNS, WK, clocked, clocked_sql, load, points_sql, rounded, sql_rounded, windowed
 from .series_queries import CUSUM_PARTS, ECTOPY_SQL, EWMA_SQL, MOVING_RANGE_SQL, POINTS_SQL, RUNS_SQL, SHEWHART_SQL, VARIABILITY_SQL, charted_sql, cusum_points_sql, legacy_sql, pair_columns, scored_sql
@@ -20,19 +20,32 @@ ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpri
 SERIES_SQL = f"SELECT l_suppkey AS record_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ORDER)}) - 1 AS idx, l_quantity * 25.0 AS rr_ms FROM lineitem"
 
 
-def supplier_intervals(spark, sf):
+def supplier_items(spark, sf):
+    return load(spark, sf, "lineitem").withColumn("rr", F.col("l_quantity") * 25.0)
+
+
+def supplier_intervals(spark, sf, copies=len(COUNTS) + len(SECONDS) + 1):
     """Each supplier's quantities, taken as intervals of 25 ms a unit."""
-    items = load(spark, sf, "lineitem").withColumn("rr", F.col("l_quantity") * 25.0)
-    return with_clock(series(items, "l_suppkey", "rr", ORDER, len(COUNTS) + len(SECONDS) + 1), BASELINE)
+    return with_clock(series(supplier_items(spark, sf), "l_suppkey", "rr", ORDER, copies), BASELINE)
+
+
+def all_scales(clocked):
+    return windows.multi_scale(clocked, COUNTS, SECONDS, FULL, "main")
 
 
 def supplier_windows(spark, sf):
     """All scales over each supplier's intervals."""
-    return windows.multi_scale(supplier_intervals(spark, sf), COUNTS, SECONDS, FULL, "main")
+    return all_scales(supplier_intervals(spark, sf))
 
 
 def window_features(spark, sf):
-    return charts.all_features(supplier_windows(spark, sf), CHART)
+    """All features of all windows: from arrays, and by window functions for the records that these do not fit."""
+    clocked = supplier_intervals(spark, sf, 1)
+    made = lambda rows: window_arrays.all_features(rows, COUNTS, SECONDS, FULL, CHART, "main")
+    if not window_arrays.unfit_records(supplier_items(spark, sf), "l_suppkey", F.col("rr")):
+        return made(clocked)
+    others = window_arrays.split(supplier_intervals(spark, sf))[1]
+    return made(window_arrays.split(clocked)[0]).unionByName(charts.all_features(all_scales(others), CHART))
 
 
 def record_features(spark, sf):
