@@ -16,7 +16,7 @@ from ..operators.scan import attach, running, segmented, written
 from ..operators.selection import exact_percentiles
 from .base import rounded
 from .series_queries import pair_columns
-from .wide_queries import LENGTHS, LIMITS, SHEWHART_LIMITS, SLACKS, TUNED, WEIGHTS, FULL, record_features, supplier_windows, window_features
+from .wide_queries import LENGTHS, LIMITS, SHEWHART_LIMITS, SLACKS, TUNED, WEIGHTS, FULL, record_features, supplier_windows, whole_record_features, window_features
 
 FOLDS, INNER = 5, 3
 SCALE = ["window_type", "window_size"]
@@ -25,9 +25,9 @@ STEPS = [(f"{family}.{a}", f"{family}.{b}") for family, pairs in (("full", [("A_
 METRICS = ["auc", "f1", "recall", "specificity", "precision", "balanced_accuracy", "mcc"]
 
 
-def folded_records(spark, sf) -> DataFrame:
-    """Record features of all suppliers at all scales with their fold, and the part of the other folds that a machine leaves out."""
-    records = written(record_features(spark, sf).select("record_id", "pair_id", "y", *SCALE, *names.ALL), "records")
+def folded_records(features: DataFrame) -> DataFrame:
+    """Record features with their fold, and the part of the other folds that a machine leaves out."""
+    records = written(features.select("record_id", "pair_id", "y", *SCALE, *names.ALL), "records")
     dealt = folds.group_folds(records.select("record_id", "pair_id").distinct(), "pair_id", FOLDS)
     parts = folds.group_folds(records.select("record_id", "pair_id").distinct(), "pair_id", INNER).withColumnRenamed("fold", "part")
     return attach(records, written(dealt.join(parts, "pair_id"), "folds"), ["pair_id"])
@@ -36,7 +36,7 @@ def folded_records(spark, sf) -> DataFrame:
 def block_predictions(spark, sf) -> DataFrame:
     """Out-of-fold probabilities of every record for each block, scale and kind of model."""
     who = [*SCALE, "record_id", "pair_id", "y"]
-    cells = model_cells.packed(folded_records(spark, sf), SCALE, names.ALL, model_cells.fold_sides(F.col("fold"), FOLDS), FOLDS, who, F.col("part"))
+    cells = model_cells.packed(folded_records(record_features(spark, sf)), SCALE, names.ALL, model_cells.fold_sides(F.col("fold"), FOLDS), FOLDS, who, F.col("part"))
     logistic = model_cells.Models(len(names.ALL), FOLDS, model_cells.places(names.ALL, names.BLOCKS))
     kinds = {"logistic": logistic, "svm": replace(logistic, parts=INNER, loss="squared_hinge", plain_intercept=False)}
     made = [model_cells.predictions(cells, model_cells.fitted(cells, m), m).select(F.lit(k).alias("kind"), "block", *who, (F.col("s") + 1).cast("long").alias("held"), "p") for k, m in kinds.items()]
@@ -62,7 +62,7 @@ def block_steps(spark, sf) -> DataFrame:
 def coefficient_table(spark, sf) -> DataFrame:
     """Coefficients of all 49 features on whole records: mean and spread over folds, their signs, and their rank by size."""
     m = model_cells.Models(len(names.ALL), FOLDS, {"all": tuple(range(len(names.ALL)))})
-    rows = folded_records(spark, sf).where("window_type = 'full_record'")
+    rows = folded_records(whole_record_features(spark, sf))
     cells = model_cells.packed(rows, SCALE, names.ALL, model_cells.fold_sides(F.col("fold"), FOLDS), FOLDS, ["record_id"])
     order = F.array(*[F.lit(c) for c in names.ALL])
     found = model_cells.coefficients(model_cells.fitted(cells, m), m)

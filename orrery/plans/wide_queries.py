@@ -29,8 +29,8 @@ def supplier_intervals(spark, sf, copies=len(COUNTS) + len(SECONDS) + 1):
     return with_clock(series(supplier_items(spark, sf), "l_suppkey", "rr", ORDER, copies), BASELINE)
 
 
-def all_scales(clocked):
-    return windows.multi_scale(clocked, COUNTS, SECONDS, FULL, "main")
+def all_scales(clocked, counts=COUNTS, seconds=SECONDS):
+    return windows.multi_scale(clocked, counts, seconds, FULL, "main")
 
 
 def supplier_windows(spark, sf):
@@ -38,18 +38,23 @@ def supplier_windows(spark, sf):
     return all_scales(supplier_intervals(spark, sf))
 
 
-def window_features(spark, sf):
+def window_features(spark, sf, counts=COUNTS, seconds=SECONDS):
     """All features of all windows: from arrays, and by window functions for the records that these do not fit."""
     clocked = supplier_intervals(spark, sf, 1)
-    made = lambda rows: window_arrays.all_features(rows, COUNTS, SECONDS, FULL, CHART, "main")
+    made = lambda rows: window_arrays.all_features(rows, counts, seconds, FULL, CHART, "main")
     if not window_arrays.unfit_records(supplier_items(spark, sf), "l_suppkey", F.col("rr")):
         return made(clocked)
     others = window_arrays.split(supplier_intervals(spark, sf))[1]
-    return made(window_arrays.split(clocked)[0]).unionByName(charts.all_features(all_scales(others), CHART))
+    return made(window_arrays.split(clocked)[0]).unionByName(charts.all_features(all_scales(others, counts, seconds), CHART))
 
 
-def record_features(spark, sf):
-    return aggregate.records_of_windows(pair_columns(window_features(spark, sf)), names.ALL, FULL)
+def record_features(spark, sf, counts=COUNTS, seconds=SECONDS):
+    return aggregate.records_of_windows(pair_columns(window_features(spark, sf, counts, seconds)), names.ALL, FULL)
+
+
+def whole_record_features(spark, sf):
+    """The rows of ``record_features`` for whole records, without the windows of the other scales."""
+    return record_features(spark, sf, (), ())
 
 
 def _family(body: str, name: str) -> str:
