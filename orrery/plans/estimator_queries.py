@@ -6,7 +6,7 @@ from ..functions import features as names
 from ..operators.estimators import ROUNDING, FeaturePruner, MedianScaler
 from ..operators.scan import written
 from .base import rounded
-from .wide_queries import DIGITS, record_features
+from .wide_queries import DIGITS, whole_record_features
 from .wide_queries import ORACLE_SQL as WIDE_SQL
 
 PLACES = 5
@@ -14,7 +14,7 @@ PLACES = 5
 
 def whole_records(spark, sf):
     """All 49 features of whole records, as ``record_features_full`` gives them."""
-    return written(rounded(record_features(spark, sf), DIGITS).where("window_type = 'full_record'").select("record_id", *names.ALL), "records")
+    return written(rounded(whole_record_features(spark, sf), DIGITS).select("record_id", *names.ALL), "records")
 
 
 def standardized_records(spark, sf):
