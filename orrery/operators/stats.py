@@ -171,7 +171,8 @@ def normal_tail(z: Column) -> Column:
 
 def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: list[str] | None = None) -> DataFrame:
     """(by, a, b, rho, n) for each pair of features: correlation of average ranks over rows that have both, within ``by``; null where one is constant."""
-    by = by or []
+    if not by:
+        return _spearman_shared(records.where(F.col(key).isNotNull()), names, key, None).select("a", "b", "rho", "n")
     order = {c: i for i, c in enumerate(names)}
     rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     long = unpivoted(records, names, [key, *by]).where("x IS NOT NULL")
@@ -240,34 +241,41 @@ class CorrelationPruner:
 
 
 def spearman_outside_folds(rows: DataFrame, names: list[str], fold: str = "fold", key: str = "record_id") -> DataFrame:
-    """(model, a, b, rho): ``spearman`` of the rows outside each fold, of which there are few; every value is ordered once for all folds.
+    """(model, a, b, rho): ``spearman`` of the rows outside each fold, of which there are few; every value is ordered once for all folds."""
+    return _spearman_shared(rows, names, key, fold).select("model", "a", "b", "rho")
+
+
+def _spearman_shared(rows: DataFrame, names: list[str], key: str, fold: str | None) -> DataFrame:
+    """(model, a, b, rho, n): correlations of the rows outside each fold, or of all rows as model 0, from one order of every value.
 
     Distinct values have counts by fold, so one running sum for each fold gives the ranks of all models. Features that
     miss the same rows share the orders of their partners.
     """
-    rows = written(rows.select(F.col(key).alias("_key"), F.col(fold).alias("_fold"), *[F.col(c).cast("double").alias(c) for c in names]), "correlated")
-    all_folds = [r["_fold"] for r in rows.select("_fold").distinct().orderBy("_fold").collect()]
+    rows = written(rows.select(F.col(key).alias("_key"), (F.col(fold) if fold else F.lit(0).cast("long")).alias("_fold"), *[F.col(c).cast("double").alias(c) for c in names]), "correlated")
+    all_folds = [r["_fold"] for r in rows.select("_fold").distinct().orderBy("_fold").collect()] if fold else [0]
     unlike = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     facts = rows.agg(*[F.coalesce(F.bool_or(F.col(a).isNull() != F.col(b).isNull()), F.lit(False)).alias(f"{i}") for i, (a, b) in enumerate(unlike)]).head()
     differ = {pair for i, pair in enumerate(unlike) if facts[i]}
     first = {c: next(a for a in names if a == c or ((a, c) not in differ and names.index(a) < names.index(c))) for c in names}
     slots = {s: i for i, s in enumerate(dict.fromkeys(s for a, b in unlike for s in ((a, first[b]), (b, first[a]))))}
     if not all_folds or not slots:
-        return rows.select(F.col("_fold").alias("model"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("rho")).where("false")
+        return rows.select(F.col("_fold").alias("model"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("rho"), F.lit(0).cast("long").alias("n")).where("false")
     cells = F.array(*[F.when(F.col(c).isNotNull() & F.col(partner).isNotNull(), F.struct(F.lit(i).alias("_slot"), F.col(c).alias("_x"))) for (c, partner), i in slots.items()])
     long = written(rows.select("_key", "_fold", F.inline(F.filter(cells, lambda s: s.isNotNull()))), "correlated")
     counts = [F.count_if(F.col("_fold") == f).alias(f"_n{j}") for j, f in enumerate(all_folds)]
     counted = long.groupBy("_slot", "_x").agg(*counts)
     ranked = running(segmented(counted, ["_slot"], ["_x"]), ["_slot"], ["_x"], {f"_b{j}": ("sum", F.col(f"_n{j}")) for j in range(len(all_folds))}, inclusive=False)
     below, same = (sum((F.col(f"{k}{j}") for j in range(1, len(all_folds))), F.col(f"{k}0")) for k in ("_b", "_n"))
-    ranks = F.array(*[below - F.col(f"_b{j}") + (same - F.col(f"_n{j}") + 1) / 2.0 for j in range(len(all_folds))])
+    others = [(below - F.col(f"_b{j}"), same - F.col(f"_n{j}")) for j in range(len(all_folds))] if fold else [(below, same)]
+    ranks = F.array(*[lower + (equal + 1) / 2.0 for lower, equal in others])
     placed = long.join(ranked.select("_slot", "_x", ranks.alias("_r")), ["_slot", "_x"])
     wide = placed.groupBy("_key", "_fold").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_r"))).alias("_r"))
     rank = lambda s, j: F.try_element_at(F.try_element_at("_r", F.lit(slots[s])), F.lit(j + 1))
-    made = [F.when(F.col("_fold") != f, F.struct(F.lit(f).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b"), rank((a, first[b]), j).alias("ra"), rank((b, first[a]), j).alias("rb"))) for j, f in enumerate(all_folds) for a, b in unlike]
+    seen = lambda f: F.col("_fold") != f if fold else F.lit(True)
+    made = [F.when(seen(f), F.struct(F.lit(f).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b"), rank((a, first[b]), j).alias("ra"), rank((b, first[a]), j).alias("rb"))) for j, f in enumerate(all_folds) for a, b in unlike]
     pairs = wide.select(F.inline(F.filter(F.array(*made), lambda s: s.isNotNull() & s["ra"].isNotNull() & s["rb"].isNotNull())))
     rho = F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra")) * F.sqrt(F.var_pop("rb")))
-    return pairs.groupBy("model", "a", "b").agg(rho.alias("rho"))
+    return pairs.groupBy("model", "a", "b").agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def kept_in_folds(rows: DataFrame, names: list[str], threshold: float = 0.9, priority: list[str] | None = None, fold: str = "fold", key: str = "record_id") -> dict[int, list[str]]:

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import charts, window_arrays, windows
+from orrery.operators import charts, stats, window_arrays, windows
 from orrery.operators.intervals import series, with_clock
-from orrery.plans import wide_queries
+from orrery.plans import estimator_queries, model_queries, wide_queries
 
 COUNTS, SECONDS, FULL = (3, 5, 8, 25), (4.0,), 1800.0
 
@@ -66,3 +66,33 @@ def test_window_features_lay_no_row_out_for_each_window(spark, monkeypatch):
     items = items.withColumn("l_quantity", quantity)
     same(wide_queries.window_features(spark, ""), charts.all_features(plain(wide_queries.supplier_intervals(spark, ""), wide_queries.COUNTS, wide_queries.SECONDS, wide_queries.FULL), wide_queries.CHART))
     assert laid
+
+
+@pytest.mark.parametrize("make, scales", [
+    (lambda s, d: model_queries.folded_records(model_queries.record_features(s, d)), 6),
+    (lambda s, d: model_queries._window_rows(s, d), 6),
+    (lambda s, d: model_queries.folded_records(model_queries.whole_record_features(s, d)), 1),
+    (estimator_queries.whole_records, 1),
+])
+def test_models_and_estimators_chart_only_their_scales_and_from_arrays(spark, monkeypatch, make, scales):
+    def laid(*_):
+        raise AssertionError("a row for each interval and window")
+
+    charted, plain = [], window_arrays._scales
+    monkeypatch.setattr(windows, "multi_scale", laid)
+    monkeypatch.setattr(window_arrays, "_scales", lambda *a: charted.append(plain(*a)) or charted[-1])
+    assert make(spark, "/root/testdata/sf0.001").count()
+    assert [len(c) for c in charted] == [scales]
+
+
+def test_correlations_of_all_rows_share_orders(spark, monkeypatch):
+    draw = random.Random(7)
+    names = ["a", "b", "c", "d", "e"]
+    rows = [(i, 1, float(draw.randrange(9)), None if i % 4 == 0 else draw.gauss(0, 1), i * 0.5 if i % 3 else float("nan"), 2.0, None) for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, 1, 1.0, 1.0, 1.0, 1.0, 1.0)], "record_id long, g int, a double, b double, c double, d double, e double")
+    want = {(r.a, r.b): (r.rho, r.n) for r in stats.spearman(df, names, by=["g"]).collect()}
+    monkeypatch.setattr(stats, "average_ranks", None)
+    got = {(r.a, r.b): (r.rho, r.n) for r in stats.spearman(df, names).collect()}
+    assert got.keys() == want.keys()
+    for k, (rho, n) in want.items():
+        assert got[k][1] == n and (got[k][0] == rho or abs(got[k][0] - rho) < 1e-12)
