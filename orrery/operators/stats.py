@@ -182,9 +182,13 @@ def spearman(records: DataFrame, names: list[str], key: str = "record_id", by: l
     keys = [*by, "a", "b"]
     for x, r in (("xa", "ra"), ("xb", "rb")):
         both = both.join(average_ranks(both, keys, x, r), [*keys, x])
-    # not corr, which fails where one side is constant
-    rho = F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra")) * F.sqrt(F.var_pop("rb")))
-    return both.groupBy(*by, "a", "b").agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy(*by, "a", "b").agg(_rank_correlation().alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def _rank_correlation() -> Column:
+    """Correlation of the ranks ra and rb, null where one side is constant: by its extremes, since variances of equal values may be rounding."""
+    varied = (F.min("ra") < F.max("ra")) & (F.min("rb") < F.max("rb"))
+    return F.when(varied, F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra")) * F.sqrt(F.var_pop("rb"))))
 
 
 def components(names: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
@@ -270,12 +274,12 @@ def _spearman_shared(rows: DataFrame, names: list[str], key: str, fold: str | No
     ranks = F.array(*[lower + (equal + 1) / 2.0 for lower, equal in others])
     placed = long.join(ranked.select("_slot", "_x", ranks.alias("_r")), ["_slot", "_x"])
     wide = placed.groupBy("_key", "_fold").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_r"))).alias("_r"))
-    rank = lambda s, j: F.try_element_at(F.try_element_at("_r", F.lit(slots[s])), F.lit(j + 1))
-    seen = lambda f: F.col("_fold") != f if fold else F.lit(True)
-    made = [F.when(seen(f), F.struct(F.lit(f).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b"), rank((a, first[b]), j).alias("ra"), rank((b, first[a]), j).alias("rb"))) for j, f in enumerate(all_folds) for a, b in unlike]
-    pairs = wide.select(F.inline(F.filter(F.array(*made), lambda s: s.isNotNull() & s["ra"].isNotNull() & s["rb"].isNotNull())))
-    rho = F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra")) * F.sqrt(F.var_pop("rb")))
-    return pairs.groupBy("model", "a", "b").agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
+    tried = [(f, j + 1, a, b, slots[a, first[b]], slots[b, first[a]]) for j, f in enumerate(all_folds) for a, b in unlike]
+    # one row for each model and pair of a short list of features
+    tried = rows.sparkSession.createDataFrame(tried, "model long, _j int, a string, b string, _sa int, _sb int")
+    rank = lambda s: F.try_element_at(F.try_element_at("_r", F.col(s)), F.col("_j"))
+    pairs = wide.join(F.broadcast(tried), F.col("_fold") != F.col("model") if fold else F.lit(True)).select("model", "a", "b", rank("_sa").alias("ra"), rank("_sb").alias("rb"))
+    return pairs.where("ra IS NOT NULL AND rb IS NOT NULL").groupBy("model", "a", "b").agg(_rank_correlation().alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def kept_in_folds(rows: DataFrame, names: list[str], threshold: float = 0.9, priority: list[str] | None = None, fold: str = "fold", key: str = "record_id") -> dict[int, list[str]]:

@@ -96,3 +96,10 @@ def test_correlations_of_all_rows_share_orders(spark, monkeypatch):
     assert got.keys() == want.keys()
     for k, (rho, n) in want.items():
         assert got[k][1] == n and (got[k][0] == rho or abs(got[k][0] - rho) < 1e-12)
+
+
+def test_constant_features_correlate_with_none(spark):
+    """The variance of equal ranks, added up over many tasks, may differ from 0 by rounding."""
+    df = spark.range(1000, numPartitions=7).select(F.col("id").alias("record_id"), F.lit(0.0).alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.lit(1).alias("g"))
+    for by in (None, ["g"]):
+        assert [r.rho for r in stats.spearman(df, ["a", "b"], by=by).collect()] == [None]
