@@ -87,7 +87,8 @@ def packed(rows: DataFrame, cell: Sequence[str], names: Sequence[str], sides: Co
     most, total = found["most"] or 0, found["total"] or 0
     session = rows.sparkSession
     task_rows = min(ROWS_A_TASK, max(CHUNK, -(-total // (4 * session.sparkContext.defaultParallelism))))
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_A_TASK))
+    # more parts than cores, so that a pass deals them evenly
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism, -(-total // ROWS_A_TASK))
     chunk = F.pmod(F.xxhash64("keep"), F.lit(max(1, -(-most // CHUNK))))
     dealt = flat.withColumn("_c", chunk).withColumn("_s", F.pmod("_c", F.lit(max(1, -(-most // task_rows))))).repartition(tasks, "cell", "_s")
     chunks = dealt.groupBy("cell", "_s", "_c").agg(F.collect_list(F.struct("x", "y", "side", "part", "keep")).alias("rows"))
@@ -117,19 +118,23 @@ def _chunks(batch: pa.RecordBatch, p: int) -> Iterator[tuple[str, int, np.ndarra
         yield name, i, x[lo:hi], y[lo:hi], side[lo:hi], part[lo:hi], keep.slice(lo, hi - lo)
 
 
+#: The column of gradients and Hessians.
+_SUMS = "sums"
+
+
 def _array(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
     return batch.column(column)[i].values.to_numpy()
 
 
 def _batch(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
-    """Rows of a cell's name and arrays of numbers."""
+    """Rows of a cell's name and arrays of numbers; sums, which are long, as bytes."""
     columns = list(zip(*rows)) if rows else [[] for _ in names]
-    types = [pa.string(), *[pa.list_(pa.float64())] * (len(names) - 1)]
+    types = [pa.string(), *[pa.binary() if c == _SUMS else pa.list_(pa.float64()) for c in names[1:]]]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=list(names))
 
 
 def _schema(names: Sequence[str]) -> str:
-    return ", ".join([f"{names[0]} string", *[f"{c} array<double>" for c in names[1:]]])
+    return ", ".join([f"{names[0]} string", *[f"{c} binary" if c == _SUMS else f"{c} array<double>" for c in names[1:]]])
 
 
 _MOMENTS = ["cell", "n", "mean", "m2", "up", "down"]
@@ -204,7 +209,7 @@ class _Design:
     """Scaled rows of a chunk, for one set after another."""
 
     def __init__(self, m: Models, batch: pa.RecordBatch, i: int, x: np.ndarray):
-        self.x, self.columns = x, m.columns
+        self.x = x
         self.fill, self.mean, self.dev = (_array(batch, c, i).reshape(m.sets, m.p) for c in ("fill", "mean", "dev"))
         self.gaps = np.isnan(x)
         self.holes = self.gaps.any()
@@ -231,7 +236,8 @@ def _sigmoid_aim(y: np.ndarray, up: float, down: float) -> np.ndarray:
 
 def _step_sums(m: Models, tolerance: float, sigmoids: bool, carried: Sequence[str]):
     """What is ``carried`` of a cell, with gradients and Hessians of all open models of a cell; of the machines, or of the sigmoids of their scores."""
-    starts, blocks = _starts(m), len(m.columns)
+    starts, columns = _starts(m), [_with_one(c) for c in m.columns]
+    blocks = len(columns)
     widths = [2 if sigmoids else len(c) + 1 for _ in m.fits for c in m.columns]
     at = np.concatenate([[0], np.cumsum([w * (w + 1) + 1 for w in widths])])
     theta_at = np.concatenate([[0], np.cumsum(widths)])
@@ -243,7 +249,7 @@ def _step_sums(m: Models, tolerance: float, sigmoids: bool, carried: Sequence[st
             for name, i, x, y, side, part, _ in _chunks(batch, m.p):
                 if name != held:
                     if held is not None:
-                        out.append((held, *state, sums))
+                        out.append((held, *state, sums.tobytes()))
                     held, sums, state = name, np.zeros(at[-1]), [_array(batch, c, i) for c in carried]
                 design, theta, move = _Design(m, batch, i, x), _array(batch, "theta", i), _array(batch, "move", i)
                 if sigmoids:
@@ -259,19 +265,19 @@ def _step_sums(m: Models, tolerance: float, sigmoids: bool, carried: Sequence[st
                     own &= (part == o) if sigmoids else (part != o) if o else True
                     if not own.any():
                         continue
-                    whole, aim = scaled[own], y[own]
+                    whole, aim = np.ascontiguousarray(scaled[own].T), y[own]
                     for b in open_:
                         k = f * blocks + b
-                        v = whole[:, _with_one(m.columns[b])]
+                        v = whole[columns[b]].T
                         target = aim
                         if sigmoids:
                             v = np.column_stack([v @ beta[starts[k] : starts[k + 1]], np.ones(len(v))])
                             target = _sigmoid_aim(aim, up[f], down[f])
                         pull, weight = _equations(v, target, theta[theta_at[k] : theta_at[k + 1]], "logistic" if sigmoids else m.loss)
                         sums[at[k] : at[k + 1]] += np.concatenate([[len(v)], v.T @ pull, ((v.T * weight) @ v).ravel()])
-            yield _batch(out, ["cell", *carried, "sums"])
+            yield _batch(out, ["cell", *carried, _SUMS])
         if held is not None:
-            yield _batch([(held, *state, sums)], ["cell", *carried, "sums"])
+            yield _batch([(held, *state, sums.tobytes())], ["cell", *carried, _SUMS])
 
     return run
 
@@ -309,7 +315,7 @@ def _solved(m: Models, tolerance: float, sigmoids: bool, carried: Sequence[str])
                     if held is not None:
                         out.append(solve(held, state, sums))
                     held, sums, state = name, np.zeros(at[-1]), [_array(batch, c, i) for c in carried]
-                sums = sums + _array(batch, "sums", i)
+                sums = sums + np.frombuffer(batch.column(_SUMS)[i].as_buffer())
             yield _batch(out, ["cell", *carried])
         if held is not None:
             yield _batch([solve(held, state, sums)], ["cell", *carried])
@@ -328,7 +334,7 @@ def _newton(cells: Cells, facts: DataFrame, m: Models, sigmoids: bool, rounds: i
     done = None
     for _ in range(rounds):
         met = cells.chunks.join(F.broadcast(state) if few else state, "cell").select("cell", "rows", *carried)
-        sums = met.mapInArrow(_step_sums(m, tolerance, sigmoids, carried), _schema(["cell", *carried, "sums"]))
+        sums = met.mapInArrow(_step_sums(m, tolerance, sigmoids, carried), _schema(["cell", *carried, _SUMS]))
         moved = written(sums.repartition("cell").sortWithinPartitions("cell").mapInArrow(_solved(m, tolerance, sigmoids, carried), _schema(["cell", *carried])), "cells")
         moves = F.exists("move", lambda v: v >= tolerance)
         rested = moved.where(~moves).select("cell", "theta", "seen")
@@ -355,7 +361,8 @@ def fitted(cells: Cells, m: Models, rounds: int = 60, tolerance: float = 1e-9) -
 
 
 def _predicted(m: Models):
-    starts, blocks = _starts(m), len(m.columns)
+    starts, columns = _starts(m), [_with_one(c) for c in m.columns]
+    blocks = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +382,7 @@ def _predicted(m: Models):
                             k = f * blocks + b
                             if not (seen[k] or m.untrained) or (m.parts and not up[f] + down[f]):
                                 continue
-                            score = scaled[:, _with_one(m.columns[b])] @ beta[starts[k] : starts[k + 1]]
+                            score = scaled[:, columns[b]] @ beta[starts[k] : starts[k + 1]]
                             if m.parts:
                                 score = score * sigmoid[2 * k] + sigmoid[2 * k + 1]
                             guesses.append(1 / (1 + np.exp(-score)))

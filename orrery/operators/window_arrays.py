@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .windows import KEYS
 ROWS = 1 << 16
 #: Intervals of the longest record that a task holds as arrays.
 LONGEST = 50_000
+#: Intervals of the least window that charts say anything of.
+LEAST_CHARTED = 6
 #: The longest interval, in ms.
 LARGEST = 1e9
 _KEPT = ["record_id", "idx", "rr_ms", "t", "z"]
@@ -67,6 +70,66 @@ def all_features(clocked: DataFrame, counts: Sequence[int], seconds: Sequence[fl
     return out.withColumns({c: windows.four_places(F.col(c)) for c in _BOUNDS})
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Settings that charts are tried under; each EWMA limit goes with the Shewhart limit at its place."""
+
+    limits: Sequence[float]
+    slacks: Sequence[float]
+    weights: Sequence[float]
+    lengths: Sequence[int]
+    shewhart_limits: Sequence[float]
+    ewma_limits: Sequence[float]
+
+    @property
+    def settings(self) -> list[tuple]:
+        """(h, k, lam, sustained, shewhart_l) in order."""
+        return list(product(self.limits, self.slacks, self.weights, self.lengths, self.shewhart_limits))
+
+    @property
+    def columns(self) -> list[tuple]:
+        """What is told apart: a feature and those of the settings that change it."""
+        made = [(c, k) for k in self.slacks for c in names.CUSUM[:5]]
+        made += [(c, h, k, s) for k in self.slacks for h in self.limits for s in self.lengths for c in ("cusum_alarm_count", "cusum_alarm_density", "cusum_time_in_alarm")]
+        made += [(c, w) for w in self.weights for c in names.EWMA[:3]] + [("ewma_alarm_count", w, x) for w in self.weights for x in self.shewhart_limits]
+        made += [("shewhart_max_abs_z",), *[(c, x) for x in self.shewhart_limits for c in names.SHEWHART[:2]]]
+        return made + [(c,) for c in (*names.MOVING_RANGE, *names.RUNS)]
+
+    def places(self, features: Sequence[str]) -> list[tuple[int, ...]]:
+        """For each setting the columns of the features under it."""
+        at = {c: i for i, c in enumerate(self.columns)}
+        return [tuple(at[c, *[v for name, v in zip("hkwsx", setting) if name in self._changed_by(c)]] for c in features) for setting in self.settings]
+
+    @staticmethod
+    def _changed_by(feature: str) -> str:
+        """The settings that change a feature: limit h, slack k, weight w, length s and Shewhart limit x."""
+        if feature in names.CUSUM:
+            return "k" if feature in names.CUSUM[:5] else "hks"
+        if feature in names.EWMA:
+            return "w" if feature in names.EWMA[:3] else "wx"
+        return "x" if feature in names.SHEWHART[:2] else ""
+
+
+def grid_medians(clocked: DataFrame, counts: Sequence[int], seconds: Sequence[float], grid: Grid) -> DataFrame:
+    """(record_id, window_type, window_size, m0, m1, ...): the medians of ``grid.columns`` over a record's windows of at least 6 intervals."""
+    scales = _scales(counts, seconds, None, "", 2)
+    own = [f"m{i}" for i in range(len(grid.columns))]
+    kind = clocked.schema["record_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_records(batches):
+            held = _Records(table)
+            for scale in scales:
+                made = [(w.record, _grid(w, grid)) for w in held.windows(scale, LEAST_CHARTED)]
+                if made:
+                    record, middle = _medians_by_record(np.concatenate([r for r, _ in made]), np.concatenate([v for _, v in made], 1))
+                    keys = [held.ids.take(pa.array(record)), pa.array([scale.kind] * len(record)), pa.array(np.full(len(record), scale.size))]
+                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v, from_pandas=True) for v in middle]], names=[*KEYS[:3], *own])
+
+    rows = clocked.select(*_KEPT).sortWithinPartitions("record_id", "idx")
+    return rows.mapInArrow(run, f"record_id {kind}, window_type string, window_size double, " + ", ".join(f"{c} double" for c in own))
+
+
 @dataclass(frozen=True)
 class Scale:
     kind: str
@@ -138,16 +201,13 @@ class _Records:
         self.ids = table.column("record_id").combine_chunks().take(pa.array(self.starts))
         self.x, self.t, self.z = (table.column(c).to_numpy() for c in ("rr_ms", "t", "z"))
 
-    def windows(self, scale: Scale) -> Iterator[_Windows]:
-        """Windows of a scale, those of similar length together."""
+    def windows(self, scale: Scale, least: int = 1) -> Iterator[_Windows]:
+        """Windows of a scale of at least ``least`` intervals, those of similar length together."""
         record, index, first, n = self._spans(scale)
-        order = np.argsort(-n, kind="stable")
-        low = 0
-        while low < len(order):
-            high = int(np.searchsorted(-n[order], -(n[order[low]] // 2)))
-            own = order[low:high]
-            yield _Windows(scale, self, record[own], index[own], first[own], n[own])
-            low = high
+        for own in _alike(n):
+            own = own[n[own] >= least]
+            if len(own):
+                yield _Windows(scale, self, record[own], index[own], first[own], n[own])
 
     def _spans(self, scale: Scale) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = self.ends - self.starts
@@ -170,6 +230,17 @@ class _Records:
         return record[own], index[first][own], first[own], n[own]
 
 
+def _alike(n: np.ndarray) -> Iterator[np.ndarray]:
+    """Places in order of falling n, those together whose n is more than half of the largest."""
+    order = np.argsort(-n, kind="stable")
+    falling = -n[order]
+    low = 0
+    while low < len(order):
+        high = int(np.searchsorted(falling, -(-falling[low] // 2)))
+        yield order[low:high]
+        low = high
+
+
 def _at(v: np.ndarray, place: np.ndarray) -> np.ndarray:
     return v[np.maximum(place, 0), np.arange(v.shape[1])]
 
@@ -241,9 +312,13 @@ def cusum_sums(z: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
 
 def sustained(flags: np.ndarray, least: int) -> np.ndarray:
     """Whether a row lies in a stretch of at least ``least`` rows."""
-    hit = _run_lengths(flags) >= least if least > 1 else flags
+    return _dilated(_run_lengths(flags) >= least, least)
+
+
+def _dilated(hit: np.ndarray, least: int) -> np.ndarray:
+    """The rows, and the ``least`` - 1 before each of them."""
     out = hit.copy()
-    for j in range(1, min(least, len(flags))):
+    for j in range(1, min(least, len(hit))):
         out[:-j] |= hit[j:]
     return out
 
@@ -345,7 +420,53 @@ def _all(w: _Windows, chart: charts.Chart) -> dict[str, np.ndarray]:
         found = _variability(w.x, n, ranges)
         middle = found["median_rr"]
         of: list[tuple[Callable[[], dict[str, np.ndarray]], np.ndarray]] = [
-            (lambda: {c: found[c] for c in names.HRV}, n >= 4), (lambda: {c: found[c] for c in names.POINCARE}, n >= 3), (lambda: _charts(w, chart) | ranges | run_rules(w.z, n), n >= 6),
+            (lambda: {c: found[c] for c in names.HRV}, n >= 4), (lambda: {c: found[c] for c in names.POINCARE}, n >= 3), (lambda: _charts(w, chart) | ranges | run_rules(w.z, n), n >= LEAST_CHARTED),
             (lambda: _ectopy(w.x, n, middle), (n >= 5) & (middle > 0)),
         ]
         return {c: np.where(enough, v, np.nan) for part, enough in of for c, v in part().items()}
+
+
+def _grid(w: _Windows, grid: Grid) -> np.ndarray:
+    """A row of windows' values for each of ``grid.columns``."""
+    z, n, last = w.z, w.n, w.n - 1
+    end = w.clock(last)
+    found: dict[tuple, np.ndarray] = {}
+    with np.errstate(all="ignore"):
+        for k in grid.slacks:
+            high, low = cusum_sums(z, k)
+            top_high, top_low = np.fmax.reduce(high), np.fmax.reduce(low)
+            found |= {(c, k): v for c, v in zip(names.CUSUM[:5], (top_high, top_low, np.maximum(top_high, top_low), _at(high, last), _at(low, last)))}
+            for h in grid.limits:
+                runs = [_run_lengths(high > h), _run_lengths(low > h)]
+                for s in grid.lengths:
+                    count = (_dilated(runs[0] >= s, s) | _dilated(runs[1] >= s, s)).sum(0)
+                    found |= {(c, h, k, s): v for c, v in zip(("cusum_alarm_count", "cusum_alarm_density", "cusum_time_in_alarm"), (count, count / n, count / n * end))}
+        for weight in grid.weights:
+            e = ewma(z, n, weight)
+            size = np.abs(e)
+            found |= {(c, weight): v for c, v in zip(names.EWMA[:3], (_at(e, last), np.fmax.reduce(size), ewma_slope(e, n)))}
+            for x, limit in zip(grid.shewhart_limits, grid.ewma_limits):
+                found["ewma_alarm_count", weight, x] = (size > limit * (weight / (2.0 - weight)) ** 0.5).sum(0)
+        far = np.abs(z)
+        found[("shewhart_max_abs_z",)] = np.fmax.reduce(far)
+        for x in grid.shewhart_limits:
+            out = (far > x).sum(0)
+            found |= {("shewhart_out_count", x): out, ("shewhart_out_rate", x): out / n}
+        found |= {(c,): v for c, v in (moving_ranges(w.x, n) | run_rules(z, n)).items()}
+    return np.stack([found[c].astype(float) for c in grid.columns])
+
+
+def _medians_by_record(record: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The records that have windows, and for each row of ``values`` their medians over these; NaN is left out."""
+    order = np.argsort(record, kind="stable")
+    numbers, starts, n = np.unique(record[order], return_index=True, return_counts=True)
+    values = values[:, order]
+    out = np.full((len(values), len(numbers)), np.nan)
+    for own in _alike(n):
+        step = np.arange(n[own[0]])
+        at = np.minimum(starts[own, None] + step, values.shape[1] - 1)
+        each = np.sort(np.where(step < n[own, None], values[:, at], np.nan), axis=2)
+        seen = (~np.isnan(each)).sum(2, keepdims=True)
+        low, high = (np.take_along_axis(each, np.clip(i, 0, each.shape[2] - 1), 2)[..., 0] for i in ((seen - 1) // 2, seen // 2))
+        out[:, own] = 0.5 * low + 0.5 * high
+    return numbers, out

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as names
-from ..operators import aggregate, charts, folds, mahalanobis, model_cells, model_table, models, stats
+from ..operators import aggregate, charts, folds, mahalanobis, model_cells, model_table, models, stats, window_arrays
 from ..operators.keyed_distance import fit_keys, lacking, with_keyed_distance, with_thresholds
 from ..operators.scan import attach, running, segmented, written
 from ..operators.selection import exact_percentiles
 from .base import rounded
 from .series_queries import pair_columns
-from .wide_queries import LENGTHS, LIMITS, SHEWHART_LIMITS, SLACKS, TUNED, WEIGHTS, FULL, record_features, supplier_windows, whole_record_features, window_features
+from .wide_queries import LENGTHS, LIMITS, SHEWHART_LIMITS, SLACKS, TUNED, WEIGHTS, FULL, all_scales, record_features, supplier_intervals, supplier_items, supplier_windows, whole_record_features, window_features
 
 FOLDS, INNER = 5, 3
 SCALE = ["window_type", "window_size"]
@@ -75,6 +75,7 @@ def coefficient_table(spark, sf) -> DataFrame:
 # --- nested choice of chart settings
 
 SETTING = ["h", "k", "lam", "sustained", "shewhart_l"]
+_SETTING_TYPES = "h double, k double, lam double, sustained int, shewhart_l double"
 CUSUM = ["cusum_pos_max", "cusum_neg_max", "cusum_abs_max", "cusum_last_pos", "cusum_last_neg", "cusum_alarm_count", "cusum_alarm_density", "cusum_time_in_alarm"]
 SHEWHART = ["shewhart_out_count", "shewhart_out_rate", "shewhart_max_abs_z"]
 EWMA = ["ewma_last", "ewma_max_abs", "ewma_slope", "ewma_alarm_count"]
@@ -84,20 +85,57 @@ TUNED_FEATURES = [*CUSUM, *SHEWHART, *EWMA, *names.MOVING_RANGE, *names.RUNS]
 EWMA_SHARE = 0.9
 
 
+GRID = window_arrays.Grid(LIMITS, SLACKS, WEIGHTS, LENGTHS, SHEWHART_LIMITS, [EWMA_SHARE * x for x in SHEWHART_LIMITS])
+#: The scales of TUNED.
+TUNED_COUNTS, TUNED_SECONDS = (100, 128), (300.0,)
+_GRID_COLUMNS = [f"m{i}" for i in range(len(GRID.columns))]
+
+
 def _medians(features: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return features.groupBy("record_id", *SCALE, *keys).agg(*[F.median(c).alias(c) for c in columns])
 
 
-def tuning_records(spark, sf) -> DataFrame:
-    """Median features of every record under all 162 settings for three kinds of window; charts run over their own settings alone."""
-    windowed = written(supplier_windows(spark, sf).where(TUNED).where("n >= 6"), "windows")
+def swept_medians(windowed: DataFrame) -> DataFrame:
+    """What ``window_arrays.grid_medians`` gives, by window functions; charts run over their own settings alone."""
+    windowed = written(windowed, "windows")
     cusums = _medians(charts.cusum_features_sweep(windowed, SLACKS, LIMITS, LENGTHS), ["h", "k", "sustained"], CUSUM)
     ewmas = _medians(charts.ewma_features_sweep(windowed, WEIGHTS, {x: EWMA_SHARE * x for x in SHEWHART_LIMITS}), ["lam", "shewhart_l"], EWMA)
     beyond = _medians(charts.shewhart_features_sweep(windowed, SHEWHART_LIMITS), ["shewhart_l"], SHEWHART)
     plain = _medians(charts.ranges_and_runs(windowed), [], [*names.MOVING_RANGE, *names.RUNS])
     key = ["record_id", *SCALE]
     rows = ewmas.join(beyond, [*key, "shewhart_l"]).join(plain, key).join(cusums, key)
-    return pair_columns(rows).select("record_id", "pair_id", "y", *SCALE, *SETTING, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in TUNED_FEATURES])
+    # a column is the same under all settings that do not change it
+    own = {}
+    for setting, places in zip(GRID.settings, GRID.places(TUNED_FEATURES)):
+        under = reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in zip(SETTING, setting)])
+        own |= {i: F.max(F.when(under, F.col(c))) for c, i in zip(TUNED_FEATURES, places) if i not in own}
+    return rows.groupBy(*key).agg(*[own[i].alias(c) for i, c in enumerate(_GRID_COLUMNS)])
+
+
+def tuning_medians(spark, sf) -> DataFrame:
+    """Median features of every record for three kinds of window, each once for the settings that change it."""
+    clocked = supplier_intervals(spark, sf, 1)
+    made = lambda rows: window_arrays.grid_medians(rows, TUNED_COUNTS, TUNED_SECONDS, GRID)
+    if window_arrays.unfit_records(supplier_items(spark, sf), "l_suppkey", F.col("rr")):
+        others = all_scales(window_arrays.split(supplier_intervals(spark, sf))[1], TUNED_COUNTS, TUNED_SECONDS).where(TUNED).where("n >= 6")
+        found = made(window_arrays.split(clocked)[0]).unionByName(swept_medians(others))
+    else:
+        found = made(clocked)
+    rows = pair_columns(found.where("record_id IS NOT NULL"))
+    return rows.select("record_id", "pair_id", "y", *SCALE, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _GRID_COLUMNS])
+
+
+def under_settings(medians: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The medians' rows under each of 162 settings (``number``, from 0)."""
+    settings = [(i, *setting, list(places)) for i, (setting, places) in enumerate(zip(GRID.settings, GRID.places(TUNED_FEATURES)))]
+    table = medians.sparkSession.createDataFrame(settings, f"number int, {_SETTING_TYPES}, _at array<int>")
+    rows = medians.withColumn("_m", F.array(*_GRID_COLUMNS)).drop(*_GRID_COLUMNS).join(F.broadcast(table))
+    return rows.select("record_id", "pair_id", "y", *SCALE, *SETTING, *keep, *[F.col("_m")[F.col("_at")[i]].alias(c) for i, c in enumerate(TUNED_FEATURES)])
+
+
+def tuning_records(spark, sf) -> DataFrame:
+    """Median features of every record under all 162 settings for three kinds of window."""
+    return under_settings(tuning_medians(spark, sf))
 
 
 def inner_folds(dealt: DataFrame, inner: int) -> DataFrame:
@@ -109,38 +147,80 @@ def inner_folds(dealt: DataFrame, inner: int) -> DataFrame:
     return turn.select("pair_id", "fold", "outer", (F.pmod(F.col("_turn") - 1, F.lit(inner)) + 1).alias("inner"))
 
 
+def _dealt(rows: DataFrame, outer: int, inner: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs' outer folds, and with them the inner fold of each pair by outer fold."""
+    dealt = written(folds.group_folds(rows.select("record_id", "pair_id").distinct(), "pair_id", outer), "folds")
+    return dealt, inner_folds(dealt, inner).groupBy("pair_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct("outer", "inner"))).alias("turns"))
+
+
+def _inner_sides(outer: int, inner: int) -> list[Column]:
+    """The sides of a row in the inner folds of each outer fold."""
+    part = lambda o, k: F.when(F.col("fold") == o, model_cells.NEITHER).when(F.try_element_at("turns", F.lit(o).cast("long")) == k, model_cells.HELD).otherwise(model_cells.TRAIN)
+    return [part(o, k) for o in range(1, outer + 1) for k in range(1, inner + 1)]
+
+
+def _judged(guessed: DataFrame, sets: int, inner: int) -> DataFrame:
+    """(number, outer, inner_auc) of models numbered by setting and set."""
+    areas = stats.roc_auc(written(guessed, "guessed"), ["model"]).where("auc IS NOT NULL")
+    of = F.floor(F.pmod("model", F.lit(sets)) / inner).cast("long") + 1
+    areas = areas.select(F.floor(F.col("model") / sets).cast("long").alias("number"), of.alias("outer"), "auc")
+    return areas.groupBy("number", "outer").agg(F.avg("auc").alias("inner_auc"))
+
+
+def _best(judged: DataFrame) -> DataFrame:
+    """The best setting of each kind of window and outer fold; of equal ones the first in order."""
+    first = F.row_number().over(Window.partitionBy(*SCALE, "outer").orderBy(F.desc(F.round("inner_auc", 9)), *SETTING))
+    return written(judged.withColumn("_r", first).where("_r = 1").select(*SCALE, *SETTING, "outer", "inner_auc"), "best")
+
+
+def _on_held_out(final: DataFrame, best: DataFrame, features: list[str]) -> DataFrame:
+    """How the best settings do on their outer folds. ``final``: the rows under the best setting of each outer fold, with fold and outer."""
+    by = [*SCALE, "outer"]
+    m = model_cells.Models(len(features), 1, {"all": tuple(range(len(features)))})
+    cells = model_cells.packed(final, by, features, F.array(F.when(F.col("fold") == F.col("outer"), model_cells.HELD).otherwise(model_cells.TRAIN)), 1, [*by, "record_id", "y"])
+    held = written(model_cells.predictions(cells, model_cells.fitted(cells, m), m).select(*by, "y", "p"), "held")
+    measured = stats.confusion(held, by).join(stats.roc_auc(held, by).select(*by, "auc"), by).select(*by, F.col("auc").alias("outer_auc"), "f1", "recall", "specificity", "balanced_accuracy", "mcc")
+    return best.join(measured, by, "left")
+
+
 def nested_choice(rows: DataFrame, features: list[str], outer: int = FOLDS, inner: int = INNER) -> DataFrame:
     """For each kind of window and outer fold: the setting of the best mean AUC over inner folds, and how it does on the held-out fold.
 
     All models of all settings are fitted together; of equal settings the first in order wins. Pairs are of equal size.
     """
     rows = written(rows, "tuning")
-    dealt = written(folds.group_folds(rows.select("record_id", "pair_id").distinct(), "pair_id", outer), "folds")
+    dealt, turns = _dealt(rows, outer, inner)
     setting = [*SCALE, *SETTING]
     # one number for each of the settings, whose count does not grow with the records
     numbered = written(rows.select(*setting).distinct().withColumn("number", F.row_number().over(Window.orderBy(*setting)).cast("long")), "settings")
-    turns = inner_folds(dealt, inner).groupBy("pair_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct("outer", "inner"))).alias("turns"))
     tried = attach(attach(rows, turns, ["pair_id"]), numbered, setting)
-    part = lambda o, k: F.when(F.col("fold") == o, model_cells.NEITHER).when(F.try_element_at("turns", F.lit(o).cast("long")) == k, model_cells.HELD).otherwise(model_cells.TRAIN)
-    sets = [(o, k) for o in range(1, outer + 1) for k in range(1, inner + 1)]
-    m = model_cells.Models(len(features), len(sets), {"all": tuple(range(len(features)))})
-    cells = model_cells.packed(tried, ["number"], features, F.array(*[part(o, k) for o, k in sets]), len(sets), ["number", "record_id", "y"])
-    guessed = model_cells.predictions(cells, model_cells.fitted(cells, m), m)
-    guessed = written(guessed.select((F.col("number") * len(sets) + F.col("s")).alias("model"), "y", "p"), "guessed")
-    areas = stats.roc_auc(guessed, ["model"]).where("auc IS NOT NULL")
-    of = F.floor(F.pmod("model", F.lit(len(sets))) / inner).cast("long") + 1
-    areas = areas.select(F.floor(F.col("model") / len(sets)).cast("long").alias("number"), of.alias("outer"), "auc")
-    judged = attach(areas.groupBy("number", "outer").agg(F.avg("auc").alias("inner_auc")), numbered, ["number"]).drop("number")
-    first = F.row_number().over(Window.partitionBy(*SCALE, "outer").orderBy(F.desc(F.round("inner_auc", 9)), *SETTING))
-    best = written(judged.withColumn("_r", first).where("_r = 1").select(*setting, "outer", "inner_auc"), "best")
+    sides = _inner_sides(outer, inner)
+    m = model_cells.Models(len(features), len(sides), {"all": tuple(range(len(features)))})
+    cells = model_cells.packed(tried, ["number"], features, F.array(*sides), len(sides), ["number", "record_id", "y"])
+    guessed = model_cells.predictions(cells, model_cells.fitted(cells, m), m).select((F.col("number") * len(sides) + F.col("s")).alias("model"), "y", "p")
+    best = _best(attach(_judged(guessed, len(sides), inner), numbered, ["number"]))
     chosen = attach(rows.join(dealt, "pair_id"), best.groupBy(*setting).agg(F.collect_list("outer").alias("_outer")), setting)
-    by = [*SCALE, "outer"]
-    final = chosen.withColumn("outer", F.explode("_outer"))
-    m = replace(m, sets=1)
-    cells = model_cells.packed(final, by, features, F.array(F.when(F.col("fold") == F.col("outer"), model_cells.HELD).otherwise(model_cells.TRAIN)), 1, [*by, "record_id", "y"])
-    held = written(model_cells.predictions(cells, model_cells.fitted(cells, m), m).select(*by, "y", "p"), "held")
-    measured = stats.confusion(held, by).join(stats.roc_auc(held, by).select(*by, "auc"), by).select(*by, F.col("auc").alias("outer_auc"), "f1", "recall", "specificity", "balanced_accuracy", "mcc")
-    return best.join(measured, by, "left")
+    return _on_held_out(chosen.withColumn("outer", F.explode("_outer")), best, features)
+
+
+def nested_choice_of_medians(medians: DataFrame, outer: int = FOLDS, inner: int = INNER) -> DataFrame:
+    """``nested_choice`` over ``under_settings``, with each record's medians held once: a setting's models take their columns."""
+    rows = written(medians, "tuning")
+    dealt, turns = _dealt(rows, outer, inner)
+    sides, places = _inner_sides(outer, inner), GRID.places(TUNED_FEATURES)
+    m = model_cells.Models(len(_GRID_COLUMNS), len(sides), {str(i): p for i, p in enumerate(places)})
+    cells = model_cells.packed(attach(rows, turns, ["pair_id"]), SCALE, _GRID_COLUMNS, F.array(*sides), len(sides), [*SCALE, "record_id", "y"])
+    # three kinds of window
+    kinds = written(rows.select(*SCALE).distinct().withColumn("kind", F.row_number().over(Window.orderBy(*SCALE)).cast("long")), "settings")
+    guessed = attach(model_cells.predictions(cells, model_cells.fitted(cells, m), m), kinds, SCALE)
+    number = F.col("kind") * len(places) + F.col("block").cast("long")
+    judged = _judged(guessed.select((number * len(sides) + F.col("s")).alias("model"), "y", "p"), len(sides), inner)
+    table = rows.sparkSession.createDataFrame([(i, *setting) for i, setting in enumerate(GRID.settings)], f"_i long, {_SETTING_TYPES}")
+    named = kinds.join(F.broadcast(table)).select(*SCALE, *SETTING, (F.col("kind") * len(places) + F.col("_i")).alias("number"))
+    best = _best(attach(judged, named, ["number"]))
+    chosen = under_settings(attach(attach(rows, dealt, ["pair_id"]), best.select(*SCALE).distinct(), SCALE), ["fold"])
+    wanted = best.groupBy(*SCALE, *SETTING).agg(F.collect_list("outer").alias("_outer"))
+    return _on_held_out(attach(chosen, wanted, [*SCALE, *SETTING]).withColumn("outer", F.explode("_outer")), best, TUNED_FEATURES)
 
 
 # --- distances as features, against and beside the charts
@@ -246,6 +326,6 @@ QUERIES = {
     "distance_steps": lambda s, d: rounded(distance_steps(s, d), 4),
     "distance_lead_times": lambda s, d: rounded(distance_lead_times(s, d), 6),
     "coefficient_table": lambda s, d: rounded(coefficient_table(s, d), 6),
-    "nested_model_tuning": lambda s, d: rounded(nested_choice(tuning_records(s, d), TUNED_FEATURES), 6),
+    "nested_model_tuning": lambda s, d: rounded(nested_choice_of_medians(tuning_medians(s, d)), 6),
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -103,3 +103,33 @@ def test_constant_features_correlate_with_none(spark):
     df = spark.range(1000, numPartitions=7).select(F.col("id").alias("record_id"), F.lit(0.0).alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.lit(1).alias("g"))
     for by in (None, ["g"]):
         assert [r.rho for r in stats.spearman(df, ["a", "b"], by=by).collect()] == [None]
+
+
+def test_medians_under_all_settings_are_those_of_sweeps(spark, monkeypatch):
+    """Each record's medians are held once for all settings; what arrays do not fit goes through the sweeps."""
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_suppkey < 3").repartition(2)
+    items = items.unionByName(items.withColumn("l_shipdate", F.col("l_shipdate") + F.expr("INTERVAL 9 YEARS"))).cache()
+    monkeypatch.setattr(wide_queries, "load", lambda *_: items)
+    got = {(*r[:5],): r for r in model_queries.tuning_medians(spark, "").collect()}
+    swept = model_queries.swept_medians(model_queries.supplier_windows(spark, "").where(model_queries.TUNED).where("n >= 6"))
+    want = {(r[0], r[0] // 2, r[0] % 2, *r[1:3]): r[3:] for r in swept.collect()}
+    assert got.keys() == want.keys() and len({k[3:] for k in got}) == 3
+    assert all(abs(a - (b or 0.0)) < 1e-9 for k, row in want.items() for a, b in zip(got[k][5:], row))
+    monkeypatch.setattr(window_arrays, "LONGEST", 10)
+    assert {(*r[:5],): r for r in model_queries.tuning_medians(spark, "").collect()}.keys() == want.keys()
+
+
+def test_choice_of_settings_from_medians_held_once(spark, monkeypatch):
+    draw = random.Random(2)
+    columns = model_queries._GRID_COLUMNS
+    rows = [(i, i // 2, i % 2, "time", 300.0, *[draw.gauss(i % 2 * (j % 3) / 2, 1) for j in range(len(columns))]) for i in range(24)]
+    medians = spark.createDataFrame(rows, "record_id long, pair_id long, y long, window_type string, window_size double, " + ", ".join(f"{c} double" for c in columns))
+    grid = window_arrays.Grid([3.0], [0.25, 0.5], [0.1], [1], [2.5], [2.25])
+    of_all = {s: p for s, p in zip(model_queries.GRID.settings, model_queries.GRID.places(model_queries.TUNED_FEATURES))}
+    monkeypatch.setattr(window_arrays.Grid, "places", lambda self, _: [of_all[s] for s in grid.settings])
+    monkeypatch.setattr(window_arrays.Grid, "settings", property(lambda _: [(3.0, 0.25, 0.1, 1, 2.5), (3.0, 0.5, 0.1, 1, 2.5)]))
+    got = {r.outer: r for r in model_queries.nested_choice_of_medians(medians).collect()}
+    want = {r.outer: r for r in model_queries.nested_choice(model_queries.under_settings(medians), model_queries.TUNED_FEATURES).collect()}
+    assert got.keys() == want.keys() and len(got) == 5
+    for k, r in want.items():
+        assert got[k][:8] == r[:8] and all(abs(a - b) < 1e-7 for a, b in zip(got[k][8:], r[8:]))
